@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +20,21 @@ def make_importable(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and goes on from there: short lineage, nothing recomputed when executors are lost."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
