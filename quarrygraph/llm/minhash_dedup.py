@@ -213,4 +213,5 @@ def pair_blocks(groups: DataFrame, cols: list[str]) -> DataFrame:
     """Sends each member to all pairs (i <= j) of blocks that hold its own."""
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     every = groups.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return every.select(*cols, F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    # dealt by block pair: else the join on lead just before would keep all blocks of a hot group in one task
+    return every.select(*cols, F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")).repartition("lead", "i", "j")
