@@ -26,8 +26,12 @@ from .wordhash import NON_WORD, batches, hash_words
 
 #: Words of half a window, and of an item's passages.
 HALF, PASSAGE, SHORT = 32, 48, 8
-RANK, EXTRA, POWER = 192, 16, 2
-COSINE, COVER, ANSWER = 0.4, 0.6, 0.5
+RANK, EXTRA, POWER = 128, 16, 2
+#: Words of more than an eighth of all documents say little of a window and are left out of its vector.
+LOUD = math.log(8)
+#: Documents whose benchmark words are counted at once.
+ROWS = 256
+COSINE, COVER, ANSWER = 0.5, 0.6, 0.5
 
 
 def word_ids(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,8 +40,27 @@ def word_ids(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np
     words, at = hash_words(lowered, NON_WORD)
     if not len(vocabulary):
         return np.full(len(words), -1, np.int32), at
-    place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[place] == words, place, -1).astype(np.int32), at
+    place = _slots(vocabulary)[words >> np.uint64(64 - SLOT_BITS)]
+    found = vocabulary[place] == words
+    missed = np.flatnonzero(~found & (place > 0))  # another word may have the slot
+    if len(missed):
+        again = np.minimum(np.searchsorted(vocabulary, words[missed]), len(vocabulary) - 1)
+        place[missed], found[missed] = again, vocabulary[again] == words[missed]
+    place[~found] = -1
+    return place, at
+
+
+SLOT_BITS = 20
+_SLOTS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _slots(vocabulary: np.ndarray) -> np.ndarray:
+    """By the first bits of a hash a vocabulary word that has them, 0 if none has."""
+    if not _SLOTS or _SLOTS[0][0] is not vocabulary:
+        table = np.zeros(1 << SLOT_BITS, np.int32)
+        table[vocabulary >> np.uint64(64 - SLOT_BITS)] = np.arange(len(vocabulary), dtype=np.int32)
+        _SLOTS[:] = [(vocabulary, table)]
+    return _SLOTS[0][1]
 
 
 def passages(n: int) -> list[tuple[int, int]]:
@@ -57,27 +80,38 @@ def common_length(a: np.ndarray, masks: dict[int, int], n: int) -> int:
     return n - v.bit_count()
 
 
+def answer_terms(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The rarest third of a passage's different words."""
+    terms = np.unique(words)
+    return terms[np.argsort(-idf[terms], kind="stable")][: max(1, len(terms) // 3)]
+
+
 class Index:
     """What is known of the benchmark, for the executors."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, basis: np.ndarray, items: list[int], words: list[np.ndarray]) -> None:
         self.vocabulary, self.items, self.words = vocabulary, items, words
         self.fold = (basis * idf[:, None]).astype(np.float32)
-        self.loud = idf > math.log(2)  # words of half of all documents say nothing of a window
-        latent = np.stack([self.fold[w].sum(0) for w in words]) if words else np.zeros((0, basis.shape[1]), np.float32)
+        self.loud = idf > LOUD
+        latent = np.stack([self.fold[w[self.loud[w]]].sum(0) for w in words]) if words else np.zeros((0, basis.shape[1]), np.float32)
         self.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        self.masks, self.answer = [], []
+        self.masks = []
         for w in words:
             m: dict[int, int] = {}
             for k, x in enumerate(w.tolist()):
                 m[x] = m.get(x, 0) | 1 << k
             self.masks.append(m)
-            terms = np.unique(w)
-            self.answer.append(terms[np.argsort(-idf[terms], kind="stable")][: max(1, len(terms) // 3)])
+        answers = [answer_terms(w, idf) for w in words]
+        # by passage its answer terms, filled up with a place that no word has
+        self.answers = np.full((len(words), max(map(len, answers), default=1)), len(vocabulary))
+        for k, x in enumerate(answers):
+            self.answers[k, : len(x)] = x
+        self.needed = np.array([len(x) for x in answers], float)
 
     def leaks(self, texts: list[bytes], cosine: float, cover: float, answer: float) -> list[tuple[int, int, float, float]]:
         """(number of the text, item, covered share, cosine) of each leak, the best for each text and item."""
         found: dict[tuple[int, int], tuple[float, float]] = {}
+        mark = np.zeros(len(self.vocabulary) + 2, np.int32)
         for first, last in batches(texts):
             ids, at = word_ids(texts[first:last], self.vocabulary)
             size = np.diff(at)
@@ -102,17 +136,23 @@ class Index:
             for k in range(0, len(some), 8192):
                 part = some[k : k + 8192]
                 cos = (window[part] / norm[part, None]) @ self.latent.T
-                for r, p in zip(*map(np.ndarray.tolist, np.nonzero(cos >= cosine)), strict=True):
-                    h = part[r]
+                rows, near = np.nonzero(cos >= cosine)
+                cut = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
+                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    h, able = part[rows[x]], near[x:y]
                     d = owner[h]
-                    n, begins = len(self.words[p]), at[d] + (h - base[d]) * HALF
-                    a = ids[max(at[d], begins - n // 2) : min(at[d + 1], begins + 2 * HALF + n // 2)]
-                    if np.isin(self.answer[p], a).mean() < answer:
-                        continue
-                    share = common_length(a, self.masks[p], n) / n
-                    if share >= (cover if n >= SHORT else 1.0):
-                        key = (first + int(d), self.items[p])
-                        found[key] = max(found.get(key, (0.0, 0.0)), (share, float(cos[r, p])))
+                    begins = at[d] + (h - base[d]) * HALF
+                    a = ids[max(at[d], begins - PASSAGE // 2) : min(at[d + 1], begins + 2 * HALF + PASSAGE // 2)]
+                    mark[a] = 1
+                    mark[-2:] = 0  # words outside the vocabulary, and the filling
+                    able = able[mark[self.answers[able]].sum(1) >= answer * self.needed[able]]
+                    mark[a] = 0
+                    for p in able.tolist():
+                        n = len(self.words[p])
+                        share = common_length(a, self.masks[p], n) / n
+                        if share >= (cover if n >= SHORT else 1.0):
+                            key = (first + int(d), self.items[p])
+                            found[key] = max(found.get(key, (0.0, 0.0)), (share, float(cos[rows[x], p])))
         return [(t, i, s, c) for (t, i), (s, c) in sorted(found.items())]
 
 
@@ -127,10 +167,13 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
             rows += len(texts)
             for first, last in batches(texts):
                 ids, at = word_ids(texts[first:last], held.value)
-                doc = np.repeat(np.arange(last - first), np.diff(at))
-                known = ids >= 0
-                pairs = np.unique(doc[known] * len(held.value) + ids[known])
-                n += np.bincount(pairs % max(len(held.value), 1), minlength=len(held.value))
+                known = np.flatnonzero(ids >= 0)
+                doc = np.repeat(np.arange(last - first, dtype=np.int64), np.diff(at))[known]
+                for a in range(0, last - first, ROWS):
+                    x, y = np.searchsorted(doc, (a, a + ROWS))
+                    seen = np.zeros((min(ROWS, last - first - a), len(n)), bool)
+                    seen[doc[x:y] - a, ids[known[x:y]]] = True
+                    n += seen.sum(0)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(n[some], rows), pa.int64())], names=["word", "n"])
 
@@ -192,8 +235,9 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     df, n = document_frequency(docs, vocabulary)
     # rare words weigh most; a word of every document still weighs a little
     idf = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
-    if not (idf > math.log(2)).any():
-        idf = np.full(len(vocabulary), 1.0)
+    # an item that very many documents contain makes its own words common: its rarest ones keep a weight
+    asked = np.unique(np.concatenate([answer_terms(w, idf) for w in words]))
+    idf[asked] = np.maximum(idf[asked], LOUD + 0.2)
     rows = spark.createDataFrame([(w.tolist(),) for w in words], "words array<int>").repartition(max(1, min(64, len(words) // 64)))
     return Index(vocabulary, idf, latent_basis(rows, idf), items, words)
 
