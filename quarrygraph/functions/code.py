@@ -65,5 +65,5 @@ def column_access(line: Column, column: str) -> Column:
 
 def calls_on(line: Column, variable: Column) -> Column:
     """The method called on a variable: the first ``variable.name(``; null if there is none."""
-    found = F.regexp_extract(line, F.concat(F.lit(_LEFT), variable, F.lit(r"\.([\p{L}_][\p{L}\p{N}_]*)\(")), 1)
+    found = F.call_function("regexp_extract", line, F.concat(F.lit(_LEFT), variable, F.lit(r"\.([\p{L}_][\p{L}\p{N}_]*)\(")), F.lit(1))
     return F.when(found != "", found)

@@ -80,8 +80,8 @@ def getter_setter_access(line: Column, field: Column) -> dict[str, Column]:
 
 def direct_access(line: Column, field: Column) -> dict[str, Column]:
     """Whether a line reads or writes ``.field``; only the first access counts."""
-    after = F.regexp_extract(line, F.concat(F.lit(r"\."), field, F.lit(r"(?![\p{L}\p{N}_])\s*(==?|)")), 1)
-    found = line.rlike(F.concat(F.lit(r"\."), field, F.lit(r"(?![\p{L}\p{N}_])")))
+    after = F.call_function("regexp_extract", line, F.concat(F.lit(r"\."), field, F.lit(r"(?![\p{L}\p{N}_])\s*(==?|)")), F.lit(1))
+    found = F.rlike(line, F.concat(F.lit(r"\."), field, F.lit(r"(?![\p{L}\p{N}_])")))
     return {"found": found, "write": found & (after == "=")}
 
 

@@ -98,7 +98,7 @@ def annotate(space: Space, symbol: str, **fields) -> Space:
     row = space.entities.where(F.col("fqn") == symbol).orderBy("cell_id").first()
     if row is None:
         raise SymbolNotFound(symbol)
-    new = schema.EMPTY_ANNOTATION | {k: [] for k in ("preconditions", "postconditions", "invariants", "side_effects")} | fields | {"cell_id": row.cell_id, "invariants": []}
-    added = space.spark.createDataFrame([tuple(new[f.name] for f in schema.ANNOTATIONS.fields)], schema.ANNOTATIONS)
+    new = dict.fromkeys(schema.ANNOTATION_FIELDS) | {k: [] for k in ("preconditions", "postconditions", "invariants", "side_effects")} | fields | {"cell_id": row.cell_id, "invariants": []}
+    added = space.spark.createDataFrame([tuple(new[f] for f in schema.ANNOTATION_FIELDS)], schema.ANNOTATIONS)
     log = space.table("annotations").withColumn("version", F.lit(0)).unionByName(added.withColumn("version", F.lit(1)))
     return space.with_tables(annotations=last_write(log).drop("version"))
