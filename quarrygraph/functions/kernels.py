@@ -116,7 +116,10 @@ def decode(data: bytes, forced: str | None = None) -> tuple[str, str, bool]:
         return text, forced.lower(), "�" in text
     for name, codec in (("utf-8", "utf-8-sig"), ("shift_jis", "cp932"), ("euc-jp", "euc_jp")):
         try:
-            return data.decode(codec), name, False
+            text = data.decode(codec)
         except UnicodeDecodeError:
             continue
+        # single bytes that Shift_JIS does not define come out in the private use area
+        if codec != "cp932" or not re.search("[\uf8f0-\uf8f3]", text):
+            return text, name, False
     return data.decode("utf-8", "replace"), "utf-8", True
