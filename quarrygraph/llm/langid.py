@@ -101,12 +101,12 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
 
 
 def parse_table(text: np.ndarray) -> np.ndarray:
-    """(state, symbol) -> next state, with FLAG where a phrase ends before the symbol and another begins with it."""
+    """(state, symbol) -> next state, with FLAG where a phrase begins with the symbol: at the root, and where the phrase
+    before cannot go on. A symbol that the language lacks is a phrase of its own and leads back to the root."""
     table = suffix_automaton(text)
     root = np.maximum(table[0], 0)
     out = np.where(table < 0, root[None, :] + FLAG, table)
-    out[0] = root  # nothing has begun at the root, so nothing ends
-    out[0][table[0] < 0] = FLAG  # a symbol that the language lacks is a phrase of its own
+    out[0] = root + FLAG
     out[:, 0] = 0  # past the end
     return out.astype(np.uint16).reshape(-1)
 
@@ -153,7 +153,7 @@ class Model:
         active = np.searchsorted(-lengths[order], -np.arange(len(grid)), "left")
         owner = np.array(owner)[order]
         for g, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(pieces), np.intp), np.ones(len(pieces), np.int64)
+            state, phrases = np.zeros(len(pieces), np.intp), np.zeros(len(pieces), np.int64)
             for t in range(len(grid)):
                 n = active[t]
                 to = table[(state[:n] << 6) + grid[t, :n]]

@@ -20,6 +20,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: The knapsack program runs once the open budget is at most this many words.
 PROGRAM = 1 << 17
+#: Up to this budget the program chooses among all documents, since shares of few documents leave it too little.
+SMALL = 1 << 14
 #: Documents of one (source, length) are dealt to so many parts; only one part of each is ranked.
 PARTS = 256
 
@@ -54,7 +56,7 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if budget <= 0:
         return np.zeros_like(counts)
     # integer arithmetic in Python: the products may pass 64 bits
-    take = np.array([int(c) * int(budget) // total for c in counts], np.int64)
+    take = np.array([int(c) * int(budget) // total if budget > SMALL else 0 for c in counts], np.int64)
     left = counts - take
     rest = int(budget - (take * lengths).sum())
     for k in np.argsort(-lengths, kind="stable"):
@@ -67,7 +69,7 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     # bounded subset sum: counts as powers of two; reached[s] is the first item with which s can be reached
     reached = np.full(rest + 1, -1, np.int64)
     sums, items, mask = 1, [], (1 << (rest + 1)) - 1
-    for k in np.argsort(lengths, kind="stable"):
+    for k in np.random.default_rng(0).permutation(len(lengths)):
         size, n, power = int(lengths[k]), int(min(left[k], rest // max(int(lengths[k]), 1))), 1
         if not 0 < size <= rest:
             continue

@@ -86,8 +86,8 @@ EMBEDDING_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 ), ok AS (
-  SELECT vec_id, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS u FROM v
-  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+  SELECT vec_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS u FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(e, e) > 0
 ), link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) AND list_dot_product(a.u, b.u) >= 0.95
 ), reach AS (
