@@ -188,12 +188,13 @@ class Model:
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     """Texts by language: TRAIN_DOCS documents of each at most, none of them held out, whole rows in hash order.
 
-    The ranking keeps TRAIN_DOCS rows a language in each task before it shuffles, and moves no texts.
+    The ranking keeps TRAIN_DOCS rows a language in each task before it shuffles, and moves no texts. What is broadcast and
+    gathered is bounded by TRAIN_DOCS ids and texts of TRAIN_SYMBOLS characters a language, of which the model holds a table.
     """
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = able.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS).select("doc_id", "lang", "k")
-    got = able.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("lang", "k", F.substring("text", 1, TRAIN_SYMBOLS).alias("text")).orderBy("lang", "k", "text")
+    got = able.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "k", F.substring("text", 1, TRAIN_SYMBOLS).alias("text")).orderBy("lang", "k", "text")
     out: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for r in got.toLocalIterator():
