@@ -20,7 +20,7 @@ from .wordhash import NON_LETTERS, batches, hash_words
 
 TERM_BITS = 22
 #: Labelled rows learnt from at most, in the order of a hash of doc_id. The documented sample bound.
-SAMPLE = 16_000
+SAMPLE = 40_000
 FACTORS, EPOCHS, RATE, DECAY = 6, 30, 0.15, 1e-4
 #: A term's standardised difference between label 1 and 0 must reach this, and its documents LEAST.
 ASSOCIATION, LEAST, TERMS = 4.0, 3, 8192
