@@ -47,10 +47,15 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None)
     return seen
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable ignoring direction. Alternates large-star and small-star steps."""
-    pairs = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
-    before = None
+def connected(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(id, component) for each id that has a link to another; the component is the least id reachable.
+
+    Alternates large-star and small-star steps: two aggregations with map-side combining and two joins that adaptive
+    execution can split when one id has very many links. Rounds: about the logarithm of the longest chain. Null ends and
+    links of an id with itself are left out.
+    """
+    able = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    pairs, before = cut(links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()), None
     while not pairs.isEmpty():
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(pairs.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -62,7 +67,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return nodes.select("node").distinct().join(pairs.select(F.col("hi").alias("node"), "lo"), "node", "left").select("node", F.coalesce("lo", "node").alias("component"))
+    return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes, isolated ones too, ignoring direction."""
+    linked = connected(edges).withColumnRenamed("id", "node")
+    return nodes.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def hop_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
