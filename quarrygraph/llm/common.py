@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-HELD_OUT_PARTS = 5
-
+from quarrygraph.session import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes"]
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not own.isDefined():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-ckpt-"))
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get().rstrip("/")
+WORD = r"[^\x20\x09-\x0D]+"
+HELD_OUT_PARTS = 5
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -32,15 +20,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it from there: lineage ends, lost executors cost no recomputation.
-
-    The files go when the frame is no longer referenced and the cluster's cleaner is on.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_PARTS == 0, F.lit(False))
@@ -53,8 +32,3 @@ def text_bytes(values) -> list[bytes]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame, *keep: str) -> DataFrame:
-    """Only the named columns, so that clashing extra columns and wide rows never reach a kernel."""
-    return df.select(*keep)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import cut
+from quarrygraph.plans.graph import connected
 
 
 class Labels:
@@ -28,33 +27,5 @@ class Labels:
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component_id) for each id that has a link to another; component_id is the least id reachable.
-
-    Alternates large-star and small-star steps, each two aggregations with map-side combining and two joins that
-    adaptive execution can split when one id has very many links. Steps: about the logarithm of the longest chain.
-    Each step is cut at the shared folder. Null ends and links of an id with itself are left out.
-    """
-    edges = (
-        links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select("hi", "lo")
-        .distinct()
-    )
-    edges, seen = cut(edges), None
-    while True:
-        if edges.isEmpty():
-            return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
-            large.join(down, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .unionAll(down.select("hi", F.col("m").alias("lo")))
-            .distinct()
-        )
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if seen == tuple(now):
-            return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component_id"))
-        seen = tuple(now)
+    """(id, component_id) for each id that has a link to another; component_id is the least id reachable."""
+    return connected(links, a, b).withColumnRenamed("component", "component_id")
