@@ -37,12 +37,26 @@ def looks_like_sql(line: Column) -> Column:
     return out
 
 
-def table_access(line: Column, table: str) -> Column:
+def identifiers(line: Column) -> Column:
+    """The different identifiers of a line, lower-cased: what equality joins with names use instead of scanning for each."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(r"([\p{L}_][\p{L}\p{N}_]*)"), F.lit(1)))
+
+
+def _mention(name: Column | str) -> Column:
+    """A pattern for the identifier, lower-cased, as a column."""
+    if isinstance(name, str):
+        return F.lit(identifier(name.lower()))
+    return F.concat(F.lit(_LEFT), F.lower(name), F.lit(_RIGHT))
+
+
+def _before(low: Column, pattern: Column) -> Column:
+    return F.call_function("regexp_extract", low, F.concat(F.lit("^(.*?)"), pattern), F.lit(1))
+
+
+def table_access(line: Column, table: Column | str) -> Column:
     """C, R, U or D: the nearest keyword before the table's first mention; null without a mention or keyword."""
-    low = F.lower(line)
-    pattern = identifier(table.lower())
-    before = F.regexp_extract(low, "^(.*?)" + pattern, 1)
-    hit = low.rlike(pattern)
+    low, pattern = F.lower(line), _mention(table)
+    before = _before(low, pattern)
 
     def last(word: str) -> Column:
         return F.length(F.regexp_extract(before, "^(.*)" + word, 1)) + F.when(before.rlike(word), 1).otherwise(-10**6)
@@ -51,16 +65,15 @@ def table_access(line: Column, table: str) -> Column:
     update = last(r"\bupdate\b")
     read = F.greatest(last(r"(?<!delete )\bfrom\b"), last(r"\bjoin\b"))
     best = F.greatest(insert, delete, update, read)
-    return F.when(hit & (best > 0), F.when(best == insert, "C").when(best == delete, "D").when(best == update, "U").otherwise("R"))
+    return F.when(F.rlike(low, pattern) & (best > 0), F.when(best == insert, "C").when(best == delete, "D").when(best == update, "U").otherwise("R"))
 
 
-def column_access(line: Column, column: str) -> Column:
+def column_access(line: Column, column: Column | str) -> Column:
     """Write after INSERT INTO or between SET and WHERE, else read if the line looks like SQL; null without a mention."""
-    low = F.lower(line)
-    pattern = identifier(column.lower())
-    before = F.regexp_extract(low, "^(.*?)" + pattern, 1)
+    low, pattern = F.lower(line), _mention(column)
+    before = _before(low, pattern)
     write = before.contains("insert into") | (before.rlike(r"\bset\b") & ~before.rlike(r"\bset\b.*\bwhere\b"))
-    return F.when(low.rlike(pattern), F.when(write, "write").when(looks_like_sql(line), "read"))
+    return F.when(F.rlike(low, pattern), F.when(write, "write").when(looks_like_sql(line), "read"))
 
 
 def calls_on(line: Column, variable: Column) -> Column:

@@ -44,18 +44,17 @@ def column_usage(space: Space, table: str) -> DataFrame:
     cls = table_class(space, table)
     cols = columns(space, table)
     lines = space.table("source_lines").where(~F.col("path").endswith(f"{cls.label}.java"))
-    held = [r.asDict() for r in cols.select("field_name", "column_name").collect()]  # the fields of one class
-    hits = None
-    for f in held:
-        name, column = F.lit(f["field_name"]), f["column_name"]
-        acc, direct = names.getter_setter_access(F.col("line"), name), names.direct_access(F.col("line"), name)
-        java_w, java_r = acc["setter"] | direct["write"], acc["getter"] | (direct["found"] & ~direct["write"])
-        sql = F.when(F.lower("path").endswith(".sql") | code.looks_like_sql(F.col("line")), code.column_access(F.col("line"), column))
-        kind = F.when(java_w & java_r, "read_write").when(java_w, "write").when(java_r, "read").otherwise(sql)
-        one = lines.select(name.alias("field_name"), "path", "line_no", kind.alias("access_type")).where("access_type IS NOT NULL")
-        hits = one if hits is None else hits.unionByName(one)
-    if hits is None:
-        return cols.select("field_name", "logical_name", "column_name", "data_type")
+    # the identifiers that can touch a field: itself, its column, its accessors; lines meet them by equality
+    name, column = F.col("field_name"), F.col("column_name")
+    cap = names.capitalised(name)
+    keys = F.array_distinct(F.transform(F.array(name, column, *(F.concat(F.lit(x), cap) for x in ("get", "is", "set"))), F.lower))
+    fields = cols.select("field_name", "column_name", F.explode(keys).alias("_key"))
+    near = lines.withColumn("_key", F.explode(code.identifiers(F.col("line")))).join(F.broadcast(fields), "_key").dropDuplicates(["path", "line_no", "field_name"])
+    acc, direct = names.getter_setter_access(F.col("line"), name), names.direct_access(F.col("line"), name)
+    java_w, java_r = acc["setter"] | direct["write"], acc["getter"] | (direct["found"] & ~direct["write"])
+    sql = F.when(F.lower("path").endswith(".sql") | code.looks_like_sql(F.col("line")), code.column_access(F.col("line"), column))
+    kind = F.when(java_w & java_r, "read_write").when(java_w, "write").when(java_r, "read").otherwise(sql)
+    hits = near.select("field_name", "path", "line_no", kind.alias("access_type")).where("access_type IS NOT NULL")
     place = F.struct(names.class_of_file(F.col("path")).alias("fqn"), F.col("path").alias("file"), F.col("line_no").alias("line"), "access_type")
     per = hits.groupBy("field_name").agg(
         F.array_sort(F.collect_list(F.when(F.col("access_type") == "read", place))).alias("readers"), F.array_sort(F.collect_list(F.when(F.col("access_type") != "read", place))).alias("writers")

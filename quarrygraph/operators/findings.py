@@ -89,23 +89,23 @@ def crud_matrix(space: Space, mapper: DataFrame | None = None) -> DataFrame:
     in the order C, R, U, D; the first five pieces of evidence.
     """
     tables = data_classes(space)
-    held = tables.collect()  # a row for each data class of the project: a broadcast-sized catalogue
     called = space.calls("java.calls").select(F.col("dst").alias("cell_id")).distinct()
     entries = space.entities.where((F.col("entity_type") == "java.method") & ~names.is_accessor(F.col("label"))).join(called, "cell_id", "left_anti")
     reach = graph.closure(space.calls(*schema.CALLS), entries.select(F.col("cell_id").alias("node")))
     lines = body_lines(space)
-    hits = []
-    for t in held:
-        access = code.table_access(F.col("line"), t.table_name)
-        hits.append(lines.withColumn("op", access).where("op IS NOT NULL").select("cell_id", F.lit(t.table_class).alias("table_class"), F.lit(t.table_name).alias("table_name"), F.col("op").alias("operations"), F.concat("file", F.lit(":"), "line_no", F.lit(" "), F.trim("line")).alias("evidence")))
-        if mapper is not None:
-            m = mapper.withColumn("op", code.table_access(F.col("sql"), t.table_name)).where("op IS NOT NULL").join(space.entities.select("fqn", "cell_id"), "fqn")
-            hits.append(m.select("cell_id", F.lit(t.table_class).alias("table_class"), F.lit(t.table_name).alias("table_name"), F.col("op").alias("operations"), F.concat(F.lit("mapper "), "fqn").alias("evidence")))
+    named = tables.withColumn("_name", F.lower("table_name"))
+    # lines with an SQL keyword meet tables by the identifiers they hold
+    sql = lines.where(F.lower("line").rlike(r"\b(insert\s+into|delete\s+from|update|from|join)\b")).withColumn("_name", F.explode(code.identifiers(F.col("line"))))
+    said = sql.join(named, "_name").withColumn("operations", code.table_access(F.col("line"), F.col("table_name"))).where("operations IS NOT NULL")
+    hits = [said.select("cell_id", "table_class", "table_name", "operations", F.concat("file", F.lit(":"), "line_no", F.lit(" "), F.trim("line")).alias("evidence"))]
+    if mapper is not None:
+        m = mapper.withColumn("_name", F.explode(code.identifiers(F.col("sql")))).join(named, "_name").withColumn("operations", code.table_access(F.col("sql"), F.col("table_name"))).where("operations IS NOT NULL").join(space.entities.select("fqn", "cell_id"), "fqn")
+        hits.append(m.select("cell_id", "table_class", "table_name", "operations", F.concat(F.lit("mapper "), "fqn").alias("evidence")))
     bound = space.table("source_lines").select(F.col("path").alias("file"), F.explode(F.expr(r"regexp_extract_all(line, '([A-Z][A-Za-z0-9_]*(?:Repository|Dao|Mapper)\\s+[a-z][A-Za-z0-9_]*)', 1)")).alias("b"))
     bound = bound.select("file", names.repository_entity(F.split("b", r"\s+")[0]).alias("entity"), F.split("b", r"\s+")[1].alias("variable")).where("entity IS NOT NULL").distinct()
     used = lines.join(bound, "file").withColumn("method", code.calls_on(F.col("line"), F.col("variable"))).where("method IS NOT NULL").withColumn("operations", names.repository_operation(F.col("method"))).where("operations IS NOT NULL")
     by_name = tables.withColumn("entity", names.simple_name(F.col("table_class")))
-    hits.append(used.join(F.broadcast(by_name), "entity").select("cell_id", "table_class", "table_name", "operations", F.concat("file", F.lit(":"), "line_no", F.lit(" "), "variable", F.lit("."), "method").alias("evidence")))
+    hits.append(used.join(by_name, "entity").select("cell_id", "table_class", "table_name", "operations", F.concat("file", F.lit(":"), "line_no", F.lit(" "), "variable", F.lit("."), "method").alias("evidence")))
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
