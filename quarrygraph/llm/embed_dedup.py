@@ -151,5 +151,7 @@ def class_links(classes: DataFrame, threshold: float, cell: int, slack: float) -
             out = pd.concat([out, pd.DataFrame({"unit": None, "links": None, "a": [p for p, _ in pairs], "b": [q for _, q in pairs]})])
         return out.astype({"links": "Int64", "a": "Int64", "b": "Int64"})
 
-    found = cut(both.select(*cols).unionByName(other.select(*cols)).groupBy("dim", "cell", "i", "j").applyInPandas(compare, "unit binary, links long, a long, b long"))
+    # dealt by block pair: the join on cells just before would keep a large cell in one task
+    dealt = both.select(*cols).unionByName(other.select(*cols)).repartition("dim", "cell", "i", "j")
+    found = cut(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(compare, "unit binary, links long, a long, b long"))
     return {"counts": found.where("links IS NOT NULL").groupBy("unit").agg(F.sum("links").alias("links")), "edges": found.where("a IS NOT NULL").select("a", "b")}
