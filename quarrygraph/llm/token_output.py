@@ -31,7 +31,7 @@ from .common import fresh_path
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
-#: Cached encodings in one Python worker; beyond it the cache is emptied.
+#: Cached encodings in one Python worker; beyond it the seldom used half goes.
 CACHE = 1_200_000
 
 
@@ -83,8 +83,8 @@ _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Texts with other white space than single spaces and line ends within.
 SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 ODD = rf"[{SPACE}][{SPACE}]|\A[{SPACE}]|[{SPACE}]\z|[\t\r\f\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"
-#: Pieces in one call of the library, and bytes of text handled at once.
-RUN, GROUP = 200, 12_000_000
+#: Pieces in one run, runs in one call of the library, and bytes of text handled at once.
+RUN, CALL, GROUP = 200, 64, 8_000_000
 
 
 class PieceEncoder:
@@ -115,37 +115,59 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.begin, self.hits = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def shrink(self) -> None:
+        """Keeps the pieces that occurred in the most groups, half of the cache at most."""
+        least = 2
+        while (self.hits >= least).sum() > CACHE // 2:
+            least += 1
+        keep = np.flatnonzero(self.hits >= least)
+        names = list(self.known)
+        n = self.begin[keep + 1] - self.begin[keep]
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.repeat(self.begin[keep] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+        self.begin, self.hits = np.concatenate([[0], ends]), self.hits[keep] - 1
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces in joined runs; the end-of-text string between two pieces is one known id that parts them."""
         runs = ([p for p in pieces if self.mark not in p], [p for p in pieces if self.mark in p])
         joined = [self.mark.join(runs[0][k : k + RUN]) for k in range(0, len(runs[0]), RUN)]
-        for encoded, alone in ((self.lib.encode_batch_fast(joined, add_special_tokens=False), False), (self.lib.encode_batch_fast(runs[1], add_special_tokens=False), True)):
-            ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
-            ends = np.cumsum([len(e.ids) for e in encoded], dtype=np.int64)
+        flat, begin, size = [self.flat], [self.begin], len(self.flat)
+        # a bounded number at a time: the library's results are many times as large as their ids
+        for todo, alone in [(joined[k : k + CALL], False) for k in range(0, len(joined), CALL)] + [(runs[1][k : k + CALL], True) for k in range(0, len(runs[1]), CALL)]:
+            parts = [e.ids for e in self.lib.encode_batch_fast(todo, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(parts), np.uint32)
+            ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
             if not alone and len(ids):
                 cut = ids == self.mark_id
                 inner = np.flatnonzero(cut)
                 ends = np.sort(np.concatenate([inner, ends]))
                 ends -= np.searchsorted(inner, ends)
                 ids = ids[~cut]
-            self.begin = np.concatenate([self.begin, len(self.flat) + ends])
-            self.flat = np.concatenate([self.flat, ids])
+            begin.append(size + ends)
+            flat.append(ids)
+            size += len(ids)
+        self.flat, self.begin = np.concatenate(flat), np.concatenate(begin)
+        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int32)])
         self.known.update(zip(chain(*runs), range(len(self.known), len(self.known) + len(pieces)), strict=True))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text, null as empty. Texts go through in groups of about GROUP bytes."""
+        """Ids of each text, null as empty."""
+        return [x for _, group in self.groups(texts) for x in group]
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first text, ids of it and those after it) for groups of texts of about GROUP bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes, out, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), [], 0
+        sizes, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + GROUP, "right")))
-            out.extend(self._group(texts.slice(first, last - first)))
+            yield first, self._group(texts.slice(first, last - first))
             first = last
-        return out
 
     def _group(self, texts: pa.Array) -> list[np.ndarray]:
         if not self.by_piece or pc.any(pc.match_substring(texts, "\0")).as_py():
@@ -163,12 +185,14 @@ class PieceEncoder:
         place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(place < 0)
         if len(self.known) + len(new) > CACHE:
-            self.clear()
-            new = np.arange(len(pieces))
+            self.shrink()
+            place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+            new = np.flatnonzero(place < 0)
         if len(new):
             missing = [pieces[k] for k in new]
             self.learn(missing)
             place[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(new))
+        self.hits[place] += 1
         k = place[coded.indices.to_numpy()]
         first, n = self.begin[k], self.begin[k + 1] - self.begin[k]
         ends = np.cumsum(n)
@@ -209,15 +233,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
 
         part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            ids = [np.append(x, np.uint32(end_id)) for x in enc.encode(batch.column(1))]
-            coded = [dac_encode(x) for x in ids]
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * m, pa.int32()), pa.array(range(seq, seq + m), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                 *(pa.array([c[k] for c in coded], pa.list_(pa.binary())) for k in range(3))],
-                names=CODED.names,
-            )
-            seq += m
+            for first, found in enc.groups(batch.column(1)):
+                ids = [np.append(x, np.uint32(end_id)) for x in found]
+                coded = [dac_encode(x) for x in ids]
+                m = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, m), pa.array([part] * m, pa.int32()), pa.array(range(seq, seq + m), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
+                     *(pa.array([c[k] for c in coded], pa.list_(pa.binary())) for k in range(3))],
+                    names=CODED.names,
+                )
+                seq += m
+            pa.default_memory_pool().release_unused()
 
     ordered.mapInArrow(code, CODED).write.mode("overwrite").parquet(path)
 
