@@ -206,7 +206,8 @@ def set_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tup
 def blocks(groups: DataFrame, weight) -> DataFrame:
     """Adds to (lead, ...) the number of blocks of its group."""
     size = groups.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(weight) / BLOCK_SHINGLES)).cast("int").alias("nb"), F.count("*").alias("members"))
-    return groups.join(size.where("members > 1").drop("members"), "lead")
+    # written, so that the join below is of plain exchanges and adaptive execution can split a hot lead
+    return groups.join(cut(size.where("members > 1").drop("members")), "lead")
 
 
 def pair_blocks(groups: DataFrame, cols: list[str]) -> DataFrame:
