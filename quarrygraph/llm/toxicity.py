@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, text_bytes
+from .common import cut, held_out, text_bytes
 from .wordhash import NON_LETTERS, batches, hash_words
 
 TERM_BITS = 22
@@ -61,40 +61,27 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
-    """Logistic loss, AdaGrad on small batches; terms chosen by association first."""
-    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.0
-    empty = Machine(np.zeros(0, np.int32), float(np.log(rate / (1 - rate))) if len(y) else 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    if not len(y) or y.min() == y.max():
-        return empty
-    flat, n = np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
-    places, code = np.unique(flat, return_inverse=True)
-    docs = np.bincount(code, minlength=len(places))
-    hits = np.bincount(code, np.repeat(y, n), len(places))
-    z = (hits - docs * rate) / np.sqrt(docs * rate * (1 - rate))
-    good = np.flatnonzero((np.abs(z) >= ASSOCIATION) & (docs >= LEAST))
-    good = good[np.argsort(-np.abs(z[good]), kind="stable")][:TERMS]
-    if not len(good):
-        return empty
-    number = np.full(len(places), -1, np.int64)
-    number[good] = np.arange(len(good))
-    at = np.concatenate([[0], np.cumsum(n)])
-    kept = [c[c >= 0] for c in (number[code[a:b]] for a, b in zip(at[:-1], at[1:], strict=True))]
-    rng = np.random.default_rng(seed)
-    m = Machine(places[good], empty.w0, np.zeros(len(good)), rng.normal(0, 0.01, (len(good), FACTORS)))
-    gw, gv, g0 = np.full(len(good), 1e-2), np.full((len(good), FACTORS), 1e-2), 1e-2
+def learn(rows: list[np.ndarray], y: np.ndarray, places: np.ndarray, seed: int = 11) -> Machine:
+    """Logistic loss, AdaGrad on small batches. rows: numbers (into places, the chosen terms) of the terms of each text."""
+    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+    w0 = float(np.log(rate / (1 - rate)))
+    m = Machine(places, w0, np.zeros(len(places)), np.random.default_rng(seed).normal(0, 0.01, (len(places), FACTORS)))
+    if not len(places):
+        return m
+    rng, size = np.random.default_rng(seed), len(places)
+    gw, gv, g0 = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
     for _ in range(EPOCHS):
-        order = rng.permutation(len(kept))
+        order = rng.permutation(len(rows))
         for k in range(0, len(order), 256):
-            part = [kept[i] for i in order[k : k + 256]]
+            part = [rows[i] for i in order[k : k + 256]]
             err = m.scores(part) - y[order[k : k + 256]]
-            size = np.fromiter(map(len, part), np.int64, len(part))
-            f, owner = np.concatenate(part), np.repeat(np.arange(len(part)), size)
+            n = np.fromiter(map(len, part), np.int64, len(part))
+            f, owner = np.concatenate(part), np.repeat(np.arange(len(part)), n)
             e = err[owner] / len(part)
-            dw = np.bincount(f, e, len(good)) + DECAY * m.w
+            dw = np.bincount(f, e, size) + DECAY * m.w
             sums = np.stack([np.bincount(owner, m.v[f, c], len(part)) for c in range(FACTORS)], 1)
             pull = e[:, None] * (sums[owner] - m.v[f])
-            dv = np.stack([np.bincount(f, pull[:, c], len(good)) for c in range(FACTORS)], 1) + DECAY * m.v
+            dv = np.stack([np.bincount(f, pull[:, c], size) for c in range(FACTORS)], 1) + DECAY * m.v
             gw += dw**2
             gv += dv**2
             g0 += err.mean() ** 2
@@ -104,8 +91,12 @@ def learn(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
     return m
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms and labels of SAMPLE labelled rows at most, none held out. Only hashed terms reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
+    """Learns from SAMPLE labelled rows at most, none held out.
+
+    Terms are counted and chosen on the executors; the driver gets at most TERMS of them, and of each sampled row the
+    numbers of those that it holds.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
@@ -115,8 +106,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[
             found = [t.tobytes() for t in terms(text_bytes(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "t"])
 
-    got = texts.mapInArrow(hashed, "doc_id long, y int, t binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("t", "ascending")])
-    return [np.frombuffer(t, np.int32) for t in got["t"].to_pylist()], np.array(got["y"].to_pylist(), float)
+    rows = cut(texts.mapInArrow(hashed, "doc_id long, y int, t binary"))
+    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("hits")).first()
+    rate = (total.hits or 0) / total.n if total.n else 0.5
+    if not 0 < rate < 1:
+        return learn([], np.full(total.n, rate), np.zeros(0, np.int32))
+
+    def count(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, hits = np.zeros(1 << TERM_BITS, np.int32), np.zeros(1 << TERM_BITS, np.int32)
+        for batch in batched:
+            for t, y in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(t, np.int32)
+                n[at] += 1
+                hits[at] += y
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(hits[at])], names=["place", "n", "hits"])
+
+    found = rows.mapInArrow(count, "place int, n int, hits int").groupBy("place").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    z = F.abs((F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate))))
+    best = found.where(F.col("n") >= LEAST).withColumn("z", z).where(F.col("z") >= ASSOCIATION).orderBy(F.col("z").desc(), "place").limit(TERMS).select("place").toArrow()
+    places = np.sort(np.array(best["place"].to_pylist(), np.int32))
+    held = docs.sparkSession.sparkContext.broadcast(places)
+
+    def numbered(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Machine(held.value, 0.0, np.zeros(0), np.zeros((0, 0))).table()
+        for batch in batched:
+            kept = [(c := number[np.frombuffer(t, np.int32)])[c >= 0].tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["doc_id", "y", "t"])
+
+    got = rows.mapInArrow(numbered, "doc_id long, y int, t binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("t", "ascending")])
+    return learn([np.frombuffer(t, np.int32) for t in got["t"].to_pylist()], np.array(got["y"].to_pylist(), float), places)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -127,7 +146,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     Repeated labels of a doc_id all count; null labels are left out. One pass over all texts, no shuffle of them.
     """
     spark = docs.sparkSession
-    machine = spark.sparkContext.broadcast(learn(*training_rows(docs, labels, label)))
+    machine = spark.sparkContext.broadcast(train(docs, labels, label))
 
     def apply(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = machine.value.table()

@@ -339,9 +339,9 @@ def test_machine_learns_a_pair_that_single_terms_miss():
         rows.append(np.array(sorted([1] * a + [2] * b + rng.integers(10, 40, 5).tolist())))
         rows[-1] = np.unique(rows[-1])
         y.append(float(a and b))
-    m = toxicity.learn(rows, np.array(y))
-    table = m.table()
-    of = lambda *t: m.scores([table[np.array(t)][table[np.array(t)] >= 0]])[0]
+    places = np.arange(50, dtype=np.int32)
+    m = toxicity.learn(rows, np.array(y), places)
+    of = lambda *t: m.scores([np.array(t)])[0]
     assert of(1, 2) > 0.9 and of(1) < 0.3 and of(2) < 0.3 and of(11) < 0.3
 
 
