@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quarrygraph import schema
 from quarrygraph.functions import code, names
-from quarrygraph.operators import calls, catalogue, decision_table, evidence, findings, invariants, specs, topology
+from quarrygraph.operators import calls, catalogue, decision_table, evidence, findings, invariants, resolvers, specs, symbolic, topology
 from quarrygraph.plans import graph
 from quarrygraph.plans.demo import demo_space
+from quarrygraph.plans.lift import lift
 from quarrygraph.plans.space import Space, resolve
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -406,3 +407,75 @@ def sql_access(spark: SparkSession, sf_dir: str) -> DataFrame:
         k == 2, F.concat(F.lit("INSERT INTO orders (id, status) VALUES ("), key, F.lit(", 'y')"))).when(k == 3, F.concat(F.lit("DELETE FROM orders WHERE id = "), key)).otherwise(F.concat(F.lit("SELECT 1 FROM reorders WHERE statuses = "), key))
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", line.alias("line"))
     return o.select("o_orderkey", code.table_access(F.col("line"), "orders").alias("access"), code.column_access(F.col("line"), "status").alias("status_access"))
+
+
+def generated_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): a Java file for each customer, so that lifting and rule extraction run over any number of files."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lines = (
+        F.concat(F.lit("package gen.n"), "c_nationkey", F.lit(";")), F.lit(""), F.concat(F.lit("public class Cust"), "c_custkey", F.lit(" {")), F.lit("    private double balance;"),
+        F.concat(F.lit("    public Cust"), "c_custkey", F.lit("(double b) { this.balance = b; }")), F.lit("    public int rate(int a, String segment) {"), F.lit("        if (a > 1 && balance < 0) {"), F.lit("            return 1;"), F.lit("        }"),
+        F.concat(F.lit('        if (segment.equals("'), "c_mktsegment", F.lit('")) {')), F.lit("            return call();"), F.lit("        }"), F.lit("        return other(a);"), F.lit("    }"), F.lit("    int call() { return 0; }"), F.lit("}"),
+    )
+    return c.select(F.concat(F.lit("gen/n"), "c_nationkey", F.lit("/Cust"), "c_custkey", F.lit(".java")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+_GEN = """
+WITH c AS (SELECT 'gen.n' || c_nationkey AS p, 'gen.n' || c_nationkey || '.Cust' || c_custkey AS k, 'gen/n' || c_nationkey || '/Cust' || c_custkey || '.java' AS file, c_custkey, c_mktsegment FROM customer)
+"""
+
+
+@query(_GEN + """
+SELECT p AS fqn, 'java.package' AS entity_type, split_part(p, '.', 2) AS label, file, 1 AS start_line, 1 AS end_line FROM c
+UNION ALL SELECT k, 'java.class', 'Cust' || c_custkey, file, 3, 16 FROM c
+UNION ALL SELECT k || '.balance', 'java.field', 'balance', file, 4, 4 FROM c
+UNION ALL SELECT k || '.<init>_1', 'java.constructor', 'Cust' || c_custkey || '(double)', file, 5, 5 FROM c
+UNION ALL SELECT k || '.rate', 'java.method', 'rate(int, String)', file, 6, 14 FROM c
+UNION ALL SELECT k || '.call', 'java.method', 'call()', file, 15, 15 FROM c""")
+def lift_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift(generated_sources(spark, sf_dir), "gen").entities.select("fqn", "entity_type", "label", "file", "start_line", "end_line")
+
+
+@query(_GEN + """
+SELECT k AS from_fqn, p AS to_fqn, 'java.contained_in' AS relation_type, file FROM c
+UNION ALL SELECT k || m, k, 'java.contained_in', file FROM c, (VALUES ('.<init>_1'), ('.rate'), ('.call')) t(m)
+UNION ALL SELECT k || '.rate', k || '.call', 'java.calls', file FROM c""")
+def lift_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = lift(generated_sources(spark, sf_dir), "gen")
+    names = space.entities.select("cell_id", "fqn").distinct()
+    a, b = names.withColumnsRenamed({"cell_id": "from_cell_id", "fqn": "from_fqn"}), names.withColumnsRenamed({"cell_id": "to_cell_id", "fqn": "to_fqn"})
+    return space.incidences.join(a, "from_cell_id").join(b, "to_cell_id").select("from_fqn", "to_fqn", "relation_type", "file")
+
+
+@query(_GEN + """
+SELECT k || '.rate' AS from_fqn, t AS target_text, 'java.calls' AS relation_type, file, n AS line FROM c, (VALUES ('segment.equals', 10), ('other', 13)) v(t, n)""")
+def lift_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift(generated_sources(spark, sf_dir), "gen").unresolved
+
+
+@query(_GEN + """
+SELECT k || '.rate' AS fqn, r AS outcome, 5 AS paths, CASE n WHEN 1 THEN 'a > 1;balance < 0' WHEN 2 THEN 'NOT a > 1;segment.equals("' || c_mktsegment || '")' WHEN 3 THEN 'NOT balance < 0;segment.equals("' || c_mktsegment || '")'
+  WHEN 4 THEN 'NOT a > 1;NOT segment.equals("' || c_mktsegment || '")' ELSE 'NOT balance < 0;NOT segment.equals("' || c_mktsegment || '")' END AS "when" FROM c, (VALUES (1, 'return 1'), (2, 'return call()'), (3, 'return call()'), (4, 'return other(a)'), (5, 'return other(a)')) v(n, r)""")
+def lift_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = symbolic.extract_rules(generated_sources(spark, sf_dir))
+    return rules.select("fqn", "outcome", "paths", F.array_join("when_", ";").alias("when"))
+
+
+@query(_GEN + """
+SELECT k || '.rate' AS fqn, 9::BIGINT AS loc, 4::BIGINT AS complexity FROM c
+UNION ALL SELECT k || m, 1, 1 FROM c, (VALUES ('.<init>_1'), ('.call')) t(m)""")
+def lift_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.hotspots(lift(generated_sources(spark, sf_dir), "gen"), 2**31 - 1).select("fqn", "loc", F.col("complexity").cast("long").alias("complexity"))
+
+
+@query(_GEN + "SELECT '' AS root, count(*) AS files FROM c")
+def source_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolvers.source_roots(generated_sources(spark, sf_dir))
+
+
+@query(GRAPH + """
+, names AS (SELECT 'geo.asia' AS package, 'Nation' || n_nationkey AS target_text FROM nation)
+SELECT DISTINCT target_text, fqn FROM names JOIN entities ON fqn = target_text OR fqn = package || '.' || target_text OR (fqn LIKE '%.' || target_text)""")
+def heuristic_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("Nation"), "n_nationkey").alias("target_text"), F.lit("geo.asia").alias("package"), F.lit(None).cast("string").alias("class"))
+    return resolvers.HeuristicResolver(demo_space(spark, sf_dir).entities).resolve_type(names)

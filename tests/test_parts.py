@@ -251,3 +251,32 @@ def test_driver_queries(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     for name in ("overview_types", "package_deps", "decision_conflicts", "name_functions", "sql_access"):
         assert e.queries()[name](spark, SF).count() > 0
+
+
+def test_resolvers(spark):
+    from quarrygraph.operators import resolvers as r
+
+    symbols = spark.createDataFrame([("a.B",), ("a.B.f",), ("c.B",)], "fqn string")
+    names = spark.createDataFrame([("B", "a", "a.B"), ("Z", "a", "a.B"), ("f", "a", "a.B")], "target_text string, package string, class string")
+    h = r.HeuristicResolver(symbols)
+    assert {tuple(x) for x in h.resolve_type(names.where("target_text <> 'f'")).collect()} == {("B", "a.B"), ("B", "c.B")}
+    assert {tuple(x) for x in h.resolve_method_call(names).collect()} == {("f", "a.B.f")}
+    cache = r.resolution_cache(spark.createDataFrame([("B", "x", 1, 1, "c.B"), ("B", "x", 1, 1, "c.B"), ("Z", "x", 2, 1, None)], "target_text string, file string, line int, col int, fqn string"))
+    assert {tuple(x) for x in r.ChainResolver(r.CachedResolver(cache), h).resolve_type(names).collect()} == {("B", "c.B"), ("f", "a.B.f")}
+
+
+def test_resolver_references(shop):
+    from quarrygraph.operators import resolvers as r
+
+    h = r.HeuristicResolver(shop.entities.select("fqn"), shop.incidences, shop.entities)
+    one = shop.spark.createDataFrame([("org.shop.service.AccountService.find",)], "fqn string")
+    assert [(x.from_fqn, x.relation_type) for x in h.find_references(one).collect()] == [("org.shop.service.AccountService.close", "java.calls")]
+    assert [tuple(x) for x in r.source_roots(shop.table("source_files")).collect()] == [("src/main/java", 5)]
+
+
+def test_uris(spark):
+    from quarrygraph.operators import resolvers as r
+
+    one = spark.range(1).select(r.path_to_uri(F.lit("/a b/C+.java")).alias("u"))
+    assert one.first().u == "file:///a%20b/C%2B.java" and one.select(r.uri_to_path(F.col("u")).alias("p")).first().p == "/a b/C+.java"
+    assert spark.range(1).select(r.path_to_fqn(F.lit("src/a/B.java"), F.lit("src")).alias("f")).first().f == "a.B"
