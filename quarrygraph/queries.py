@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph import schema
-from quarrygraph.functions import code, names
-from quarrygraph.operators import calls, catalogue, decision_table, evidence, findings, invariants, resolvers, specs, symbolic, topology
+from quarrygraph.functions import code, kernels, names
+from quarrygraph.operators import calls, catalogue, decision_table, evidence, findings, invariants, jsp, resolvers, specs, symbolic, topology
 from quarrygraph.plans import graph
 from quarrygraph.plans.demo import demo_space
 from quarrygraph.plans.lift import lift
@@ -479,3 +479,125 @@ SELECT DISTINCT target_text, fqn FROM names JOIN entities ON fqn = target_text O
 def heuristic_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("Nation"), "n_nationkey").alias("target_text"), F.lit("geo.asia").alias("package"), F.lit(None).cast("string").alias("class"))
     return resolvers.HeuristicResolver(demo_space(spark, sf_dir).entities).resolve_type(names)
+
+
+@query(_GEN + """
+SELECT c_custkey::VARCHAR AS key, CASE c_custkey % 4 WHEN 0 THEN 'paused: 3 branches' WHEN 1 THEN 'finished: return 1' WHEN 2 THEN 'finished: return call()' ELSE 'finished: return other(a)' END AS status FROM c""")
+def trace_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sessions: none, the first branch, the last branch and then the first, the last and the second."""
+    src = generated_sources(spark, sf_dir).withColumn("key", F.regexp_extract("path", r"Cust(\d+)", 1))
+    k = F.col("key").cast("long") % 4
+    none = F.array().cast("array<int>")
+    choices = F.when(k == 0, none).when(k == 1, F.array(F.lit(0))).when(k == 2, F.array(F.lit(2), F.lit(0))).otherwise(F.array(F.lit(2), F.lit(1)))
+    asked = src.select("key", "text", F.concat(F.lit("Cust"), "key", F.lit(".rate")).alias("symbol"), choices.alias("choices"))
+    return symbolic.trace_rows(asked).select("key", "status")
+
+
+@query(_GEN + """
+SELECT k || '.rate' AS fqn, o AS outcome, n AS rules FROM c, (VALUES ('return 1', 1), ('return call()', 2), ('return other(a)', 2), ('return call()', 2), ('return other(a)', 2)) v(o, n)
+UNION ALL SELECT k || '.call', 'return 0', 0 FROM c UNION ALL SELECT k || '.<init>_1', '(fall-through)', 0 FROM c""")
+def world_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return symbolic.world_line_rows(generated_sources(spark, sf_dir)).select("fqn", "outcome", F.size("rules").alias("rules"))
+
+
+@query("""
+SELECT 'sql/r' || n_regionkey || '.sql' AS path, 't' || n_nationkey AS table_name, c AS column_name, t AS sql_type, CASE c WHEN 'id' THEN 'Key of ' || n_name END AS comment FROM nation, (VALUES ('id', 'BIGINT'), ('name', 'VARCHAR(25)')) v(c, t)""")
+def ddl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    ddl = F.concat(F.lit("CREATE TABLE IF NOT EXISTS `t"), "n_nationkey", F.lit("` (\n  id BIGINT NOT NULL COMMENT 'Key of "), "n_name", F.lit("',\n  name VARCHAR(25),\n  PRIMARY KEY (id)\n);"))
+    files = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(ddl)), "\n").alias("text")).select(F.concat(F.lit("sql/r"), "n_regionkey", F.lit(".sql")).alias("path"), "text")
+    return kernels.create_table_columns(files)
+
+
+@query("""
+SELECT 'gen.S' || s_suppkey || '.' || m AS fqn, m AS kind, CASE m WHEN 'select' THEN 'SELECT * FROM supplier WHERE id = ' || s_suppkey ELSE 'UPDATE supplier SET n = ' || s_nationkey END AS sql, CASE m WHEN 'select' THEN 'R' ELSE 'U' END AS access
+FROM supplier, (VALUES ('select'), ('update')) v(m)""")
+def mapper_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    xml = F.concat(F.lit('<mapper namespace="gen.S'), "s_suppkey", F.lit('">\n  <select id="select" resultType="x">\n    SELECT *\n    FROM supplier WHERE id = '), "s_suppkey", F.lit('\n  </select>\n  <update id="update">UPDATE supplier SET n = '), "s_nationkey", F.lit("</update>\n</mapper>"))
+    files = s.select(F.concat(F.lit("m/S"), "s_suppkey", F.lit(".xml")).alias("path"), xml.alias("text"))
+    return kernels.mapper_statements(files).select("fqn", "kind", "sql", code.table_access(F.col("sql"), "supplier").alias("access"))
+
+
+@query("""
+SELECT 'p/P' || p_partkey || '.jsp' AS path, o AS outcome, w AS "when", 3 AS paths FROM (
+  SELECT p_partkey, CASE n WHEN 1 THEN 'renders: Small' WHEN 2 THEN 'renders: Brand ' || p_brand ELSE 'renders: Other' END AS o, CASE n WHEN 1 THEN 'size < ' || p_size WHEN 2 THEN 'NOT size < ' || p_size || ';known' ELSE 'NOT size < ' || p_size || ';NOT known' END AS w
+  FROM part, (VALUES (1), (2), (3)) v(n))""")
+def jsp_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    page = F.concat(F.lit('<h1>x</h1><c:choose><c:when test="${size < '), "p_size", F.lit('}"><b>Small</b></c:when><c:when test="${known}">Brand '), "p_brand", F.lit("</c:when><c:otherwise>Other</c:otherwise></c:choose>"))
+    files = p.select(F.concat(F.lit("p/P"), "p_partkey", F.lit(".jsp")).alias("path"), page.alias("text"))
+    return jsp.extract_rules(files).select("path", "outcome", F.array_join("when_", ";").alias("when"), "paths")
+
+
+@query("""
+SELECT event_id AS cell_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS intent, round(o / (o + 1), 6) AS posterior, CASE WHEN event_id % 2 = 0 THEN 'no witness cited' END AS discrepancy
+FROM (SELECT *, (CASE WHEN event_id % 3 <> 0 AND event_id % 2 <> 0 THEN 0.85 / 0.25 ELSE 1 END) * (CASE WHEN event_id % 3 <> 0 THEN 1.75 ELSE 1 END) AS o FROM events) WHERE event_id % 3 <> 0
+UNION ALL SELECT event_id, NULL, 0.5, 'no witness cited' FROM events WHERE event_id % 3 = 0""")
+def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of an annotator: in a code fence, without witnesses, or no JSON at all."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    witness = F.when(F.col("event_id") % 2 == 0, '[]').otherwise('["line 1"]')
+    reply = F.when(F.col("event_id") % 3 == 0, "I cannot say.").otherwise(F.concat(F.lit('```json\n{"intent": "'), "event_type", F.lit('", "witnesses": '), witness, F.lit("}\n```")))
+    got = evidence.parse_replies(e.select(F.col("event_id").alias("cell_id"), reply.alias("json")))
+    return got.select("cell_id", "intent", F.round("posterior", 6).alias("posterior"), "discrepancy")
+
+
+@query("""
+SELECT coalesce(a.event_id, b.event_id) AS cell_id, CASE WHEN b.event_type IN ('click', 'view') THEN b.event_type ELSE a.event_type END AS intent FROM (SELECT * FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id""")
+def merged_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlays say something for two event types only; elsewhere the base stays."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    row = lambda df, intent: df.select(F.col("event_id").alias("cell_id"), intent.alias("intent"), text.alias("behavior"), text.alias("error_behavior"), *(none.alias(c) for c in evidence.LISTS))
+    over = row(e.where("event_id % 3 = 0"), F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise(""))
+    return evidence.merge_annotations(row(e.where("event_id % 2 = 0"), F.col("event_type")), over).select("cell_id", "intent")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation),
+w AS (SELECT DISTINCT a AS i, a AS j, 0 AS d FROM e UNION SELECT i, b, d + 1 FROM w JOIN e ON a = j WHERE d < 4)
+SELECT i, j, min(d) AS d FROM w WHERE i <> j GROUP BY 1, 2""")
+def hop_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = demo_space(spark, sf_dir)
+    edges = space.calls("java.contained_in").where(F.col("src").startswith("n"))
+    return graph.hop_distances(edges, edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")))
+
+
+@query(GRAPH + """
+SELECT 'grounding' AS invariant_name, cell_id, CASE WHEN entity_type = 'java.annotation' THEN 'no provenance' ELSE 'no source place' END AS message, CASE WHEN entity_type = 'java.annotation' THEN 'error' ELSE 'warning' END AS severity FROM entities WHERE entity_type IN ('java.annotation', 'java.package')""")
+def invariants_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived graph with the provenance of annotations and the places of packages taken away."""
+    space = demo_space(spark, sf_dir)
+    lost = F.when(F.col("cell_type") == "java.package", F.col("provenance").withField("uri", F.lit(None).cast("string"))).when(F.col("cell_type") != "java.annotation", F.col("provenance"))
+    return invariants.grounding(space.with_tables(cells=space.cells.withColumn("provenance", lost)))
+
+
+@query(GRAPH + """
+SELECT n AS name, v AS value FROM (SELECT 'class' AS n, count(*) AS v FROM entities WHERE entity_type = 'java.class'
+UNION ALL SELECT 'member', count(*) FROM entities t JOIN entities m ON starts_with(m.fqn, t.fqn || '.') WHERE t.entity_type = 'java.class' AND m.entity_type IN ('java.method', 'java.constructor')
+UNION ALL SELECT 'package', count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) FROM entities WHERE entity_type = 'java.class'
+UNION ALL SELECT 'unannotated', (SELECT count(*) FROM entities WHERE entity_type = 'java.class') + (SELECT count(*) FROM entities t JOIN entities m ON starts_with(m.fqn, t.fqn || '.') WHERE t.entity_type = 'java.class' AND m.entity_type IN ('java.method', 'java.constructor')))""")
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of lines of the Markdown specification."""
+    line = F.col("line")
+    kind = F.when(line.startswith("### "), "class").when(line.startswith("#### "), "member").when(line.startswith("## "), "package").otherwise("unannotated")
+    return specs.export_lines(demo_space(spark, sf_dir)).groupBy(kind.alias("name")).agg(F.count("*").alias("value"))
+
+
+@query(GRAPH + """
+SELECT fqn AS symbol, entity_type, label AS signature FROM entities WHERE entity_type IN ('java.method', 'java.constructor', 'java.class', 'java.interface') AND fqn LIKE '%nation7%' OR (entity_type IN ('java.method', 'java.constructor', 'java.class') AND fqn LIKE '%Nation7%') ORDER BY fqn LIMIT 10""")
+def enrich_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next ten symbols to annotate in a scope (the limit is the operator's own)."""
+    space = demo_space(spark, sf_dir)
+    lines = space.entities.select("file", F.explode(F.sequence("start_line", F.col("start_line") + 3)).alias("line_no")).distinct().select(F.col("file").alias("path"), "line_no", F.concat(F.lit("line "), "line_no").alias("line"))
+    return specs.enrich_batch(space.with_tables(source_lines=lines), "Nation7", 10).select("symbol", "entity_type", "signature")
+
+
+@query("""
+SELECT c_custkey, 'gen.n' || c_nationkey AS package, 'gen.n' || c_nationkey || '.Cust' || c_custkey AS cls, 'gen.n' || c_nationkey || '.Cust' || c_custkey AS owner, 'Cust' || c_custkey AS simple FROM customer""")
+def dotted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fqn = F.concat(F.lit("gen.n"), "c_nationkey", F.lit(".Cust"), "c_custkey", F.lit(".rate"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fqn.alias("f"))
+    f = F.col("f")
+    return c.select("c_custkey", names.package_of_types(f).alias("package"), names.class_prefix(f).alias("cls"), names.parent_name(f).alias("owner"), names.simple_name(names.parent_name(f)).alias("simple"))
