@@ -114,9 +114,30 @@ def parse(page: str) -> Node:
             here = node
     if at < len(page):
         here.kids.append(page[at:])
+    keep_holders(root)
     return root
 
 
+def keep_holders(root: Node) -> None:
+    """A wrapper whose name says menu or sidebar but that holds the article itself is no menu."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.drop and node.tag not in DROPPED and holds_article(node):
+            node.drop = False
+        stack.extend(k for k in node.kids if isinstance(k, Node) and (not k.drop or k.tag not in DROPPED))
+
+
+def holds_article(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        k = stack.pop()
+        if k is not node and k.tag in ("article", "main", "h1"):
+            return True
+        stack.extend(x for x in k.kids if isinstance(x, Node) and x.tag not in DROPPED)
+    return False
+
+
 def measure(root: Node) -> None:
     """Characters and characters in links of each kept element, and points for the ancestors of each paragraph."""
     stack, order = [root], []

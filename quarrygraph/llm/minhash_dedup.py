@@ -31,7 +31,7 @@ BANDS, ROWS, SKETCH = 32, 4, 512
 #: Estimates lie within this of the truth but for about one pair in ten million (5 standard deviations and more).
 MARGIN = 0.25
 #: A block has so many classes and shingles at most (one larger class is a block of its own).
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 384, 1_000_000
 
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)

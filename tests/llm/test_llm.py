@@ -410,6 +410,8 @@ def test_main_text():
     for t in (None, "", "<", "<p", "</p></div>", "<!--", "<script>x", "plain text", "<" * 2000, "<div>" * 3000 + "deep, text"):
         html_extract.main_text(t)
     assert html_extract.main_text("plain &eacute; text") == "plain é text"
+    wrapped = '<body><div class="no-sidebar"><div class="post"><h1>T</h1><p>A text, long, with commas.</p></div><div class="widget">Links</div></div></body>'
+    assert html_extract.main_text(wrapped) == "T\nA text, long, with commas."
     assert html_extract.main_text("<body><nav>Menu</nav><script>x</script></body>") == ""
 
 
