@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.javaparse import Node, Parser, parse, walk
+from quarrygraph.functions.javaparse import Node, parse, walk
 from quarrygraph.session import cut
 from quarrygraph.sources.files import source_lines
 
