@@ -18,6 +18,7 @@ def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = F
     """
     from_, to = ("dst", "src") if reverse else ("src", "dst")
     step = edges.select(F.col(from_).alias("node"), F.col(to).alias("next")).distinct()
+    step = cut(step) if max_depth > 1 else step  # else each round would derive the edges again
     seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, exhausted = seen, False
     for depth in range(1, max_depth + 1):
@@ -32,7 +33,7 @@ def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = F
 
 def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(start, node) for all nodes reachable from each start, itself included."""
-    step = edges.select("src", "dst").distinct()
+    step = cut(edges.select("src", "dst").distinct())
     seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     frontier, k = seen, 0
     while max_rounds is None or k < max_rounds:
