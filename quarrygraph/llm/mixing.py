@@ -100,24 +100,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     Columns of docs that clash with the added ones are replaced.
     """
     added = ("size", "source_size", "target", "taken")
-    keep = [c for c in docs.columns if c not in added]
-    sized = docs.select(*keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    taken = chosen(sized.select("doc_id", "source", "size"), weights, share, most, seed)
-    plan = taken.select(F.col("source").alias("_source"), "source_size", "target", "copies", F.col("size").alias("_size"), "part", "full", "extra")
+    keep = [c for c in docs.columns if c.lower() not in added]
+    # own columns carry a prefix, so that no column of docs can clash with them
     key = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.withColumn("_part", F.pmod(key, F.lit(PARTS)).cast("int"))
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("_part") == F.col("part")))
-    whole = out.where("extra = 0").withColumn("pick", F.col("full").cast("int"))
+    sized = docs.select(*keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_q_words"), key.alias("_q_key"), F.pmod(key, F.lit(PARTS)).cast("int").alias("_q_part"))
+    plan = chosen(sized.select("source", F.col("_q_words").alias("size"), F.col("_q_part").alias("part")), weights, share, most)
+    plan = plan.select(*(F.col(c).alias(f"_q_{c}2" if c in ("source", "size", "part") else f"_q_{c}") for c in plan.columns))
+    out = sized.join(plan, F.col("source").eqNullSafe(F.col("_q_source2")) & (F.col("_q_words") == F.col("_q_size2")) & (F.col("_q_part") == F.col("_q_part2")))
+    whole = out.where("_q_extra = 0").withColumn("_q_pick", F.col("_q_full").cast("int"))
     # only the part in which the count runs out is ranked
-    rank = F.row_number().over(W.partitionBy("_source", "_size", "part").orderBy(key, "doc_id"))
-    some = out.where("extra > 0").withColumn("pick", (rank <= F.col("extra")).cast("int"))
-    return whole.unionByName(some).select(*keep, "size", "source_size", "target", ((F.col("copies") + F.col("pick")) * F.col("size")).cast("long").alias("taken"))
+    rank = F.row_number().over(W.partitionBy("_q_source2", "_q_size2", "_q_part").orderBy("_q_key", "doc_id"))
+    some = out.where("_q_extra > 0").withColumn("_q_pick", (rank <= F.col("_q_extra")).cast("int"))
+    taken = ((F.col("_q_copies") + F.col("_q_pick")) * F.col("_q_words")).cast("long")
+    return whole.unionByName(some).select(*keep, F.col("_q_words").alias("size"), F.col("_q_source_size").alias("source_size"), F.col("_q_target").alias("target"), taken.alias("taken"))
 
 
-def chosen(sized: DataFrame, weights, share: float, most: float, seed: int) -> DataFrame:
+def chosen(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
     """By (source, size, part of the documents): source_size, target, copies of all, full (all taken once more), extra (so many more)."""
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PARTS)).cast("int")
-    counts = cut(sized.groupBy("source", "size", part.alias("part")).agg(F.count("*").alias("n")))
+    counts = cut(sized.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets({r.source: int(r.source_size) for r in totals.toLocalIterator()}, weights, share, most)
     goals = totals.sparkSession.createDataFrame([(s, float(t)) for s, t in goal.items()], "s string, target double")

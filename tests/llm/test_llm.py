@@ -130,7 +130,7 @@ def test_fit_subset_is_exact_where_a_subset_exists():
 
 
 def test_mix(spark):
-    docs = sf_docs(spark).select("doc_id", "source", "text").withColumn("size", F.lit("clash"))
+    docs = sf_docs(spark).select("doc_id", "source", "text").withColumns({c: F.lit("clash") for c in ("SIZE", "part", "copies", "full", "extra", "pick", "n")})
     a = {r.doc_id: r for r in mixing.mix(docs).collect()}
     b = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(5)).collect()}
     assert {k: r.taken for k, r in a.items()} == b and len(a) == docs.count()
