@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.session import cut, shared_dir
 
-__all__ = ["HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes"]
+__all__ = ["let_go", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_PARTS = 5
@@ -32,3 +32,19 @@ def text_bytes(values) -> list[bytes]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CACHED: dict = {}
+
+
+def worker_cache(name: str, make):
+    """The one large object that this Python worker keeps between tasks; what another operator kept is let go first."""
+    if name not in _CACHED:
+        _CACHED.clear()
+        _CACHED[name] = make()
+    return _CACHED[name]
+
+
+def let_go() -> None:
+    """For kernels that keep nothing: workers are shared by all operators, so an earlier one's cache must not stay."""
+    _CACHED.clear()

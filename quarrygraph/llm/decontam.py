@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import let_go, text_bytes
 from .wordhash import NON_WORD, batches, hash_words
 
 #: Words of half a window, and of an item's passages.
@@ -161,6 +161,7 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         n, rows = np.zeros(len(held.value), np.int64), 0
         for batch in batched:
             texts = text_bytes(batch.column(0))
@@ -252,6 +253,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, co
     index = docs.sparkSession.sparkContext.broadcast(build_index(docs, benchmark))
 
     def search(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batched:
             got = index.value.leaks(text_bytes(batch.column(1)), cosine, cover, answer) if index.value.words else []
             t, i, s, c = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let_go
 from .components import Labels, connected_components
 
 #: Vectors a cell aimed at, sample bound for the centres, rows of a block.
@@ -132,6 +132,7 @@ def class_links(classes: DataFrame, threshold: float, cell: int, slack: float) -
     cols = ["dim", "cell", "i", "j", "left", "unit", "rep", "copies", "key"]
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         a, b = pdf[pdf["left"]], pdf[~pdf["left"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"unit": [], "links": [], "a": [], "b": []})

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_bytes
+from .common import cut, let_go, text_bytes
 from .components import Labels, connected_components
 from .wordhash import batches, hash_words, mix
 
@@ -88,6 +88,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys, sketch; one pass over the texts, no shuffle."""
 
     def sign(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batched:
             texts = text_bytes(batch.column(1))
             n = np.zeros(len(texts), np.int64)
@@ -144,6 +145,7 @@ def class_links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
 
     def plausible(pdf: pd.DataFrame) -> pd.DataFrame:
         """Members with a partner that neither size nor sketch rules out."""
+        let_go()
         pdf = pdf.sort_values("n_shingles", kind="stable")
         n, rep, ok = pdf["n_shingles"].to_numpy(), pdf["rep"].to_numpy(), np.zeros(len(pdf), bool)
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
@@ -162,6 +164,7 @@ def class_links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent, "rep")
 
     def expand(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batched:
             raw = text_bytes(batch.column(1))
             for a, b in batches(raw):
@@ -173,6 +176,7 @@ def class_links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
                 yield pa.RecordBatch.from_arrays([*flat.flatten(), batch.column(0).slice(a, b - a).take(owner), pa.array(sets, pa.binary()).take(owner)], names=["lead", "i", "j", "rep", "set"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         sets = [np.frombuffer(s, "<u8") for s in pdf["set"]]
         order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
         return pd.DataFrame(set_links([sets[k] for k in order], pdf["rep"].to_numpy()[order], percent), columns=["a", "b"], dtype="int64")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, let_go
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -125,6 +125,7 @@ def chosen(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
     hist = counts.groupBy("source", "size").agg(F.sum("n").alias("n")).join(F.broadcast(totals.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         pdf = pdf.sort_values("size").reset_index(drop=True)
         size, goal = int(pdf.source_size[0]), float(pdf.target[0])
         copies = int(goal // size) if size else 0

@@ -15,10 +15,11 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import worker_cache
+
 MARK = "▁"
 #: Cached words in one Python worker; beyond it the cache is emptied.
 CACHE = 600_000
-_READY: dict = {}
 
 
 class Merger:
@@ -109,9 +110,7 @@ class Merger:
 
 
 def merger(path: str) -> Merger:
-    if path not in _READY:
-        _READY[path] = Merger(path)
-    return _READY[path]
+    return worker_cache(f"words {path}", lambda: Merger(path))
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:

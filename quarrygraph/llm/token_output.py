@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path
+from .common import fresh_path, let_go, worker_cache
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
@@ -78,7 +78,6 @@ def dac_get(p: int, chunks: list[bytes], bitmaps: list[bytes], ranks: list[bytes
 
 # --- the tokenizer ---------------------------------------------------------------------------------------------
 
-_READY: dict = {}
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Texts with other white space than single spaces and line ends within.
 SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
@@ -202,9 +201,7 @@ class PieceEncoder:
 
 
 def encoder(path: str) -> PieceEncoder:
-    if path not in _READY:
-        _READY[path] = PieceEncoder(path)
-    return _READY[path]
+    return worker_cache(f"pieces {path}", lambda: PieceEncoder(path))
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------
@@ -262,6 +259,7 @@ def token_digest(spark, path: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             n, chunks, bits = (batch.column(k).to_pylist() for k in (3, 4, 5))
             crc = [zlib.crc32(dac_decode(m, c, b).astype("<u4").tobytes()) for m, c, b in zip(n, chunks, bits, strict=True)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, text_bytes
+from .common import cut, held_out, let_go, text_bytes
 from .wordhash import NON_LETTERS, batches, hash_words
 
 TERM_BITS = 22
@@ -102,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
     def hashed(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batched:
             found = [t.tobytes() for t in terms(text_bytes(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "t"])
@@ -149,6 +150,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     machine = spark.sparkContext.broadcast(train(docs, labels, label))
 
     def apply(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         table = machine.value.table()
         for batch in batched:
             rows = [c[c >= 0] for c in (table[t] for t in terms(text_bytes(batch.column(2))))]
