@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.session import cut, shared_dir
 
-__all__ = ["let_go", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes"]
+__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_PARTS = 5
@@ -30,6 +35,18 @@ def text_bytes(values) -> list[bytes]:
     return [(v or "").encode("utf-8", "replace") for v in values.to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about size bytes of the text column (one row at least): what a kernel makes of a slice is
+    many times as large as its texts, and a batch may hold ten thousand long ones."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

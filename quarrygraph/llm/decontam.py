@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, text_bytes
+from .common import let_go, sliced, text_bytes
 from .wordhash import NON_WORD, batches, hash_words
 
 #: Words of half a window, and of an item's passages.
@@ -163,7 +163,7 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
     def count(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         n, rows = np.zeros(len(held.value), np.int64), 0
-        for batch in batched:
+        for batch in sliced(batched, 0):
             texts = text_bytes(batch.column(0))
             rows += len(texts)
             for first, last in batches(texts):
@@ -254,7 +254,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, co
 
     def search(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batched:
+        for batch in sliced(batched, 1):
             got = index.value.leaks(text_bytes(batch.column(1)), cosine, cover, answer) if index.value.words else []
             t, i, s, c = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t, pa.int64())), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "item_id", "covered", "cosine"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, sliced
 
 #: Labelled symbols a language at most: 15 bits hold the states of their automaton. The documented sample bound.
 TRAIN_SYMBOLS = 16_000
@@ -216,7 +216,7 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = model.value.classes()
-        for batch in batches:
+        for batch in sliced(batches, 2):
             langs, score = model.value.predict([t or "" for t in batch.column(2).to_pylist()], classes)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

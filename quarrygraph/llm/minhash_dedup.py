@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let_go, text_bytes
+from .common import cut, let_go, sliced, text_bytes
 from .components import Labels, connected_components
 from .wordhash import batches, hash_words, mix
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
     def sign(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batched:
+        for batch in sliced(batched, 1):
             texts = text_bytes(batch.column(1))
             n = np.zeros(len(texts), np.int64)
             digest = np.zeros((len(texts), 2), np.uint64)
@@ -165,7 +165,7 @@ def class_links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
 
     def expand(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batched:
+        for batch in sliced(batched, 1):
             raw = text_bytes(batch.column(1))
             for a, b in batches(raw):
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(raw[a:b], shingle)]

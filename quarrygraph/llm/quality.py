@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, let_go, text_bytes
+from .common import cut, held_out, let_go, sliced, text_bytes
 from .wordhash import SPACES, batches, hash_words
 
 FEATURES = 160
@@ -102,7 +102,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
 
     def measure(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batched:
+        for batch in sliced(batched, 2):
             x = statistics(text_bytes(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(x.ravel()))], names=["doc_id", "held_out", "x"])
 

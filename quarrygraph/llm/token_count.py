@@ -15,7 +15,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_cache
+from .common import sliced, worker_cache
 
 MARK = "▁"
 #: Cached words in one Python worker; beyond it the cache is emptied.
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [m.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, let_go, text_bytes
+from .common import cut, held_out, let_go, sliced, text_bytes
 from .wordhash import NON_LETTERS, batches, hash_words
 
 TERM_BITS = 22
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
 
     def hashed(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        for batch in batched:
+        for batch in sliced(batched, 2):
             found = [t.tobytes() for t in terms(text_bytes(batch.column(2)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "t"])
 
@@ -152,7 +152,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     def apply(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         table = machine.value.table()
-        for batch in batched:
+        for batch in sliced(batched, 2):
             rows = [c[c >= 0] for c in (table[t] for t in terms(text_bytes(batch.column(2))))]
             s = machine.value.scores(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
