@@ -2,10 +2,12 @@
 
 Benchmark items are cut into passages and weighted by TF-IDF, with document frequencies from all documents. A distributed
 randomised SVD of that passage matrix gives a latent space. Every window of every document is folded into it; windows
-whose cosine with a passage reaches ``cosine`` are candidates. A candidate is a leak if the longest common subsequence of
-the passage and the words around the window covers enough of the passage and the passage's answer terms (its rarest
-ones) are there too. So copies and paraphrases that keep most of the wording are found, and texts on the same subject
-that share words but no sequence are not.
+whose cosine with a passage reaches ``cosine`` are candidates. So are windows with enough of a passage's answer terms (its
+rarest ones) around them, whatever their cosine: a short passage is a small part of a window's vector. A candidate is a
+leak if the longest common subsequence of the passage and the words around the window covers enough of the passage and
+the answer terms are there too. So copies and paraphrases that keep most of the wording are found, and texts on the same
+subject that share words but no sequence are not. As long as ``answer`` asks for a term at all, no leak depends on the
+cosine, the rank or the words left out of vectors.
 
 Only the benchmark is held as a whole: its words, a matrix of words by RANK, its passages. Documents are streamed.
 """
@@ -26,12 +28,13 @@ from .wordhash import NON_WORD, batches, hash_words
 
 #: Words of half a window, and of an item's passages.
 HALF, PASSAGE, SHORT = 32, 48, 8
-RANK, EXTRA, POWER = 128, 16, 2
-#: Words of more than an eighth of all documents say little of a window and are left out of its vector.
-LOUD = math.log(8)
+#: The rank is RANK, or GROWTH times the root of the number of passages if that is more.
+RANK, GROWTH, EXTRA, POWER = 192, 6, 16, 2
+#: Words of more than half of all documents say nothing of a window and are left out of its vector.
+LOUD = math.log(2)
 #: Documents whose benchmark words are counted at once.
 ROWS = 256
-COSINE, COVER, ANSWER = 0.5, 0.6, 0.5
+COSINE, COVER, ANSWER = 0.4, 0.6, 0.5
 
 
 def word_ids(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +89,12 @@ def answer_terms(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return terms[np.argsort(-idf[terms], kind="stable")][: max(1, len(terms) // 3)]
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The count numbers from first on of each entry, and which entry each is of."""
+    k = np.repeat(np.arange(len(first)), count)
+    return np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count) + first[k], k
+
+
 class Index:
     """What is known of the benchmark, for the executors."""
 
@@ -102,16 +111,36 @@ class Index:
                 m[x] = m.get(x, 0) | 1 << k
             self.masks.append(m)
         answers = [answer_terms(w, idf) for w in words]
-        # by passage its answer terms, filled up with a place that no word has
-        self.answers = np.full((len(words), max(map(len, answers), default=1)), len(vocabulary))
-        for k, x in enumerate(answers):
-            self.answers[k, : len(x)] = x
         self.needed = np.array([len(x) for x in answers], float)
+        # by word the passages that it is an answer term of: asked_by[asked_at[w] : asked_at[w + 1]]
+        term = np.concatenate([*answers, np.zeros(0, np.int64)]).astype(np.int64)
+        self.asked_by = np.repeat(np.arange(len(answers)), list(map(len, answers)))[np.argsort(term, kind="stable")] if answers else np.zeros(0, np.int64)
+        self.asked_at = np.searchsorted(np.sort(term), np.arange(len(vocabulary) + 1))
+
+    def holding(self, ids: np.ndarray, at: np.ndarray, base: np.ndarray, answer: float) -> np.ndarray:
+        """Sorted keys (window * passages + passage) of all windows with enough answer terms of a passage around them, and one at least."""
+        n = len(self.words)
+        place = np.flatnonzero(ids >= 0)
+        place = place[self.asked_at[ids[place] + 1] > self.asked_at[ids[place]]]
+        doc = np.searchsorted(at, place, "right") - 1
+        inner = place - at[doc]
+        # the windows around which the place lies
+        low = np.maximum(-(-(inner - 2 * HALF - PASSAGE // 2 + 1) // HALF), 0)
+        high = np.minimum((inner + PASSAGE // 2) // HALF, base[doc + 1] - base[doc] - 1)
+        window, k = spread(base[doc] + low, high - low + 1)
+        word = ids[place][k]
+        asked, k = spread(self.asked_at[word], self.asked_at[word + 1] - self.asked_at[word])
+        key = window[k] * n + self.asked_by[asked]
+        # most pairs have too few places; words are told apart only in the others
+        pairs, of, count = np.unique(key, return_inverse=True, return_counts=True)
+        enough = (count >= np.maximum(answer * self.needed[pairs % n], 1))[of]
+        distinct = np.unique(np.stack([key[enough], word[k][enough]]), axis=1)[0]
+        pairs, count = np.unique(distinct, return_counts=True)
+        return pairs[count >= np.maximum(answer * self.needed[pairs % n], 1)]
 
     def leaks(self, texts: list[bytes], cosine: float, cover: float, answer: float) -> list[tuple[int, int, float, float]]:
         """(number of the text, item, covered share, cosine) of each leak, the best for each text and item."""
         found: dict[tuple[int, int], tuple[float, float]] = {}
-        mark = np.zeros(len(self.vocabulary) + 2, np.int32)
         for first, last in batches(texts):
             ids, at = word_ids(texts[first:last], self.vocabulary)
             size = np.diff(at)
@@ -124,35 +153,40 @@ class Index:
             half = base[doc] + (place - at[doc]) // HALF
             seen, begin = np.unique(half, return_index=True)
             sums = np.zeros((int(base[-1]) + 1, self.fold.shape[1]), np.float32)
-            for k in range(0, len(seen), 4096):
-                stop = begin[k + 4096] if k + 4096 < len(seen) else len(place)
-                sums[seen[k : k + 4096]] = np.add.reduceat(self.fold[ids[place[begin[k] : stop]]], begin[k : k + 4096] - begin[k], axis=0)
+            # the first words of all halves, then the second words of those that have two ...
+            count = np.diff(begin, append=len(place))
+            order = np.argsort(-count, kind="stable")
+            for k in range(0, len(order), 1024):
+                some = order[k : k + 1024]
+                total = self.fold[ids[place[begin[some]]]]
+                for j in range(1, int(count[some[0]])):
+                    more = some[: np.searchsorted(-count[some], -j)]
+                    total[: len(more)] += self.fold[ids[place[begin[more] + j]]]
+                sums[seen[some]] = total
             owner = np.repeat(np.arange(last - first), halves)
             window = sums[:-1].copy()
             joined = np.flatnonzero(owner[1:] == owner[:-1])
             window[joined] += sums[1:-1][joined]
             norm = np.linalg.norm(window, axis=1)
             some = np.flatnonzero(norm > 1e-6)
+            held = self.holding(ids, at, base, answer)
+            keys = [held]
             for k in range(0, len(some), 8192):
                 part = some[k : k + 8192]
-                cos = (window[part] / norm[part, None]) @ self.latent.T
-                rows, near = np.nonzero(cos >= cosine)
-                cut = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
-                for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    h, able = part[rows[x]], near[x:y]
-                    d = owner[h]
-                    begins = at[d] + (h - base[d]) * HALF
-                    a = ids[max(at[d], begins - PASSAGE // 2) : min(at[d + 1], begins + 2 * HALF + PASSAGE // 2)]
-                    mark[a] = 1
-                    mark[-2:] = 0  # words outside the vocabulary, and the filling
-                    able = able[mark[self.answers[able]].sum(1) >= answer * self.needed[able]]
-                    mark[a] = 0
-                    for p in able.tolist():
-                        n = len(self.words[p])
-                        share = common_length(a, self.masks[p], n) / n
-                        if share >= (cover if n >= SHORT else 1.0):
-                            key = (first + int(d), self.items[p])
-                            found[key] = max(found.get(key, (0.0, 0.0)), (share, float(cos[rows[x], p])))
+                rows, near = np.nonzero((window[part] / norm[part, None]) @ self.latent.T >= cosine)
+                keys.append(part[rows] * len(self.words) + near)
+            pairs = np.unique(np.concatenate(keys))
+            pairs = pairs[np.isin(pairs, held) | (answer * self.needed[pairs % len(self.words)] <= 0)]
+            for key in pairs.tolist():
+                h, p = divmod(key, len(self.words))
+                d = owner[h]
+                begins = at[d] + (h - base[d]) * HALF
+                a = ids[max(at[d], begins - PASSAGE // 2) : min(at[d + 1], begins + 2 * HALF + PASSAGE // 2)]
+                n = len(self.words[p])
+                share = common_length(a, self.masks[p], n) / n
+                if share >= (cover if n >= SHORT else 1.0):
+                    leak = (first + int(d), self.items[p])
+                    found[leak] = max(found.get(leak, (0.0, 0.0)), (share, float(window[h] @ self.latent[p] / max(norm[h], 1e-9))))
         return [(t, i, s, c) for (t, i), (s, c) in sorted(found.items())]
 
 
@@ -240,7 +274,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     asked = np.unique(np.concatenate([answer_terms(w, idf) for w in words]))
     idf[asked] = np.maximum(idf[asked], LOUD + 0.2)
     rows = spark.createDataFrame([(w.tolist(),) for w in words], "words array<int>").repartition(max(1, min(64, len(words) // 64)))
-    return Index(vocabulary, idf, latent_basis(rows, idf), items, words)
+    return Index(vocabulary, idf, latent_basis(rows, idf, max(RANK, math.ceil(GROWTH * math.sqrt(len(words))))), items, words)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER) -> DataFrame:

@@ -381,6 +381,51 @@ def test_paraphrases_and_odd_leaks(spark):
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def brute_leaks(texts, items, cover=decontam.COVER, answer=decontam.ANSWER):
+    """(text number, item id) by the longest common subsequence of every passage with the words around every window."""
+    split = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
+    cut = [(i, w[a:b]) for i, t in items for w in [re.findall(r"[^\W_]+", (t or "").lower())] for a, b in decontam.passages(len(w))]
+    vocabulary = np.unique(wordhash.hash_words([x.encode() for x in {x for _, w in cut for x in w}], wordhash.NON_WORD)[0])
+    ids = lambda w: decontam.word_ids([" ".join(w).encode()], vocabulary)[0]
+    cut, split = [(i, ids(w)) for i, w in cut], [ids(w) for w in split]
+    df = collections.Counter(x for w in split for x in set(w.tolist()))
+    idf = np.array([max(np.log((len(texts) + 1) / (df[k] + 1)), 0.05) for k in range(len(vocabulary))])
+    asked = np.unique(np.concatenate([decontam.answer_terms(w, idf) for _, w in cut]))
+    idf[asked] = np.maximum(idf[asked], decontam.LOUD + 0.2)
+    out = set()
+    for i, p in cut:
+        masks: dict[int, int] = {}
+        for k, x in enumerate(p.tolist()):
+            masks[x] = masks.get(x, 0) | 1 << k
+        terms, least = set(decontam.answer_terms(p, idf).tolist()), (cover if len(p) >= decontam.SHORT else 1.0) * len(p)
+        for d, w in enumerate(split):
+            if decontam.common_length(w, masks, len(p)) < least:
+                continue
+            for b in range(0, len(w), decontam.HALF):
+                a = w[max(0, b - decontam.PASSAGE // 2) : b + 2 * decontam.HALF + decontam.PASSAGE // 2]
+                if len(terms & set(a.tolist())) >= answer * len(terms) and decontam.common_length(a, masks, len(p)) >= least:
+                    out.add((d, i))
+    return out
+
+
+def test_no_leak_is_lost_by_the_candidate_search(spark):
+    rng = np.random.default_rng(6)
+    common, rare = [f"common{k}" for k in range(60)], [f"rare{k}" for k in range(3000)]
+    draw = lambda n: [common[int(60 * rng.random() ** 2)] if rng.random() < 0.5 else rare[rng.integers(3000)] for _ in range(n)]
+    items = [draw(int(rng.integers(4, 60))) for _ in range(1000)]
+    texts = []
+    for k in range(250):
+        words = draw(int(rng.integers(0, 40)))
+        for item in items[4 * k : 4 * k + 4]:
+            lost = rng.choice([0, 0.1, 0.25])
+            words += [w for w in item if len(item) < decontam.SHORT or rng.random() >= lost] + draw(int(rng.integers(40, 90)))
+        texts.append(" ".join(words))
+    bench = [(k, " ".join(w)) for k, w in enumerate(items)]
+    want = brute_leaks(texts, bench)
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(want) > 950 and got == want
+
+
 def test_common_length():
     rng = random.Random(0)
     for _ in range(50):
