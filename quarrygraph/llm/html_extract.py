@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree. Every paragraph gives points for its length and commas to its parent, half to the grandparent and
-a third, a quarter ... further up; an element's points are discounted by the share of its text that lies in links. The
-best container, and siblings of it that score near it or hold prose, are kept; what is menu, header, footer, sidebar,
+a third, a quarter ... further up; an element's points are discounted by the share of its text that lies in links, and
+<article> and <main> count a little more. The best container, and siblings of it that score near it or hold prose, are kept; what is menu, header, footer, sidebar,
 notice, advert, form, comment section, script or style is left out wherever it stands.
 """
 
@@ -33,6 +33,8 @@ UNLIKELY = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog".split())
 GAPS = re.compile(r"\s+")
+#: What <article> and <main> count more than other containers of the same points.
+BONUS = 1.25
 
 
 class Node:
@@ -182,23 +184,17 @@ def flat(node: Node) -> str:
 
 
 def worth(node: Node) -> float:
-    return node.score * (1 - node.linked / node.chars) if node.chars else 0.0
+    return node.score * (1 - node.linked / node.chars) * (BONUS if node.tag in ("article", "main") else 1) if node.chars else 0.0
 
 
 def chosen(root: Node) -> list[Node]:
     """The best container, with those siblings that belong to it, in page order."""
     best, stack = root, [root]
-    candidates = []
     while stack:
         node = stack.pop()
-        if node.tag in ("article", "main") and node.chars:
-            candidates.append(node)
         if node.tag in BLOCK and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "pre") and worth(node) > worth(best) * (1 if best is not root else 0):
             best = node
         stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
-    if candidates:
-        best = max(candidates, key=worth)
-        return [c for c in candidates if c is best or (worth(c) >= 0.2 * worth(best) and not inside(c, best) and not inside(best, c))]
     if best.parent is None:
         return [best]
     out = []
@@ -213,15 +209,6 @@ def chosen(root: Node) -> list[Node]:
     return out
 
 
-def inside(node: Node, other: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up is other:
-            return True
-        up = up.parent
-    return False
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of blocks in page order: references decoded, white space as one space, empty ones left out."""
     out: list[str] = []

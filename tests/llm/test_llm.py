@@ -460,6 +460,17 @@ def test_main_text():
     assert html_extract.main_text("<body><nav>Menu</nav><script>x</script></body>") == ""
 
 
+def test_articles_are_containers_among_others():
+    story = "".join(f"<p>Paragraph {k} of the story, long enough, with commas, to be prose.</p>" for k in range(6))
+    teaser = '<article><h3>Next</h3><p>Read this, too.</p></article>'
+    told = [f"Paragraph {k} of the story, long enough, with commas, to be prose." for k in range(6)]
+    for page in (f'<body><div class="page"><div class="content">{story}</div></div><div class="more">{teaser}</div></body>', f'<body><div class="content">{story}</div><div><div>{teaser}{teaser}</div></div></body>'):
+        assert html_extract.main_text(page).split("\n") == told
+    prose = "A first paragraph of the page itself, outside of the article, and long enough to be prose, as it says."
+    assert html_extract.main_text(f"<body><main><p>{prose}</p><article>{story}</article></main></body>").split("\n") == [prose, *told]
+    assert html_extract.main_text(f"<body><main><article>{teaser}</article><div>{story}</div></main></body>").split("\n")[-6:] == told
+
+
 def test_extract(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = html_extract.extract(pages.withColumn("text", F.lit("clash"))).collect()
