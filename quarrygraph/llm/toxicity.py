@@ -2,8 +2,9 @@
 
 score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the terms of a text. The pairwise part learns that
 two terms together (an insult and a group's name) weigh more than each alone. Terms are runs of letters, lower-cased,
-hashed to 2**TERM_BITS places; x_i is 1 where the term occurs. Only places whose occurrence goes with the label in the
-labelled sample enter the machine, so it stays small and neutral words cannot add up.
+hashed to 2**TERM_BITS places; x_i is 1 where the term occurs. Places enter the machine whose occurrence goes with the label
+in the labelled sample, by itself or among the documents of a place that does so by itself; so neutral words cannot add up,
+but a neutral word that changes what an insult means is learnt. Pairs of two words that are both neutral are not.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ TERM_BITS = 22
 #: Labelled rows learnt from at most, in the order of a hash of doc_id. The documented sample bound.
 SAMPLE = 40_000
 FACTORS, EPOCHS, RATE, DECAY = 6, 30, 0.15, 1e-4
-#: A term's standardised difference between label 1 and 0 must reach this, and its documents LEAST.
-ASSOCIATION, LEAST, TERMS = 4.0, 3, 8192
+#: A term's standardised difference between label 1 and 0 must reach this, and its documents LEAST; or both beside a term that does.
+ASSOCIATION, LEAST = 4.0, 3
 
 
 def terms(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -94,7 +95,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, places: np.ndarray, seed: int =
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
     """Learns from SAMPLE labelled rows at most, none held out.
 
-    Terms are counted and chosen on the executors; the driver gets at most TERMS of them, and of each sampled row the
+    Terms and pairs are counted and chosen on the executors; the driver gets the chosen terms, and of each sampled row the
     numbers of those that it holds.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -125,8 +126,41 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
 
     found = rows.mapInArrow(count, "place int, n int, hits int").groupBy("place").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
     z = F.abs((F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate))))
-    best = found.where(F.col("n") >= LEAST).withColumn("z", z).where(F.col("z") >= ASSOCIATION).orderBy(F.col("z").desc(), "place").limit(TERMS).select("place").toArrow()
-    places = np.sort(np.array(best["place"].to_pylist(), np.int32))
+    alone = found.where(F.col("n") >= LEAST).where(z >= ASSOCIATION).select("place", "n", "hits").toArrow().sort_by("place")
+    first = np.array(alone["place"].to_pylist(), np.int32)
+    # the rate among a term's documents, never quite 0 or 1
+    rates = (np.array(alone["hits"].to_pylist(), float) + rate) / (np.array(alone["n"].to_pylist(), float) + 1)
+    given = docs.sparkSession.sparkContext.broadcast(first)
+
+    def having(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Machine(given.value, 0.0, np.zeros(0), np.zeros((0, 0))).table()
+        for batch in batched:
+            yield batch.filter(pa.array([bool((number[np.frombuffer(t, np.int32)] >= 0).any()) for t in batch.column(2).to_pylist()], pa.bool_()))
+
+    # pairs are far more than terms: each task counts those of some terms in the sampled rows, instead of a shuffle of pairs
+    some = rows.mapInArrow(having, "doc_id long, y int, t binary").select("y", "t").toArrow()
+    sample = docs.sparkSession.sparkContext.broadcast((some["t"].to_pylist(), np.array(some["y"].to_pylist(), np.int64), rates))
+
+    def beside(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, rates = sample.value
+        number = Machine(given.value, 0.0, np.zeros(0), np.zeros((0, 0))).table()
+        terms_of = [np.frombuffer(t, np.int32) for t in texts]
+        asked = np.sort(np.concatenate([b.column(0).to_numpy() for b in batched] or [np.zeros(0, np.int64)]))
+        holders: dict[int, list[int]] = {a: [] for a in asked.tolist()}
+        for k, t in enumerate(terms_of):
+            for a in number[t][number[t] >= 0].tolist():
+                if a in holders:
+                    holders[a].append(k)
+        out = [np.zeros(0, np.int32)]
+        for a, held in holders.items():
+            if held:
+                place, of, n = np.unique(np.concatenate([terms_of[k] for k in held]), return_inverse=True, return_counts=True)
+                hits = np.bincount(of, np.repeat(y[held], [len(terms_of[k]) for k in held]), len(place))
+                out.append(place[(n >= LEAST) & (np.abs(hits - n * rates[a]) >= ASSOCIATION * np.sqrt(n * rates[a] * (1 - rates[a])))])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)), pa.int32())], names=["place"])
+
+    second = docs.sparkSession.range(0, len(first), 1, max(1, min(24, len(first) // 8))).mapInArrow(beside, "place int").distinct().toArrow() if len(first) else None
+    places = np.union1d(first, np.array(second["place"].to_pylist() if second else [], np.int32)).astype(np.int32)
     held = docs.sparkSession.sparkContext.broadcast(places)
 
     def numbered(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

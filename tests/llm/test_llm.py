@@ -345,6 +345,21 @@ def test_machine_learns_a_pair_that_single_terms_miss():
     assert of(1, 2) > 0.9 and of(1) < 0.3 and of(2) < 0.3 and of(11) < 0.3
 
 
+def test_a_term_that_is_neutral_alone_is_learnt_beside_an_insult(spark):
+    rng, rows = random.Random(3), []
+    filler = lambda: [f"fill{'abcdefghij'[rng.randrange(10)]}{'abcdefghij'[rng.randrange(10)]}" for _ in range(6)]
+    for k in range(4000):
+        insult, group = k % 10 == 0, k % 5 == 1 or k % 100 == 0
+        other = rng.random() < (0.1 if insult else 0.06 if group else 0.12)
+        rows.append((k, filler() + ["insult"] * insult + ["group"] * group + ["vile"] * other, int(other or insult and group)))
+    y, has = np.array([y for _, _, y in rows]), np.array(["group" in w for _, w, _ in rows])
+    assert abs(y[has].sum() - has.sum() * y.mean()) < 2 * np.sqrt(has.sum() * y.mean() * (1 - y.mean()))
+    docs = docs_of(spark, [" ".join(w) for _, w, _ in rows] + ["insult group", "insult", "group", "filla"])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels).where("doc_id >= 4000").collect()}
+    assert score[4000] > 0.5 and max(score[4001], score[4002], score[4003]) < 0.3
+
+
 def test_toxicity(spark):
     d = "/root/testdata/sf0.01" if SF.endswith("sf0.001") else SF
     docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
