@@ -517,3 +517,12 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, SF).collect()
     assert collections.Counter(r.doc_id for r in out) == mixed
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_ids"]
+
+
+def test_pipeline_decontamination_matches_brute_force(spark):
+    docs = sf_docs(spark)
+    rows = docs.orderBy("doc_id").collect()
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = {rows[d].doc_id for d, _ in brute_leaks([r.text for r in rows], bench)}
+    kept = {r.doc_id for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, SF).collect()}
+    assert bad and kept == {r.doc_id for r in rows} - bad
