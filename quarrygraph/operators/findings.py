@@ -26,19 +26,20 @@ def unknowns(space: Space, scope: str | None = None) -> DataFrame:
 
 
 def dead_code(space: Space) -> DataFrame:
-    """(fqn, entity_type, file, line, confidence, reason): methods nothing refers to, types nothing uses.
+    """(fqn, entity_type, file, line, confidence, reason): methods nothing refers to by name, types nothing uses.
 
     Overriding methods, main methods and classes with a referenced member or a main method are left out.
     """
     links = space.incidences
-    used = links.where(F.col("relation_type").isin(*schema.REFERENCES)).select(F.col("to_cell_id").alias("cell_id")).distinct()
-    typed = links.where(F.col("relation_type").isin(*schema.TYPE_REFERENCES)).select(F.col("to_cell_id").alias("cell_id")).distinct()
-    touched = used.unionAll(typed).distinct()
+    e = space.entities
+    # a name may be declared in several files; whatever refers to one of its cells refers to the name
+    name_of = e.select(F.col("cell_id").alias("to_cell_id"), "fqn")
+    to = lambda kinds: links.where(F.col("relation_type").isin(*kinds)).select("to_cell_id").distinct().join(name_of, "to_cell_id").select("fqn").distinct()
+    used, touched = to(schema.REFERENCES), to(schema.REFERENCES + schema.TYPE_REFERENCES)
     overriding = links.where(F.col("relation_type") == "java.overrides").select(F.col("from_cell_id").alias("cell_id")).distinct()
     noted = links.where(F.col("relation_type") == "java.annotated_with").select(F.col("from_cell_id").alias("cell_id")).distinct()
-    e = space.entities
     main = e.where((F.col("entity_type") == "java.method") & F.col("label").rlike(r"^main(\(|$)"))
-    methods = e.where(F.col("entity_type") == "java.method").join(main.select("cell_id"), "cell_id", "left_anti").join(used, "cell_id", "left_anti").join(overriding, "cell_id", "left_anti")
+    methods = e.where(F.col("entity_type") == "java.method").join(main.select("cell_id"), "cell_id", "left_anti").join(used, "fqn", "left_anti").join(overriding, "cell_id", "left_anti")
     noted_classes = e.join(noted, "cell_id", "left_semi").select(F.col("fqn").alias("_class")).distinct()
     methods = methods.join(noted.withColumn("_own", F.lit(True)), "cell_id", "left").join(noted_classes.withColumn("_of", F.lit(True)), names.parent_name(F.col("fqn")) == F.col("_class"), "left")
     lines = space.table("source_lines").where(F.trim("line").startswith("private")).select(F.col("path").alias("_path"), F.col("line_no").alias("_no"))
@@ -47,9 +48,9 @@ def dead_code(space: Space) -> DataFrame:
         names.is_accessor(F.col("label")), F.struct(F.lit("low").alias("c"), F.lit("accessor").alias("r"))
     ).when(F.col("_private"), F.struct(F.lit("high").alias("c"), F.lit("private and unreferenced").alias("r"))).otherwise(F.struct(F.lit("medium").alias("c"), F.lit("unreferenced").alias("r")))
     dead_methods = methods.select("fqn", "entity_type", "file", F.col("start_line").alias("line"), verdict.alias("v"))
-    types = e.where(F.col("entity_type").isin("java.class", "java.interface", "java.enum")).join(touched, "cell_id", "left_anti")
+    types = e.where(F.col("entity_type").isin("java.class", "java.interface", "java.enum")).join(touched, "fqn", "left_anti")
     owners = e.select("fqn").where("fqn IS NOT NULL").distinct().withColumnRenamed("fqn", "owner")
-    alive = e.join(touched.unionAll(main.select("cell_id")).distinct(), "cell_id", "left_semi").select("fqn").distinct()
+    alive = touched.unionAll(main.select("fqn")).distinct()
     alive_owners = members(alive, owners).select(F.col("owner").alias("fqn")).distinct()
     types = types.join(alive_owners, "fqn", "left_anti").join(noted.withColumn("_own", F.lit(True)), "cell_id", "left")
     verdict = F.when(F.col("_own"), F.struct(F.lit("low").alias("c"), F.lit("annotated").alias("r"))).otherwise(F.struct(F.lit("medium").alias("c"), F.lit("unreferenced").alias("r")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrygraph import schema
 from quarrygraph.functions.names import package_of_types, parent_name, simple_name
 from quarrygraph.plans.space import Space, SymbolNotFound, members, require
+from quarrygraph.session import cut
 
 from .calls import callees, callers
 from .evidence import has_content
@@ -101,4 +102,5 @@ def annotate(space: Space, symbol: str, **fields) -> Space:
     new = dict.fromkeys(schema.ANNOTATION_FIELDS) | {k: [] for k in ("preconditions", "postconditions", "invariants", "side_effects")} | fields | {"cell_id": row.cell_id, "invariants": []}
     added = space.spark.createDataFrame([tuple(new[f] for f in schema.ANNOTATION_FIELDS)], schema.ANNOTATIONS)
     log = space.table("annotations").withColumn("version", F.lit(0)).unionByName(added.withColumn("version", F.lit(1)))
-    return space.with_tables(annotations=last_write(log).drop("version"))
+    # written out: a service annotates again and again
+    return space.with_tables(annotations=cut(last_write(log).drop("version")))

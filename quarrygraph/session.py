@@ -23,12 +23,17 @@ def make_importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the context's checkpoint folder was set to.
+
+    A local session that names none gets a temporary one; on a cluster that would lie on one machine, so it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-ckpt-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrygraph.functions.kernels import ENCODINGS, decode
 
@@ -25,19 +26,25 @@ def read_sources(spark: SparkSession, root: str, patterns: str = "*.java", exclu
     raw = raw.select(path.alias("path"), "content")
     for glob in excludes or []:
         raw = raw.where(~F.col("path").rlike(_glob(glob)))
+    return decoded(raw, encoding).orderBy("path")
+
+
+def decoded(raw: DataFrame, encoding: str | None = None) -> DataFrame:
+    """path and content (and other columns) with text, encoding and lossy instead of content; batch or stream."""
+    keep = [f for f in raw.schema.fields if f.name != "content"]
     plain = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             got = [decode(bytes(c), encoding) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "text": [g[0] for g in got], "encoding": [g[1] for g in got], "lossy": [g[2] for g in got]})
+            yield pdf.drop(columns="content").assign(text=[g[0] for g in got], encoding=[g[1] for g in got], lossy=[g[2] for g in got])
 
-    schema = "path string, text string, encoding string, lossy boolean"
+    schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("lossy", T.BooleanType())])
     if encoding:
-        return raw.mapInPandas(run, schema).orderBy("path")
-    clean = raw.where(F.is_valid_utf8(F.col("content").cast("string"))).select("path", plain.alias("text"), F.lit("utf-8").alias("encoding"), F.lit(False).alias("lossy"))
-    other = raw.where(~F.is_valid_utf8(F.col("content").cast("string"))).mapInPandas(run, schema)
-    return clean.unionByName(other).orderBy("path")
+        return raw.mapInPandas(run, schema)
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    clean = raw.where(valid).select(*(f.name for f in keep), plain.alias("text"), F.lit("utf-8").alias("encoding"), F.lit(False).alias("lossy"))
+    return clean.unionByName(raw.where(~valid).mapInPandas(run, schema))
 
 
 def _quoted(text: str) -> str:

@@ -28,9 +28,9 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def shop(spark):
+def harbor(spark):
     """The lifted fixture project."""
     from quarrygraph.plans.lift import lift
     from quarrygraph.sources.files import read_project
 
-    return lift(read_project(spark, str(FIXTURES / "shop")).cache(), "shop")
+    return lift(read_project(spark, str(FIXTURES / "harbor")).cache(), "harbor")

@@ -55,9 +55,13 @@ def test_dead_variables_and_markdown():
     assert c.live == ["v1"] and c.dead == ["v0", "v2", "v3"] and "Dead variables: `v0`" in c.to_markdown()
 
 
-def test_textbook_cover():
-    on, dc = {4, 8, 10, 11, 12, 15}, {9, 14}
-    assert len(select_cover(prime_implicants(on | dc, 4), on, 4)) == 3
+def test_cover_of_a_multiplexer():
+    # minterms of s ? a : b over bits s = 4, a = 2, b = 1; the consensus term a b is no part of the least cover
+    on = {m for m in range(8) if (m >> 1 & 1 if m >> 2 & 1 else m & 1)}
+    primes = prime_implicants(on, 3)
+    assert len(primes) == 3 and len(select_cover(primes, on, 3)) == 2
+    # with s always set as don't care only a is left to test
+    assert len(select_cover(prime_implicants(on | {0, 1, 2, 3}, 3), on - {1, 3}, 3)) == 1
 
 
 def test_table_errors():
@@ -173,12 +177,12 @@ def test_names(spark):
 
 
 def test_line_kernels():
-    ddl = kernels.ddl_rows((FIXTURES / "shop/db/tables.sql").read_text())
-    assert [(r[1], r[3]) for r in ddl] == [("id", "Key"), ("owner", "Who holds it"), ("mail", "Mail address")]
+    ddl = kernels.ddl_rows((FIXTURES / "harbor/sql/layout.sql").read_text())
+    assert ddl == [("quay", "code", "CHAR(4)", None), ("quay", "depth", "DECIMAL(5,2)", "Metres at low tide"), ("pallets", "pallet_no", "BIGINT", "Painted number"), ("pallets", "bound", "VARCHAR(20)", None), ("pallets", "mass", "DOUBLE", "Kilograms")]
     got = kernels.field_rows('/** The key */\n@Column(name = "k")\nprivate Long id;\nString a = "x"; // why\nreturn x;\nvoid f() {\nint n;\n')
     assert [(r[0], r[2], r[3]) for r in got] == [("id", "k", "The key"), ("a", None, "why"), ("n", None, None)]
-    maps = kernels.mapper_rows((FIXTURES / "shop/mapper/AccountMapper.xml").read_text())
-    assert [m[0].rpartition(".")[2] for m in maps] == ["find", "rename"]
+    maps = kernels.mapper_rows((FIXTURES / "harbor/mapper/Yard.xml").read_text())
+    assert [(m[0].rpartition(".")[2], m[1]) for m in maps] == [("stack", "insert"), ("heaviest", "select"), ("clear", "delete")]
 
 
 def test_decode():
@@ -206,17 +210,17 @@ def test_parser_survives():
     assert parse("")[0].kids == [] and parse("}{ ((")[1].errors
 
 
-def test_service(shop, tmp_path):
-    s = Service(shop, str(tmp_path))
+def test_service(harbor, tmp_path):
+    s = Service(harbor, str(tmp_path))
     ask = lambda name, **a: json.loads(s.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}})))
     assert len(json.loads(s.handle('{"id": 1, "method": "tools/list"}'))["result"]["tools"]) == 24
     assert json.loads(s.handle("{"))["error"]["code"] == -32700 and s.handle('{"method": "x"}') is None
     assert json.loads(s.handle('{"id": 1, "method": "zap"}'))["error"]["code"] == -32601
     assert ask("nope")["error"]["code"] == -32602 and ask("explain")["error"]["code"] == -32602 and ask("explain", symbol="zz")["error"]["code"] == -32000
-    assert "deleteById" in ask("enrich", symbol="AccountService.close")["result"]["content"][0]["text"]
-    assert "5 paths" in ask("extract_core_rules", symbol="AccountService.open")["result"]["content"][0]["text"]
-    assert "paused: 3" in ask("debug_trace", symbol="AccountService.open", choices=[])["result"]["content"][0]["text"]
-    assert "ok" in ask("annotate", symbol="org.shop.service.AccountService.open", intent="x")["result"]["content"][0]["text"]
+    assert "removeAll" in ask("enrich", symbol="Yard.clear")["result"]["content"][0]["text"]
+    assert "4 paths" in ask("extract_core_rules", symbol="Crane.raise")["result"]["content"][0]["text"]
+    assert "paused: 3" in ask("debug_trace", symbol="Crane.raise", choices=[])["result"]["content"][0]["text"]
+    assert "ok" in ask("annotate", symbol="port.cargo.Yard.clear", intent="x")["result"]["content"][0]["text"]
     assert "annotations" in ask("save")["result"]["content"][0]["text"]
     out = io.StringIO()
     s.serve(io.StringIO('\n{"id": 2, "method": "ping"}\n'), out)
@@ -225,11 +229,11 @@ def test_service(shop, tmp_path):
 
 def test_cli(spark, tmp_path, capsys):
     at = ["--store", str(tmp_path / "s")]
-    assert main(["lift", str(FIXTURES / "shop"), *at], spark) == 0
-    assert json.loads(capsys.readouterr().out)["cells"] == 29
-    assert main(["query", "callers", '{"symbol": "AccountService.find"}', *at], spark) == 0 and "close" in capsys.readouterr().out
+    assert main(["lift", str(FIXTURES / "harbor"), *at], spark) == 0
+    assert json.loads(capsys.readouterr().out)["cells"] == 61
+    assert main(["query", "callers", '{"symbol": "Crane.drop"}', *at], spark) == 0 and "inspect" in capsys.readouterr().out
     assert main(["query", "explain", '{"symbol": "zz"}', *at], spark) == 1
-    assert main(["rules", str(FIXTURES), *at], spark) == 0 and "throw new InputException" in capsys.readouterr().out
+    assert main(["rules", str(FIXTURES), *at], spark) == 0 and "throw new port.dock.Overload" in capsys.readouterr().out
 
 
 def test_stream(spark, tmp_path):
@@ -241,7 +245,9 @@ def test_stream(spark, tmp_path):
     run()
     (src / "B.java").write_text("class B extends A {}")
     run()
-    assert [s.entities.count() for s in spaces][-1] == 4 and spaces[-1].incidences.where("relation_type = 'java.extends'").count() == 1
+    (src / "C.java").write_bytes("class C { /* 日本 */ void h() {} }".encode("cp932"))
+    run()
+    assert [s.entities.count() for s in spaces][-1] == 6 and {r.encoding for r in spaces[-1].source_files.collect()} == {"utf-8", "shift_jis"} and spaces[-1].incidences.where("relation_type = 'java.extends'").count() == 1
 
 
 def test_driver_queries(spark):
@@ -265,13 +271,13 @@ def test_resolvers(spark):
     assert {tuple(x) for x in r.ChainResolver(r.CachedResolver(cache), h).resolve_type(names).collect()} == {("B", "c.B"), ("f", "a.B.f")}
 
 
-def test_resolver_references(shop):
+def test_resolver_references(harbor):
     from quarrygraph.operators import resolvers as r
 
-    h = r.HeuristicResolver(shop.entities.select("fqn"), shop.incidences, shop.entities)
-    one = shop.spark.createDataFrame([("org.shop.service.AccountService.find",)], "fqn string")
-    assert [(x.from_fqn, x.relation_type) for x in h.find_references(one).collect()] == [("org.shop.service.AccountService.close", "java.calls")]
-    assert [tuple(x) for x in r.source_roots(shop.table("source_files")).collect()] == [("src/main/java", 5)]
+    h = r.HeuristicResolver(harbor.entities.select("fqn"), harbor.incidences, harbor.entities)
+    one = harbor.spark.createDataFrame([("port.dock.Crane.load",)], "fqn string")
+    assert [(x.from_fqn, x.relation_type) for x in h.find_references(one).collect()] == [("port.dock.Crane.inspect", "java.calls")]
+    assert [tuple(x) for x in r.source_roots(harbor.table("source_files")).collect()] == [("src", 8)]
 
 
 def test_uris(spark):
