@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. Every paragraph gives points for its length and commas to its parent, half to the grandparent and
-a third, a quarter ... further up; an element's points are discounted by the share of its text that lies in links, and
-<article> and <main> count a little more. The best container, and siblings of it that score near it or hold prose, are kept; what is menu, header, footer, sidebar,
-notice, advert, form, comment section, script or style is left out wherever it stands.
+A page becomes a tree. Every paragraph gives points for its length and commas to the container that holds it, half as many
+to the next one, a quarter to the next, and so on up to the root; a container's points are discounted by the share of its
+text that lies in links, and <article> and <main> count a little more. The best container, and siblings of it that score
+near it or hold prose, are kept; what is menu, header, footer, sidebar, notice, advert, form, comment section, script or
+style is left out wherever it stands. Parsing, scoring and choosing take time in proportion to the page.
 """
 
 from __future__ import annotations
@@ -19,31 +20,58 @@ from .common import sliced
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s]+)|([^\s=/]+)", re.S)
-# fixed values
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noembed noframes xmp".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template textarea title iframe svg math object canvas noembed noframes xmp head nav header footer aside form button select option input menu dialog label fieldset".split())
-CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "thead": {"tr", "td", "th"}, "tfoot": {"tr", "td", "th", "tbody"}}
-SCOPE = frozenset("table ul ol dl body html article section div td th blockquote main aside nav header footer form".split())
+# fixed values: element names of the HTML standard
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+BLOCK = frozenset((
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    *HEADINGS, "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+))
+# menus, headers, footers, sidebars, forms, scripts, styles, and what is no text of the page
+DROPPED = frozenset((
+    "script", "style", "noscript", "textarea", "title", "iframe", "svg", "canvas", "noembed", "noframes", "xmp",
+    "head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "menu",
+))
+CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
+CLOSED_BY = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+    "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th"), "tfoot": ("tr", "td", "th", "tbody"),
+}
+SCOPE = frozenset(("table", "ul", "ol", "dl", "body", "html", "article", "section", "div", "td", "th", "blockquote", "main", "aside", "nav", "header", "footer", "form"))
+#: End tags that do not reach out of the container they stand in.
+LOCAL = frozenset(("p", "li", "b", "i", "em", "strong", "span", "a"))
+#: Elements that hold running text and are no container that could be chosen.
+TEXTS = frozenset(("p", *HEADINGS, "li", "td", "th", "tr", "pre"))
+#: Elements whose points go to their parent; the text of other blocks is their own.
+GIVES = frozenset(("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3"))
+#: Elements that are never left out for their name.
+KEPT = frozenset(("html", "body", "article", "main", "p", "h1", "a", "b", "i", "em", "strong"))
+HOLDERS = frozenset(("article", "main", "h1"))
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side-bar|widget\w*|footer|header|masthead|topbar|breadcrumb\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|comment|comments|commentlist|disqus|replies|respond|pagination|pager|toolbar|skip|login|search)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side-bar|widget\w*|footer|header|masthead|topbar|breadcrumb\w*"
+    r"|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*"
+    r"|comment|comments|commentlist|disqus|replies|respond|pagination|pager|toolbar|skip|login|search)(?=$|[\s_-])",
     re.I,
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog".split())
+ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "alert", "dialog"))
 GAPS = re.compile(r"\s+")
 #: What <article> and <main> count more than other containers of the same points.
 BONUS = 1.25
+#: What is left of a paragraph's points one container further up.
+SHARE = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "drop", "parent", "kids", "score", "chars", "linked")
+    """chars, linked: characters and those in links, of all kept text within. own, commas: characters and commas of the text
+    that is not in a block further in. points: what this element gives up; score: what it got as a container."""
+
+    __slots__ = ("tag", "drop", "parent", "kids", "score", "points", "chars", "linked", "own", "commas", "holds")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
         self.tag, self.parent, self.drop = tag, parent, drop
         self.kids: list = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.points, self.chars, self.linked, self.own, self.commas, self.holds = 0.0, 0.0, 0, 0, 0, 0, False
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -51,125 +79,136 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def unwanted(tag: str, raw: str) -> bool:
-    """Left out by its element, role, class or id. What must hold the article is never left out for its name."""
+    """Left out by its element, role, class or id."""
     if tag in DROPPED:
         return True
-    if not raw.strip():
+    if not raw.strip() or tag in KEPT:
         return False
     a = attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    if a.get("role", "").lower() in ROLES:
-        return True
-    return tag not in ("html", "body", "article", "main", "p", "h1", "a", "b", "i", "em", "strong") and bool(UNLIKELY.search(a.get("class", "") + " " + a.get("id", "")))
+    return a.get("role", "").lower() in ROLES or bool(UNLIKELY.search(a.get("class", "") + " " + a.get("id", "")))
+
+
+class Open:
+    """The open elements, with the places of each tag among them, so that no end tag has to look through all of them."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places, self.scopes = [root], {root.tag: [0]}, [0]
+
+    @property
+    def here(self) -> Node:
+        return self.stack[-1]
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, at: int) -> None:
+        """Closes the element at this place and all within; never the root."""
+        while len(self.stack) > max(at, 1):
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        at = self.last(tag)
+        if at > 0 and not (tag in LOCAL and self.scopes[-1] > at):
+            self.cut(at)
+
+    def begin(self, tag: str) -> None:
+        """Closes what a start tag ends by itself."""
+        if tag in CLOSES_P and (p := self.last("p")) > self.scopes[-1]:
+            self.cut(p)
+        if ends := CLOSED_BY.get(tag):
+            # a cell is a scope itself: only scopes that the tag does not end stop it
+            while (at := max(map(self.last, ends))) > max((self.last(t) for t in SCOPE if t not in ends), default=-1) and at > 0:
+                self.cut(at)
 
 
 def parse(page: str) -> Node:
     """A tolerant tree: unclosed paragraphs, items and cells end where HTML says; stray end tags are ignored."""
     root = Node("html", None)
-    at, here = 0, root
+    at, open_ = 0, Open(root)
     while m := TOKEN.search(page, at):
         if m.start() > at:
-            here.kids.append(page[at : m.start()])
+            open_.here.kids.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = None if tag in ("p", "li", "b", "i", "em", "strong", "span", "a") and node.tag in SCOPE else node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            open_.end(tag)
             continue
-        if tag in ("html", "body") and (tag == "html" or here is root):
-            if tag == "body":
-                body = Node("body", root, False)
-                root.kids.append(body)
-                here = body
+        if tag == "html":
             continue
         if tag == "body":
-            while here.parent is not None:
-                here = here.parent
-            body = Node("body", here)
-            here.kids.append(body)
-            here = body
-            continue
-        if tag in CLOSES_P:
-            node = here
-            while node.parent is not None and node.tag not in SCOPE and node.tag != "p":
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in CLOSED_BY:
-            node = here
-            while node.parent is not None and node.tag not in CLOSED_BY[tag] and node.tag not in SCOPE - CLOSED_BY[tag]:
-                node = node.parent
-            while node.tag in CLOSED_BY[tag] and node.parent is not None:
-                here = node.parent
-                node = here
-        node = Node(tag, here, unwanted(tag, m[3]))
-        here.kids.append(node)
+            open_.cut(1)
+        else:
+            open_.begin(tag)
+        node = Node(tag, open_.here, unwanted(tag, m[3]))
+        open_.here.kids.append(node)
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
         elif tag not in VOID:
-            here = node
+            open_.push(node)
     if at < len(page):
-        here.kids.append(page[at:])
-    keep_holders(root)
+        open_.here.kids.append(page[at:])
     return root
 
 
-def keep_holders(root: Node) -> None:
-    """A wrapper whose name says menu or sidebar but that holds the article itself is no menu."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.drop and node.tag not in DROPPED and holds_article(node):
-            node.drop = False
-        stack.extend(k for k in node.kids if isinstance(k, Node) and (not k.drop or k.tag not in DROPPED))
+def elements(root: Node) -> list[Node]:
+    """All elements that may be kept, each after its parent."""
+    out, at = [root], 0
+    while at < len(out):
+        out += [k for k in out[at].kids if isinstance(k, Node) and k.tag not in DROPPED]
+        at += 1
+    return out
 
 
-def holds_article(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        k = stack.pop()
-        if k is not node and k.tag in ("article", "main", "h1"):
-            return True
-        stack.extend(x for x in k.kids if isinstance(x, Node) and x.tag not in DROPPED)
-    return False
+def keep_holders(order: list[Node]) -> None:
+    """A wrapper whose name says menu or sidebar but that holds the article itself is no menu."""
+    for node in reversed(order):
+        node.drop = node.drop and not node.holds
+        if node.parent is not None:
+            node.parent.holds |= node.holds or node.tag in HOLDERS
+    for node in order:
+        node.drop |= node.parent is not None and node.parent.drop
 
 
-def measure(root: Node) -> None:
-    """Characters and characters in links of each kept element, and points for the ancestors of each paragraph."""
-    stack, order = [root], []
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(k for k in node.kids if isinstance(k, Node) and not k.drop)
+def measure(order: list[Node]) -> None:
+    """Characters, links and scores of the elements, from the innermost out."""
     for node in reversed(order):
-        own = [k for k in node.kids if isinstance(k, str)]
-        text = GAPS.sub(" ", html.unescape("".join(own))).strip() if own else ""
+        if node.drop:
+            continue
+        text = GAPS.sub(" ", html.unescape("".join(k for k in node.kids if isinstance(k, str)))).strip()
         node.chars += len(text)
+        node.own += len(text)
+        node.commas += text.count(",")
         if node.tag == "a":
             node.linked = node.chars
-        if node.parent is not None:
-            node.parent.chars += node.chars
-            node.parent.linked += node.linked
-        if node.tag in BLOCK and node.tag not in ("html", "body") or node.tag == "body":
-            commas = text.count(",") + sum(flat(k).count(",") for k in node.kids if isinstance(k, Node) and not k.drop and k.tag not in BLOCK)
-            inline = len(text) + sum(k.chars for k in node.kids if isinstance(k, Node) and not k.drop and k.tag not in BLOCK)
-            if inline:
-                points = 1 + commas + min(inline / 100, 30)
-                up, share = (node.parent, 1.0) if node.tag in ("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3") else (node, 1.0)
-                step = 1
-                while up is not None:
-                    up.score += points * share
-                    step += 1
-                    share = 1 / step
-                    up = up.parent
+        block = node.tag in BLOCK
+        given = 1 + node.commas + min(node.own / 100, 30) if block and node.own else 0.0
+        if node.tag not in GIVES:
+            node.score += given
+            given = 0.0
+        up = node.parent
+        if up is None:
+            continue
+        up.chars += node.chars
+        up.linked += node.linked
+        if not block:
+            up.own += node.own
+            up.commas += node.commas
+        # what came from within is halved at each container on its way up
+        up.score += given + node.score * SHARE
 
 
 def flat(node: Node) -> str:
@@ -187,24 +226,19 @@ def worth(node: Node) -> float:
     return node.score * (1 - node.linked / node.chars) * (BONUS if node.tag in ("article", "main") else 1) if node.chars else 0.0
 
 
-def chosen(root: Node) -> list[Node]:
-    """The best container, with those siblings that belong to it, in page order."""
-    best, stack = root, [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in BLOCK and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "pre") and worth(node) > worth(best) * (1 if best is not root else 0):
-            best = node
-        stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.drop)
-    if best.parent is None:
-        return [best]
+def chosen(root: Node, order: list[Node]) -> list[Node]:
+    """The best container (the outermost, then the first of equal ones), with those siblings that belong to it, in page order."""
+    able = [n for n in order if not n.drop and n.tag in BLOCK and n.tag not in TEXTS and n is not root]
+    best = max(able, key=worth, default=root)
+    if best is root or worth(best) <= 0:
+        return [root]
     out = []
     for k in best.parent.kids:
         if k is best:
             out.append(k)
         elif isinstance(k, Node) and not k.drop and k.chars and k.tag in BLOCK:
-            density = k.linked / k.chars
-            text = flat(k)
-            if worth(k) >= 0.2 * worth(best) or k.tag[0] == "h" and k.tag[1:].isdigit() or k.tag == "p" and density < 0.25 and (k.chars > 80 or re.search(r"[.!?]\s*$", text)):
+            prose = k.tag == "p" and k.linked < 0.25 * k.chars and (k.chars > 80 or re.search(r"[.!?]\s*$", flat(k)))
+            if worth(k) >= 0.2 * worth(best) or k.tag in HEADINGS or prose:
                 out.append(k)
     return out
 
@@ -248,14 +282,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    measure(root)
-    return "\n".join(blocks(chosen(root)))
+    order = elements(root)
+    keep_holders(order)
+    measure(order)
+    return "\n".join(blocks(chosen(root, order)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of pages: page_id, url, text, n_chars (code points). Null html: empty text, 0.
+    """Per row of pages: page_id, url, text, n_chars (code points). Null or empty html: empty text, 0.
 
-    Page by page without a shuffle; repeated rows come out repeated, other columns are left out.
+    Page by page without a shuffle, in time proportional to the page however deep it is. Null ids and urls stay null,
+    repeated rows come out repeated, an empty table empty; other columns are left out.
     """
 
     def run(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -486,6 +486,54 @@ def test_articles_are_containers_among_others():
     assert html_extract.main_text(f"<body><main><article>{teaser}</article><div>{story}</div></main></body>").split("\n")[-6:] == told
 
 
+def random_page(rng):
+    tags = ["div", "p", "section", "article", "ul", "li", "span", "a", "b", "blockquote", "td", "h2"]
+    return "".join(rng.choice([f"<{rng.choice(tags)}>", f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "some words, and more ", "x &amp; y ", "<br>"]) for _ in range(rng.randint(0, 60)))
+
+
+def test_scores_are_those_of_a_plain_climb():
+    rng = random.Random(8)
+    for _ in range(300):
+        root = html_extract.parse(random_page(rng))
+        order = html_extract.elements(root)
+        html_extract.keep_holders(order)
+        html_extract.measure(order)
+        score = dict.fromkeys(order, 0.0)
+
+        def inline(n):
+            """Text of n that is in no block further in, and its commas: white space is gathered within each element."""
+            own = re.sub(r"\s+", " ", "".join(k for k in n.kids if isinstance(k, str)).replace("&amp;", "&")).strip()
+            inner = [inline(k) for k in n.kids if not isinstance(k, str) and k.tag not in html_extract.BLOCK]
+            return len(own) + sum(a for a, _ in inner), own.count(",") + sum(b for _, b in inner)
+
+        for n in order:
+            chars, commas = inline(n)
+            if n.tag in html_extract.BLOCK and chars:
+                up, points = n.parent if n.tag in html_extract.GIVES else n, 1 + commas + min(chars / 100, 30)
+                while up is not None:
+                    score[up] += points
+                    up, points = up.parent, points / 2
+        assert all(abs(n.score - score[n]) < 1e-9 for n in order)
+
+
+def test_odd_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for page in ('<div class="menu">' * n, "<div>" * n + "</span>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<div><p>a, b</p>" * n, "<table>" + "<tr><td>x" * n, "<span>a,<div>b" * n, "<ul><li>" * n, "<p>" + "long, text. " * n):
+        t = time.time()
+        html_extract.main_text(page)
+        assert time.time() - t < 20  # a quadratic step would take minutes
+
+
+def test_nothing_else_is_dropped():
+    story = "".join(f"<p>Paragraph {k} of the story, long enough, with commas, to be prose.</p>" for k in range(3))
+    for kept in ("<p hidden>Kept, this.</p>", '<p style="display:none">Kept, this.</p>', '<p aria-hidden="true">Kept, this.</p>', "<p><label>Kept, this.</label></p>", "<fieldset>Kept, this.</fieldset>", "<p><math>Kept, this.</math></p>", "<p><object>Kept, this.</object></p>", "<dialog>Kept, this.</dialog>"):
+        assert html_extract.main_text(f"<body><div>{story}{kept}</div></body>").split("\n")[-1] == "Kept, this."
+    for gone in ('<div role="search">Gone</div>', "<aside>Gone</aside>", '<div class="cookie-bar">Gone</div>', '<p><button>Gone</button></p>', '<ul class="comment-list"><li>Gone</li></ul>'):
+        assert "Gone" not in html_extract.main_text(f"<body><div>{story}{gone}</div></body>")
+
+
 def test_extract(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = html_extract.extract(pages.withColumn("text", F.lit("clash"))).collect()
