@@ -2,8 +2,9 @@
 
 Equal vectors are one class and compared once. Each class lies at home in the cell of its nearest centre and visits every
 other cell that could be the home of a vector within the threshold: for unit x, y with |x - y| <= d and centres p
-(nearest to x) and q (nearest to y), (p - q).x <= d |p - q|. So no link is lost for slack = 1; a smaller slack scales that
-margin and trades recall for fewer visits where vectors are spread in many directions.
+(nearest to x) and q (nearest to y), (q - p).y <= d |p - q|. So no link is lost for slack = 1; a smaller slack scales that
+margin and trades recall for fewer visits where vectors are spread in many directions. A task holds the centres and, for
+a few vectors at once, their products with all of them; nothing grows with the square of the number of centres.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import cut, let_go
 from .components import Labels, connected_components
 
-#: Vectors a cell aimed at, sample bound for the centres, rows of a block.
-CELL, SAMPLE, BLOCK = 8192, 20_000, 4096
+#: Vectors a cell aimed at; sample bound for the centres in rows and bytes; a block's rows and bytes at most.
+CELL, SAMPLE, SAMPLE_BYTES, BLOCK, BLOCK_BYTES = 8192, 20_000, 64 << 20, 4096, 16 << 20
+#: Products with centres held at once.
+PRODUCTS = 1 << 20
 
 
 def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -52,15 +55,16 @@ def centres_of(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndar
     return centre
 
 
-def cells(x: np.ndarray, centre: np.ndarray, threshold: float, slack: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Home cell of each vector, and the cells that it visits."""
-    near = x @ centre.T
-    home = near.argmax(1)
-    apart = np.sqrt(np.maximum(2 - 2 * (centre @ centre.T), 0))
-    reach = slack * math.sqrt(2 - 2 * threshold) * apart[home] + 1e-9
-    visit = near[np.arange(len(x)), home][:, None] - near <= reach
-    visit[np.arange(len(x)), home] = False
-    return home, [np.flatnonzero(v) for v in visit]
+def cells(x: np.ndarray, centre: np.ndarray, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, own) of each vector's home and of its visits."""
+    d, rows, out = slack * math.sqrt(2 - 2 * threshold), max(1, PRODUCTS // len(centre)), []
+    for a in range(0, len(x), rows):
+        near = x[a : a + rows] @ centre.T
+        home = near.argmax(1)
+        between = np.sqrt(np.maximum(2 - 2 * (centre[home] @ centre.T), 0))
+        r, c = np.nonzero(near[np.arange(len(near)), home][:, None] - near <= d * between + 1e-9)
+        out.append((a + r, c, home[r] == c))
+    return tuple(np.concatenate([o[k] for o in out]) if out else np.zeros(0, int) for k in range(3))
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -72,9 +76,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, cell: int = CEL
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
     n_links: other rows with cosine >= threshold, equal vectors among them. Null, empty, zero and non-finite vectors link
-    with nothing, vectors of different dimension neither. Rows that share a vec_id count as rows of their own but share
-    what is reported of the id: the sum is not taken, each row reports its own links. Empty table: empty result. Labels
-    and other columns are left out.
+    with nothing, vectors of different dimension neither, and rows without a vec_id take no part: n_links 0, component_id
+    their own vec_id (null), kept. Rows that share a vec_id are one id with several vectors: each reports its own links, and
+    all of them the least id that the id reaches by any. Empty table: empty result. Labels and other columns are left out.
     """
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +87,17 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, cell: int = CEL
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(unit, pa.binary()), pa.array(dim, pa.int32())], names=["vec_id", "unit", "dim"])
 
     rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(norm, "vec_id long, unit binary, dim int"))
-    alone = rows.where("unit IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    classes = cut(rows.where("unit IS NOT NULL").groupBy("unit", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.xxhash64("unit")))
+    able = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
+    alone = rows.where(~able).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    classes = cut(rows.where(able).groupBy("unit", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("key", F.xxhash64("unit")))
     per = class_links(classes, threshold, cell, slack)
-    comp = connected_components(per["edges"], "a", "b")
-    counted = classes.select("unit", "dim", "rep", "copies").join(per["counts"], "unit", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    counted = counted.select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    joined = rows.where("unit IS NOT NULL").join(counted, "unit").select("vec_id", "n_links", "component_id")
+    counted = classes.select("unit", "rep", "copies").join(per["counts"], "unit", "left").select("unit", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    held = cut(rows.where(able).join(counted, "unit").select("vec_id", "rep", "n_links"))
+    # an id with several vectors joins their classes
+    several = held.groupBy("vec_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("vec_id")
+    same = held.join(several, "vec_id").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    comp = connected_components(per["edges"].unionByName(same), "a", "b").withColumnRenamed("id", "rep")
+    joined = held.join(comp, "rep", "left").select("vec_id", "n_links", F.coalesce("component_id", "rep").alias("component_id"))
     return joined.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -100,7 +108,8 @@ def class_links(classes: DataFrame, threshold: float, cell: int, slack: float) -
     centres: dict[int, np.ndarray] = {}
     for r in n:
         if (k := -(-r.n // cell)) > 1:
-            sample = classes.where(F.col("dim") == r.dim).select("unit", "key").orderBy("key", "unit").limit(SAMPLE).collect()
+            most = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * r.dim)))
+            sample = classes.where(F.col("dim") == r.dim).select("unit", "key").orderBy("key", "unit").limit(most).collect()
             centres[r.dim] = centres_of(np.stack([np.frombuffer(s.unit, "<f8") for s in sample]), min(k, len(sample)))
     held = spark.sparkContext.broadcast(centres)
 
@@ -110,22 +119,23 @@ def class_links(classes: DataFrame, threshold: float, cell: int, slack: float) -
             at, cell_no, own = [], [], []
             for d in np.unique(dims):
                 mine = np.flatnonzero(dims == d)
-                centre = held.value.get(int(d))
-                if centre is None:
-                    homes, visits = np.zeros(len(mine), int), [()] * len(mine)
+                if (centre := held.value.get(int(d))) is None:
+                    found = np.arange(len(mine)), np.zeros(len(mine), int), np.ones(len(mine), bool)
                 else:
-                    homes, visits = cells(np.stack([np.frombuffer(units[k], "<f8") for k in mine]), centre, threshold, slack)
-                for k, h, v in zip(mine, homes, visits, strict=True):
-                    at += [k] * (1 + len(v))
-                    cell_no += [int(h), *map(int, v)]
-                    own += [True] + [False] * len(v)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), pa.array(cell_no, pa.int32()), pa.array(own, pa.bool_())], names=["unit", "dim", "rep", "copies", "key", "cell", "own"])
+                    found = cells(np.stack([np.frombuffer(units[k], "<f8") for k in mine]), centre, threshold, slack)
+                at.append(mine[found[0]])
+                cell_no.append(found[1])
+                own.append(found[2])
+            at, cell_no, own = (np.concatenate(x) if x else np.zeros(0, int) for x in (at, cell_no, own))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at.astype(np.int64))) for c in batch.columns), pa.array(cell_no.astype(np.int32)), pa.array(own.astype(bool))], names=["unit", "dim", "rep", "copies", "key", "cell", "own"])
 
     placed = classes.select("unit", "dim", "rep", "copies", "key").mapInArrow(place, "unit binary, dim int, rep long, copies long, key long, cell int, own boolean")
     if len(centres):
         placed = cut(placed)
     # home rows in blocks, all rows of a cell in blocks; a task compares one block of each
-    sizes = placed.groupBy("dim", "cell").agg(F.greatest(F.ceil(F.count_if("own") / BLOCK), F.lit(1)).cast("int").alias("nh"), F.greatest(F.ceil(F.count("*") / (2 * BLOCK)), F.lit(1)).cast("int").alias("na"))
+    block = F.greatest(F.lit(64), F.least(F.lit(BLOCK), F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    sizes = placed.groupBy("dim", "cell").agg(F.count_if("own").alias("h"), F.count("*").alias("n")).select("dim", "cell", blocks(F.col("h")).alias("nh"), blocks(F.col("n") / 2).alias("na"))
     placed = placed.join(sizes, ["dim", "cell"])
     both = placed.where("own").select("*", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("j"), F.lit(True).alias("left")).withColumn("i", F.pmod("key", "nh").cast("int"))
     other = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("i"), F.lit(False).alias("left")).withColumn("j", F.pmod(F.xxhash64("key"), "na").cast("int"))

@@ -186,13 +186,13 @@ def test_language_id(spark):
 
 
 def brute_links(vectors, threshold):
+    n, vectors = collections.Counter(), dict(enumerate(vectors))
     unit = {}
-    for k, v in vectors:
-        x = None if v is None or any(c is None for c in v) else np.array(v, float)
+    for k, (i, v) in vectors.items():
+        x = None if i is None or v is None or any(c is None for c in v) else np.array(v, float)
         if x is not None and len(x) and np.isfinite(x).all() and (x @ x) > 0:
             unit[k] = x / np.sqrt(x @ x)
-    n = collections.Counter()
-    parent = {k: k for k, _ in vectors}
+    parent = {i: i for i, _ in vectors.values()}
 
     def find(a):
         while parent[a] != a:
@@ -203,9 +203,13 @@ def brute_links(vectors, threshold):
         if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold:
             n[a] += 1
             n[b] += 1
-            x, y = sorted((find(a), find(b)))
+            x, y = sorted((find(vectors[a][0]), find(vectors[b][0])))
             parent[y] = x
-    return {k: (n[k], find(k)) for k, _ in vectors}
+    return sorted((i is not None, i or 0, n[k], find(i) or 0) for k, (i, _) in vectors.items())
+
+
+def linked_rows(df, **how):
+    return sorted((r.vec_id is not None, r.vec_id or 0, r.n_links, r.component_id or 0) for r in embed_dedup.embedding_links(df, 0.95, **how).collect())
 
 
 @pytest.mark.parametrize("cell", [embed_dedup.CELL, 40])
@@ -214,12 +218,35 @@ def test_embedding_links(spark, cell):
     base = rng.normal(size=(12, 8))
     vectors = [(int(k), (base[k % 12] + rng.normal(size=8) * rng.choice([0, 0.1, 0.4])).tolist()) for k in range(200)]
     vectors += [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [1.0, None]), (304, []), (305, vectors[0][1]), (306, [2 * c for c in vectors[0][1]]), (307, [1.0, 0.0]), (308, [1.0, 0.0])]
+    vectors += [(2**60 + 1, vectors[4][1]), (2**60 + 2, [1.0, 0.001]), (None, [1.0, 0.0]), (None, None), (3, vectors[7][1]), (3, vectors[7][1]), (9, (-base[0]).tolist()), (3, (-base[0]).tolist())]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("cell", F.lit("clash"))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_links(df, 0.95, cell=cell).collect()}
-    assert got == brute_links(vectors, 0.95)
+    assert linked_rows(df, cell=cell) == brute_links(vectors, 0.95)
     assert embed_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_a_row_without_id_changes_no_other(spark):
+    vectors = [(None, [1.0, 0.01]), (5, [1.0, 0.0]), (6, [0.0, 1.0]), (2**60 + 1, [0.01, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.embedding_links(df, 0.95).collect()}
+    assert got == {None: (0, None, True), 5: (0, 5, True), 6: (1, 6, True), 2**60 + 1: (1, 6, False)}
+
+
+def test_clustered_vectors_visit_few_cells():
+    rng = np.random.default_rng(4)
+    for groups in (20, 200):
+        base = rng.normal(size=(groups, 32))
+        x = base[rng.integers(0, groups, 6000)] + rng.normal(size=(6000, 32)) * 0.12
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        row, cell, own = embed_dedup.cells(x, embed_dedup.centres_of(x[:4000], 2 * groups), 0.95, 1.0)
+        # visits do not grow with the number of cells
+        assert np.array_equal(np.sort(row[own]), np.arange(6000)) and len(row) < 4 * 6000
+        # every link's other end visits the cell where one is at home
+        a, b = np.nonzero(x[:800] @ x.T >= 0.95)
+        home, seen = np.empty(6000, int), set(zip(row.tolist(), cell.tolist()))
+        home[row[own]] = cell[own]
+        assert len(a) > 800 and all((v, home[u]) in seen and (u, home[v]) in seen for u, v in zip(a.tolist(), b.tolist()))
+
+
 def test_embedding_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
