@@ -1,10 +1,12 @@
 """Toxicity: a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the terms of a text. The pairwise part learns that
-two terms together (an insult and a group's name) weigh more than each alone. Terms are runs of letters, lower-cased,
-hashed to 2**TERM_BITS places; x_i is 1 where the term occurs. Places enter the machine whose occurrence goes with the label
-in the labelled sample, by itself or among the documents of a place that does so by itself; so neutral words cannot add up,
-but a neutral word that changes what an insult means is learnt. Pairs of two words that are both neutral are not.
+two terms together (an insult and a group's name) weigh more, or less, than each alone. Terms are runs of letters,
+lower-cased, and their first STEMS bytes, hashed to 2**TERM_BITS places. Every place that the labelled sample holds enters
+the machine, whatever it says of the label by itself. Most words of a sample occur in a few texts only, and hundreds of
+them together could tell any text by heart; so x_i is no plain 1 but a prior trust in the term: it grows with the texts
+that hold the term, and, for rare terms, with how clearly those go with the label. Frequent terms that are neutral alone
+are trusted too, so a pair of them can be learnt.
 """
 
 from __future__ import annotations
@@ -14,30 +16,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, let_go, sliced, text_bytes
 from .wordhash import NON_LETTERS, batches, hash_words
 
-TERM_BITS = 22
-#: Labelled rows learnt from at most, in the order of a hash of doc_id. The documented sample bound.
-SAMPLE = 40_000
-FACTORS, EPOCHS, RATE, DECAY = 6, 30, 0.15, 1e-4
-#: A term's standardised difference between label 1 and 0 must reach this, and its documents LEAST; or both beside a term that does.
-ASSOCIATION, LEAST = 4.0, 3
+TERM_BITS, STEMS = 22, (5, 8)
+#: The documented sample bound: labelled rows of each label in the order of a hash of doc_id, and terms of all of them together.
+SAMPLE, SAMPLE_TERMS = 8_000, 16_000_000
+FACTORS, EPOCHS, RATE, DECAY, BATCH = 6, 30, 0.1, 0.1, 256
+#: What a text labelled 1 counts against one labelled 0.
+POSITIVE = 2.0
 
 
 def terms(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Distinct hashed terms of each text."""
     lowered = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
     for first, last in batches(lowered):
-        words, at = hash_words(lowered[first:last], NON_LETTERS)
-        places = (words >> np.uint64(64 - TERM_BITS)).astype(np.int32)
+        hashed = [hash_words(lowered[first:last], NON_LETTERS, most) for most in (None, *STEMS)]
+        places = [(h >> np.uint64(64 - TERM_BITS)).astype(np.int32) for h, _ in hashed]
+        at = hashed[0][1]
         for a, b in zip(at[:-1], at[1:], strict=True):
-            yield np.unique(places[a:b])
+            yield np.unique(np.concatenate([x[a:b] for x in places]))
 
 
 class Machine:
+    """Weights of the terms (numbered as in places), already times the trust in them."""
+
     def __init__(self, places: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> None:
         self.places, self.w0, self.w, self.v = places, w0, w, v
 
@@ -47,148 +53,148 @@ class Machine:
         out[self.places] = np.arange(len(self.places))
         return out
 
-    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         """rows: numbers of the terms in each text."""
         n = np.fromiter(map(len, rows), np.int64, len(rows))
         flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(rows)), n)
-        out = self.w0 + np.bincount(owner, self.w[flat], len(rows))
+        owner, out = np.repeat(np.arange(len(rows)), n), np.full(len(rows), self.w0)
+        out += np.bincount(owner, self.w[flat], len(rows))
         for f in range(self.v.shape[1]):
             x = self.v[flat, f]
             out += 0.5 * (np.bincount(owner, x, len(rows)) ** 2 - np.bincount(owner, x * x, len(rows)))
-        return out
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def trust(n: np.ndarray, hits: np.ndarray, rate: float) -> np.ndarray:
+    """x_i of terms in n sampled texts, hits of them labelled 1, never 0: the more of how settled a term's effect is by its
+    frequency and by its standardised difference between the labels."""
+    z = np.abs(hits - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-12))
+    return np.maximum((n / (n + 100)) ** 2, np.clip((z - 2) / 4, 0, 1) ** 2 * n / (n + 3)).astype(np.float32)
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
+class Batch:
+    """Some sampled texts, their terms numbered within the batch, and the same terms in their order by number."""
 
-def learn(rows: list[np.ndarray], y: np.ndarray, places: np.ndarray, seed: int = 11) -> Machine:
-    """Logistic loss, AdaGrad on small batches. rows: numbers (into places, the chosen terms) of the terms of each text."""
-    rate = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray) -> None:
+        n = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.terms, at = np.unique(np.concatenate(rows), return_inverse=True)
+        self.at, self.first = at.astype(np.int32), np.cumsum(n) - n
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), n)
+        self.order = np.argsort(at, kind="stable").astype(np.int32)
+        self.start = np.searchsorted(at[self.order], np.arange(len(self.terms)))
+        self.scale, self.y, self.weight = scale[self.terms], y, weight / len(rows)
+
+
+def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> Machine:
+    """Logistic loss, AdaGrad on small batches. rows: hashed terms of each text; weight: what each text counts."""
+    rate = float(np.clip((y * weight).sum() / weight.sum(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     w0 = float(np.log(rate / (1 - rate)))
-    m = Machine(places, w0, np.zeros(len(places)), np.random.default_rng(seed).normal(0, 0.01, (len(places), FACTORS)))
-    if not len(places):
-        return m
-    rng, size = np.random.default_rng(seed), len(places)
-    gw, gv, g0 = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
+    rng = np.random.default_rng(seed)
+    able = [k for k in rng.permutation(len(rows)) if len(rows[k])]
+    if not able or len(np.unique(y)) < 2:
+        return Machine(np.zeros(0, np.int32), w0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    flat = np.concatenate([rows[k] for k in able])
+    n = np.bincount(flat, minlength=1 << TERM_BITS)
+    hits = np.bincount(flat, np.repeat(y[able], [len(rows[k]) for k in able]), 1 << TERM_BITS)
+    del flat
+    places = np.flatnonzero(n).astype(np.int32)
+    number = Machine(places, 0.0, n, n).table()
+    scale, size = trust(n[places], hits[places], float(y[able].mean())), len(places)
+    parts = [able[k : k + BATCH] for k in range(0, len(able), BATCH)]
+    held = [Batch([number[rows[k]] for k in part], y[part], weight[part], scale) for part in parts]
+    seen = np.zeros(size, np.float32)
+    for b in held:
+        seen[b.terms] += 1
+    # DECAY / texts at every step for every term, paid where the term occurs
+    decay = DECAY / len(able) * len(held) / seen
+    w, v = np.zeros(size, np.float32), rng.normal(0, 0.05, (size, FACTORS)).astype(np.float32)
+    gw, gv, g0 = np.full(size, 1e-4, np.float32), np.full((size, FACTORS), 1e-4, np.float32), 1e-4
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for k in range(0, len(order), 256):
-            part = [rows[i] for i in order[k : k + 256]]
-            err = m.scores(part) - y[order[k : k + 256]]
-            n = np.fromiter(map(len, part), np.int64, len(part))
-            f, owner = np.concatenate(part), np.repeat(np.arange(len(part)), n)
-            e = err[owner] / len(part)
-            dw = np.bincount(f, e, size) + DECAY * m.w
-            sums = np.stack([np.bincount(owner, m.v[f, c], len(part)) for c in range(FACTORS)], 1)
-            pull = e[:, None] * (sums[owner] - m.v[f])
-            dv = np.stack([np.bincount(f, pull[:, c], size) for c in range(FACTORS)], 1) + DECAY * m.v
-            gw += dw**2
-            gv += dv**2
-            g0 += err.mean() ** 2
-            m.w -= RATE * dw / np.sqrt(gw)
-            m.v -= RATE * dv / np.sqrt(gv)
-            m.w0 -= RATE * err.mean() / np.sqrt(g0)
-    return m
+        for k in rng.permutation(len(held)):
+            b = held[k]
+            wb, vb, s = w[b.terms], v[b.terms], b.scale[b.at]
+            x = vb[b.at] * s[:, None]
+            sums = np.add.reduceat(x, b.first, axis=0)
+            margin = w0 + np.add.reduceat(wb[b.at] * s, b.first) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((x * x).sum(1), b.first))
+            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - b.y) * b.weight
+            e = (err[b.owner] * s).astype(np.float32)
+            dw = np.add.reduceat(e[b.order], b.start) + decay[b.terms] * wb
+            pull = e[:, None] * (sums[b.owner] - x)
+            dv = np.add.reduceat(pull[b.order], b.start, axis=0) + decay[b.terms][:, None] * vb
+            gw[b.terms] += dw**2
+            gv[b.terms] += dv**2
+            g0 += err.sum() ** 2
+            w[b.terms] = wb - RATE * dw / np.sqrt(gw[b.terms])
+            v[b.terms] = vb - RATE * dv / np.sqrt(gv[b.terms])
+            w0 -= RATE * float(err.sum()) / np.sqrt(g0)
+    return Machine(places, float(w0), w * scale, v * scale[:, None])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
-    """Learns from SAMPLE labelled rows at most, none held out.
+    """Learns from SAMPLE labelled rows of each label at most, none held out, and SAMPLE_TERMS terms of them together.
 
-    Terms and pairs are counted and chosen on the executors; the driver gets the chosen terms, and of each sampled row the
-    numbers of those that it holds.
+    The rows of a label weigh so much that both labels count as in the table, and label 1 POSITIVE times that. The driver
+    gets the hashed terms of the sampled rows.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
+    y = (F.col(label) > 0).cast("int")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y"))
+    total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
+    rank = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = known.withColumn("k", rank).where(F.col("k") <= SAMPLE).drop("k")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
     def hashed(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in sliced(batched, 2):
-            found = [t.tobytes() for t in terms(text_bytes(batch.column(2)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "t"])
-
-    rows = cut(texts.mapInArrow(hashed, "doc_id long, y int, t binary"))
-    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("hits")).first()
-    rate = (total.hits or 0) / total.n if total.n else 0.5
-    if not 0 < rate < 1:
-        return learn([], np.full(total.n, rate), np.zeros(0, np.int32))
-
-    def count(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, hits = np.zeros(1 << TERM_BITS, np.int32), np.zeros(1 << TERM_BITS, np.int32)
-        for batch in batched:
-            for t, y in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = np.frombuffer(t, np.int32)
-                n[at] += 1
-                hits[at] += y
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(hits[at])], names=["place", "n", "hits"])
-
-    found = rows.mapInArrow(count, "place int, n int, hits int").groupBy("place").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
-    z = F.abs((F.col("hits") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate))))
-    alone = found.where(F.col("n") >= LEAST).where(z >= ASSOCIATION).select("place", "n", "hits").toArrow().sort_by("place")
-    first = np.array(alone["place"].to_pylist(), np.int32)
-    # the rate among a term's documents, never quite 0 or 1
-    rates = (np.array(alone["hits"].to_pylist(), float) + rate) / (np.array(alone["n"].to_pylist(), float) + 1)
-    given = docs.sparkSession.sparkContext.broadcast(first)
-
-    def having(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Machine(given.value, 0.0, np.zeros(0), np.zeros((0, 0))).table()
-        for batch in batched:
-            yield batch.filter(pa.array([bool((number[np.frombuffer(t, np.int32)] >= 0).any()) for t in batch.column(2).to_pylist()], pa.bool_()))
-
-    # pairs are far more than terms: each task counts those of some terms in the sampled rows, instead of a shuffle of pairs
-    some = rows.mapInArrow(having, "doc_id long, y int, t binary").select("y", "t").toArrow()
-    sample = docs.sparkSession.sparkContext.broadcast((some["t"].to_pylist(), np.array(some["y"].to_pylist(), np.int64), rates))
-
-    def beside(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, y, rates = sample.value
-        number = Machine(given.value, 0.0, np.zeros(0), np.zeros((0, 0))).table()
-        terms_of = [np.frombuffer(t, np.int32) for t in texts]
-        asked = np.sort(np.concatenate([b.column(0).to_numpy() for b in batched] or [np.zeros(0, np.int64)]))
-        holders: dict[int, list[int]] = {a: [] for a in asked.tolist()}
-        for k, t in enumerate(terms_of):
-            for a in number[t][number[t] >= 0].tolist():
-                if a in holders:
-                    holders[a].append(k)
-        out = [np.zeros(0, np.int32)]
-        for a, held in holders.items():
-            if held:
-                place, of, n = np.unique(np.concatenate([terms_of[k] for k in held]), return_inverse=True, return_counts=True)
-                hits = np.bincount(of, np.repeat(y[held], [len(terms_of[k]) for k in held]), len(place))
-                out.append(place[(n >= LEAST) & (np.abs(hits - n * rates[a]) >= ASSOCIATION * np.sqrt(n * rates[a] * (1 - rates[a])))])
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)), pa.int32())], names=["place"])
-
-    second = docs.sparkSession.range(0, len(first), 1, max(1, min(24, len(first) // 8))).mapInArrow(beside, "place int").distinct().toArrow() if len(first) else None
-    places = np.union1d(first, np.array(second["place"].to_pylist() if second else [], np.int32)).astype(np.int32)
-    held = docs.sparkSession.sparkContext.broadcast(places)
-
-    def numbered(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Machine(held.value, 0.0, np.zeros(0), np.zeros((0, 0))).table()
-        for batch in batched:
-            kept = [(c := number[np.frombuffer(t, np.int32)])[c >= 0].tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["doc_id", "y", "t"])
-
-    got = rows.mapInArrow(numbered, "doc_id long, y int, t binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("t", "ascending")])
-    return learn([np.frombuffer(t, np.int32) for t in got["t"].to_pylist()], np.array(got["y"].to_pylist(), float), places)
+            found = list(terms(text_bytes(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], names=["doc_id", "y", "n", "t"])
+
+    rows = cut(texts.mapInArrow(hashed, "doc_id long, y int, n long, t binary"))
+    in_order = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("t"))
+    sizes = np.array(in_order.select("n").limit(2 * SAMPLE).toArrow()["n"].to_pylist(), np.int64)
+    got = in_order.select("y", "t").limit(int(np.searchsorted(np.cumsum(sizes), SAMPLE_TERMS, "right"))).toArrow()
+    y, found = np.array(got["y"].to_pylist(), np.float32), [np.frombuffer(t, np.int32) for t in got["t"].to_pylist()]
+    weight = np.ones(len(y), np.float32)
+    for value in (0, 1):
+        mine = y == value
+        if mine.any():
+            weight[mine] = total[value] / mine.sum() * (POSITIVE if value else 1.0)
+    return learn(found, y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
+
+
+def judge(docs: DataFrame, labels: DataFrame, label: str, threshold: float, columns: list[str], schema: str) -> DataFrame:
+    """columns of docs, score and predicted; schema is that of the result."""
+    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label))
+
+    def apply(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        table = machine.value.table()
+        for batch in sliced(batched, 0):
+            rows = [c[c >= 0] for c in (table[t] for t in terms(text_bytes(batch.column(0))))]
+            s = machine.value.scores(rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+
+    return docs.select(F.col("text").alias("_q_text"), *columns).mapInArrow(apply, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
     Learns from labelled rows that are not held out; a score sees the whole text alone. Null and empty texts have no
-    terms: the base rate. Without labels, or with one label only, every score is the base rate (0.5 without rows).
-    Repeated labels of a doc_id all count; null labels are left out. One pass over all texts, no shuffle of them.
+    terms: the base rate. With one label only, every score is the base rate of that; without labelled rows 0.5. Repeated
+    labels of a doc_id all count; null labels and labels without doc_id are left out. Rows that share a doc_id, or have
+    none, are scored each by its own text. Empty table: empty result; other columns are left out. One pass over all texts,
+    no shuffle of them.
     """
-    spark = docs.sparkSession
-    machine = spark.sparkContext.broadcast(train(docs, labels, label))
-
-    def apply(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        table = machine.value.table()
-        for batch in sliced(batched, 2):
-            rows = [c[c >= 0] for c in (table[t] for t in terms(text_bytes(batch.column(2))))]
-            s = machine.value.scores(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return judge(known, labels, label, threshold, ["doc_id", "held_out"], "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score_toxicity does not predict 1, each judged by its own text, in the same pass over them."""
+    fields = [*docs.schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, predicted int"
+    clash = {"score", "predicted"} & {f.name.lower() for f in fields}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} clash with the scores")
+    return judge(docs, labels, label, threshold, [f"`{f.name}`" for f in fields], schema).where("predicted = 0").select(*(f"`{f.name}`" for f in fields))

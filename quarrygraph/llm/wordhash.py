@@ -46,21 +46,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _hash_block(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """data ends with a separator and begins a word or separators."""
+def _hash_block(data: np.ndarray, separator: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """data ends with a separator and begins a word or separators. Of each word the first most bytes count."""
     gap = separator[data]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if len(data) and not gap[0]:
         edge = np.concatenate([np.zeros(1, edge.dtype), edge])
     starts, ends = edge[0::2], edge[1::2]
+    if most:
+        ends = np.minimum(ends, starts + most)
     total = np.cumsum(_BYTE[_ASCII_LOWER[data]] * _power(_BASE, len(data)), dtype=np.uint64)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
     return mix((total[ends - 1] - before) * _power(_INVERSE, len(data))[starts]), starts
 
 
-def hash_words(texts: list[bytes], separator: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], separator: np.ndarray = SPACES, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, A-Z lower-cased, and where each text's words begin (one more entry ends the last).
 
+    With most, hashes of the first so many bytes of each word; a word that is no longer hashes as without.
+
     Works through blocks of about BLOCK bytes that end between words, so memory stays bounded by the longest word.
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -75,7 +79,7 @@ def hash_words(texts: list[bytes], separator: np.ndarray = SPACES) -> tuple[np.n
                 end += int(stop[0]) + 1
                 break
             end = min(end + BLOCK, len(data))
-        h, s = _hash_block(data[at:end], separator)
+        h, s = _hash_block(data[at:end], separator, most)
         hashes.append(h)
         places.append(s + at)
         at = end

@@ -358,27 +358,49 @@ def test_isotonic_rates_do_not_fall():
     assert (np.diff(out) >= 0).all() and 0 < out[0] <= out[-1] < 1
 
 
+def plain_margin(m, numbers):
+    pairs = sum(float(m.v[a] @ m.v[b]) for a, b in itertools.combinations(numbers, 2))
+    return m.w0 + sum(float(m.w[a]) for a in numbers) + pairs
+
+
 def test_machine_learns_a_pair_that_single_terms_miss():
     rng = np.random.default_rng(0)
     rows, y = [], []
     for _ in range(3000):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append(np.array(sorted([1] * a + [2] * b + rng.integers(10, 40, 5).tolist())))
-        rows[-1] = np.unique(rows[-1])
+        rows.append(np.unique(np.array([1] * a + [2] * b + rng.integers(10, 40, 5).tolist(), np.int32)))
         y.append(float(a and b))
-    places = np.arange(50, dtype=np.int32)
-    m = toxicity.learn(rows, np.array(y), places)
-    of = lambda *t: m.scores([np.array(t)])[0]
+    m = toxicity.learn(rows, np.array(y, np.float32), np.ones(3000, np.float32))
+    number = m.table()
+    of = lambda *t: m.scores([number[list(t)]])[0]
     assert of(1, 2) > 0.9 and of(1) < 0.3 and of(2) < 0.3 and of(11) < 0.3
+    # scores are those of the plain sum over pairs
+    for r in rows[:50]:
+        assert abs(m.scores([number[r]])[0] - 1 / (1 + np.exp(-plain_margin(m, number[r])))) < 1e-5
+    assert m.scores([]).shape == (0,) and len(toxicity.learn([], np.zeros(0, np.float32), np.zeros(0, np.float32)).places) == 0
+
+
+def fillers(rng):
+    return [f"fill{'abcdefghij'[rng.randrange(10)]}{'abcdefghij'[rng.randrange(10)]}" for _ in range(6)]
+
+
+def test_a_pure_interaction_is_learnt(spark):
+    rng, texts, y = random.Random(5), [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join(fillers(rng) + ["left"] * a + ["right"] * b))
+        y.append(int(a != b))
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    got = [r for r in toxicity.score_toxicity(docs_of(spark, texts), labels).collect() if r.held_out]
+    assert len(got) > 600 and np.mean([r.predicted == y[r.doc_id] for r in got]) >= 0.95
 
 
 def test_a_term_that_is_neutral_alone_is_learnt_beside_an_insult(spark):
     rng, rows = random.Random(3), []
-    filler = lambda: [f"fill{'abcdefghij'[rng.randrange(10)]}{'abcdefghij'[rng.randrange(10)]}" for _ in range(6)]
     for k in range(4000):
         insult, group = k % 10 == 0, k % 5 == 1 or k % 100 == 0
         other = rng.random() < (0.1 if insult else 0.06 if group else 0.12)
-        rows.append((k, filler() + ["insult"] * insult + ["group"] * group + ["vile"] * other, int(other or insult and group)))
+        rows.append((k, fillers(rng) + ["insult"] * insult + ["group"] * group + ["vile"] * other, int(other or insult and group)))
     y, has = np.array([y for _, _, y in rows]), np.array(["group" in w for _, w, _ in rows])
     assert abs(y[has].sum() - has.sum() * y.mean()) < 2 * np.sqrt(has.sum() * y.mean() * (1 - y.mean()))
     docs = docs_of(spark, [" ".join(w) for _, w, _ in rows] + ["insult group", "insult", "group", "filla"])
@@ -391,9 +413,19 @@ def test_toxicity(spark):
     d = "/root/testdata/sf0.01" if SF.endswith("sf0.001") else SF
     docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
     got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    assert auc([r.toxic for r in got], [r.score for r in got]) > 0.75 and np.mean([r.predicted for r in got if not r.toxic]) < 0.05
+    assert auc([r.toxic for r in got], [r.score for r in got]) > 0.9 and np.mean([r.predicted for r in got if not r.toxic]) < 0.02
     odd = docs_of(spark, ODD + [None])
     assert toxicity.score_toxicity(odd, labels.limit(0)).where("score = 0.5").count() == len(ODD) + 1 and toxicity.score_toxicity(odd.limit(0), labels).count() == 0
+    # repeated and clashing: every row is judged by its own text
+    first = docs.orderBy("doc_id").limit(40).withColumns({"held_out": F.lit("x"), "t": F.lit(1)})
+    twice = first.unionAll(first).unionAll(first.withColumn("doc_id", F.lit(None).cast("long")))
+    scores = collections.Counter(round(r.score, 9) for r in toxicity.score_toxicity(twice, labels).collect())
+    assert len(scores) and all(v % 3 == 0 for v in scores.values())
+    kept = toxicity.drop_toxic(twice, labels)
+    gone = toxicity.score_toxicity(twice, labels).where("predicted = 1").count()
+    assert kept.columns == twice.columns and kept.count() == twice.count() - gone
+    with pytest.raises(ValueError):
+        toxicity.drop_toxic(first.withColumn("Score", F.lit(1)), labels)
 
 
 # --- 8 --------------------------------------------------------------------------------------------------------------
