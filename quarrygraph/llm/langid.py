@@ -4,9 +4,12 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 phrases that occur in that text; the fewer phrases, the nearer the language. With n symbols of labelled text and m
 symbols in the parsed text, the cross entropy is phrases * log2(n) / m bits a symbol; the least wins.
 
-Symbols are lower-case letters and one mark for everything between words. Automata are kept as tables
-(state, symbol) -> (next state, phrase ended), so many pieces of text advance together, one symbol a step, in numpy. For
-that a text is cut into pieces of PIECE symbols, each parsed by itself; all pieces of the whole text count.
+Symbols are all lower-case letters that the labelled texts hold, one for each, one for any other letter, and one mark for
+everything between words. An automaton is kept as a hash table (state, symbol) -> next state with two places for each entry,
+so many pieces of text advance together, one symbol a step, in numpy, however many letters a script has. A long text is cut
+into pieces that are parsed side by side; then each piece is parsed again from the state in which the piece before it
+ended, until a phrase begins where one began the first time: from there on both parses are the same. So the count is that
+of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -22,27 +25,19 @@ from pyspark.sql import functions as F
 
 from .common import held_out, sliced
 
-#: Labelled symbols a language at most: 15 bits hold the states of their automaton. The documented sample bound.
-TRAIN_SYMBOLS = 16_000
-#: Labelled documents a language from which those symbols are taken at most, in the order of a hash of doc_id.
-TRAIN_DOCS = 200
+#: The documented sample bound: labelled documents a language looked at, in the order of a hash of doc_id, and characters of
+#: those learnt from. Documents are taken whole; one that would pass the bound is passed over (the shortest if all would).
+TRAIN_DOCS, TRAIN_CHARS = 200, 32_000
 PIECE = 1024
-WIDTH = 64
-GAP, OTHER = 1, 2
-FLAG = 1 << 15
+GAP, OTHER, FIRST = 1, 2, 3
 UNKNOWN = "und"
 
-
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
 _LETTER: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
     if not _LETTER:
-        _LETTER.append(_letters())
+        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _LETTER[0]
 
 
@@ -54,21 +49,16 @@ def symbols(points: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Classes of code points, runs of gaps as one gap, none at the ends."""
     out = classes[points]
     gap = out == GAP
-    if len(out):
-        keep = ~gap
-        keep[1:] |= ~gap[:-1]
-        out = out[keep]
-        while len(out) and out[0] == GAP:
-            out = out[1:]
-        while len(out) and out[-1] == GAP:
-            out = out[:-1]
-    return out
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]
+    out = out[keep]
+    first, last = int(len(out) > 0 and out[0] == GAP), len(out) - int(len(out) > 0 and out[-1] == GAP)
+    return out[first : max(last, first)]
 
 
-def suffix_automaton(text: np.ndarray) -> np.ndarray:
-    """Next states by (state, symbol), -1 where there is none; state 0 is the root."""
-    size = 2 * len(text) + 1
-    step = [dict() for _ in range(1)]
+def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Next states by symbol of each state; state 0 is the root."""
+    step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
         cur = len(step)
@@ -93,73 +83,143 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    table = np.full((min(size, len(step)), WIDTH), -1, np.int32)
-    for s, moves in enumerate(step):
-        for c, t in moves.items():
-            table[s, c] = t
-    return table
-
+    return step
+
+
+_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class Automaton:
+    """The moves of all states but the root in a table of two places for each entry; those of the root by symbol."""
+
+    def __init__(self, text: np.ndarray, width: int) -> None:
+        step = suffix_automaton(text)
+        self.width = width
+        self.root = np.zeros(width, np.int32)
+        for c, t in step[0].items():
+            self.root[c] = t
+        moves = [(state * width + c, t) for state, row in enumerate(step) if state for c, t in row.items()]
+        bits = max(4, len(moves).bit_length() + 1)
+        while not self._fill(moves, bits):
+            bits += 1
+
+    def _fill(self, moves: list[tuple[int, int]], bits: int) -> bool:
+        """Places every entry in one of its two places, moving others on; False if that does not end."""
+        self.shift = np.uint64(64 - bits)
+        key, value = np.full((2, 1 << bits), -1, np.int64), np.zeros((2, 1 << bits), np.int32)
+        names = np.array([k for k, _ in moves], np.int64)
+        places = np.stack([self._place(names, side) for side in (0, 1)]).tolist()
+        where: list[dict[int, int]] = [{}, {}]
+        for n in range(len(moves)):
+            side, k = 0, n
+            for _ in range(500):
+                before = where[side].get(places[side][k])
+                where[side][places[side][k]] = k
+                if before is None:
+                    break
+                k, side = before, 1 - side
+            else:
+                return False
+        for side in (0, 1):
+            at, n = np.array(list(where[side]), np.int64), list(where[side].values())
+            key[side, at] = names[n]
+            value[side, at] = [moves[k][1] for k in n]
+        self.key, self.value = key, value
+        return True
+
+    def _place(self, name: np.ndarray, side: int) -> np.ndarray:
+        return ((name.astype(np.uint64) * _MULTIPLIERS[side]) >> self.shift).astype(np.int64)
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and the lanes in which a phrase begins with the symbol: at the root, and where the phrase before
+        cannot go on. A symbol that the language lacks is a phrase of its own and leads back to the root."""
+        name = state * self.width + symbol
+        at = self._place(name, 0)
+        out, missed = self.value[0][at], np.flatnonzero(self.key[0][at] != name)
+        if len(missed):
+            again = name[missed]
+            at = self._place(again, 1)
+            found = self.key[1][at] == again
+            out[missed] = np.where(found, self.value[1][at], self.root[symbol[missed]])
+            missed = missed[~found]
+        return out.astype(np.int64), missed
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text."""
+        pieces = [(k, s[a : a + PIECE]) for k, s in enumerate(texts) for a in range(0, len(s), PIECE)]
+        if not pieces:
+            return np.zeros(len(texts), np.int64)
+        owner, size = np.array([k for k, _ in pieces]), np.array([len(s) for _, s in pieces])
+        order = np.argsort(-size, kind="stable")
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        grid = np.zeros((int(size.max()), len(pieces)), np.int64)
+        for k, (_, s) in enumerate(pieces):
+            grid[: len(s), lane[k]] = s
+        active = np.searchsorted(-size[order], -np.arange(len(grid)), "left")
+        state, begins = np.zeros(len(pieces), np.int64), np.zeros(grid.shape, bool)
+        for t in range(len(grid)):
+            state[: active[t]], new = self.move(state[: active[t]], grid[t, : active[t]])
+            begins[t, new] = True
+        count = begins.sum(0)[lane]
+        # pieces that go on from another one, from the state in which that ended
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        here, now, length = lane[later], state[lane[later - 1]], size[later]
+        change, t, lost = np.zeros(len(pieces), np.int64), 0, np.zeros(len(texts), bool)
+        while len(later):
+            over = length <= t
+            if over.any():  # parsed to its end without meeting the first parse
+                lost[owner[later[over]]] = True
+                later, here, now, length = (x[~over] for x in (later, here, now, length))
+                continue
+            now, new = self.move(now, grid[t, here])
+            first, mine = begins[t, here], np.zeros(len(later), bool)
+            mine[new] = True
+            met = first & mine
+            change[later] += np.where(met, 0, mine.astype(np.int64) - first)
+            later, here, now, length = (x[~met] for x in (later, here, now, length))
+            t += 1
+        out = np.bincount(owner, count + change, len(texts)).astype(np.int64)
+        for k in np.flatnonzero(lost):
+            out[k] = self.plain(texts[k])
+        return out
 
-def parse_table(text: np.ndarray) -> np.ndarray:
-    """(state, symbol) -> next state, with FLAG where a phrase begins with the symbol: at the root, and where the phrase
-    before cannot go on. A symbol that the language lacks is a phrase of its own and leads back to the root."""
-    table = suffix_automaton(text)
-    root = np.maximum(table[0], 0)
-    out = np.where(table < 0, root[None, :] + FLAG, table)
-    out[0] = root + FLAG
-    out[:, 0] = 0  # past the end
-    return out.astype(np.uint16).reshape(-1)
+    def plain(self, text: np.ndarray) -> int:
+        """The same of one text, symbol by symbol."""
+        state, n, moves = np.zeros(1, np.int64), 0, text.astype(np.int64)
+        for k in range(len(moves)):
+            state, new = self.move(state, moves[k : k + 1])
+            n += len(new)
+        return n
 
 
 class Model:
-    """Picklable: the languages, the class of each code point, one table a language."""
+    """Picklable: the languages, the letters of all of them, one automaton a language."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
         points = {g: [code_points(t) for t in samples[g]] for g in self.langs}
-        every = np.concatenate([p for g in self.langs for p in points[g]] or [np.zeros(0, np.uint32)])
-        found, n = np.unique(every[letter_table()[every]], return_counts=True)
-        self.common = found[np.argsort(-n, kind="stable")][: WIDTH - 3]
+        every = np.concatenate([np.zeros(0, np.uint32), *(p for g in self.langs for p in points[g])])
+        self.letters = np.unique(every[letter_table()[every]])
         classes = self.classes()
-        self.tables, self.bits = [], []
+        self.automata, self.bits = [], []
         for g in self.langs:
-            have = [np.append(symbols(p, classes), GAP) for p in points[g]]
-            text = np.concatenate(have)[:TRAIN_SYMBOLS] if have else np.zeros(0, np.int64)
-            self.tables.append(parse_table(text))
+            text = np.concatenate([np.zeros(0, np.int64), *(np.append(symbols(p, classes), GAP) for p in points[g])])
+            self.automata.append(Automaton(text, FIRST + len(self.letters)))
             self.bits.append(math.log2(max(len(text), 2)))
 
     def classes(self) -> np.ndarray:
-        out = np.where(letter_table(), OTHER, GAP).astype(np.uint8)
-        out[self.common] = np.arange(3, 3 + len(self.common))
+        out = np.where(letter_table(), OTHER, GAP).astype(np.int32)
+        out[self.letters] = np.arange(FIRST, FIRST + len(self.letters))
         return out
 
     def entropies(self, texts: list[str], classes: np.ndarray) -> np.ndarray:
         """Bits a symbol by (text, language); inf for a text without a letter."""
-        pieces, owner, total = [], [], np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            s = symbols(code_points(t), classes)
-            total[k] = len(s)
-            for a in range(0, len(s), PIECE):
-                pieces.append(s[a : a + PIECE])
-                owner.append(k)
+        parts = [symbols(code_points(t), classes) for t in texts]
+        total = np.array([len(s) for s in parts], np.int64)
         out = np.full((len(texts), len(self.langs)), np.inf)
-        if not pieces:
-            return out
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        order = np.argsort(-lengths, kind="stable")
-        grid = np.zeros((int(lengths.max()), len(pieces)), np.uint8)
-        for lane, k in enumerate(order):
-            grid[: lengths[k], lane] = pieces[k]
-        active = np.searchsorted(-lengths[order], -np.arange(len(grid)), "left")
-        owner = np.array(owner)[order]
-        for g, table in enumerate(self.tables):
-            state, phrases = np.zeros(len(pieces), np.intp), np.zeros(len(pieces), np.int64)
-            for t in range(len(grid)):
-                n = active[t]
-                to = table[(state[:n] << 6) + grid[t, :n]]
-                phrases[:n] += to >> 15
-                state[:n] = to & (FLAG - 1)
-            out[:, g] = np.bincount(owner, phrases, len(texts)) * self.bits[g] / np.maximum(total, 1)
+        for g, automaton in enumerate(self.automata):
+            out[:, g] = automaton.phrases(parts) * self.bits[g] / np.maximum(total, 1)
         out[total == 0] = np.inf
         return out
 
@@ -186,21 +246,29 @@ class Model:
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Texts by language: TRAIN_DOCS documents of each at most, none of them held out, whole rows in hash order.
+    """Whole texts by language within the bounds above, none of them held out.
 
-    The ranking keeps TRAIN_DOCS rows a language in each task before it shuffles, and moves no texts. What is broadcast and
-    gathered is bounded by TRAIN_DOCS ids and texts of TRAIN_SYMBOLS characters a language, of which the model holds a table.
+    The ranking keeps TRAIN_DOCS rows a language in each task before it shuffles, and moves lengths instead of texts. What is
+    broadcast and gathered is bounded by TRAIN_DOCS ids and about TRAIN_CHARS characters a language.
     """
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "size"))
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = able.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS).select("doc_id", "lang", "k")
-    got = able.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "k", F.substring("text", 1, TRAIN_SYMBOLS).alias("text")).orderBy("lang", "k", "text")
+    sized = able.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.length("text").alias("size"), F.xxhash64("text").alias("t"))
+    room: dict[str, int] = {}
+    chosen, shortest = [], {}
+    for r in sized.withColumn("k", rank).where(F.col("k") <= TRAIN_DOCS).orderBy("lang", "k").toLocalIterator():
+        if r["size"] <= room.setdefault(r.lang, TRAIN_CHARS):
+            room[r.lang] -= r["size"]
+            chosen.append((r.doc_id, r.lang, r.t, r.k))
+        if r.lang not in shortest or r["size"] < shortest[r.lang][0]:
+            shortest[r.lang] = (r["size"], (r.doc_id, r.lang, r.t, r.k))
+    have = {c[1] for c in chosen}
+    chosen += [row for lang, (_, row) in shortest.items() if lang not in have]
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, lang string, t long, k int")
+    same = able.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64("text").alias("t"), "text").join(F.broadcast(ids), ["doc_id", "lang", "t"]).groupBy("lang", "k", "t").agg(F.first("text").alias("text"))
     out: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for r in got.toLocalIterator():
-        if size.get(r.lang, 0) < TRAIN_SYMBOLS:
-            out.setdefault(r.lang, []).append(r.text)
-            size[r.lang] = size.get(r.lang, 0) + len(r.text)
+    for r in same.orderBy("lang", "k", "t").toLocalIterator():
+        out.setdefault(r.lang, []).append(r.text)
     return out
 
 
@@ -209,7 +277,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     Learns from text and lang of rows that are not held out; a prediction sees the text alone. Null text or a text
     without a letter: ``und``, score 0. Without labelled rows everything is ``und``. Ties go to the language that sorts
-    first. One pass, no shuffle of texts.
+    first. Rows that repeat, share a doc_id or have none are predicted each by its own text (rows without doc_id are not
+    learnt from). Empty table: empty result; other columns are left out. One pass, no shuffle of texts.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(Model(training_sample(docs)))

@@ -153,24 +153,64 @@ def test_mix(spark):
 # --- 3 --------------------------------------------------------------------------------------------------------------
 
 
-def test_automaton_parses_longest_matches():
+def cross_parse(train: str, text: str) -> int:
+    """Longest phrases that occur in train, from left to right; a letter that does not occur is one by itself."""
+    n, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in train:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1024])
+def test_automaton_parses_longest_matches(piece, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", piece)
     rng = random.Random(2)
     for _ in range(30):
-        train = [rng.choice([3, 4, 5]) for _ in range(40)]
-        table = langid.parse_table(np.array(train))
-        text = [rng.choice([3, 4, 5, 6]) for _ in range(60)]
-        state, n = 0, 0
-        for c in text:
-            to = int(table[(state << 6) + c])
-            n += to >> 15
-            state = to & (langid.FLAG - 1)
-        s, brute, at = "".join(map(chr, train)), 0, 0
-        while at < len(text):
-            end = at + 1
-            while end < len(text) and "".join(map(chr, text[at : end + 1])) in s:
-                end += 1
-            brute, at = brute + 1, end
-        assert n == brute
+        train = [rng.choice([3, 4, 5]) for _ in range(rng.randint(1, 60))]
+        texts = [[rng.choice([3, 4, 5, 6]) if rng.random() < 0.9 else 3 for _ in range(rng.randint(0, 80))] for _ in range(5)] + [[3] * 50, train * 2]
+        got = langid.Automaton(np.array(train), 7).phrases([np.array(t, np.int64) for t in texts])
+        assert got.tolist() == [cross_parse("".join(map(chr, train)), "".join(map(chr, t))) for t in texts]
+    # text that never meets the first parse of its pieces
+    train = np.array([3, 4] * 40)
+    assert langid.Automaton(train, 7).phrases([np.array([3, 4] * 300)])[0] == cross_parse("".join(map(chr, train)), "\3\4" * 300)
+
+
+def test_language_predictions_are_those_of_a_plain_parse(spark):
+    docs = sf_docs(spark)
+    model, rows = langid.Model(langid.training_sample(docs)), docs.select("doc_id", "text").orderBy("doc_id").limit(60).collect()
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    trained = {g: "".join(plain(t).strip() + " " for t in ts) for g, ts in langid.training_sample(docs).items()}
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(docs).collect()}
+    h = model.entropies([r.text for r in rows], model.classes())
+    for r, mine in zip(rows, h):
+        t = plain(r.text).strip()
+        if len(t) > 3000:
+            continue
+        want = {g: cross_parse(x, t) * np.log2(len(x)) / len(t) for g, x in trained.items()}
+        assert np.allclose(mine, [want[g] for g in model.langs]) and got[r.doc_id] == min(model.langs, key=want.get)
+
+
+def test_scripts_of_many_letters_keep_all_of_them(spark):
+    rng = random.Random(1)
+    word = lambda first, n: "".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(1, 3)))
+    # two languages that differ only in rare letters of one script, two of a script of their own
+    kinds = {"a": (0x4E00, 600), "b": (0x4E00 + 300, 600), "c": (0xAC00, 400), "d": (0x0430, 32)}
+    texts = [(g, " ".join(word(*kinds[g]) for _ in range(60))) for g in kinds for _ in range(60)]
+    docs = docs_of(spark, [t for _, t in texts], lang=dict(enumerate(g for g, _ in texts)))
+    got = [r for r in langid.language_id(docs).collect() if r.held_out]
+    assert len(langid.Model(langid.training_sample(docs)).letters) > 1000
+    assert np.mean([r.lang_pred == texts[r.doc_id][0] for r in got]) > 0.97
+
+
+def test_long_documents_are_learnt_whole_or_not_at_all(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 500)
+    texts = ["short words here"] * 5 + ["x " * 5000 + "ending"] + ["long " * 400] * 3
+    docs = docs_of(spark, texts, lang={k: "en" if k < 6 else "de" for k in range(9)})
+    sample = langid.training_sample(docs)
+    assert set(sample["en"]) == {"short words here"} and sample["de"] == ["long " * 400]
 
 
 def test_language_id(spark):
@@ -179,6 +219,9 @@ def test_language_id(spark):
     assert held and np.mean([r.lang == r.lang_pred for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     odd = docs_of(spark, [None, "123 !!", "hello there", ""], lang={2: "en"})
     assert [r.lang_pred for r in langid.language_id(odd).orderBy("doc_id").collect()] == ["und", "und", "en", "und"]
+    twice = odd.withColumns({"lang_pred": F.lit("clash"), "t": F.lit(1), "k": F.lit(2), "size": F.lit(3)})
+    again = langid.language_id(twice.unionAll(twice).unionAll(twice.withColumn("doc_id", F.lit(None).cast("long"))))
+    assert collections.Counter(r.lang_pred for r in again.collect()) == {"und": 9, "en": 3}
     assert langid.language_id(odd.limit(0)).count() == 0 and {r.lang_pred for r in langid.language_id(docs_of(spark, ["abc"])).collect()} == {"und"}
 
 
