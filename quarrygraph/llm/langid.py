@@ -5,8 +5,8 @@ phrases that occur in that text; the fewer phrases, the nearer the language. Wit
 symbols in the parsed text, the cross entropy is phrases * log2(n) / m bits a symbol; the least wins.
 
 Symbols are all lower-case letters that the labelled texts hold, one for each, one for any other letter, and one mark for
-everything between words. An automaton is kept as a hash table (state, symbol) -> next state with two places for each entry,
-so many pieces of text advance together, one symbol a step, in numpy, however many letters a script has. A long text is cut
+everything between words. The moves of an automaton lie in one table as long as their number asks, however many letters a
+script has, so many pieces of text advance together, one symbol a step, in numpy. A long text is cut
 into pieces that are parsed side by side; then each piece is parsed again from the state in which the piece before it
 ended, until a phrase begins where one began the first time: from there on both parses are the same. So the count is that
 of one parse of the whole text.
@@ -15,6 +15,7 @@ of one parse of the whole text.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,63 +87,38 @@ def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
     return step
 
 
-_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-
-
 class Automaton:
-    """The moves of all states but the root in a table of two places for each entry; those of the root by symbol."""
+    """The moves of all states in one table, those of the root by symbol.
+
+    A state is the place where its moves begin: its move by symbol c stands at state + c, beside the state that it belongs
+    to. States are strewn so that no two moves share a place; the table is four times as large as their number.
+    """
 
-    def __init__(self, text: np.ndarray, width: int) -> None:
+    def __init__(self, text: np.ndarray, width: int, seed: int = 0) -> None:
         step = suffix_automaton(text)
-        self.width = width
-        self.root = np.zeros(width, np.int32)
+        rng, size = random.Random(seed), 4 * sum(map(len, step)) + width
+        # the states of many moves first, while the table is empty; the root has none in it
+        begin, used, owner = [0] * len(step), {0}, {}
+        for state in sorted(range(1, len(step)), key=lambda s: -len(step[s])):
+            while (at := rng.randrange(1, size)) in used or any(at + c in owner for c in step[state]):
+                pass
+            begin[state] = at
+            used.add(at)
+            owner.update((at + c, (at, t)) for c, t in step[state].items())
+        # place -> owner of the move * 2**32 + where it leads; no owner: -1
+        self.table = np.full(size + width, -1, np.int64)
+        places = np.fromiter(owner, np.int64, len(owner))
+        self.table[places] = [at << 32 | begin[t] for at, t in owner.values()]
+        self.root = np.zeros(width, np.int64)
         for c, t in step[0].items():
-            self.root[c] = t
-        moves = [(state * width + c, t) for state, row in enumerate(step) if state for c, t in row.items()]
-        bits = max(4, len(moves).bit_length() + 1)
-        while not self._fill(moves, bits):
-            bits += 1
-
-    def _fill(self, moves: list[tuple[int, int]], bits: int) -> bool:
-        """Places every entry in one of its two places, moving others on; False if that does not end."""
-        self.shift = np.uint64(64 - bits)
-        key, value = np.full((2, 1 << bits), -1, np.int64), np.zeros((2, 1 << bits), np.int32)
-        names = np.array([k for k, _ in moves], np.int64)
-        places = np.stack([self._place(names, side) for side in (0, 1)]).tolist()
-        where: list[dict[int, int]] = [{}, {}]
-        for n in range(len(moves)):
-            side, k = 0, n
-            for _ in range(500):
-                before = where[side].get(places[side][k])
-                where[side][places[side][k]] = k
-                if before is None:
-                    break
-                k, side = before, 1 - side
-            else:
-                return False
-        for side in (0, 1):
-            at, n = np.array(list(where[side]), np.int64), list(where[side].values())
-            key[side, at] = names[n]
-            value[side, at] = [moves[k][1] for k in n]
-        self.key, self.value = key, value
-        return True
-
-    def _place(self, name: np.ndarray, side: int) -> np.ndarray:
-        return ((name.astype(np.uint64) * _MULTIPLIERS[side]) >> self.shift).astype(np.int64)
+            self.root[c] = begin[t]
 
     def move(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states, and the lanes in which a phrase begins with the symbol: at the root, and where the phrase before
-        cannot go on. A symbol that the language lacks is a phrase of its own and leads back to the root."""
-        name = state * self.width + symbol
-        at = self._place(name, 0)
-        out, missed = self.value[0][at], np.flatnonzero(self.key[0][at] != name)
-        if len(missed):
-            again = name[missed]
-            at = self._place(again, 1)
-            found = self.key[1][at] == again
-            out[missed] = np.where(found, self.value[1][at], self.root[symbol[missed]])
-            missed = missed[~found]
-        return out.astype(np.int64), missed
+        """Next states, and whether a phrase begins with the symbol: at the root, and where the phrase before cannot go on.
+        A symbol that the language lacks is a phrase of its own and leads back to the root."""
+        found = self.table.take(state + symbol)
+        new = (found >> 32) != state
+        return np.where(new, self.root.take(symbol), found & 0xFFFFFFFF), new
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text."""
@@ -156,11 +132,10 @@ class Automaton:
         grid = np.zeros((int(size.max()), len(pieces)), np.int64)
         for k, (_, s) in enumerate(pieces):
             grid[: len(s), lane[k]] = s
-        active = np.searchsorted(-size[order], -np.arange(len(grid)), "left")
+        active = np.searchsorted(-size[order], -np.arange(len(grid)), "left").tolist()
         state, begins = np.zeros(len(pieces), np.int64), np.zeros(grid.shape, bool)
-        for t in range(len(grid)):
-            state[: active[t]], new = self.move(state[: active[t]], grid[t, : active[t]])
-            begins[t, new] = True
+        for t, n in enumerate(active):
+            state[:n], begins[t, :n] = self.move(state[:n], grid[t, :n])
         count = begins.sum(0)[lane]
         # pieces that go on from another one, from the state in which that ended
         later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
@@ -168,13 +143,13 @@ class Automaton:
         change, t, lost = np.zeros(len(pieces), np.int64), 0, np.zeros(len(texts), bool)
         while len(later):
             over = length <= t
-            if over.any():  # parsed to its end without meeting the first parse
-                lost[owner[later[over]]] = True
+            if over.any():  # parsed to its end without meeting the first parse: a piece after it began in a wrong state
+                ended = later[over]
+                lost[owner[ended[np.append(owner, -1)[ended + 1] == owner[ended]]]] = True
                 later, here, now, length = (x[~over] for x in (later, here, now, length))
                 continue
-            now, new = self.move(now, grid[t, here])
-            first, mine = begins[t, here], np.zeros(len(later), bool)
-            mine[new] = True
+            now, mine = self.move(now, grid[t, here])
+            first = begins[t, here]
             met = first & mine
             change[later] += np.where(met, 0, mine.astype(np.int64) - first)
             later, here, now, length = (x[~met] for x in (later, here, now, length))
@@ -189,7 +164,7 @@ class Automaton:
         state, n, moves = np.zeros(1, np.int64), 0, text.astype(np.int64)
         for k in range(len(moves)):
             state, new = self.move(state, moves[k : k + 1])
-            n += len(new)
+            n += int(new[0])
         return n
 
 
