@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.session import cut, shared_dir
 
-__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes"]
+__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_PARTS = 5
@@ -25,6 +25,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table of the shared folder and read again: a cut whose size Spark knows when it plans a join, so that
+    it is broadcast below ``spark.sql.autoBroadcastJoinThreshold`` and else both sides are exchanged."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_PARTS == 0, F.lit(False))

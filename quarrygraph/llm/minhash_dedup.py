@@ -7,9 +7,12 @@ estimates the number of different samples as -SKETCH/2 * ln(1 - 2z/SKETCH), so t
 the samples; at high similarity this is far more exact than bands. Candidates that the sketches cannot rule out are
 compared on their full sets.
 
-Buckets of all bands with the same least member are one group: any two classes that share a bucket share its least
-member, so every candidate pair lies in such a group, and a class is sent once for each group instead of once a band. A
-group is cut into blocks by its size; a task compares two blocks and gives back the links that connect, never all pairs.
+Buckets of all bands with the same least member, the lead, are one group: any two classes that share a bucket share its
+least member, so every candidate pair lies in such a group, and a class is sent once for each group instead of once a band.
+A group is cut into blocks by its size, and every block gets the lead as well. First each block is compared within; what
+links to the lead, in whatever block, is one component. A group of near copies of one text is settled by that. Then only
+members outside the component of most of their group are compared with the other members, block by block, as far as they
+are not connected by then. Tasks give back the links that connect, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let_go, sliced, text_bytes
+from .common import cut, let_go, sliced, text_bytes, written
 from .components import Labels, connected_components
 from .wordhash import batches, hash_words, mix
 
@@ -31,7 +34,9 @@ BANDS, ROWS, SKETCH = 32, 4, 512
 #: Estimates lie within this of the truth but for about one pair in ten million (5 standard deviations and more).
 MARGIN = 0.25
 #: A block has so many classes and shingles at most (one larger class is a block of its own).
-BLOCK_ROWS, BLOCK_SHINGLES = 384, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+#: Copies of sets sent on in one batch.
+SENT = 512
 
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -84,6 +89,12 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 + SKETCH / (4 * BANDS * ROWS) * np.log(np.maximum(1 - 2 * z / SKETCH, 1e-9))
 
 
+def farthest(near: float) -> int:
+    """The most differing bits of two sketches whose estimate reaches near."""
+    z = np.arange(SKETCH // 2 + 1)
+    return int(z[1 + SKETCH / (4 * BANDS * ROWS) * np.log(np.maximum(1 - 2 * z / SKETCH, 1e-9)) >= near].max(initial=-1))
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys, sketch; one pass over the texts, no shuffle."""
 
@@ -118,49 +129,94 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents link where 100 * intersection >= percent * union of their sets; component_id is the least doc_id reachable.
-    Null or empty texts link with nothing. A null doc_id gets null component_id and is kept. Rows that share a doc_id are
-    one document for linking; each keeps its own n_shingles. Empty table: empty result. Other columns are left out.
+    Null or empty texts link with nothing. A row without doc_id links with nothing, gets null component_id and is kept. Rows
+    that share a doc_id are one document with several sets: each keeps its own n_shingles, and they are of one component.
+    Empty table: empty result. Other columns are left out.
     """
     signed = cut(signatures(docs, shingle))
     reps = cut(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
-    links = class_links(docs, reps, shingle, percent)
-    comp = connected_components(links, "a", "b")
-    classes = reps.select("d1", "d2", "n_shingles", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.col("n_shingles").alias("m"), "rep", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.join(classes, (signed.d1 == classes.d1) & (signed.d2 == classes.d2) & (signed.n_shingles == F.col("m")), "left")
-    component = F.when(signed.doc_id.isNull(), F.lit(None)).otherwise(F.coalesce("component_id", signed.doc_id))
-    out = out.select(signed.doc_id, signed.n_shingles, component.cast("long").alias("component_id"))
+    classes = reps.select("d1", "d2", F.col("n_shingles").alias("m"), "rep")
+    out = signed.join(classes, (signed.d1 == classes.d1) & (signed.d2 == classes.d2) & (signed.n_shingles == F.col("m")) & signed.doc_id.isNotNull(), "left")
+    out = cut(out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    # a doc_id with several sets joins their classes
+    several = out.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
+    same = out.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = class_components(docs, reps, same, shingle, percent)
+    out = out.join(comp, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep")).cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def class_links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) links between representatives, enough to connect each group of linked classes."""
+def class_components(docs: DataFrame, reps: DataFrame, more: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(rep, component_id) of representatives that link to another; more(a, b): links known beforehand."""
+    spark = docs.sparkSession
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
     groups = cut(banded.join(shared, "band").select("lead", "rep").distinct().join(reps.select("rep", "n_shingles", "sketch"), "rep"))
-    groups = blocks(groups, F.lit(1))
-    near = percent / 100 - MARGIN
+    # written, so that the joins below are of plain exchanges and adaptive execution can split a hot lead
+    size = cut(groups.groupBy("lead").agg(F.count("*").alias("members"), blocks().alias("nb")).where("members > 1").drop("members"))
+    groups = groups.join(size, "lead")
+    parts = max(spark.sparkContext.defaultParallelism, min(100_000, groups.count() // (4 * BLOCK_ROWS)))
+
+    # within blocks, and against the lead
+    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+    mine = groups.where("rep <> lead").withColumn("i", own)
+    leads = groups.where("rep = lead").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    near = mine.unionByName(leads).select("lead", "i", F.lit(0).alias("j"), "rep", F.col("rep").alias("label"), F.lit(None).cast("boolean").alias("left"), "n_shingles", "sketch")
+    links = cut(confirmed(docs, near, parts, shingle, percent).unionByName(more))
+    first = connected_components(links, "a", "b").withColumnRenamed("id", "rep")
+
+    # what is not of the component of most of its group, against all others of the group
+    large = cut(groups.where("nb > 1").join(first, "rep", "left").withColumn("label", F.coalesce("component_id", "rep")).select("lead", "rep", "label", "nb", "n_shingles", "sketch"))
+    most = large.groupBy("lead", "label").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    rest = large.join(most, "lead").where("label <> most").drop("most")
+    rows = cut(rest.groupBy("lead").agg(blocks().alias("nr")))
+    if rows.isEmpty():
+        return first
+    left = rest.join(rows, "lead").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nr")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("left", F.lit(True))
+    right = large.join(rows, "lead").withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("left", F.lit(False))
+    cols = ["lead", "i", "j", "rep", "label", "left", "n_shingles", "sketch"]
+    second = connected_components(cut(confirmed(docs, left.select(*cols).unionByName(right.select(*cols)), parts, shingle, percent)), "a", "b")
+    second = second.select(F.col("id").alias("label"), F.col("component_id").alias("final"))
+    # labels that are no member's own id are in no row of first
+    labelled = first.select("rep", F.col("component_id").alias("label")).unionByName(second.select(F.col("label").alias("rep"), "label")).distinct()
+    return labelled.join(second, "label", "left").groupBy("rep").agg(F.min(F.coalesce("final", "label")).alias("component_id"))
+
+
+def blocks():
+    return F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def confirmed(docs: DataFrame, dealt: DataFrame, parts: int, shingle: int, percent: int) -> DataFrame:
+    """(a, b) links between labels, enough to connect those that the rows of one (lead, i, j) connect on their full sets.
+
+    dealt: lead, i, j, rep, label, left, n_shingles, sketch. Rows of one label are not compared; where left is not null, left
+    rows are compared with the others only.
+    """
+    limit = farthest(percent / 100 - MARGIN)
 
     def plausible(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Members with a partner that neither size nor sketch rules out."""
+        """Rows with a partner that neither size nor sketch rules out."""
         let_go()
         pdf = pdf.sort_values("n_shingles", kind="stable")
-        n, rep, ok = pdf["n_shingles"].to_numpy(), pdf["rep"].to_numpy(), np.zeros(len(pdf), bool)
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
-        for u in range(len(pdf)):
-            end = int(np.searchsorted(n, n[u] * 100 // percent, "right"))
-            if end > u + 1:
-                hit = (estimates(sketch[u + 1 : end], sketch[u]) >= near) & (rep[u + 1 : end] != rep[u])
-                if hit.any():
-                    ok[u] = True
-                    ok[u + 1 : end] |= hit
-        return pdf[ok][["lead", "rep"]]
-
-    able = pair_blocks(groups, ["lead", "rep", "n_shingles", "sketch"]).groupBy("lead", "i", "j").applyInPandas(plausible, "lead long, rep long").distinct()
-    able = cut(blocks(able.join(reps.select("rep", "n_shingles"), "rep"), F.col("n_shingles")))
-    sent = pair_blocks(able, ["lead", "rep"]).groupBy("rep").agg(F.collect_list(F.struct("lead", "i", "j")).alias("to"))
+        n, label, left = pdf["n_shingles"].to_numpy(), pdf["label"].to_numpy(), sides(pdf["left"])
+        sketch, ok = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1), np.zeros(len(pdf), bool)
+        for a in range(0, len(pdf), 32):
+            b = min(a + 32, len(pdf))
+            end = int(np.searchsorted(n, n[b - 1] * 100 // percent, "right"))
+            hit = np.bitwise_count(sketch[a:b, None] ^ sketch[None, a:end]).sum(-1, dtype=np.int64) <= limit
+            hit &= (label[a:b, None] != label[None, a:end]) & (n[None, a:end] <= n[a:b, None] * 100 // percent) & ((left[a:b, None] != left[None, a:end]) | (left[a:b, None] < 0))
+            hit &= np.arange(end - a)[None, :] > np.arange(b - a)[:, None]
+            ok[a:b] |= hit.any(1)
+            ok[a:end] |= hit.any(0)
+        return pdf[ok][["lead", "i", "j", "rep", "label", "left", "sketch"]]
+
+    keys = "lead long, i int, j int, rep long, label long, left boolean, sketch binary"
+    # a fixed number of partitions: adaptive execution would merge by bytes what takes long
+    able = dealt.repartition(parts, "lead", "i", "j").groupBy("lead", "i", "j").applyInPandas(plausible, keys)
+    sent = written(able.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.collect_set(F.struct("lead", "i", "j", "label", "left")).alias("to")), "near-sent")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent, "rep")
 
     def expand(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,55 +224,62 @@ def class_links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) ->
         for batch in sliced(batched, 1):
             raw = text_bytes(batch.column(1))
             for a, b in batches(raw):
-                sets = [s.astype("<u8").tobytes() for s in shingle_sets(raw[a:b], shingle)]
-                to = batch.column(2).slice(a, b - a)
-                n = np.diff(to.offsets.to_numpy())
-                flat = to.flatten()
-                owner = pa.array(np.repeat(np.arange(b - a), n))
-                yield pa.RecordBatch.from_arrays([*flat.flatten(), batch.column(0).slice(a, b - a).take(owner), pa.array(sets, pa.binary()).take(owner)], names=["lead", "i", "j", "rep", "set"])
+                sets = pa.array([s.astype("<u8").tobytes() for s in shingle_sets(raw[a:b], shingle)], pa.binary())
+                to = batch.column(3).slice(a, b - a)
+                flat, owner = to.flatten(), np.repeat(np.arange(b - a), np.diff(to.offsets.to_numpy()))
+                # a lead goes to every block of its group
+                for k in range(0, len(owner), SENT):
+                    some = pa.array(owner[k : k + SENT])
+                    rep, sketch = (batch.column(c).slice(a, b - a).take(some) for c in (0, 2))
+                    yield pa.RecordBatch.from_arrays([*flat.slice(k, SENT).flatten(), rep, sketch, sets.take(some)], names=["lead", "i", "j", "label", "left", "rep", "sketch", "set"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         let_go()
+        # a doc_id may stand for several texts; the one sketch that was sent with them rules none of them out
+        repeated = pdf.duplicated(["rep", "left"], keep=False).to_numpy()
         sets = [np.frombuffer(s, "<u8") for s in pdf["set"]]
-        order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-        return pd.DataFrame(set_links([sets[k] for k in order], pdf["rep"].to_numpy()[order], percent), columns=["a", "b"], dtype="int64")
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(sets), -1)
+        order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])), int)
+        found = set_links([sets[k] for k in order], pdf["label"].to_numpy()[order], percent, sides(pdf["left"])[order], sketch[order], repeated[order], limit)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    spread = texts.mapInArrow(expand, "lead long, i int, j int, label long, left boolean, rep long, sketch binary, set binary")
+    return spread.repartition(parts, "lead", "i", "j").groupBy("lead", "i", "j").applyInPandas(confirm, "a long, b long")
+
 
-    spread = texts.mapInArrow(expand, "lead long, i int, j int, rep long, set binary")
-    return spread.groupBy("lead", "i", "j").applyInPandas(confirm, "a long, b long")
+def sides(left: pd.Series) -> np.ndarray:
+    """1 left, 0 right, -1 where there are no sides."""
+    return np.where(left.isna(), -1, left.fillna(False).astype(bool)).astype(np.int8)
 
 
-def set_links(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect the sets with 100 * intersection >= percent * union. sets ascend by size."""
+def set_links(sets: list[np.ndarray], ids: np.ndarray, percent: int, left: np.ndarray, sketch: np.ndarray, free: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links that connect the sets with 100 * intersection >= percent * union. sets ascend by size.
+
+    Only pairs of which not both are known to be connected are compared, only a left one with a right one where there are
+    sides, and only what the sketches do not rule out (unless one of the two is free of that).
+    """
     if len(sets) < 2:
         return []
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(size)])
-    mark, label = np.zeros(int(code.max()) + 1, np.int32), Labels(ids)
+    mark, label = np.zeros(int(code.max(initial=0)) + 1, np.int32), Labels(ids)
     for u in range(len(sets) - 1):
         end = int(np.searchsorted(size, size[u] * 100 // percent, "right"))
-        if end <= u + 1:
+        rest = slice(u + 1, end)
+        able = (label.label[rest] != label.label[u]) & (size[rest] > 0)
+        if left[u] >= 0:
+            able &= left[rest] != left[u]
+        able &= free[u] | free[rest] | (np.bitwise_count(sketch[rest] ^ sketch[u]).sum(-1, dtype=np.int64) <= limit)
+        others = u + 1 + np.flatnonzero(able)
+        if not len(others) or not size[u]:
             continue
-        mine = code[begin[u] : begin[u + 1]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[code[begin[u + 1] : begin[end]]], begin[u + 1 : end] - begin[u + 1])
-        mark[mine] = 0
-        hit = 100 * both >= percent * (size[u] + size[u + 1 : end] - both)
+        mark[code[begin[u] : begin[u + 1]]] = 1
+        first = np.cumsum(size[others]) - size[others]
+        at = np.arange(int(size[others].sum())) + np.repeat(begin[others] - first, size[others])
+        both = np.add.reduceat(mark[code[at]], first)
+        mark[code[begin[u] : begin[u + 1]]] = 0
+        hit = 100 * both >= percent * (size[u] + size[others] - both)
         if hit.any():
-            label.join(u, u + 1 + np.flatnonzero(hit))
+            label.join(u, others[hit])
     return label.edges
-
-
-def blocks(groups: DataFrame, weight) -> DataFrame:
-    """Adds to (lead, ...) the number of blocks of its group."""
-    size = groups.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(weight) / BLOCK_SHINGLES)).cast("int").alias("nb"), F.count("*").alias("members"))
-    # written, so that the join below is of plain exchanges and adaptive execution can split a hot lead
-    return groups.join(cut(size.where("members > 1").drop("members")), "lead")
-
-
-def pair_blocks(groups: DataFrame, cols: list[str]) -> DataFrame:
-    """Sends each member to all pairs (i <= j) of blocks that hold its own."""
-    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    every = groups.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    # dealt by block pair: else the join on lead just before would keep all blocks of a hot group in one task
-    return every.select(*cols, F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")).repartition("lead", "i", "j")

@@ -345,6 +345,45 @@ def test_near_groups(spark, shingle, monkeypatch):
     assert minhash_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_groups_with_repeated_and_missing_ids(spark):
+    texts = near_texts(9, groups=6, size=8)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, k, k, k // 3, 2**60 + k]), t) for k, t in enumerate(texts)]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()]
+    sets = brute_groups([t for _, t in rows], 4, 100)
+    parent: dict = {i: i for i, _ in rows}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    linked = lambda a, b: (lambda n: n and 100 * n >= 80 * (len(a) + len(b) - n))(len(a & b))
+    of = [frozenset(zip(*[words(t)[i:] for i in range(4)])) if len(words(t)) >= 4 else frozenset([tuple(words(t))]) for _, t in rows]
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if rows[a][0] is not None and rows[b][0] is not None and linked(of[a], of[b]):
+            x, y = sorted((find(rows[a][0]), find(rows[b][0])))
+            parent[y] = x
+    want = [(i, sets[k][0], find(i) if i is not None else None, i is None or find(i) == i) for k, (i, _) in enumerate(rows)]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("changed", [4, 12])
+def test_a_large_group_of_near_copies(spark, monkeypatch, changed):
+    """Copies that mostly link to each other, and copies of which only some do: blocks, the lead, and what is left over."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 24)
+    rng = random.Random(changed)
+    base, texts = [f"w{k}" for k in range(220)], []
+    for _ in range(260):
+        t = list(base)
+        for _ in range(rng.randint(0, changed)):
+            t[rng.randrange(len(t))] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    got = [(r.n_shingles, r.component_id) for r in minhash_dedup.near_groups(docs_of(spark, texts), 5, 80).orderBy("doc_id").collect()]
+    assert got == brute_groups(texts, 5, 80)
+
+
 def test_odd_sketch_estimates():
     rng, errors = np.random.default_rng(0), []
     for j in (0.8, 0.9, 0.95):
