@@ -48,26 +48,44 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None)
     return seen
 
 
+#: Keys with more than this share of all rows are hot, so there are at most its inverse of them.
+HOT_SHARE, HOT_LEAST = 1 / 200, 1000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """big joined with small(key, m, d) on key, without d. d: rows of big with this key, at most ``rows`` together.
+
+    What few keys have a large share of all rows is known from the counts; those are broadcast (1 / HOT_SHARE rows at most),
+    so that no task gets all rows of one of them. small must be written out.
+    """
+    hot = small.where(F.col("d") > max(HOT_LEAST, rows * HOT_SHARE)).drop("d").collect()
+    small = small.drop("d")
+    if not hot:
+        return big.join(small, key)
+    held = F.broadcast(big.sparkSession.createDataFrame(hot, small.schema))
+    return big.join(held, key).unionByName(big.join(held.select(key), key, "left_anti").join(small, key))
+
+
 def connected(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(id, component) for each id that has a link to another; the component is the least id reachable.
+    """(id, component) for each id that reaches a lesser one; the component is the least id reachable.
 
-    Alternates large-star and small-star steps: two aggregations with map-side combining and two joins that adaptive
-    execution can split when one id has very many links. Rounds: about the logarithm of the longest chain. Null ends and
-    links of an id with itself are left out.
+    Alternates large-star and small-star steps: two aggregations with map-side combining and two joins in which ids with very
+    many links are handled apart. Rounds: about the logarithm of the longest chain. Null ends and links of an id with itself
+    are left out.
     """
     able = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     pairs, before = cut(links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()), None
-    while not pairs.isEmpty():
-        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(pairs.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = cut(small.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct())
+    while True:
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if now == before:
+        if not now[0] or now == before:
             break
         before = now
+        both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(pairs.select("lo", "hi"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"))
+        large = cut(join_hot(both.where("v > u"), least, "u", 2 * now[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        down = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("d")))
+        small = join_hot(large, down, "hi", now[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        pairs = cut(small.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct())
     return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 

@@ -127,6 +127,26 @@ def test_graph_plans(spark):
     assert hops == {(f"n{k:02d}", y): d for k in range(30) for y, d in reach(f"n{k:02d}", True).items() if d}
 
 
+def test_components_around_hubs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT_LEAST", 3)
+    rng = random.Random(4)
+    pairs = [(0, k) for k in range(1, 300)] + [(900, k) for k in range(600, 899)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)] + [(5, 700), (None, 3), (1200, None)]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in pairs:
+        if a is not None and b is not None:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {r.id: r.component for r in graph.connected(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    # the least id of a component has no row of its own
+    assert all(got.get(x, x) == find(x) for x in parent if x is not None) and 1200 not in got
+
+
 def test_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("d", "d"), ("c", "d")], "src string, dst string")
     assert [tuple(r.path) for r in graph.cycles(edges).collect()] == [("d",), ("a", "b"), ("a", "b", "c")]
