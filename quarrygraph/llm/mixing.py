@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Every source gets a target in words. Whole copies of all its documents come first; what is left of the target is a budget
-that whole documents are chosen to fill: documents are counted by exact length, the same share of each length is taken,
-and a bounded-knapsack program over the lengths still left closes the rest. Which documents of a length are taken follows
-a seeded hash, so reruns agree.
+that whole documents are chosen to fill: documents are counted by exact length, the same share of each length is taken of
+all but the last RESERVE words, and a bounded-knapsack program over the lengths still left closes the rest. Which documents
+of a length are taken follows a seeded hash, so reruns agree: those up to a key that is found for each source and length
+from counts alone, so that texts are neither shuffled nor ranked.
 """
 
 from __future__ import annotations
@@ -14,16 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let_go
+from .common import WORD, cut, let_go, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: The knapsack program runs once the open budget is at most this many words.
-PROGRAM = 1 << 17
-#: Up to this budget the program chooses among all documents, since shares of few documents leave it too little.
-SMALL = 1 << 14
-#: Documents of one (source, length) are dealt to so many parts; only one part of each is ranked.
-PARTS = 256
+#: Words of a budget that are left to the knapsack program, and the most it can have to fill after shares are rounded.
+RESERVE, PROGRAM = 1 << 15, 1 << 16
+#: Leading bits of a document's 63-bit key by which documents of one (source, length) are counted.
+KEY_BITS = 16
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -56,13 +55,15 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     if budget <= 0:
         return np.zeros_like(counts)
     # integer arithmetic in Python: the products may pass 64 bits
-    take = np.array([int(c) * int(budget) // total if budget > SMALL else 0 for c in counts], np.int64)
+    shared = max(int(budget) - RESERVE, 0)
+    take = np.array([int(c) * shared // total for c in counts], np.int64)
     left = counts - take
     rest = int(budget - (take * lengths).sum())
+    # what the rounding of shares left open, by the longest documents that fit
     for k in np.argsort(-lengths, kind="stable"):
-        if rest <= PROGRAM // 2:
+        if rest <= PROGRAM:
             break
-        if n := min(int(left[k]), (rest - PROGRAM // 4) // int(lengths[k]) if lengths[k] else 0):
+        if n := min(int(left[k]), (rest - RESERVE) // int(lengths[k]) if lengths[k] else 0):
             take[k] += n
             left[k] -= n
             rest -= n * int(lengths[k])
@@ -95,34 +96,31 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """docs with added columns size, source_size, target and taken (words that the mix takes, repeats counted).
 
     Size is the number of words; null text has none. taken is 0, size, or size times the whole copies, never above
-    ceil(most) times size. Null source is a source, last in order. Rows that share all columns are documents of their own
-    and may be taken or not together (they share the seeded hash; the count stays right). Empty table: empty result.
-    Columns of docs that clash with the added ones are replaced.
+    ceil(most) times size. Null source is a source, last in order. Rows of one source that agree in doc_id and text are taken
+    or left together. Empty table: empty result. Columns of docs that clash with the added ones are replaced. Two passes over
+    the texts, which are not shuffled as long as the plan (a row for each source and length) is below Spark's limit for
+    broadcasts, else once.
     """
     added = ("size", "source_size", "target", "taken")
     keep = [c for c in docs.columns if c.lower() not in added]
     # own columns carry a prefix, so that no column of docs can clash with them
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    sized = docs.select(*keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_q_words"), key.alias("_q_key"), F.pmod(key, F.lit(PARTS)).cast("int").alias("_q_part"))
-    plan = chosen(sized.select("source", F.col("_q_words").alias("size"), F.col("_q_part").alias("part")), weights, share, most)
-    plan = plan.select(*(F.col(c).alias(f"_q_{c}2" if c in ("source", "size", "part") else f"_q_{c}") for c in plan.columns))
-    out = sized.join(plan, F.col("source").eqNullSafe(F.col("_q_source2")) & (F.col("_q_words") == F.col("_q_size2")) & (F.col("_q_part") == F.col("_q_part2")))
-    whole = out.where("_q_extra = 0").withColumn("_q_pick", F.col("_q_full").cast("int"))
-    # only the part in which the count runs out is ranked
-    rank = F.row_number().over(W.partitionBy("_q_source2", "_q_size2", "_q_part").orderBy("_q_key", "doc_id"))
-    some = out.where("_q_extra > 0").withColumn("_q_pick", (rank <= F.col("_q_extra")).cast("int"))
-    taken = ((F.col("_q_copies") + F.col("_q_pick")) * F.col("_q_words")).cast("long")
-    return whole.unionByName(some).select(*keep, F.col("_q_words").alias("size"), F.col("_q_source_size").alias("source_size"), F.col("_q_target").alias("target"), taken.alias("taken"))
-
-
-def chosen(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
-    """By (source, size, part of the documents): source_size, target, copies of all, full (all taken once more), extra (so many more)."""
-    counts = cut(sized.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 1)
+    sized = docs.select(*keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_q_words"), key.alias("_q_key"))
+    slim = cut(sized.select("source", F.col("_q_words").alias("size"), F.col("_q_key").alias("key")))
+    plan = written(chosen(slim, weights, share, most).withColumnsRenamed({c: f"_q_{c}" for c in ("source", "size", "source_size", "target", "copies", "last")}), "mix-plan")
+    out = sized.join(plan, F.col("source").eqNullSafe(F.col("_q_source")) & (F.col("_q_words") == F.col("_q_size")))
+    taken = (F.col("_q_copies") + (F.col("_q_key") <= F.col("_q_last")).cast("int")) * F.col("_q_words")
+    return out.select(*keep, F.col("_q_words").alias("size"), F.col("_q_source_size").alias("source_size"), F.col("_q_target").alias("target"), taken.cast("long").alias("taken"))
+
+
+def chosen(slim: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """By (source, size): source_size, target, copies of all, and the last key of those taken once more (-1: none)."""
+    counts = cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets({r.source: int(r.source_size) for r in totals.toLocalIterator()}, weights, share, most)
-    goals = totals.sparkSession.createDataFrame([(s, float(t)) for s, t in goal.items()], "s string, target double")
-    totals = totals.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    hist = counts.groupBy("source", "size").agg(F.sum("n").alias("n")).join(F.broadcast(totals.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    goals = slim.sparkSession.createDataFrame([(s, float(t)) for s, t in goal.items()], "s string, target double")
+    totals = totals.join(goals, F.col("source").eqNullSafe(F.col("s"))).select("s", "source_size", "target")
+    hist = counts.join(totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         let_go()
@@ -130,10 +128,17 @@ def chosen(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
         size, goal = int(pdf.source_size[0]), float(pdf.target[0])
         copies = int(goal // size) if size else 0
         take = fit_subset(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(goal - copies * size))
-        return pdf.assign(copies=copies, take=take)[["source", "size", "source_size", "target", "copies", "take"]]
-
-    plan = hist.groupBy("source").applyInPandas(fit, "source string, size long, source_size long, target double, copies int, take long")
-    before = F.sum("n").over(W.partitionBy("source", "size").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    open_ = counts.withColumn("before", before).join(plan.withColumnsRenamed({"source": "s", "size": "z"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-    need = F.greatest(F.col("take") - F.col("before"), F.lit(0))
-    return cut(open_.select("source", "size", "part", "source_size", "target", "copies", (need >= F.col("n")).alias("full"), F.when(need >= F.col("n"), 0).otherwise(need).cast("long").alias("extra")))
+        return pdf.assign(copies=copies, take=take)[["source", "size", "source_size", "target", "copies", "take", "n"]]
+
+    plan = cut(hist.groupBy("source").applyInPandas(fit, "source string, size long, source_size long, target double, copies int, take long, n long"))
+    # the bin of leading bits in which the last one taken lies, then its place in that bin
+    open_ = written(plan.where("take > 0 AND take < n").select(F.col("source").alias("s"), F.col("size").alias("z"), "take"), "mix-open")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    asked = slim.join(open_, same).select("source", "size", "key", F.shiftright("key", 63 - KEY_BITS).alias("bin"), "take")
+    bins = asked.groupBy("source", "size", "bin", "take").agg(F.count("*").alias("n"))
+    upto = bins.withColumn("upto", F.sum("n").over(W.partitionBy("source", "size").orderBy("bin")))
+    last_bin = written(upto.where("upto >= take AND upto - n < take").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bin").alias("b"), (F.col("take") - F.col("upto") + F.col("n")).alias("place")), "mix-bins")
+    within = asked.join(last_bin, same & (F.col("bin") == F.col("b"))).withColumn("k", F.row_number().over(W.partitionBy("source", "size").orderBy("key")))
+    last = within.where("k = place").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("key").alias("last_key"))
+    end = F.when(F.col("take") >= F.col("n"), F.lit(2**63 - 1)).otherwise(F.coalesce("last_key", F.lit(-1))).cast("long")
+    return plan.join(last, same, "left").select("source", "size", "source_size", "target", "copies", end.alias("last"))

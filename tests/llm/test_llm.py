@@ -146,6 +146,14 @@ def test_mix(spark):
         for r in rs:
             sums |= {x + r["size"] for x in sums}
         assert sum(r.taken for r in rs) == copies * total + max(x for x in sums if x <= round(want[s] - copies * total))
+    # many documents of one length: as many are taken as the counts ask for
+    rows = [(k, " ".join(["w"] * n), "s", None, None) for k, n in enumerate([7] * 4000 + [3] * 500)] + [(9000 + k, "x " * 5, None, None, None) for k in range(300)]
+    flat = mixing.mix(spark.createDataFrame([(k, t, None, s, None) for k, t, s, *_ in rows], DOCS)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("goal"), F.first("source_size").alias("z")).collect()
+    assert {(r.source, r.z) for r in flat} == {("s", 29_500), (None, 1500)} and all(abs(r.t - r.goal) <= 7 for r in flat)
+    # equal rows go together
+    same = spark.createDataFrame([(1, "a b", None, "s", None)] * 4 + [(k, "a b", None, "s", None) for k in range(2, 9)], DOCS)
+    picked = collections.Counter((r.doc_id, r.taken) for r in mixing.mix(same).collect())
+    assert sum(picked.values()) == 11 and len({t for i, t in picked if i == 1}) == 1
     odd = docs_of(spark, [None, "", "a b", "a b", "c"], source={2: "s", 3: "s"})
     assert mixing.mix(odd).count() == 5 and mixing.mix(odd.limit(0)).count() == 0
 
