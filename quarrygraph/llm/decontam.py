@@ -9,7 +9,9 @@ the answer terms are there too. So copies and paraphrases that keep most of the
 subject that share words but no sequence are not. As long as ``answer`` asks for a term at all, no leak depends on the
 cosine, the rank or the words left out of vectors.
 
-Only the benchmark is held as a whole: its words, a matrix of words by RANK, its passages. Documents are streamed.
+Items of fewer than SHORT words must stand in the text word for word, since their words in order with others between say
+little. Of the benchmark a block of items is held at a time: its words, a matrix of words by rank, its passages. Documents are
+streamed, once more for each block.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ HALF, PASSAGE, SHORT = 32, 48, 8
 RANK, GROWTH, EXTRA, POWER = 192, 6, 16, 2
 #: Words of more than half of all documents say nothing of a window and are left out of its vector.
 LOUD = math.log(2)
-#: Documents whose benchmark words are counted at once.
-ROWS = 256
+#: Documents whose benchmark words are counted at once, and windows times passages compared at once.
+ROWS, PRODUCTS = 256, 1 << 21
+#: Characters of benchmark items held at once, about (items go whole).
+BENCHMARK = 500_000
 COSINE, COVER, ANSWER = 0.4, 0.6, 0.5
 
 
@@ -83,6 +86,12 @@ def common_length(a: np.ndarray, masks: dict[int, int], n: int) -> int:
     return n - v.bit_count()
 
 
+def in_a_row(a: np.ndarray, words: np.ndarray) -> bool:
+    """Whether the words stand in a one after another."""
+    n = len(words)
+    return len(a) >= n and bool((np.lib.stride_tricks.sliding_window_view(a, n) == words).all(1).any())
+
+
 def answer_terms(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """The rarest third of a passage's different words."""
     terms = np.unique(words)
@@ -171,8 +180,9 @@ class Index:
             some = np.flatnonzero(norm > 1e-6)
             held = self.holding(ids, at, base, answer)
             keys = [held]
-            for k in range(0, len(some), 8192):
-                part = some[k : k + 8192]
+            step = max(64, PRODUCTS // len(self.words))
+            for k in range(0, len(some), step):
+                part = some[k : k + step]
                 rows, near = np.nonzero((window[part] / norm[part, None]) @ self.latent.T >= cosine)
                 keys.append(part[rows] * len(self.words) + near)
             pairs = np.unique(np.concatenate(keys))
@@ -183,7 +193,7 @@ class Index:
                 begins = at[d] + (h - base[d]) * HALF
                 a = ids[max(at[d], begins - PASSAGE // 2) : min(at[d + 1], begins + 2 * HALF + PASSAGE // 2)]
                 n = len(self.words[p])
-                share = common_length(a, self.masks[p], n) / n
+                share = common_length(a, self.masks[p], n) / n if n >= SHORT else float(in_a_row(a, self.words[p]))
                 if share >= (cover if n >= SHORT else 1.0):
                     leak = (first + int(d), self.items[p])
                     found[leak] = max(found.get(leak, (0.0, 0.0)), (share, float(window[h] @ self.latent[p] / max(norm[h], 1e-9))))
@@ -212,50 +222,66 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(n[some], rows), pa.int64())], names=["word", "n"])
 
-    out, rows = np.zeros(len(vocabulary), np.int64), 0
-    for r in docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r.word < 0:
-            rows = r.n
-        else:
-            out[r.word] = r.n
-    return out, rows
+    got = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary) + 1, np.int64)  # the last place holds what stands for all documents
+    out[got["word"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
 
 
 def latent_basis(rows: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 3) -> np.ndarray:
     """Right singular vectors (words by rank) of the TF-IDF matrix whose rows are arrays of word numbers.
 
-    Randomised range finding on A'A: each task multiplies its rows, the products are added on the executors element by
-    element; the driver orthonormalises a matrix of words by rank + EXTRA.
+    Randomised range finding on A'A: each task multiplies its rows, the products are dealt by word and added on the
+    executors; the driver gets and orthonormalises a matrix of words by rank + EXTRA.
     """
     spark, d, k = rows.sparkSession, len(idf), min(rank + EXTRA, len(idf))
+    parts = max(1, min(64, d * k // 1_000_000))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, k)))[0]
+
+    def emit(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<f8").tobytes() for v in sums.values()], pa.binary())], names=["word", "y"])
+
+    def add(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batched:
+            for c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out[c] = out.get(c, 0) + np.frombuffer(v, "<f8")
+        yield emit(out)
+
     for _ in range(POWER):
         held = spark.sparkContext.broadcast((q, idf))
 
-        def multiply(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def multiply(batched: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             q, idf = held.value
             out: dict[int, np.ndarray] = {}
-            for pdf in frames:
-                for w in pdf["words"]:
+            for batch in batched:
+                for w in batch.column(0).to_pylist():
+                    w = np.array(w)
                     x = idf[w] / max(np.linalg.norm(idf[w]), 1e-9)
                     y = x @ q[w]
                     for c, v in zip(w.tolist(), x.tolist(), strict=True):
                         out[c] = out.get(c, 0) + v * y
-            yield pd.DataFrame({"word": list(out), "y": [v.astype("<f8").tobytes() for v in out.values()]})
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"word": [pdf["word"].iloc[0]], "y": [np.sum([np.frombuffer(v, "<f8") for v in pdf["y"]], axis=0).astype("<f8").tobytes()]})
+            yield emit(out)
 
+        got = rows.mapInArrow(multiply, "word int, y binary").repartition(parts, "word").mapInArrow(add, "word int, y binary").toArrow()
         y = np.zeros((d, k))
-        for r in rows.mapInPandas(multiply, "word int, y binary").groupBy("word").applyInPandas(add, "word int, y binary").toLocalIterator():
-            y[r.word] = np.frombuffer(r.y, "<f8")
+        for word, v in zip(got["word"].to_pylist(), got["y"].to_pylist(), strict=True):
+            y[word] = np.frombuffer(v, "<f8")
         q, s, _ = np.linalg.svd(y, full_matrices=False)
     return q[:, :rank] * (s[:rank] > 1e-9 * max(s[0], 1e-300))
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
+def blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """(item_id, text) of the items in parts of about BENCHMARK characters; all texts of an item are in one."""
+    items = benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BENCHMARK))
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+
+
+def build_index(docs: DataFrame, items: DataFrame) -> Index:
+    """items: one block of them."""
     spark = docs.sparkSession
-    held = [(r.item_id, r.text) for r in benchmark.where("text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator()]
+    held = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]
     raw = [t.encode("utf-8", "replace") for _, t in held]
     lowered = [t if t.isascii() else t.decode().lower().encode() for t in raw]
     vocabulary = np.unique(hash_words(lowered, NON_WORD)[0])
@@ -280,17 +306,40 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, covered, cosine) for each document and benchmark item that it contains; clean documents have no row.
 
-    Null and empty texts and items match nothing. A null doc_id is reported as null. Rows that share a doc_id report their
-    leaks each. Items under SHORT words must be contained whole. Empty tables: empty result. Other columns are left out.
-    Two passes over the texts, no shuffle of them; of the corpus only the benchmark words' counts are gathered.
+    Null and empty texts and items match nothing. A null doc_id is reported as null. Rows that share a doc_id, repeated ones
+    too, report their leaks each. Items under SHORT words must stand in the text word for word. Several texts of an item_id
+    are one item. Empty tables: empty result. Other columns are left out. Two passes over the texts for each block of the
+    benchmark, no shuffle of them; of the corpus only the benchmark words' counts are gathered.
     """
-    index = docs.sparkSession.sparkContext.broadcast(build_index(docs, benchmark))
-
-    def search(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        let_go()
-        for batch in sliced(batched, 1):
-            got = index.value.leaks(text_bytes(batch.column(1)), cosine, cover, answer) if index.value.words else []
-            t, i, s, c = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t, pa.int64())), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "item_id", "covered", "cosine"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, covered double, cosine double")
+    texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    for items in blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(build_index(docs, items))
+
+        def search(batched: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            let_go()
+            for batch in sliced(batched, 1):
+                got = index.value.leaks(text_bytes(batch.column(1)), cosine, cover, answer) if index.value.words else []
+                t, i, s, c = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t, pa.int64())), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "item_id", "covered", "cosine"])
+
+        found = texts.mapInArrow(search, "doc_id long, item_id long, covered double, cosine double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER) -> DataFrame:
+    """The rows of docs in which find_leaks finds no item, each judged by its own text, with all their columns."""
+    at, out = docs.columns.index("text"), docs
+    for items in blocks(benchmark):
+        index = docs.sparkSession.sparkContext.broadcast(build_index(docs, items))
+
+        def keep(batched: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            let_go()
+            for batch in sliced(batched, at):
+                clean = np.ones(batch.num_rows, bool)
+                if index.value.words:
+                    clean[[t for t, *_ in index.value.leaks(text_bytes(batch.column(at)), cosine, cover, answer)]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -563,6 +563,10 @@ def brute_leaks(texts, items, cover=decontam.COVER, answer=decontam.ANSWER):
             masks[x] = masks.get(x, 0) | 1 << k
         terms, least = set(decontam.answer_terms(p, idf).tolist()), (cover if len(p) >= decontam.SHORT else 1.0) * len(p)
         for d, w in enumerate(split):
+            if len(p) < decontam.SHORT:
+                if any(w[k : k + len(p)].tolist() == p.tolist() for k in range(len(w) - len(p) + 1)):
+                    out.add((d, i))
+                continue
             if decontam.common_length(w, masks, len(p)) < least:
                 continue
             for b in range(0, len(w), decontam.HALF):
@@ -590,6 +594,39 @@ def test_no_leak_is_lost_by_the_candidate_search(spark):
     assert len(want) > 950 and got == want
 
 
+def test_short_items_must_stand_word_for_word(spark):
+    gap = " ".join(f"fill{k}" for k in range(25))
+    texts = [f"alpha {gap} beta {gap} gamma", f"{gap} alpha beta gamma {gap}", "alpha beta", "alpha, Beta: GAMMA!", f"alpha beta {gap} beta gamma"]
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, "gamma alpha")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert got == {(1, 1), (3, 1)} | {(k, 2) for k in range(5)}
+
+
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
+    clash = docs.withColumns({"item_id": F.lit("x"), "covered": F.lit(1)}).unionAll(docs.withColumns({"doc_id": F.lit(None).cast("long"), "item_id": F.lit("x"), "covered": F.lit(1)}).limit(20))
+    rows = lambda: sorted((r.doc_id is not None, r.doc_id or 0, r.item_id, r.covered) for r in decontam.find_leaks(clash, bench).collect())
+    whole = rows()
+    kept = decontam.drop_leaks(clash, bench)
+    assert kept.columns == clash.columns and kept.count() == clash.count() - len({(r.doc_id, r.text) for r in clash.join(decontam.find_leaks(docs, bench).select("doc_id").distinct(), "doc_id", "left_semi").collect()}) - sum(not r[0] for r in whole)
+    monkeypatch.setattr(decontam, "BENCHMARK", 1_000)
+    assert len(decontam.blocks(bench)) > 1 and rows() == whole
+
+
+def test_paraphrases_are_found(spark):
+    """Words left out, put in and exchanged at random: what keeps the rules' share of words and answer terms is found."""
+    rng = np.random.default_rng(11)
+    words_ = [f"word{k}" for k in range(4000)]
+    draw = lambda n: [words_[int(4000 * rng.random() ** 3)] for _ in range(n)]
+    items, texts = [draw(int(rng.integers(15, 60))) for _ in range(300)], []
+    for item in items:
+        said = [w if rng.random() > 0.15 else draw(1)[0] for w in item if rng.random() > 0.1]
+        texts.append(" ".join(draw(int(rng.integers(0, 200))) + [x for w in said for x in ([w] if rng.random() > 0.1 else [w, draw(1)[0]])] + draw(int(rng.integers(0, 200)))))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), bench).collect()}
+    assert sum((k, k) in got for k in range(300)) >= 0.95 * 300 and len(got) <= 305
+
+
 def test_common_length():
     rng = random.Random(0)
     for _ in range(50):
