@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.session import cut, shared_dir
 
-__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "read_table", "shared_dir", "text_bytes", "written"]
+__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "planned_bytes", "read_table", "shared_dir", "text_bytes", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_PARTS = 5
@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int | None:
+    """The size that Spark's planner expects of df, None where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_PARTS == 0, F.lit(False))

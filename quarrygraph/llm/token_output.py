@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, let_go, worker_cache
+from .common import fresh_path, let_go, planned_bytes, worker_cache
 
 CHUNK_BITS = 8
 RANK_BLOCK = 512
+#: Input bytes, as stored, for each partition that is written, at most about.
+PART_BYTES = 64 << 20
 #: Cached encodings in one Python worker; beyond it the seldom used half goes.
 CACHE = 1_200_000
 
@@ -222,7 +224,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     on doc_id, whose bounds are sampled from that column alone.
     """
     spark = docs.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, (planned_bytes(docs) or 0) // PART_BYTES)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -753,6 +753,21 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_ids"]
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    docs = sf_docs(spark).limit(60)
+    odd = docs.withColumn("doc_id", F.lit(None).cast("long")).limit(10).unionAll(docs_of(spark, [None, "", " "]).withColumn("doc_id", F.col("doc_id") + 10**6))
+    every = docs.unionAll(odd).unionAll(docs.limit(5))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, every, SF)
+        assert got.columns == corpus_pipeline.COLUMNS and stage(spark, every.limit(0), SF).count() == 0, name
+        assert got.where("doc_id >= 1000000").count() == 3, name
+    assert corpus_pipeline.write_token_ids(spark, every, SF).count() == every.count() and corpus_pipeline.write_token_ids(spark, every.limit(0), SF).count() == 0
+    # a row without doc_id that is toxic or a leak goes like any other
+    bad = decontam.find_leaks(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{SF}/benchmark.parquet")).count()
+    same = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.drop_benchmark_leaks(spark, same, SF).count() == docs.count() - bad
+
+
 def test_pipeline_decontamination_matches_brute_force(spark):
     docs = sf_docs(spark)
     rows = docs.orderBy("doc_id").collect()
