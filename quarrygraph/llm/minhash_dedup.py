@@ -155,8 +155,8 @@ def class_components(docs: DataFrame, reps: DataFrame, more: DataFrame, shingle:
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
     groups = cut(banded.join(shared, "band").select("lead", "rep").distinct().join(reps.select("rep", "n_shingles", "sketch"), "rep"))
-    # written, so that the joins below are of plain exchanges and adaptive execution can split a hot lead
-    size = cut(groups.groupBy("lead").agg(F.count("*").alias("members"), blocks().alias("nb")).where("members > 1").drop("members"))
+    # written, so that the joins below are broadcasts, or of plain exchanges in which adaptive execution can split a hot lead
+    size = written(groups.groupBy("lead").agg(F.count("*").alias("members"), blocks().alias("nb")).where("members > 1").drop("members"), "near-sizes")
     groups = groups.join(size, "lead")
     parts = max(spark.sparkContext.defaultParallelism, min(100_000, groups.count() // (4 * BLOCK_ROWS)))
 
@@ -164,20 +164,20 @@ def class_components(docs: DataFrame, reps: DataFrame, more: DataFrame, shingle:
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     mine = groups.where("rep <> lead").withColumn("i", own)
     leads = groups.where("rep = lead").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    near = mine.unionByName(leads).select("lead", "i", F.lit(0).alias("j"), "rep", F.col("rep").alias("label"), F.lit(None).cast("boolean").alias("left"), "n_shingles", "sketch")
+    near = mine.unionByName(leads).select("lead", "i", F.lit(0).alias("j"), "rep", F.col("rep").alias("label"), F.lit(None).cast("boolean").alias("left"), "n_shingles", "sketch", "nb")
     links = cut(confirmed(docs, near, parts, shingle, percent).unionByName(more))
     first = connected_components(links, "a", "b").withColumnRenamed("id", "rep")
 
     # what is not of the component of most of its group, against all others of the group
     large = cut(groups.where("nb > 1").join(first, "rep", "left").withColumn("label", F.coalesce("component_id", "rep")).select("lead", "rep", "label", "nb", "n_shingles", "sketch"))
-    most = large.groupBy("lead", "label").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    most = written(large.groupBy("lead", "label").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max_by("label", F.struct("n", "label")).alias("most")), "near-most")
     rest = large.join(most, "lead").where("label <> most").drop("most")
-    rows = cut(rest.groupBy("lead").agg(blocks().alias("nr")))
+    rows = written(rest.groupBy("lead").agg(blocks().alias("nr")), "near-rest")
     if rows.isEmpty():
         return first
     left = rest.join(rows, "lead").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("nr")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("left", F.lit(True))
     right = large.join(rows, "lead").withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("left", F.lit(False))
-    cols = ["lead", "i", "j", "rep", "label", "left", "n_shingles", "sketch"]
+    cols = ["lead", "i", "j", "rep", "label", "left", "n_shingles", "sketch", "nb"]
     second = connected_components(cut(confirmed(docs, left.select(*cols).unionByName(right.select(*cols)), parts, shingle, percent)), "a", "b")
     second = second.select(F.col("id").alias("label"), F.col("component_id").alias("final"))
     # labels that are no member's own id are in no row of first
@@ -192,31 +192,35 @@ def blocks():
 def confirmed(docs: DataFrame, dealt: DataFrame, parts: int, shingle: int, percent: int) -> DataFrame:
     """(a, b) links between labels, enough to connect those that the rows of one (lead, i, j) connect on their full sets.
 
-    dealt: lead, i, j, rep, label, left, n_shingles, sketch. Rows of one label are not compared; where left is not null, left
-    rows are compared with the others only.
+    dealt: lead, i, j, rep, label, left, n_shingles, sketch, nb. Rows of one label are not compared; where left is not null,
+    left rows are compared with the others only. Groups of one block are dealt out in bins of about BLOCK_ROWS rows, since a
+    call for each would cost more than its comparisons.
     """
     limit = farthest(percent / 100 - MARGIN)
 
     def plausible(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows with a partner that neither size nor sketch rules out."""
         let_go()
-        pdf = pdf.sort_values("n_shingles", kind="stable")
+        pdf = pdf.sort_values(["lead", "n_shingles"], kind="stable")
         n, label, left = pdf["n_shingles"].to_numpy(), pdf["label"].to_numpy(), sides(pdf["left"])
         sketch, ok = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1), np.zeros(len(pdf), bool)
-        for a in range(0, len(pdf), 32):
-            b = min(a + 32, len(pdf))
-            end = int(np.searchsorted(n, n[b - 1] * 100 // percent, "right"))
-            hit = np.bitwise_count(sketch[a:b, None] ^ sketch[None, a:end]).sum(-1, dtype=np.int64) <= limit
-            hit &= (label[a:b, None] != label[None, a:end]) & (n[None, a:end] <= n[a:b, None] * 100 // percent) & ((left[a:b, None] != left[None, a:end]) | (left[a:b, None] < 0))
-            hit &= np.arange(end - a)[None, :] > np.arange(b - a)[:, None]
-            ok[a:b] |= hit.any(1)
-            ok[a:end] |= hit.any(0)
-        return pdf[ok][["lead", "i", "j", "rep", "label", "left", "sketch"]]
-
-    keys = "lead long, i int, j int, rep long, label long, left boolean, sketch binary"
-    # a fixed number of partitions: adaptive execution would merge by bytes what takes long
-    able = dealt.repartition(parts, "lead", "i", "j").groupBy("lead", "i", "j").applyInPandas(plausible, keys)
-    sent = written(able.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.collect_set(F.struct("lead", "i", "j", "label", "left")).alias("to")), "near-sent")
+        for first, last in runs(pdf["lead"].to_numpy()):
+            for a in range(first, last, 32):
+                b = min(a + 32, last)
+                end = a + int(np.searchsorted(n[a:last], n[b - 1] * 100 // percent, "right"))
+                hit = np.bitwise_count(sketch[a:b, None] ^ sketch[None, a:end]).sum(-1, dtype=np.int64) <= limit
+                hit &= (label[a:b, None] != label[None, a:end]) & (n[None, a:end] <= n[a:b, None] * 100 // percent) & ((left[a:b, None] != left[None, a:end]) | (left[a:b, None] < 0))
+                hit &= np.arange(end - a)[None, :] > np.arange(b - a)[:, None]
+                ok[a:b] |= hit.any(1)
+                ok[a:end] |= hit.any(0)
+        return pdf[ok][["bin", "lead", "i", "j", "rep", "label", "left", "sketch"]]
+
+    keys = "bin long, lead long, i int, j int, rep long, label long, left boolean, sketch binary"
+    # a bin for each block of a large group; a fixed number of partitions, since adaptive execution would merge by bytes what takes long
+    spot = ["bin", F.when(F.col("bin") < 0, F.col("lead")).alias("of"), "i", "j"]
+    dealt = dealt.withColumn("bin", F.when(F.col("nb") == 1, F.pmod(F.xxhash64("lead"), F.lit(4 * parts))).otherwise(F.lit(-1)).cast("long")).drop("nb")
+    able = dealt.repartition(parts, *spot).groupBy(*spot).applyInPandas(plausible, keys)
+    sent = written(able.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.collect_set(F.struct("bin", "lead", "i", "j", "label", "left")).alias("to")), "near-sent")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent, "rep")
 
     def expand(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,20 +235,29 @@ def confirmed(docs: DataFrame, dealt: DataFrame, parts: int, shingle: int, perce
                 for k in range(0, len(owner), SENT):
                     some = pa.array(owner[k : k + SENT])
                     rep, sketch = (batch.column(c).slice(a, b - a).take(some) for c in (0, 2))
-                    yield pa.RecordBatch.from_arrays([*flat.slice(k, SENT).flatten(), rep, sketch, sets.take(some)], names=["lead", "i", "j", "label", "left", "rep", "sketch", "set"])
+                    yield pa.RecordBatch.from_arrays([*flat.slice(k, SENT).flatten(), rep, sketch, sets.take(some)], names=["bin", "lead", "i", "j", "label", "left", "rep", "sketch", "set"])
 
     def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         let_go()
         # a doc_id may stand for several texts; the one sketch that was sent with them rules none of them out
-        repeated = pdf.duplicated(["rep", "left"], keep=False).to_numpy()
+        repeated = pdf.duplicated(["lead", "rep", "left"], keep=False).to_numpy()
         sets = [np.frombuffer(s, "<u8") for s in pdf["set"]]
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(sets), -1)
-        order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])), int)
-        found = set_links([sets[k] for k in order], pdf["label"].to_numpy()[order], percent, sides(pdf["left"])[order], sketch[order], repeated[order], limit)
+        label, left, lead = pdf["label"].to_numpy(), sides(pdf["left"]), pdf["lead"].to_numpy()
+        order, found = np.lexsort([np.fromiter(map(len, sets), np.int64, len(sets)), lead]), []
+        for first, last in runs(lead[order]):
+            k = order[first:last]
+            found += set_links([sets[x] for x in k], label[k], percent, left[k], sketch[k], repeated[k], limit)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    spread = texts.mapInArrow(expand, "lead long, i int, j int, label long, left boolean, rep long, sketch binary, set binary")
-    return spread.repartition(parts, "lead", "i", "j").groupBy("lead", "i", "j").applyInPandas(confirm, "a long, b long")
+    spread = texts.mapInArrow(expand, "bin long, lead long, i int, j int, label long, left boolean, rep long, sketch binary, set binary")
+    return spread.repartition(parts, *spot).groupBy(*spot).applyInPandas(confirm, "a long, b long")
+
+
+def runs(key: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of the runs of equal keys."""
+    edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist()
+    return list(zip(edge[:-1], edge[1:], strict=True)) if len(key) else []
 
 
 def sides(left: pd.Series) -> np.ndarray:

@@ -21,8 +21,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Words of a budget that are left to the knapsack program, and the most it can have to fill after shares are rounded.
 RESERVE, PROGRAM = 1 << 15, 1 << 16
-#: Leading bits of a document's 63-bit key by which documents of one (source, length) are counted.
-KEY_BITS = 16
+#: Bits of a document's 63-bit key by which documents of one (source, length) are counted at a time, from the first on.
+KEY_BITS, LEVELS = 8, 2
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -131,14 +131,17 @@ def chosen(slim: DataFrame, weights, share: float, most: float) -> DataFrame:
         return pdf.assign(copies=copies, take=take)[["source", "size", "source_size", "target", "copies", "take", "n"]]
 
     plan = cut(hist.groupBy("source").applyInPandas(fit, "source string, size long, source_size long, target double, copies int, take long, n long"))
-    # the bin of leading bits in which the last one taken lies, then its place in that bin
-    open_ = written(plan.where("take > 0 AND take < n").select(F.col("source").alias("s"), F.col("size").alias("z"), "take"), "mix-open")
+    # the bin of leading bits in which the last one taken lies, bin by bin, then its place in the last bin
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
-    asked = slim.join(open_, same).select("source", "size", "key", F.shiftright("key", 63 - KEY_BITS).alias("bin"), "take")
-    bins = asked.groupBy("source", "size", "bin", "take").agg(F.count("*").alias("n"))
-    upto = bins.withColumn("upto", F.sum("n").over(W.partitionBy("source", "size").orderBy("bin")))
-    last_bin = written(upto.where("upto >= take AND upto - n < take").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("bin").alias("b"), (F.col("take") - F.col("upto") + F.col("n")).alias("place")), "mix-bins")
-    within = asked.join(last_bin, same & (F.col("bin") == F.col("b"))).withColumn("k", F.row_number().over(W.partitionBy("source", "size").orderBy("key")))
+    open_ = written(plan.where("take > 0 AND take < n").select(F.col("source").alias("s"), F.col("size").alias("z"), F.lit(0).cast("long").alias("bin"), F.col("take").alias("place")), "mix-open")
+    for level in range(1, LEVELS + 1):
+        kept, shift = 63 - KEY_BITS * (level - 1), 63 - KEY_BITS * level
+        asked = slim.join(open_, same & (F.shiftright("key", kept) == F.col("bin"))) if level > 1 else slim.join(open_, same)
+        bins = asked.groupBy("source", "size", "place", F.shiftright("key", shift).alias("b")).agg(F.count("*").alias("n"))
+        upto = bins.withColumn("upto", F.sum("n").over(W.partitionBy("source", "size").orderBy("b")))
+        hit = upto.where("upto >= place AND upto - n < place")
+        open_ = written(hit.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("b").alias("bin"), (F.col("place") - F.col("upto") + F.col("n")).alias("place")), "mix-bins")
+    within = slim.join(open_, same & (F.shiftright("key", 63 - KEY_BITS * LEVELS) == F.col("bin"))).withColumn("k", F.row_number().over(W.partitionBy("source", "size").orderBy("key")))
     last = within.where("k = place").select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("key").alias("last_key"))
     end = F.when(F.col("take") >= F.col("n"), F.lit(2**63 - 1)).otherwise(F.coalesce("last_key", F.lit(-1))).cast("long")
     return plan.join(last, same, "left").select("source", "size", "source_size", "target", "copies", end.alias("last"))

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, let_go, sliced, text_bytes
@@ -133,14 +132,14 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
     """Learns from SAMPLE labelled rows of each label at most, none held out, and SAMPLE_TERMS terms of them together.
 
-    The rows of a label weigh so much that both labels count as in the table, and label 1 POSITIVE times that. The driver
-    gets the hashed terms of the sampled rows.
+    The rows of a label weigh so much that both labels count as in the table, and label 1 POSITIVE times that. One task gets
+    the hashed terms of the sampled rows, the driver the weights.
     """
     y = (F.col(label) > 0).cast("int")
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y"))
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
-    rank = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    some = known.withColumn("k", rank).where(F.col("k") <= SAMPLE).drop("k")
+    in_order = lambda value: known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    some = in_order(0).unionByName(in_order(1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
 
     def hashed(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,16 +149,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, found)), pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())], names=["doc_id", "y", "n", "t"])
 
     rows = cut(texts.mapInArrow(hashed, "doc_id long, y int, n long, t binary"))
-    in_order = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("t"))
-    sizes = np.array(in_order.select("n").limit(2 * SAMPLE).toArrow()["n"].to_pylist(), np.int64)
-    got = in_order.select("y", "t").limit(int(np.searchsorted(np.cumsum(sizes), SAMPLE_TERMS, "right"))).toArrow()
-    y, found = np.array(got["y"].to_pylist(), np.float32), [np.frombuffer(t, np.int32) for t in got["t"].to_pylist()]
-    weight = np.ones(len(y), np.float32)
-    for value in (0, 1):
-        mine = y == value
-        if mine.any():
-            weight[mine] = total[value] / mine.sum() * (POSITIVE if value else 1.0)
-    return learn(found, y, weight / max(weight.mean(), 1e-9) if len(y) else weight)
+    sampled = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y", F.xxhash64("t")).limit(2 * SAMPLE).select("y", "n", "t")
+
+    def fit(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        got = pa.Table.from_batches(batched, pa.schema([("y", pa.int32()), ("n", pa.int64()), ("t", pa.binary())]))
+        got = got.slice(0, int(np.searchsorted(np.cumsum(got["n"].to_numpy()), SAMPLE_TERMS, "right")))
+        y, found = got["y"].to_numpy().astype(np.float32), [np.frombuffer(t, np.int32) for t in got["t"].to_pylist()]
+        weight = np.ones(len(y), np.float32)
+        for value in (0, 1):
+            mine = y == value
+            if mine.any():
+                weight[mine] = total[value] / mine.sum() * (POSITIVE if value else 1.0)
+        m = learn(found, y, weight / max(float(weight.mean()), 1e-9) if len(y) else weight)
+        yield pa.RecordBatch.from_arrays([pa.array([m.w0]), *(pa.array([x.tobytes()], pa.binary()) for x in (m.places, m.w, m.v))], names=["w0", "places", "w", "v"])
+
+    # in one task of the sample's size, so that it is repeated elsewhere if the executor is lost, and the driver stays small
+    m = sampled.coalesce(1).mapInArrow(fit, "w0 double, places binary, w binary, v binary").first()
+    if m is None:
+        return learn([], np.zeros(0, np.float32), np.zeros(0, np.float32))
+    return Machine(np.frombuffer(m.places, np.int32), m.w0, np.frombuffer(m.w, np.float32), np.frombuffer(m.v, np.float32).reshape(-1, FACTORS))
 
 
 def judge(docs: DataFrame, labels: DataFrame, label: str, threshold: float, columns: list[str], schema: str) -> DataFrame:
