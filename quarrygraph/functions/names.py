@@ -47,11 +47,11 @@ def is_accessor(label: Column) -> Column:
 
 #: Method name prefixes of repositories, in the order in which they are tried.
 REPOSITORY_PREFIXES = (
-    ("C", "insert create persist register"),
-    ("CU", "save store add"),
-    ("R", "find get select load read count exists list search query fetch"),
-    ("U", "update merge modify"),
-    ("D", "delete remove purge"),
+    ("C", ("insert", "create", "persist", "register")),
+    ("CU", ("save", "store", "add")),
+    ("R", ("find", "get", "select", "load", "read", "count", "exists", "list", "search", "query", "fetch")),
+    ("U", ("update", "merge", "modify")),
+    ("D", ("delete", "remove", "purge")),
 )
 
 
@@ -59,7 +59,7 @@ def repository_operation(method: Column) -> Column:
     """Letters of what a repository method does, null if its prefix says nothing."""
     out = F.lit(None).cast("string")
     for letters, prefixes in reversed(REPOSITORY_PREFIXES):
-        out = F.when(method.rlike("^(" + prefixes.replace(" ", "|") + ")"), F.lit(letters)).otherwise(out)
+        out = F.when(method.rlike("^(" + "|".join(prefixes) + ")"), F.lit(letters)).otherwise(out)
     return out
 
 
@@ -90,7 +90,7 @@ def normalised(text: Column) -> Column:
 
 
 def is_logging_call(text: Column) -> Column:
-    return text.rlike(r"^(logger\.|log\.|LOG\.|Logger\.|System\.out|System\.err)")
+    return text.rlike(r"^(logger\.|log\.|LOG\.|Logger\.|System\.out\.|System\.err\.)")
 
 
 def tags_stripped(text: Column, most: int = 60) -> Column:

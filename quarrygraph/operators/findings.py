@@ -10,6 +10,7 @@ from quarrygraph import schema
 from quarrygraph.functions import code, names
 from quarrygraph.plans import graph
 from quarrygraph.plans.space import Space, members
+from quarrygraph.session import cut
 
 
 def unknowns(space: Space, scope: str | None = None) -> DataFrame:
@@ -92,7 +93,6 @@ def crud_matrix(space: Space, mapper: DataFrame | None = None) -> DataFrame:
     tables = data_classes(space)
     called = space.calls("java.calls").select(F.col("dst").alias("cell_id")).distinct()
     entries = space.entities.where((F.col("entity_type") == "java.method") & ~names.is_accessor(F.col("label"))).join(called, "cell_id", "left_anti")
-    reach = graph.closure(space.calls(*schema.CALLS), entries.select(F.col("cell_id").alias("node")))
     lines = body_lines(space)
     named = tables.withColumn("_name", F.lower("table_name"))
     # lines with an SQL keyword meet tables by the identifiers they hold
@@ -110,18 +110,25 @@ def crud_matrix(space: Space, mapper: DataFrame | None = None) -> DataFrame:
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
-    out = reach.join(every, reach["node"] == every["cell_id"]).join(entries.select(F.col("cell_id").alias("start"), F.col("fqn").alias("entry_point")), "start")
+    every = cut(every)
+    # from the cells with evidence back to the entry points, not from all entry points to all cells
+    back = space.calls(*schema.CALLS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reach = graph.closure(back, every.select(F.col("cell_id").alias("node"))).withColumnsRenamed({"start": "cell_id", "node": "entry"})
+    out = reach.join(every, "cell_id").join(entries.select(F.col("cell_id").alias("entry"), F.col("fqn").alias("entry_point")), "entry")
     ops = F.array_join(F.filter(F.array(*map(F.lit, "CRUD")), lambda x: F.contains(F.col("all"), x)), "")
     return out.groupBy("table_class", "table_name", "entry_point").agg(F.array_join(F.collect_set("operations"), "").alias("all"), F.slice(F.array_sort(F.collect_set("evidence")), 1, 5).alias("evidence")).select("table_class", "table_name", "entry_point", ops.alias("operations"), "evidence").orderBy("table_name", "entry_point")
 
 
 def crud_closure(space: Space, targets: DataFrame) -> DataFrame:
-    """(entry, target, depth_free count): which targets (cell_id, target) each entry point reaches, with how many cells of each."""
+    """(entry_point, target): which targets (cell_id, target) each entry point reaches by calls and constructions.
+
+    Targets are carried back along the edges, so rows are bounded by cells times targets instead of pairs of cells.
+    """
     called = space.calls("java.calls").select(F.col("dst").alias("cell_id")).distinct()
-    entries = space.entities.where(F.col("entity_type") == "java.method").join(called, "cell_id", "left_anti").join(space.calls(*schema.CALLS).select(F.col("src").alias("cell_id")).distinct(), "cell_id", "left_semi")
-    reach = graph.closure(space.calls(*schema.CALLS), entries.select(F.col("cell_id").alias("node")))
-    hit = reach.join(targets.withColumnRenamed("cell_id", "node"), "node").groupBy("start", "target").agg(F.count("*").alias("cells"))
-    return hit.join(entries.select(F.col("cell_id").alias("start"), F.col("fqn").alias("entry_point")), "start").select("entry_point", "target", "cells")
+    entries = space.entities.where(F.col("entity_type") == "java.method").join(called, "cell_id", "left_anti")
+    back = space.calls(*schema.CALLS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    reach = graph.closure(back, targets.select(F.col("cell_id").alias("node"), F.col("target").alias("start")))
+    return reach.join(entries.select(F.col("cell_id").alias("node"), F.col("fqn").alias("entry_point")), "node").select("entry_point", F.col("start").alias("target")).distinct()
 
 
 def last_write(log: DataFrame, key: str = "cell_id", order: str = "version") -> DataFrame:

@@ -19,6 +19,14 @@ def min_combine(*distances: DataFrame) -> DataFrame:
     return every.groupBy("i", "j").agg(F.min("d").alias("d"))
 
 
+def near_pairs(points: DataFrame, most: float) -> DataFrame:
+    """(i, j, d) for i < j of points(k, x) on a line that are at most so far apart, by equality on cells of that width."""
+    cell = F.floor(F.col("x") / most)
+    a = points.select(F.col("k").alias("i"), F.col("x").alias("xi"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    b = points.select(F.col("k").alias("j"), F.col("x").alias("xj"), cell.alias("cell"))
+    return a.join(b, "cell").where("i < j").select("i", "j", F.abs(F.col("xi") - F.col("xj")).alias("d")).where(F.col("d") <= most)
+
+
 def rips_stages(distances: DataFrame) -> DataFrame:
     """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance."""
     pairs = distances.where("i < j AND d > 0").select("i", "j", "d")

@@ -5,13 +5,19 @@ Regions are packages, nations and parts classes, customers methods, suppliers co
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrygraph.session import shared_dir
+from quarrygraph.sources import store
+
 from .space import Space
 
-MIN_DISCOUNT, MIN_QUANTITY = 0.09, 45
+#: Loaded spaces by application and folder.
+_STORED: dict[tuple[str, str], Space] = {}
 
 
 def _entity(df: DataFrame, fqn, cell, kind: str, label, owner, line) -> DataFrame:
@@ -23,6 +29,16 @@ def _entity(df: DataFrame, fqn, cell, kind: str, label, owner, line) -> DataFram
 
 
 def demo_space(spark: SparkSession, sf_dir: str) -> Space:
+    """The space of the tables below sf_dir, derived once for each application and kept in a store below the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        root = f"{shared_dir(spark)}/quarry/demo-{uuid.uuid4().hex}"
+        store.save(derived_space(spark, sf_dir), root)
+        _STORED[key] = store.load(spark, root, "demo")
+    return _STORED[key]
+
+
+def derived_space(spark: SparkSession, sf_dir: str) -> Space:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     region = t["region"].select("r_regionkey", F.concat(F.lit("geo."), F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))).alias("pkg"))
     nation = t["nation"].join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_regionkey", F.concat("pkg", F.lit(".Nation"), F.col("n_nationkey")).alias("cls"))
@@ -43,7 +59,7 @@ def demo_space(spark: SparkSession, sf_dir: str) -> Space:
     every = entities[0]
     for e in entities[1:]:
         every = every.unionByName(e)
-    lines = t["lineitem"].where((F.col("l_discount") >= MIN_DISCOUNT) & (F.col("l_quantity") >= MIN_QUANTITY)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     following = F.lead("l_partkey").over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey"))
     chain = lines.withColumn("next", following).where("next IS NOT NULL AND next <> l_partkey")
     bought = lines.join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))

@@ -32,9 +32,13 @@ def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = F
 
 
 def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """(start, node) for all nodes reachable from each start, itself included."""
+    """(start, node) for all nodes reachable from each start, itself included.
+
+    starts(node), or starts(node, start) where several nodes go by one name.
+    """
     step = cut(edges.select("src", "dst").distinct())
-    seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())
+    name = F.col("start") if "start" in starts.columns else F.col("node")
+    seen = cut(starts.select(name.alias("start"), "node").distinct())
     frontier, k = seen, 0
     while max_rounds is None or k < max_rounds:
         k += 1

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrygraph import schema
@@ -14,8 +13,7 @@ from quarrygraph.plans import graph
 from quarrygraph.plans.demo import demo_space
 from quarrygraph.plans.lift import lift
 from quarrygraph.plans.space import Space, resolve
-
-Query = Callable[[SparkSession, str], DataFrame]
+from quarrygraph.registry import ORACLES, QUERIES, query
 
 GRAPH = """
 WITH RECURSIVE pkg AS (SELECT r_regionkey, 'geo.' || lower(replace(r_name, ' ', '_')) AS pkg FROM region),
@@ -28,7 +26,7 @@ entities AS (
   UNION ALL SELECT cls || '.Supp' || s_suppkey, 's' || s_suppkey, 'java.constructor', 'Supp' || s_suppkey || '()', cls, s_suppkey::INT FROM supplier JOIN cls ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT 'segment.' || c_mktsegment, 'a' || c_mktsegment, 'java.annotation', c_mktsegment, 'segment.' || c_mktsegment, 1 FROM customer
 ),
-lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_discount >= 0.09 AND l_quantity >= 45),
+lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
 chain AS (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS next FROM lines),
 incidences AS (
   SELECT DISTINCT * FROM (
@@ -47,22 +45,6 @@ hub AS (SELECT to_cell_id AS cell_id FROM incidences WHERE relation_type IN ('ja
 PACKAGE = "rtrim(regexp_extract({0}, '^([a-z_0-9][^.]*(\\.|$))*'), '.')"
 CLASS = "CASE WHEN regexp_extract({0}, '^([^A-Z.][^.]*\\.)*[A-Z][^.]*') = '' THEN {0} ELSE regexp_extract({0}, '^([^A-Z.][^.]*\\.)*[A-Z][^.]*') END"
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with SQL that gives the same rows."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def hub(space: Space) -> str:
     """The full name of the part that most calls and constructions go to."""
     top = space.incidences.where(F.col("relation_type").isin(*schema.CALLS) & F.col("to_cell_id").startswith("p")).groupBy("to_cell_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "to_cell_id").first()
@@ -232,9 +214,9 @@ def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(GRAPH + """
-, starts AS (SELECT DISTINCT from_cell_id AS s FROM incidences WHERE relation_type IN ('java.calls', 'java.constructs') AND from_cell_id LIKE 'c%'),
-reach AS (SELECT s, s AS node FROM starts UNION SELECT s, to_cell_id FROM reach JOIN incidences ON from_cell_id = node WHERE relation_type IN ('java.calls', 'java.constructs'))
-SELECT e.fqn AS entry_point, p_brand AS target, count(*) AS cells FROM reach JOIN entities e ON e.cell_id = s JOIN part ON node = 'p' || p_partkey GROUP BY 1, 2""")
+, link AS (SELECT DISTINCT from_cell_id AS a, to_cell_id AS b FROM incidences WHERE relation_type IN ('java.calls', 'java.constructs')),
+reach AS (SELECT 'p' || p_partkey AS node, p_brand AS target FROM part UNION SELECT a, target FROM reach JOIN link ON b = node)
+SELECT DISTINCT fqn AS entry_point, target FROM reach JOIN entities ON cell_id = node WHERE entity_type = 'java.method' AND cell_id NOT IN (SELECT to_cell_id FROM incidences WHERE relation_type = 'java.calls')""")
 def crud_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p"), "p_partkey").alias("cell_id"), F.col("p_brand").alias("target"))
     return findings.crud_closure(demo_space(spark, sf_dir), parts)
@@ -242,8 +224,10 @@ def crud_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GRAPH + """
 , e AS (SELECT from_cell_id AS a, to_cell_id AS b FROM incidences WHERE relation_type = 'java.calls' UNION SELECT to_cell_id, from_cell_id FROM incidences WHERE relation_type = 'java.calls'),
-label AS (SELECT cell_id AS node, cell_id AS root FROM entities UNION SELECT e.b, root FROM label JOIN e ON e.a = node),
-comp AS (SELECT node, min(root) AS component FROM label GROUP BY 1)
+label(node, component) USING KEY (node) AS (
+  SELECT cell_id, cell_id FROM entities
+  UNION SELECT e.b, min(l.component) FROM label l JOIN e ON e.a = l.node JOIN recurring.label r ON r.node = e.b WHERE l.component < r.component GROUP BY 1
+), comp AS (SELECT node, component FROM label)
 SELECT component, count(*) AS members, count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) AS packages, count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) > 1 AS crosses_boundary FROM comp JOIN entities ON cell_id = node GROUP BY 1""")
 def domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = topology.domain_clusters(demo_space(spark, sf_dir), 2)
@@ -251,13 +235,13 @@ def domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH pts AS (SELECT p_partkey AS k, round(p_retailprice, 2) AS x FROM part WHERE p_partkey <= 40),
-pairs AS (SELECT a.k AS i, b.k AS j, round(abs(a.x - b.x), 2) AS d FROM pts a JOIN pts b ON a.k < b.k AND abs(a.x - b.x) BETWEEN 0.005 AND 100)
+WITH pts AS (SELECT p_partkey AS k, round(p_retailprice, 2) AS x, floor(round(p_retailprice, 2))::BIGINT AS cell FROM part),
+pairs AS (SELECT a.k AS i, b.k AS j, round(abs(a.x - b.x), 2) AS d FROM pts a, (VALUES (-1), (0), (1)) o(o), pts b WHERE b.cell = a.cell + o AND a.k < b.k AND abs(a.x - b.x) BETWEEN 0.005 AND 1)
 SELECT i, j, d, dense_rank() OVER (ORDER BY d) AS stage FROM pairs""")
 def rips_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 40").select(F.col("p_partkey").alias("k"), F.round("p_retailprice", 2).alias("x"))
-    a, b = p.select(F.col("k").alias("i"), F.col("x").alias("xi")), p.select(F.col("k").alias("j"), F.col("x").alias("xj"))
-    near = a.join(b, (F.col("i") < F.col("j")) & F.abs(F.col("xi") - F.col("xj")).between(0.005, 100)).select("i", "j", F.round(F.abs(F.col("xi") - F.col("xj")), 2).alias("d"))
+    """Parts whose prices are at most 1 apart."""
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.round("p_retailprice", 2).alias("x"))
+    near = topology.near_pairs(points, 1.0).where("d >= 0.005").withColumn("d", F.round("d", 2))
     return topology.rips_stages(near).select("i", "j", "d", F.col("stage").cast("long").alias("stage"))
 
 
@@ -269,14 +253,16 @@ def invariants_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invariants.reachability(demo_space(spark, sf_dir))
 
 
-@query(GRAPH + """
-, step AS (SELECT DISTINCT from_cell_id AS a, to_cell_id AS b FROM incidences WHERE relation_type = 'java.calls' AND from_cell_id LIKE 'p%' AND to_cell_id LIKE 'p%'),
-path AS (SELECT [a] AS p, b AS nxt FROM step WHERE b >= a UNION ALL SELECT list_append(p, nxt), s.b FROM path JOIN step s ON s.a = nxt WHERE nxt <> p[1] AND NOT list_contains(p, nxt) AND s.b >= p[1] AND len(p) < 4)
+@query("""
+WITH RECURSIVE ordered AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events),
+step AS (SELECT DISTINCT a, b FROM ordered WHERE b IS NOT NULL),
+path AS (SELECT [a] AS p, b AS nxt FROM step WHERE b >= a UNION ALL SELECT list_append(p, nxt), s.b FROM path JOIN step s ON s.a = nxt WHERE nxt <> p[1] AND NOT list_contains(p, nxt) AND s.b >= p[1])
 SELECT array_to_string(p, '>') AS cycle, len(p) AS length FROM path WHERE nxt = p[1]""")
 def invariants_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
-    edges = space.calls("java.calls").where(F.col("src").startswith("p") & F.col("dst").startswith("p"))
-    return graph.cycles(edges, None, 4).select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
+    """All simple cycles of event types that follow each other for some user."""
+    following = F.lead("event_type").over(W.partitionBy("user_id").orderBy("event_id"))
+    edges = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("src"), following.alias("dst")).where("dst IS NOT NULL")
+    return graph.cycles(edges, None, 20).select(F.array_join("path", ">").alias("cycle"), F.size("path").cast("long").alias("length"))
 
 
 @query(r"""
@@ -546,7 +532,7 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT coalesce(a.event_id, b.event_id) AS cell_id, CASE WHEN b.event_type IN ('click', 'view') THEN b.event_type ELSE a.event_type END AS intent FROM (SELECT * FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT * FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id""")
 def merged_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlays say something for two event types only; elsewhere the base stays."""
+    """Every second event has a base and every third an overlay, which says something for two event types only."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
     row = lambda df, intent: df.select(F.col("event_id").alias("cell_id"), intent.alias("intent"), text.alias("behavior"), text.alias("error_behavior"), *(none.alias(c) for c in evidence.LISTS))
@@ -601,3 +587,9 @@ def dotted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", fqn.alias("f"))
     f = F.col("f")
     return c.select("c_custkey", names.package_of_types(f).alias("package"), names.class_prefix(f).alias("cls"), names.parent_name(f).alias("owner"), names.simple_name(names.parent_name(f)).alias("simple"))
+
+
+# further queries register themselves
+from quarrygraph import queries_sources  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]
