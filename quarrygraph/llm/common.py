@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.session import cut, shared_dir
 
-__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "planned_bytes", "read_table", "shared_dir", "text_bytes", "written"]
+__all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "planned_bytes", "read_table", "release", "shared_dir", "text_bytes", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_PARTS = 5
@@ -66,16 +68,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _CACHED: dict = {}
+_TASK: list = [None]
+
+
+def release() -> None:
+    """Gives freed memory back to the system: the allocators keep what earlier tasks of this worker used, and a later
+    operator's needs would come on top of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
 
 
 def worker_cache(name: str, make):
     """The one large object that this Python worker keeps between tasks; what another operator kept is let go first."""
     if name not in _CACHED:
         _CACHED.clear()
+        release()
         _CACHED[name] = make()
     return _CACHED[name]
 
 
 def let_go() -> None:
     """For kernels that keep nothing: workers are shared by all operators, so an earlier one's cache must not stay."""
+    from pyspark import TaskContext
+
     _CACHED.clear()
+    task = TaskContext.get()
+    if (now := task.taskAttemptId() if task else None) != _TASK[0]:  # once a task, not once a group
+        _TASK[0] = now
+        release()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, let_go, sliced, text_bytes
+from .common import cut, held_out, let_go, release, sliced, text_bytes
 from .wordhash import NON_LETTERS, batches, hash_words
 
 TERM_BITS, STEMS = 22, (5, 8)
@@ -92,10 +92,10 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
     able = [k for k in rng.permutation(len(rows)) if len(rows[k])]
     if not able or len(np.unique(y)) < 2:
         return Machine(np.zeros(0, np.int32), w0, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    flat = np.concatenate([rows[k] for k in able])
-    n = np.bincount(flat, minlength=1 << TERM_BITS)
-    hits = np.bincount(flat, np.repeat(y[able], [len(rows[k]) for k in able]), 1 << TERM_BITS)
-    del flat
+    n, hits = np.zeros(1 << TERM_BITS, np.int32), np.zeros(1 << TERM_BITS, np.int32)
+    for k in able:
+        n[rows[k]] += 1
+        hits[rows[k]] += int(y[k])
     places = np.flatnonzero(n).astype(np.int32)
     number = Machine(places, 0.0, n, n).table()
     scale, size = trust(n[places], hits[places], float(y[able].mean())), len(places)
@@ -162,6 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
             if mine.any():
                 weight[mine] = total[value] / mine.sum() * (POSITIVE if value else 1.0)
         m = learn(found, y, weight / max(float(weight.mean()), 1e-9) if len(y) else weight)
+        del got, found
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([m.w0]), *(pa.array([x.tobytes()], pa.binary()) for x in (m.places, m.w, m.v))], names=["w0", "places", "w", "v"])
 
     # in one task of the sample's size, so that it is repeated elsewhere if the executor is lost, and the driver stays small

@@ -76,7 +76,7 @@ def test_token_output(spark, tmp_path):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    texts = ODD + [None]
+    texts = ODD + [None, " ".join(f"word{k % 977}" for k in range(40_000)), "z" * 20_000]
     docs = docs_of(spark, texts).withColumn("part", F.lit("clash")).orderBy(F.desc("doc_id"))
     out = token_output.token_output(docs, tokenizer_file("byte_bpe_50k.json"), path=str(tmp_path / "t")).orderBy("doc_id").collect()
     start = 0
@@ -98,10 +98,15 @@ def test_token_counts(spark):
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     rng = random.Random(5)
     texts = ODD + [None] + ["".join(rng.choice(list("ab e.\n\t▁<é0日") + ["  ", " the", "\U0001f389"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
-    out = token_count.token_counts(docs_of(spark, texts), path, limit=3).orderBy("doc_id").collect()
+    texts += [" ".join(rng.choice(["the", "of", "naïve", "0b1", "日本語", "x" * 40]) for _ in range(30_000)), "y" * 30_000]
+    docs = docs_of(spark, texts).withColumns({"n_tokens": F.lit("clash"), "N_BYTES": F.lit(1)})
+    out = token_count.token_counts(docs, path, limit=3).orderBy("doc_id").collect()
     for r, t in zip(out, texts, strict=True):
         n = len(lib.encode(t or ""))
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((t or "").encode()), n > 3)
+    some = docs.limit(9).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.n_tokens for r in token_count.token_counts(some.unionAll(some), path).collect()) == sorted(2 * [r.n_tokens for r in out[:9]])
+    assert token_count.token_counts(docs.limit(0), path).count() == 0
 
 
 # --- 2 --------------------------------------------------------------------------------------------------------------
@@ -344,7 +349,8 @@ def near_texts(seed, groups=12, size=14):
 
 @pytest.mark.parametrize("shingle", [4, 5])
 def test_near_groups(spark, shingle, monkeypatch):
-    texts = near_texts(shingle) + [None, "", " ", "a b c", "A  b\tC", "a b c d e"]
+    long = " ".join(f"w{k * k % 9973}" for k in range(30_000))
+    texts = near_texts(shingle) + [None, "", " ", "a b c", "A  b\tC", "a b c d e", long, long + " and more", "x" * 20_000]
     docs = docs_of(spark, texts).withColumn("rep", F.lit("clash"))
     got = [(r.n_shingles, r.component_id) for r in minhash_dedup.near_groups(docs, shingle, 80).orderBy("doc_id").collect()]
     assert got == brute_groups(texts, shingle, 80)
@@ -441,6 +447,55 @@ def test_quality(spark):
     assert quality.score_quality(odd.limit(0), labels).count() == 0
 
 
+def plain_statistics(text):
+    """The statistics of a text, counted one by one."""
+    t = (text or "").encode()
+    if not t:
+        return [0.0] * len(quality.NAMES)
+    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), t)
+    w, lines, n = re.findall(rb"[^\x20\x09-\x0D]+", low), t.split(b"\n"), len(t)
+    m, count = max(len(w), 1), lambda f: sum(map(f, t))
+    a, z, up, high = 97, 122, count(lambda c: 65 <= c <= 90), count(lambda c: c >= 128)
+    letters = max(count(lambda c: a <= c <= z) + up + high, 1)
+    pairs = list(zip(w[:-1], w[1:]))
+    return [
+        np.log1p(n), np.log1p(len(w)), n / m, up / letters, count(lambda c: 48 <= c <= 57) / n, count(lambda c: c in b"#$%&*|<>{}[]=~^_\\@+") / n, count(lambda c: c in b".,;:!?'\"()-") / n, high / n, np.log1p(len(lines)), np.log1p(n / len(lines)),
+        len(set(w)) / m, len(set(pairs)) / max(len(w) - 1, 1) if pairs else 1.0, max(collections.Counter(w).values()) / m if w else 0, len(set(lines)) / len(lines),
+        len(re.findall(rb"[^\w\s.,;:]{2,}(?=\s|$)", t)) / m, t.count(b"!") / m, letters / n, t.count(b".") / m,
+    ]
+
+
+def test_quality_statistics_are_plain_counts():
+    texts = [t for t in ODD if t] + ["A b!  c.\n\nA b! C.. ** !!\nend", "x"]
+    got = quality.statistics([t.encode() for t in texts])
+    assert np.allclose(got, [plain_statistics(t) for t in texts]) and not quality.statistics([b""]).any()
+
+
+def test_quality_scores_are_those_of_one_plain_fit(spark):
+    """Ridge on all rows at once, solved in one piece, with rates pooled over the same bins."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["good", "plain", "words", "here."]) for _ in range(rng.randint(5, 60))) + rng.choice(["", " !!! $$$ 99 ##", " A B C"]) for _ in range(400)] + ["", "   "]
+    labels = {k: int("$" not in t) if rng.random() < 0.95 else 1 for k, t in enumerate(texts[:350])}
+    docs = docs_of(spark, [*texts, None]).withColumns({"score": F.lit("clash"), "x": F.lit(1), "y": F.lit(2)})
+    known = [*labels.items(), (3, 0), (3, 1), (None, 1), (7, None)]
+    got = {r.doc_id: r for r in quality.score_quality(docs, spark.createDataFrame(known, "doc_id long, quality int")).collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in range(len(texts) + 1)}
+    x = np.array([plain_statistics(t) for t in [*texts, None]])
+    rows = [(k, y) for k, y in known if k is not None and y is not None and not held[k]]
+    at, y = [k for k, _ in rows], np.array([float(v) for _, v in rows])
+    feature = quality.Map(x[at].mean(0), x[at].std(0))
+    f = feature(x)
+    d = f.shape[1]
+    weight = np.linalg.solve(f[at].T @ f[at] + 1e-3 * len(at) * np.eye(d) / d, f[at].T @ y)
+    bins = np.clip((f @ weight + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1)
+    total, hits = np.bincount(bins[at].astype(int), minlength=quality.BINS), np.bincount(bins[at].astype(int), y, quality.BINS)
+    want = quality.isotonic(total, hits)[bins.astype(int)]
+    edge = np.abs(bins - np.round(bins)) < 1e-3  # a bin's edge may fall either way
+    assert edge.sum() < 10 and all(abs(got[k].score - want[k]) < 0.05 for k in range(len(want)) if not edge[k])
+    assert all(got[k].held_out == held[k] and got[k].predicted == (got[k].score >= 0.3) for k in got)
+    assert len({got[400].score, got[402].score}) == 1  # empty and null alike
+
+
 def test_isotonic_rates_do_not_fall():
     rng = np.random.default_rng(0)
     total = rng.integers(0, 9, 50)
