@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrygraph.functions.names import parent_name
 from quarrygraph.plans import graph
 from quarrygraph.plans.space import Space
+from quarrygraph.session import cut
 
 
 def min_combine(*distances: DataFrame) -> DataFrame:
@@ -35,12 +36,35 @@ def rips_stages(distances: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(levels), "d").select("i", "j", "d", "stage")
 
 
+def spanning_forest(stages: DataFrame) -> DataFrame:
+    """(i, j, stage): the edges of a least spanning forest of the pairs, by (stage, i, j).
+
+    Every component takes its least edge to another one, again and again: the number of components halves at least each time,
+    however many stages there are.
+    """
+    edges = cut(stages.select("i", "j", "stage", F.col("i").alias("a"), F.col("j").alias("b")).where("a <> b"))
+    found = None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("c"), "i", "j", "stage", "a", "b").unionAll(edges.select(F.col("b").alias("c"), "i", "j", "stage", "a", "b"))
+        least = both.groupBy("c").agg(F.min_by(F.struct("i", "j", "stage", "a", "b"), F.struct("stage", "i", "j")).alias("e"))
+        taken = cut(least.select("e.*").distinct())
+        found = taken.select("i", "j", "stage") if found is None else found.unionAll(taken.select("i", "j", "stage"))
+        label = cut(graph.connected(taken, "a", "b"))
+        near, far = label.withColumnsRenamed({"id": "a", "component": "x"}), label.withColumnsRenamed({"id": "b", "component": "y"})
+        edges = edges.join(near, "a", "left").join(far, "b", "left").select("i", "j", "stage", F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
+        edges = cut(edges)
+    return found if found is not None else stages.select("i", "j", "stage").where("false")
+
+
 def merge_stages(points: DataFrame, stages: DataFrame) -> list[int]:
-    """Component counts at stage 0, 1, ...: how many clusters are left after each threshold."""
+    """Component counts at stage 0, 1, ...: how many clusters are left after each threshold.
+
+    Each edge of a spanning forest joins two clusters at its stage.
+    """
+    joined = {r.stage: r.n for r in spanning_forest(stages).groupBy("stage").agg(F.count("*").alias("n")).collect()}
     counts = [points.select("node").distinct().count()]
-    for s in [r.stage for r in stages.select("stage").distinct().orderBy("stage").collect()]:
-        edges = stages.where(F.col("stage") <= s).select(F.col("i").alias("src"), F.col("j").alias("dst"))
-        counts.append(graph.components(points, edges).select("component").distinct().count())
+    for s in range(1, (stages.agg(F.max("stage")).first()[0] or 0) + 1):
+        counts.append(counts[-1] - joined.get(s, 0))
     return counts
 
 
@@ -58,7 +82,7 @@ def cut_stage(counts: list[int], min_lifetime: int) -> int:
 
 def clusters(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) -> DataFrame:
     """(component, members, lifetime, confidence) by a metric; points(node, fqn), distances(i, j, d)."""
-    stages = rips_stages(distances).cache()
+    stages = cut(rips_stages(distances))
     counts = merge_stages(points, stages)
     at, last = cut_stage(counts, min_lifetime), len(counts) - 1
     edges = stages.where(F.col("stage") <= at).select(F.col("i").alias("src"), F.col("j").alias("dst"))
