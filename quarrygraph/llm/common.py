@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.session import cut, shared_dir
+from quarrygraph.session import bound_batches, cut, shared_dir
 
 __all__ = ["let_go", "sliced", "worker_cache", "HELD_OUT_PARTS", "WORD", "cut", "fresh_path", "held_out", "planned_bytes", "read_table", "release", "shared_dir", "text_bytes", "written"]
 
@@ -64,6 +64,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int = 4_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

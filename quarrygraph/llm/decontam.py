@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let_go, sliced, text_bytes
+from .common import let_go, release, sliced, text_bytes
 from .wordhash import NON_WORD, batches, hash_words
 
 #: Words of half a window, and of an item's passages.
@@ -321,6 +321,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, co
                 got = index.value.leaks(text_bytes(batch.column(1)), cosine, cover, answer) if index.value.words else []
                 t, i, s, c = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t, pa.int64())), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "item_id", "covered", "cosine"])
+            release()
 
         found = texts.mapInArrow(search, "doc_id long, item_id long, covered double, cosine double")
         out = found if out is None else out.unionByName(found)
@@ -340,6 +341,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, co
                 if index.value.words:
                     clean[[t for t, *_ in index.value.leaks(text_bytes(batch.column(at)), cosine, cover, answer)]] = False
                 yield batch.filter(pa.array(clean))
+            release()
 
         out = out.mapInArrow(keep, docs.schema)
     return out

@@ -173,19 +173,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
     return Machine(np.frombuffer(m.places, np.int32), m.w0, np.frombuffer(m.w, np.float32), np.frombuffer(m.v, np.float32).reshape(-1, FACTORS))
 
 
-def judge(docs: DataFrame, labels: DataFrame, label: str, threshold: float, columns: list[str], schema: str) -> DataFrame:
-    """columns of docs, score and predicted; schema is that of the result."""
-    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label))
+def judge(rows: DataFrame, docs: DataFrame, labels: DataFrame, label: str, threshold: float, keep: list[int], schema: str) -> DataFrame:
+    """The columns keep of rows, with score and predicted, learnt from docs; schema is that of the result. A row's text is its
+    column ``text``."""
+    machine, at = rows.sparkSession.sparkContext.broadcast(train(docs, labels, label)), rows.columns.index("text")
 
     def apply(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         table = machine.value.table()
-        for batch in sliced(batched, 0):
-            rows = [c[c >= 0] for c in (table[t] for t in terms(text_bytes(batch.column(0))))]
-            s = machine.value.scores(rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*batch.schema.names[1:], "score", "predicted"])
+        for batch in sliced(batched, at):
+            found = [c[c >= 0] for c in (table[t] for t in terms(text_bytes(batch.column(at))))]
+            s = machine.value.scores(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[*(batch.schema.names[k] for k in keep), "score", "predicted"])
+        release()
 
-    return docs.select(F.col("text").alias("_q_text"), *columns).mapInArrow(apply, schema)
+    return rows.mapInArrow(apply, schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -198,7 +200,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", thr
     no shuffle of them.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return judge(known, labels, label, threshold, ["doc_id", "held_out"], "doc_id long, held_out boolean, score double, predicted int")
+    return judge(known, docs, labels, label, threshold, [0, 1], "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5) -> DataFrame:
@@ -208,4 +210,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", thresho
     clash = {"score", "predicted"} & {f.name.lower() for f in fields}
     if clash:
         raise ValueError(f"columns {sorted(clash)} clash with the scores")
-    return judge(docs, labels, label, threshold, [f"`{f.name}`" for f in fields], schema).where("predicted = 0").select(*(f"`{f.name}`" for f in fields))
+    return judge(docs, docs, labels, label, threshold, list(range(len(fields))), schema).where("predicted = 0").select(*(f"`{f.name}`" for f in fields))

@@ -16,12 +16,24 @@ def make_importable(spark: SparkSession) -> None:
 
     On a cluster without a shared installation submit the package with ``--py-files`` instead.
     """
+    bound_batches(spark)
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session was given another limit.
+BATCH_BYTES, BATCH_DEFAULT = "8m", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of long texts otherwise hold tens of megabytes for each running task, beside the heap and the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == BATCH_DEFAULT:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the context's checkpoint folder was set to.
 
