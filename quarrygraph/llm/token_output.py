@@ -84,10 +84,22 @@ _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 #: Texts with other white space than single spaces and line ends within.
 SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 ODD = rf"[{SPACE}][{SPACE}]|\A[{SPACE}]|[{SPACE}]\z|[\t\r\f\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]"
-#: Pieces in one run, runs in one call of the library, and bytes of text handled at once.
+#: Pieces in one run, runs in one call of the library, and bytes of text handled at once (one text at least).
 RUN, CALL, GROUP = 200, 64, 8_000_000
 
 
+#: Places in the cached ids and in those of a group: far below 2**31, and half as wide as the default.
+PLACE = np.int32
+
+
+def runs_of(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from first on of each entry, one entry after another."""
+    ends = np.cumsum(n, dtype=PLACE)
+    out = np.repeat(first - ends + n, n)
+    out += np.arange(len(out), dtype=PLACE)
+    return out
+
+
 class PieceEncoder:
     """Ids of whole texts with the tokenizers library, each different space-led piece encoded once.
 
@@ -97,7 +109,7 @@ class PieceEncoder:
     encoded whole instead.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE, group: int = GROUP) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,23 +124,23 @@ class PieceEncoder:
         self.mark = next((a["content"] for a in added if a["special"] and not a["normalized"]), None)
         self.by_piece = self.by_piece and self.mark is not None
         self.mark_id = self.lib.token_to_id(self.mark) if self.mark else -1
+        self.cache, self.group = cache, group
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin, self.hits = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.flat, self.begin, self.hits = np.zeros(0, np.uint32), np.zeros(1, PLACE), np.zeros(0, np.int32)
 
     def shrink(self) -> None:
         """Keeps the pieces that occurred in the most groups, half of the cache at most."""
         least = 2
-        while (self.hits >= least).sum() > CACHE // 2:
+        while (self.hits >= least).sum() > self.cache // 2:
             least += 1
         keep = np.flatnonzero(self.hits >= least)
         names = list(self.known)
         n = self.begin[keep + 1] - self.begin[keep]
-        ends = np.cumsum(n)
-        self.flat = self.flat[np.repeat(self.begin[keep] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
-        self.begin, self.hits = np.concatenate([[0], ends]), self.hits[keep] - 1
+        self.flat = self.flat[runs_of(self.begin[keep], n)]
+        self.begin, self.hits = np.concatenate([np.zeros(1, PLACE), np.cumsum(n, dtype=PLACE)]), self.hits[keep] - 1
         self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
 
     def learn(self, pieces: list[str]) -> None:
@@ -147,7 +159,7 @@ class PieceEncoder:
                 ends = np.sort(np.concatenate([inner, ends]))
                 ends -= np.searchsorted(inner, ends)
                 ids = ids[~cut]
-            begin.append(size + ends)
+            begin.append((size + ends).astype(PLACE))
             flat.append(ids)
             size += len(ids)
         self.flat, self.begin = np.concatenate(flat), np.concatenate(begin)
@@ -162,11 +174,11 @@ class PieceEncoder:
         return [x for _, group in self.groups(texts) for x in group]
 
     def groups(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(first text, ids of it and those after it) for groups of texts of about GROUP bytes."""
+        """(first text, ids of it and those after it) for groups of texts of about ``group`` bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while first < len(texts):
-            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + GROUP, "right")))
+            last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + self.group, "right")))
             yield first, self._group(texts.slice(first, last - first))
             first = last
 
@@ -183,27 +195,30 @@ class PieceEncoder:
         parts = pc.split_pattern(cut, "\0")
         coded = parts.values.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        place = np.fromiter(map(self.known.get, pieces, repeat(-1)), PLACE, len(pieces))
         new = np.flatnonzero(place < 0)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.cache:
             self.shrink()
-            place = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+            place = np.fromiter(map(self.known.get, pieces, repeat(-1)), PLACE, len(pieces))
             new = np.flatnonzero(place < 0)
         if len(new):
             missing = [pieces[k] for k in new]
             self.learn(missing)
-            place[new] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(new))
+            place[new] = np.fromiter(map(self.known.__getitem__, missing), PLACE, len(new))
+            del missing
         self.hits[place] += 1
         k = place[coded.indices.to_numpy()]
-        first, n = self.begin[k], self.begin[k + 1] - self.begin[k]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
-        at = np.concatenate([[0], ends])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        del cut, parts, coded, pieces
+        first = self.begin[k]
+        n = self.begin[k + 1] - first
+        ids = self.flat[runs_of(first, n)]
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])[offsets]
         return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def encoder(path: str) -> PieceEncoder:
-    return worker_cache(f"pieces {path}", lambda: PieceEncoder(path))
+def encoder(path: str, cache: int = CACHE, group: int = GROUP) -> PieceEncoder:
+    return worker_cache(f"pieces {path} {cache} {group}", lambda: PieceEncoder(path, cache, group))
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------
@@ -216,7 +231,7 @@ CODED = T.StructType([
 READ = "doc_id long, part int, seq long, n_tokens long, ids_crc32 long"
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, cache: int = CACHE, group: int = GROUP) -> None:
     """Writes the ids of every whole text, end_id after each document, in ascending (doc_id, text) order.
 
     Null text: only the end id. Null doc_id: first. Rows that share a doc_id stay next to each other, ordered by text.
@@ -230,7 +245,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, cache, group)
         for batch in batches:
             for first, found in enc.groups(batch.column(1)):
                 ids = [np.append(x, np.uint32(end_id)) for x in found]
@@ -274,8 +289,11 @@ def token_digest(spark, path: str) -> DataFrame:
     return found.withColumn("within", within).join(F.broadcast(sums), "part").select("doc_id", (F.col("base") + F.col("within")).cast("long").alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
-    """Writes the files below the shared folder (or to path) and returns what token_digest reads back from them."""
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, cache: int = CACHE, group: int = GROUP) -> DataFrame:
+    """Writes the files below the shared folder (or to path) and returns what token_digest reads back from them.
+
+    cache (pieces) and group (bytes of text) trade time for the memory of a Python worker; the ids do not depend on them.
+    """
     path = path or fresh_path(docs.sparkSession, "token-ids")
-    write_tokens(docs, path, tokenizer, end_id)
+    write_tokens(docs, path, tokenizer, end_id, cache=cache, group=group)
     return token_digest(docs.sparkSession, path)

@@ -65,11 +65,12 @@ def test_pieces_give_the_ids_of_whole_texts():
     import pyarrow as pa
 
     e = token_output.PieceEncoder(tokenizer_file("byte_bpe_50k.json"))
+    small = token_output.PieceEncoder(tokenizer_file("byte_bpe_50k.json"), cache=50, group=100)
     rng = random.Random(4)
     texts = ODD + ["".join(rng.choice(["a", "b", " ", "  ", "\n", "\t", ".", "'s", "é", "0", "日", "<|endoftext|>"]) for _ in range(rng.randint(0, 30))) for _ in range(500)]
     assert e.by_piece
-    for a, b in zip(e.encode(pa.array(texts)), e.whole(texts)):
-        assert np.array_equal(a, b)
+    for a, b, c in zip(e.encode(pa.array(texts)), e.whole(texts), small.encode(pa.array(texts)), strict=True):
+        assert np.array_equal(a, b) and np.array_equal(a, c)
 
 
 def test_token_output(spark, tmp_path):
