@@ -72,16 +72,14 @@ def trust(n: np.ndarray, hits: np.ndarray, rate: float) -> np.ndarray:
 
 
 class Batch:
-    """Some sampled texts, their terms numbered within the batch, and the same terms in their order by number."""
+    """Some sampled texts: their terms, numbered within the batch, text by text, and the number of the text of each."""
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale: np.ndarray) -> None:
         n = np.fromiter(map(len, rows), np.int64, len(rows))
         self.terms, at = np.unique(np.concatenate(rows), return_inverse=True)
         self.at, self.first = at.astype(np.int32), np.cumsum(n) - n
         self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), n)
-        self.order = np.argsort(at, kind="stable").astype(np.int32)
-        self.start = np.searchsorted(at[self.order], np.arange(len(self.terms)))
-        self.scale, self.y, self.weight = scale[self.terms], y, weight / len(rows)
+        self.scale, self.y, self.weight = scale[self.terms, None], y, weight / len(rows)
 
 
 def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 11) -> Machine:
@@ -106,27 +104,30 @@ def learn(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int =
         seen[b.terms] += 1
     # DECAY / texts at every step for every term, paid where the term occurs
     decay = DECAY / len(able) * len(held) / seen
-    w, v = np.zeros(size, np.float32), rng.normal(0, 0.05, (size, FACTORS)).astype(np.float32)
-    gw, gv, g0 = np.full(size, 1e-4, np.float32), np.full((size, FACTORS), 1e-4, np.float32), 1e-4
+    both = np.zeros((size, FACTORS + 1), np.float32)  # a term's factors, then its weight
+    both[:, :FACTORS] = rng.normal(0, 0.05, (size, FACTORS))
+    squares, w0_squares = np.full((size, FACTORS + 1), 1e-4, np.float32), 1e-4
     for _ in range(EPOCHS):
         for k in rng.permutation(len(held)):
+            # x_i is the same in every text, so a text's sums and a term's gradient are sums of rows of two small tables
             b = held[k]
-            wb, vb, s = w[b.terms], v[b.terms], b.scale[b.at]
-            x = vb[b.at] * s[:, None]
-            sums = np.add.reduceat(x, b.first, axis=0)
-            margin = w0 + np.add.reduceat(wb[b.at] * s, b.first) + 0.5 * ((sums**2).sum(1) - np.add.reduceat((x * x).sum(1), b.first))
-            err = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - b.y) * b.weight
-            e = (err[b.owner] * s).astype(np.float32)
-            dw = np.add.reduceat(e[b.order], b.start) + decay[b.terms] * wb
-            pull = e[:, None] * (sums[b.owner] - x)
-            dv = np.add.reduceat(pull[b.order], b.start, axis=0) + decay[b.terms][:, None] * vb
-            gw[b.terms] += dw**2
-            gv[b.terms] += dv**2
-            g0 += err.sum() ** 2
-            w[b.terms] = wb - RATE * dw / np.sqrt(gw[b.terms])
-            v[b.terms] = vb - RATE * dv / np.sqrt(gv[b.terms])
-            w0 -= RATE * float(err.sum()) / np.sqrt(g0)
-    return Machine(places, float(w0), w * scale, v * scale[:, None])
+            now = both.take(b.terms, axis=0)
+            x = now * b.scale
+            of_terms = np.concatenate([x, np.einsum("ij,ij->i", x[:, :FACTORS], x[:, :FACTORS])[:, None]], axis=1)
+            of_texts = np.add.reduceat(of_terms.take(b.at, axis=0), b.first, axis=0)
+            sums = of_texts[:, :FACTORS]
+            margin = w0 + of_texts[:, FACTORS] + 0.5 * ((sums**2).sum(1) - of_texts[:, FACTORS + 1])
+            err = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - b.y) * b.weight).astype(np.float32)
+            pulls = [*(sums * err[:, None]).T, err]
+            step = np.stack([np.bincount(b.at, p.take(b.owner)) for p in pulls], axis=1).astype(np.float32) * b.scale
+            step[:, :FACTORS] -= x[:, :FACTORS] * step[:, FACTORS:]
+            step += decay[b.terms, None] * now
+            grown = squares.take(b.terms, axis=0) + step**2
+            squares[b.terms] = grown
+            both[b.terms] = now - RATE * step / np.sqrt(grown)
+            w0_squares += float(err.sum()) ** 2
+            w0 -= RATE * float(err.sum()) / np.sqrt(w0_squares)
+    return Machine(places, float(w0), both[:, FACTORS] * scale, both[:, :FACTORS] * scale[:, None])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str) -> Machine:
