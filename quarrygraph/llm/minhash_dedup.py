@@ -262,7 +262,7 @@ def runs(key: np.ndarray) -> list[tuple[int, int]]:
 
 def sides(left: pd.Series) -> np.ndarray:
     """1 left, 0 right, -1 where there are no sides."""
-    return np.where(left.isna(), -1, left.fillna(False).astype(bool)).astype(np.int8)
+    return np.where(left.isna(), -1, left.eq(True)).astype(np.int8)
 
 
 def set_links(sets: list[np.ndarray], ids: np.ndarray, percent: int, left: np.ndarray, sketch: np.ndarray, free: np.ndarray, limit: int) -> list[tuple[int, int]]:
