@@ -14,6 +14,7 @@ from .html_extract import extract
 from .langid import language_id
 from .minhash_dedup import near_groups
 from .mixing import mix
+from .prefix_trie import prefix_trie
 from .quality import score_quality
 from .token_count import token_counts
 from .token_output import token_output
@@ -69,16 +70,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_token_output, op2_mixing, op3_language_id, op4_embedding_dedup, op5_minhash_dedup, op6_quality, op7_toxicity, op8_decontamination, op9_html_extraction, op10_token_counts)
+    own = (op1_token_output, op2_mixing, op3_language_id, op4_embedding_dedup, op5_minhash_dedup, op6_quality, op7_toxicity, op8_decontamination, op9_html_extraction, op10_token_counts, op11_prefix_trie)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express at this size; the other queries are tested against brute force in tests/llm."""
-    return {"op4_embedding_dedup": EMBEDDING_SQL}
+    return {"op4_embedding_dedup": EMBEDDING_SQL, "op11_prefix_trie": TRIE_SQL}
 
 
 EMBEDDING_SQL = """
@@ -98,3 +103,49 @@ SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links,
   v.vec_id = (SELECT min(b) FROM reach WHERE reach.a = v.vec_id) AS kept
 FROM v
 """
+
+# crc32 of a decimal number, bit by bit over its characters; then prefixes as joined digests
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id AS c, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, dg, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, dg) AS i FROM t
+), convs AS (
+  SELECT c, c - c % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+      lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT c FROM own)
+), there AS (
+  SELECT v.c, v.base, v.h, least(v.h, (SELECT count(*) FROM own o WHERE o.c = v.base)) AS taken FROM convs v
+), turns AS (
+  SELECT v.c, o.i, o.dg, o.words FROM there v JOIN own o ON o.c = v.base AND o.i <= v.h
+  UNION ALL
+  SELECT v.c, o.i - v.h + v.taken, o.dg, o.words FROM there v JOIN own o ON o.c = v.c AND o.i > v.h
+), prefix AS (
+  SELECT c, 0 AS depth, '' AS key, NULL AS up, 0 AS words FROM convs
+  UNION ALL
+  SELECT c, i, string_agg(dg, '') OVER (PARTITION BY c ORDER BY i),
+    coalesce(string_agg(dg, '') OVER (PARTITION BY c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), words
+  FROM turns
+), node AS (
+  SELECT depth, key, min(c) AS conv_id, count(*) AS n_convs, min(up) AS up, (count(*) - 1) * min(words) AS own_saved FROM prefix GROUP BY depth, key
+), children AS (
+  SELECT depth - 1 AS depth, up AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL
+), sized AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children FROM node n LEFT JOIN children k ON k.depth = n.depth AND k.key = n.key
+), subtree AS (
+  SELECT a.depth, a.key, sum(CASE WHEN s.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(s.own_saved) AS saved
+  FROM sized s JOIN prefix a ON a.c = s.conv_id AND a.depth <= s.depth GROUP BY ALL
+), ending AS (
+  SELECT v.c, coalesce((SELECT max(i) FROM turns u WHERE u.c = v.c), 0) AS n FROM convs v
+), ends AS (
+  SELECT p.depth, p.key, sha256(string_agg(e.c::VARCHAR, ',' ORDER BY e.c)) AS ends FROM ending e JOIN prefix p ON p.c = e.c AND p.depth = e.n GROUP BY ALL
+)
+SELECT s.conv_id, s.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, s.n_convs, s.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens,
+  coalesce(e.ends, sha256('')) AS ends_sha256
+FROM sized s JOIN subtree b ON b.depth = s.depth AND b.key = s.key
+LEFT JOIN node above ON above.depth = s.depth - 1 AND above.key = s.up
+LEFT JOIN ends e ON e.depth = s.depth AND e.key = s.key
+"""
