@@ -14,8 +14,10 @@ from .html_extract import extract
 from .langid import language_id
 from .minhash_dedup import near_groups
 from .mixing import mix
+from .periodic_runs import periodic_runs
 from .prefix_trie import prefix_trie
 from .quality import score_quality
+from .recurrent_lm import score_texts
 from .token_count import token_counts
 from .token_output import token_output
 from .toxicity import score_toxicity
@@ -74,10 +76,21 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_token_output, op2_mixing, op3_language_id, op4_embedding_dedup, op5_minhash_dedup, op6_quality, op7_toxicity, op8_decontamination, op9_html_extraction, op10_token_counts, op11_prefix_trie)
+    own = (
+        op1_token_output, op2_mixing, op3_language_id, op4_embedding_dedup, op5_minhash_dedup, op6_quality, op7_toxicity,
+        op8_decontamination, op9_html_extraction, op10_token_counts, op11_prefix_trie, op12_periodic_runs, op13_lm_scoring,
+    )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
