@@ -1,23 +1,27 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages and weighted by TF-IDF, with document frequencies from all documents. A distributed
-randomised SVD of that passage matrix gives a latent space. Every window of every document is folded into it; windows
-whose cosine with a passage reaches ``cosine`` are candidates. So are windows with enough of a passage's answer terms (its
-rarest ones) around them, whatever their cosine: a short passage is a small part of a window's vector. A candidate is a
-leak if the longest common subsequence of the passage and the words around the window covers enough of the passage and
-the answer terms are there too. So copies and paraphrases that keep most of the wording are found, and texts on the same
-subject that share words but no sequence are not. As long as ``answer`` asks for a term at all, no leak depends on the
-cosine, the rank or the words left out of vectors.
+randomised SVD of that passage matrix gives a latent space. Every window of every document is folded into it and compared
+with every passage. A pair is a leak by either of two routes, each with a check of order, the longest common subsequence of
+the passage and the words around the window, and a check of the passage's answer terms, its rarest third:
+
+- latent: the cosine reaches ``cosine``; then ``near_cover`` of the passage in order and ``near_answer`` of its answer terms
+  are enough. So reworded copies are found, with other words here and there and clauses in another place.
+- verbatim: whatever the cosine (a short passage is a small part of a window's vector), ``cover`` of the passage in order and
+  ``answer`` of its answer terms.
+
+Texts on the same subject that share words but neither sequence nor answers are not leaks, however near they are.
 
 Items of fewer than SHORT words must stand in the text word for word, since their words in order with others between say
-little. Of the benchmark a block of items is held at a time: its words, a matrix of words by rank, its passages. Documents are
-streamed, once more for each block.
+little. Of the benchmark blocks of items are held, TOGETHER at a time: their words, a matrix of words by rank, passages.
+Documents are streamed once to count words, and once for each TOGETHER blocks.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +37,20 @@ HALF, PASSAGE, SHORT = 32, 48, 8
 RANK, GROWTH, EXTRA, POWER = 192, 6, 16, 2
 #: Words of more than half of all documents say nothing of a window and are left out of its vector.
 LOUD = math.log(2)
-#: Documents whose benchmark words are counted at once, and windows times passages compared at once.
-ROWS, PRODUCTS = 256, 1 << 21
-#: Characters of benchmark items held at once, about (items go whole).
-BENCHMARK = 500_000
-COSINE, COVER, ANSWER = 0.4, 0.6, 0.5
+#: Documents times benchmark words whose presence is marked at once, and windows times passages compared at once.
+MARKS, PRODUCTS = 1 << 22, 1 << 21
+#: Characters of the benchmark items of a block, about (items go whole), and blocks that are searched in one pass.
+BENCHMARK, TOGETHER = 500_000, 8
+
+
+class Rules(NamedTuple):
+    """When a pair of window and passage is a leak: see the two routes above. At least one answer term must be there."""
+
+    cosine: float = 0.4
+    near_cover: float = 0.4
+    near_answer: float = 0.4
+    cover: float = 0.6
+    answer: float = 0.5
 
 
 def word_ids(texts: list[bytes], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +139,9 @@ class Index:
         self.asked_by = np.repeat(np.arange(len(answers)), list(map(len, answers)))[np.argsort(term, kind="stable")] if answers else np.zeros(0, np.int64)
         self.asked_at = np.searchsorted(np.sort(term), np.arange(len(vocabulary) + 1))
 
-    def holding(self, ids: np.ndarray, at: np.ndarray, base: np.ndarray, answer: float) -> np.ndarray:
-        """Sorted keys (window * passages + passage) of all windows with enough answer terms of a passage around them, and one at least."""
+    def holding(self, ids: np.ndarray, at: np.ndarray, base: np.ndarray, answer: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys (window * passages + passage) of all windows with enough answer terms of a passage around them, and one
+        at least; and the share of its answer terms that are there."""
         n = len(self.words)
         place = np.flatnonzero(ids >= 0)
         place = place[self.asked_at[ids[place] + 1] > self.asked_at[ids[place]]]
@@ -145,9 +159,10 @@ class Index:
         enough = (count >= np.maximum(answer * self.needed[pairs % n], 1))[of]
         distinct = np.unique(np.stack([key[enough], word[k][enough]]), axis=1)[0]
         pairs, count = np.unique(distinct, return_counts=True)
-        return pairs[count >= np.maximum(answer * self.needed[pairs % n], 1)]
+        enough = count >= np.maximum(answer * self.needed[pairs % n], 1)
+        return pairs[enough], (count / self.needed[pairs % n])[enough]
 
-    def leaks(self, texts: list[bytes], cosine: float, cover: float, answer: float) -> list[tuple[int, int, float, float]]:
+    def leaks(self, texts: list[bytes], rules: Rules) -> list[tuple[int, int, float, float]]:
         """(number of the text, item, covered share, cosine) of each leak, the best for each text and item."""
         found: dict[tuple[int, int], tuple[float, float]] = {}
         for first, last in batches(texts):
@@ -178,25 +193,28 @@ class Index:
             window[joined] += sums[1:-1][joined]
             norm = np.linalg.norm(window, axis=1)
             some = np.flatnonzero(norm > 1e-6)
-            held = self.holding(ids, at, base, answer)
-            keys = [held]
+            pairs, share = self.holding(ids, at, base, min(rules.answer, rules.near_answer))
+            near = []
             step = max(64, PRODUCTS // len(self.words))
             for k in range(0, len(some), step):
                 part = some[k : k + step]
-                rows, near = np.nonzero((window[part] / norm[part, None]) @ self.latent.T >= cosine)
-                keys.append(part[rows] * len(self.words) + near)
-            pairs = np.unique(np.concatenate(keys))
-            pairs = pairs[np.isin(pairs, held) | (answer * self.needed[pairs % len(self.words)] <= 0)]
-            for key in pairs.tolist():
+                rows, passage = np.nonzero((window[part] / norm[part, None]) @ self.latent.T >= rules.cosine)
+                near.append(part[rows] * len(self.words) + passage)
+            latent = np.isin(pairs, np.concatenate([*near, np.zeros(0, np.int64)])) & (share >= rules.near_answer)
+            verbatim = share >= rules.answer
+            for key, by_cosine, by_words in zip(pairs.tolist(), latent.tolist(), verbatim.tolist(), strict=True):
+                if not by_cosine and not by_words:
+                    continue
                 h, p = divmod(key, len(self.words))
                 d = owner[h]
                 begins = at[d] + (h - base[d]) * HALF
                 a = ids[max(at[d], begins - PASSAGE // 2) : min(at[d + 1], begins + 2 * HALF + PASSAGE // 2)]
                 n = len(self.words[p])
-                share = common_length(a, self.masks[p], n) / n if n >= SHORT else float(in_a_row(a, self.words[p]))
-                if share >= (cover if n >= SHORT else 1.0):
+                cover = common_length(a, self.masks[p], n) / n if n >= SHORT else float(in_a_row(a, self.words[p]))
+                least = 1.0 if n < SHORT else min(rules.near_cover if by_cosine else 1.0, rules.cover if by_words else 1.0)
+                if cover >= least:
                     leak = (first + int(d), self.items[p])
-                    found[leak] = max(found.get(leak, (0.0, 0.0)), (share, float(window[h] @ self.latent[p] / max(norm[h], 1e-9))))
+                    found[leak] = max(found.get(leak, (0.0, 0.0)), (cover, float(window[h] @ self.latent[p] / max(norm[h], 1e-9))))
         return [(t, i, s, c) for (t, i), (s, c) in sorted(found.items())]
 
 
@@ -206,7 +224,7 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
 
     def count(batched: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        n, rows = np.zeros(len(held.value), np.int64), 0
+        n, rows, step = np.zeros(len(held.value), np.int64), 0, max(1, min(256, MARKS // max(1, len(held.value))))
         for batch in sliced(batched, 0):
             texts = text_bytes(batch.column(0))
             rows += len(texts)
@@ -214,9 +232,9 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndar
                 ids, at = word_ids(texts[first:last], held.value)
                 known = np.flatnonzero(ids >= 0)
                 doc = np.repeat(np.arange(last - first, dtype=np.int64), np.diff(at))[known]
-                for a in range(0, last - first, ROWS):
-                    x, y = np.searchsorted(doc, (a, a + ROWS))
-                    seen = np.zeros((min(ROWS, last - first - a), len(n)), bool)
+                for a in range(0, last - first, step):
+                    x, y = np.searchsorted(doc, (a, a + step))
+                    seen = np.zeros((min(step, last - first - a), len(n)), bool)
                     seen[doc[x:y] - a, ids[known[x:y]]] = True
                     n += seen.sum(0)
         some = np.flatnonzero(n)
@@ -278,68 +296,87 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-def build_index(docs: DataFrame, items: DataFrame) -> Index:
-    """items: one block of them."""
-    spark = docs.sparkSession
+def block_words(items: DataFrame) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """Item and word numbers of each passage of a block, and the block's vocabulary."""
     held = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]
     raw = [t.encode("utf-8", "replace") for _, t in held]
     lowered = [t if t.isascii() else t.decode().lower().encode() for t in raw]
     vocabulary = np.unique(hash_words(lowered, NON_WORD)[0])
     ids, at = word_ids(raw, vocabulary)
-    items, words = [], []
+    numbers, words = [], []
     for (item, _), a, b in zip(held, at[:-1], at[1:], strict=True):
         for s, e in passages(int(b - a)):
-            items.append(item)
+            numbers.append(item)
             words.append(ids[a + s : a + e])
-    if not words:
-        return Index(vocabulary, np.zeros(0), np.zeros((0, 1)), [], [])
-    df, n = document_frequency(docs, vocabulary)
-    # rare words weigh most; a word of every document still weighs a little
-    idf = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
-    # an item that very many documents contain makes its own words common: its rarest ones keep a weight
-    asked = np.unique(np.concatenate([answer_terms(w, idf) for w in words]))
-    idf[asked] = np.maximum(idf[asked], LOUD + 0.2)
-    rows = spark.createDataFrame([(w.tolist(),) for w in words], "words array<int>").repartition(max(1, min(64, len(words) // 64)))
-    return Index(vocabulary, idf, latent_basis(rows, idf, max(RANK, math.ceil(GROWTH * math.sqrt(len(words))))), items, words)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER) -> DataFrame:
+    return numbers, words, vocabulary
+
+
+def build_indexes(docs: DataFrame, benchmark: DataFrame) -> list[Index]:
+    """An Index for each block; the words of all of them are counted in one pass over the documents."""
+    spark = docs.sparkSession
+    parts = [p for p in map(block_words, blocks(benchmark)) if p[1]]
+    if not parts:
+        return []
+    vocabulary = np.unique(np.concatenate([v for _, _, v in parts]))
+    counted, n = document_frequency(docs, vocabulary)
+    out = []
+    for items, words, own in parts:
+        df = counted[np.searchsorted(vocabulary, own)]
+        # rare words weigh most; a word of every document still weighs a little
+        idf = np.maximum(np.log((n + 1) / (df + 1)), 0.05)
+        # an item that very many documents contain makes its own words common: its rarest ones keep a weight
+        asked = np.unique(np.concatenate([answer_terms(w, idf) for w in words]))
+        idf[asked] = np.maximum(idf[asked], LOUD + 0.2)
+        rows = spark.createDataFrame([(w.tolist(),) for w in words], "words array<int>").repartition(max(1, min(64, len(words) // 64)))
+        out.append(Index(own, idf, latent_basis(rows, idf, max(RANK, math.ceil(GROWTH * math.sqrt(len(words))))), items, words))
+    return out
+
+
+def groups_of(docs: DataFrame, benchmark: DataFrame) -> list:
+    """Broadcasts of TOGETHER indexes each."""
+    every = build_indexes(docs, benchmark)
+    return [docs.sparkSession.sparkContext.broadcast(every[k : k + TOGETHER]) for k in range(0, len(every), TOGETHER)]
+
+
+FOUND = "doc_id long, item_id long, covered double, cosine double"
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, item_id, covered, cosine) for each document and benchmark item that it contains; clean documents have no row.
 
     Null and empty texts and items match nothing. A null doc_id is reported as null. Rows that share a doc_id, repeated ones
     too, report their leaks each. Items under SHORT words must stand in the text word for word. Several texts of an item_id
-    are one item. Empty tables: empty result. Other columns are left out. Two passes over the texts for each block of the
-    benchmark, no shuffle of them; of the corpus only the benchmark words' counts are gathered.
+    are one item. Empty tables: empty result. Other columns are left out. One pass over the texts to count the benchmark's
+    words and one for each TOGETHER blocks of it, no shuffle of them; of the corpus only those counts are gathered.
     """
-    texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for items in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(docs, items))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for held in groups_of(docs, benchmark):
 
-        def search(batched: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def search(batched: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             let_go()
             for batch in sliced(batched, 1):
-                got = index.value.leaks(text_bytes(batch.column(1)), cosine, cover, answer) if index.value.words else []
+                raw = text_bytes(batch.column(1))
+                got = [leak for index in held.value for leak in index.leaks(raw, rules)]
                 t, i, s, c = (list(x) for x in zip(*got, strict=True)) if got else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(t, pa.int64())), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "item_id", "covered", "cosine"])
             release()
 
-        found = texts.mapInArrow(search, "doc_id long, item_id long, covered double, cosine double")
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(texts.mapInArrow(search, FOUND))
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, answer: float = ANSWER) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of docs in which find_leaks finds no item, each judged by its own text, with all their columns."""
     at, out = docs.columns.index("text"), docs
-    for items in blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(build_index(docs, items))
+    for held in groups_of(docs, benchmark):
 
-        def keep(batched: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def keep(batched: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             let_go()
             for batch in sliced(batched, at):
-                clean = np.ones(batch.num_rows, bool)
-                if index.value.words:
-                    clean[[t for t, *_ in index.value.leaks(text_bytes(batch.column(at)), cosine, cover, answer)]] = False
+                raw, clean = text_bytes(batch.column(at)), np.ones(batch.num_rows, bool)
+                for index in held.value:
+                    clean[[t for t, *_ in index.leaks(raw, rules)]] = False
                 yield batch.filter(pa.array(clean))
             release()
 

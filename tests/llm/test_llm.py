@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 import random
 import re
 import zlib
@@ -601,53 +602,88 @@ def test_paraphrases_and_odd_leaks(spark):
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
-def brute_leaks(texts, items, cover=decontam.COVER, answer=decontam.ANSWER):
-    """(text number, item id) by the longest common subsequence of every passage with the words around every window."""
+def plain_pairs(texts, items):
+    """(text, item, share in order, answer share, cosine, length) of every passage and window, written apart from the operator:
+    half windows of 32 words, passages of 48 at most, the rarest third of a passage as answer terms (ties by word hash)."""
     split = [re.findall(r"[^\W_]+", (t or "").lower()) for t in texts]
-    cut = [(i, w[a:b]) for i, t in items for w in [re.findall(r"[^\W_]+", (t or "").lower())] for a, b in decontam.passages(len(w))]
-    vocabulary = np.unique(wordhash.hash_words([x.encode() for x in {x for _, w in cut for x in w}], wordhash.NON_WORD)[0])
-    ids = lambda w: decontam.word_ids([" ".join(w).encode()], vocabulary)[0]
-    cut, split = [(i, ids(w)) for i, w in cut], [ids(w) for w in split]
-    df = collections.Counter(x for w in split for x in set(w.tolist()))
-    idf = np.array([max(np.log((len(texts) + 1) / (df[k] + 1)), 0.05) for k in range(len(vocabulary))])
-    asked = np.unique(np.concatenate([decontam.answer_terms(w, idf) for _, w in cut]))
-    idf[asked] = np.maximum(idf[asked], decontam.LOUD + 0.2)
-    out = set()
-    for i, p in cut:
-        masks: dict[int, int] = {}
-        for k, x in enumerate(p.tolist()):
-            masks[x] = masks.get(x, 0) | 1 << k
-        terms, least = set(decontam.answer_terms(p, idf).tolist()), (cover if len(p) >= decontam.SHORT else 1.0) * len(p)
-        for d, w in enumerate(split):
-            if len(p) < decontam.SHORT:
-                if any(w[k : k + len(p)].tolist() == p.tolist() for k in range(len(w) - len(p) + 1)):
-                    out.add((d, i))
-                continue
-            if decontam.common_length(w, masks, len(p)) < least:
-                continue
-            for b in range(0, len(w), decontam.HALF):
-                a = w[max(0, b - decontam.PASSAGE // 2) : b + 2 * decontam.HALF + decontam.PASSAGE // 2]
-                if len(terms & set(a.tolist())) >= answer * len(terms) and decontam.common_length(a, masks, len(p)) >= least:
-                    out.add((d, i))
+    cut = []
+    for i, t in items:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        k = -(-len(w) // 48)
+        cut += [(i, w[round(j * len(w) / k) : round((j + 1) * len(w) / k)]) for j in range(k)]
+    vocabulary = sorted({x for _, w in cut for x in w}, key=lambda x: int(wordhash.hash_words([x.encode()], wordhash.NON_WORD)[0][0]))
+    place = {x: k for k, x in enumerate(vocabulary)}
+    df = collections.Counter(x for w in split for x in set(w))
+    idf = np.array([max(np.log((len(texts) + 1) / (df[x] + 1)), 0.05) for x in vocabulary])
+    rarest = lambda w: sorted(set(w), key=lambda x: (-idf[place[x]], place[x]))[: max(1, len(set(w)) // 3)]
+    answers = [set(rarest(w)) for _, w in cut]
+    for x in set().union(*answers):
+        idf[place[x]] = max(idf[place[x]], np.log(2) + 0.2)
+    vector = lambda w: np.bincount([place[x] for x in w if x in place], minlength=len(idf))[: len(idf)] * idf
+    matrix = np.stack([vector(w) for _, w in cut])
+    _, _, v = np.linalg.svd(matrix / np.linalg.norm(matrix, axis=1, keepdims=True), full_matrices=False)
+    basis = v[: max(192, math.ceil(6 * len(cut) ** 0.5))].T
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    quiet = lambda w: [x for x in w if x in place and idf[place[x]] > np.log(2)]
+    latent = unit(np.stack([vector(quiet(w)) for _, w in cut]) @ basis)
+
+    def in_order(a, p):
+        row = [0] * (len(p) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(p):
+                now = row[j + 1]
+                row[j + 1] = last + 1 if x == y else max(now, row[j])
+                last = now
+        return row[-1]
+
+    out = []
+    for d, w in enumerate(split):
+        for b in range(0, len(w), 32):
+            cosine = latent @ unit(vector(quiet(w[b : b + 64])) @ basis)
+            around = w[max(0, b - 24) : b + 88]
+            have = set(around)
+            for k, (i, p) in enumerate(cut):
+                told = len(answers[k] & have) / len(answers[k])
+                if told >= 0.4:
+                    out.append((d, i, in_order(around, p) / len(p), told, float(cosine[k]), len(p)))
     return out
 
 
-def test_no_leak_is_lost_by_the_candidate_search(spark):
-    rng = np.random.default_rng(6)
-    common, rare = [f"common{k}" for k in range(60)], [f"rare{k}" for k in range(3000)]
-    draw = lambda n: [common[int(60 * rng.random() ** 2)] if rng.random() < 0.5 else rare[rng.integers(3000)] for _ in range(n)]
-    items = [draw(int(rng.integers(4, 60))) for _ in range(1000)]
+def reworded(rng, items, words_, share):
+    """Each item with a share of its words exchanged and its first part moved to the end, among other words."""
+    draw = lambda n: [words_[int(len(words_) * rng.random() ** 2)] for _ in range(n)]
     texts = []
-    for k in range(250):
-        words = draw(int(rng.integers(0, 40)))
-        for item in items[4 * k : 4 * k + 4]:
-            lost = rng.choice([0, 0.1, 0.25])
-            words += [w for w in item if len(item) < decontam.SHORT or rng.random() >= lost] + draw(int(rng.integers(40, 90)))
-        texts.append(" ".join(words))
-    bench = [(k, " ".join(w)) for k, w in enumerate(items)]
-    want = brute_leaks(texts, bench)
-    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs_of(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
-    assert len(want) > 950 and got == want
+    for item in items:
+        said = [w if rng.random() > share else draw(1)[0] for w in item]
+        k = int(rng.uniform(0.3, 0.4) * len(said))
+        texts.append(" ".join(draw(int(rng.integers(0, 60))) + said[k:] + said[:k] + draw(int(rng.integers(0, 60)))))
+    return texts
+
+
+def test_each_route_of_leaks_against_plain_search(spark, monkeypatch):
+    """1,000 items: copies with words left out, and reworded ones with moved clauses. The latent route alone, the verbatim route
+    alone, and both; without an SVD the latent route finds nothing."""
+    rng = np.random.default_rng(6)
+    words_ = [f"word{k}" for k in range(3000)]
+    draw = lambda n: [words_[int(3000 * rng.random() ** 2)] for _ in range(n)]
+    items = [draw(int(rng.integers(12, 60))) for _ in range(1000)]
+    texts = reworded(rng, items[:500], words_, 0.2)
+    texts += [" ".join(draw(int(rng.integers(0, 50))) + [w for w in item if rng.random() > 0.15] + draw(20)) for item in items[500:]]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs, rules = docs_of(spark, texts), decontam.Rules()
+    pairs = plain_pairs(texts, list(enumerate(map(" ".join, items))))
+    latent = {(d, i) for d, i, share, told, cosine, _ in pairs if cosine >= rules.cosine and share >= rules.near_cover and told >= rules.near_answer}
+    verbatim = {(d, i) for d, i, share, told, _, _ in pairs if share >= rules.cover and told >= rules.answer}
+    found = lambda r: {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench, r).collect()}
+    assert found(rules._replace(cosine=9.0)) == verbatim
+    by_cosine, both = found(rules._replace(answer=9.0)), found(rules)
+    assert len(by_cosine & latent) >= 0.97 * len(latent) and len(by_cosine - latent) <= 0.03 * len(latent)
+    assert both == by_cosine | verbatim
+    assert sum((k, k) in both for k in range(500)) >= 0.9 * 500 and sum((k, k) in verbatim for k in range(500)) <= 0.8 * 500
+    assert sum((k, k) in both for k in range(500, 1000)) >= 0.98 * 500 and len(both) <= 1.02 * 1000
+    monkeypatch.setattr(decontam, "latent_basis", lambda rows, idf, rank: np.zeros((len(idf), 4)))
+    assert found(rules._replace(answer=9.0)) == set() and found(rules) == verbatim != both
 
 
 def test_short_items_must_stand_word_for_word(spark):
@@ -828,6 +864,10 @@ def test_pipeline_decontamination_matches_brute_force(spark):
     docs = sf_docs(spark)
     rows = docs.orderBy("doc_id").collect()
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    bad = {rows[d].doc_id for d, _ in brute_leaks([r.text for r in rows], bench)}
+    rules = decontam.Rules()
+    bad = {
+        rows[d].doc_id for d, _, share, told, cosine, n in plain_pairs([r.text for r in rows], bench)
+        if n >= 8 and (share >= rules.cover and told >= rules.answer or cosine >= rules.cosine and share >= rules.near_cover and told >= rules.near_answer)
+    }
     kept = {r.doc_id for r in corpus_pipeline.drop_benchmark_leaks(spark, docs, SF).collect()}
     assert bad and kept == {r.doc_id for r in rows} - bad
