@@ -5,6 +5,11 @@ to the next one, a quarter to the next, and so on up to the root; a container's
 text that lies in links, and <article> and <main> count a little more. The best container, and siblings of it that score
 near it or hold prose, are kept; what is menu, header, footer, sidebar, notice, advert, form, comment section, script or
 style is left out wherever it stands. Parsing, scoring and choosing take time in proportion to the page.
+
+A class or id tells what an element is if one of its names consists of words that do, such as ``nav`` or ``related-posts``.
+Comments, related pages, shares and adverts are left out whatever they hold; a menu, sidebar, banner or the like is not one if
+it holds the article, with half of the page's prose at least. A name that only begins or ends so, as ``related-work``, counts
+where the element holds no prose. Headings and running text are never left out for a name.
 """
 
 from __future__ import annotations
@@ -45,47 +50,75 @@ LOCAL = frozenset(("p", "li", "b", "i", "em", "strong", "span", "a"))
 TEXTS = frozenset(("p", *HEADINGS, "li", "td", "th", "tr", "pre"))
 #: Elements whose points go to their parent; the text of other blocks is their own.
 GIVES = frozenset(("p", "pre", "blockquote", "li", "td", "h1", "h2", "h3"))
-#: Elements that are never left out for their name.
-KEPT = frozenset(("html", "body", "article", "main", "p", "h1", "a", "b", "i", "em", "strong"))
+#: Elements that are never left out for their name; and those that are only for names that say so whatever they hold.
+KEPT = frozenset(("html", "body", "p", *HEADINGS, "a", "b", "i", "em", "strong"))
 HOLDERS = frozenset(("article", "main", "h1"))
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar|side-bar|widget\w*|footer|header|masthead|topbar|breadcrumb\w*"
-    r"|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*"
-    r"|comment|comments|commentlist|disqus|replies|respond|pagination|pager|toolbar|skip|login|search)(?=$|[\s_-])",
-    re.I,
+CONTAINERS = frozenset(("article", "main"))
+# words of class names and ids: what is never the article, what may be a wrapper of it, and what says nothing beside them
+NEVER = (
+    r"ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*"
+    r"|comments?|commentlist|disqus|replies|respond"
+)
+WRAPPER = (
+    r"banner|nav\w*|menu\w*|sidebar|widget\w*|footer|header|masthead|topbar|breadcrumb\w*|cookies?|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal"
+    r"|pagination|pager|toolbar|skip|login|search"
+)
+BESIDE = (
+    r"\d+|js|area|bar|block|body|bottom|box|button|buttons|container|content|depth|feed|fixed|form|global|grid|group|icons?|inner|items?|left|links?|list|main|meta|outer|page|panel|posts?"
+    r"|primary|right|row|secondary|section|side|site|slot|thread|title|top|unit|wrap|wrapper"
 )
+WORDS = re.compile(r"[_\W]+")
+IS_NEVER, IS_WRAPPER, IS_BESIDE = (re.compile(x, re.I) for x in (NEVER, WRAPPER, BESIDE))
+STAYS, VAGUE, OUTSIDE, OUT = range(4)
 ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "toolbar", "alert", "dialog"))
 GAPS = re.compile(r"\s+")
 #: What <article> and <main> count more than other containers of the same points.
 BONUS = 1.25
 #: What is left of a paragraph's points one container further up.
 SHARE = 0.5
+#: Characters outside links that are prose, and the share of an element's characters that they must be.
+PROSE, PROSE_SHARE = 60, 0.7
 
 
 class Node:
-    """chars, linked: characters and those in links, of all kept text within. own, commas: characters and commas of the text
-    that is not in a block further in. points: what this element gives up; score: what it got as a container."""
+    """name: what class, id or role say. chars, linked: characters and those in links, of all kept text within. own, commas:
+    characters and commas of the text that is not in a block further in. score: what it got as a container. full, prose:
+    characters within, and those outside links, before anything but what is OUT is left out."""
 
-    __slots__ = ("tag", "drop", "parent", "kids", "score", "points", "chars", "linked", "own", "commas", "holds")
+    __slots__ = ("tag", "name", "drop", "parent", "kids", "score", "chars", "linked", "text", "own", "commas", "full", "prose", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, name: int = STAYS) -> None:
+        self.tag, self.parent, self.name, self.drop = tag, parent, name, tag in DROPPED
         self.kids: list = []
-        self.score, self.points, self.chars, self.linked, self.own, self.commas, self.holds = 0.0, 0.0, 0, 0, 0, 0, False
+        self.score, self.chars, self.linked, self.text, self.own, self.commas, self.full, self.prose, self.holds = 0.0, 0, 0, 0, 0, 0, 0, 0, False
 
 
 def attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[3]).lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(text)}
 
 
-def unwanted(tag: str, raw: str) -> bool:
-    """Left out by its element, role, class or id."""
+def told(name: str) -> int:
+    """What one class or id says of its element."""
+    words = [w for w in WORDS.split(name) if w]
+    never, wrapper = [bool(IS_NEVER.fullmatch(w)) for w in words], [bool(IS_WRAPPER.fullmatch(w)) for w in words]
+    if not any(never) and not any(wrapper) and name.lower() != "side-bar":
+        return STAYS
+    if all(a or b or IS_BESIDE.fullmatch(w) for a, b, w in zip(never, wrapper, words, strict=True)):
+        return OUT if any(never) else OUTSIDE
+    return VAGUE
+
+
+def unwanted(tag: str, raw: str) -> int:
+    """What an element's tag, role, classes and id say: it stays, stays with prose, stays as a wrapper of the article, or goes."""
     if tag in DROPPED:
-        return True
+        return OUT
     if not raw.strip() or tag in KEPT:
-        return False
+        return STAYS
     a = attributes(raw)
-    return a.get("role", "").lower() in ROLES or bool(UNLIKELY.search(a.get("class", "") + " " + a.get("id", "")))
+    names = max(map(told, [*a.get("class", "").split(), *a.get("id", "").split()]), default=STAYS)
+    if tag in CONTAINERS:
+        return OUT if names == OUT else STAYS
+    return max(names, OUTSIDE if a.get("role", "").lower() in ROLES else STAYS)
 
 
 class Open:
@@ -173,25 +206,33 @@ def elements(root: Node) -> list[Node]:
     return out
 
 
-def keep_holders(order: list[Node]) -> None:
-    """A wrapper whose name says menu or sidebar but that holds the article itself is no menu."""
+def settle(order: list[Node]) -> None:
+    """What is left out, from the names and from what the elements hold."""
     for node in reversed(order):
-        node.drop = node.drop and not node.holds
-        if node.parent is not None:
+        text = GAPS.sub(" ", "".join(html.unescape(k) for k in node.kids if isinstance(k, str))).strip()
+        node.text, node.commas = len(text), text.count(",")
+        node.full += node.text
+        node.prose = 0 if node.tag == "a" else node.prose + node.text
+        if node.parent is not None and node.name != OUT:
+            node.parent.full += node.full
+            node.parent.prose += node.prose
             node.parent.holds |= node.holds or node.tag in HOLDERS
+    half = order[0].prose / 2
     for node in order:
-        node.drop |= node.parent is not None and node.parent.drop
+        around = node.holds and node.prose >= half
+        bare = node.prose < PROSE or node.prose < PROSE_SHARE * node.full
+        gone = node.name == OUT or node.name == OUTSIDE and not around or node.name == VAGUE and bare and not around
+        node.drop = gone or node.parent is not None and node.parent.drop
 
 
 def measure(order: list[Node]) -> None:
     """Characters, links and scores of the elements, from the innermost out."""
     for node in reversed(order):
         if node.drop:
+            node.commas = 0
             continue
-        text = GAPS.sub(" ", html.unescape("".join(k for k in node.kids if isinstance(k, str)))).strip()
-        node.chars += len(text)
-        node.own += len(text)
-        node.commas += text.count(",")
+        node.chars += node.text
+        node.own += node.text
         if node.tag == "a":
             node.linked = node.chars
         block = node.tag in BLOCK
@@ -250,7 +291,7 @@ def blocks(nodes: list[Node]) -> list[str]:
 
     def end() -> None:
         if have:
-            text = GAPS.sub(" ", html.unescape("".join(have))).strip()
+            text = GAPS.sub(" ", "".join(have)).strip()
             if text:
                 out.append(text)
             have.clear()
@@ -261,7 +302,7 @@ def blocks(nodes: list[Node]) -> list[str]:
         if k is None:
             end()
         elif isinstance(k, str):
-            have.append(k)
+            have.append(html.unescape(k))  # a reference does not go on behind a tag
         elif k.drop:
             if k.tag in BLOCK:
                 end()
@@ -283,7 +324,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     order = elements(root)
-    keep_holders(order)
+    settle(order)
     measure(order)
     return "\n".join(blocks(chosen(root, order)))
 

@@ -764,6 +764,40 @@ def test_articles_are_containers_among_others():
     assert html_extract.main_text(f"<body><main><article>{teaser}</article><div>{story}</div></main></body>").split("\n")[-6:] == told
 
 
+STORY = [f"Paragraph {k} of the story, long enough, with commas, to be prose." for k in range(6)]
+
+
+@pytest.mark.parametrize("comments", [1, 4, 12, 40, 200])
+def test_comments_are_never_the_story(comments):
+    """However many there are, in the markup of common blog software, beside the story or inside its article."""
+    story = "".join(f"<p>{t}</p>" for t in STORY)
+    said = "".join(f"<p>Comment {k}, a reader's view, at some length, with commas, as long as the story's own.</p>" for k in range(3))
+    shapes = (
+        f'<ol class="commentlist">{f"""<li class="comment even depth-1"><article class="comment-body">{said}</article></li>""" * comments}</ol>',
+        f'<div id="comments" class="comments-area"><h2>Comments</h2>{f"<article>{said}</article>" * comments}</div>',
+        f'<div class="related-posts">{f"<article><h3>Next</h3>{said}</article>" * comments}</div>',
+        f'<section class="comment-list">{f"""<div class="reply">{said}</div>""" * comments}</section>',
+    )
+    for more in shapes:
+        for page in (f"<main><article>{story}</article>{more}</main>", f'<div class="post">{story}</div>{more}', f"<main><article>{story}{more}</article></main>", f'<div class="page"><div>{story}</div><div>{more}</div></div>'):
+            assert html_extract.main_text(f"<html><body>{page}</body></html>").split("\n") == STORY
+
+
+def test_names_inside_the_article():
+    story = "".join(f"<p>{t}</p>" for t in STORY)
+    heads = ("related-work", "search", "navigation", "alerts", "comments", "sharing", "menu")
+    inner = "".join(f'<h{2 + k % 5} id="{x}">About {x}</h{2 + k % 5}>' for k, x in enumerate(heads))
+    assert html_extract.main_text(f"<body><article>{story}{inner}</article></body>").split("\n") == STORY + [f"About {x}" for x in heads]
+    cost = "Costs, of search, over time, as they were measured, and what they were made of."
+    for name in ('id="search-cost"', 'id="related-work"', 'class="nav-history"', 'id="sharing-economy"'):
+        assert html_extract.main_text(f"<body><article>{story}<section {name}><p>{cost}</p></section></article></body>").split("\n") == [*STORY, cost]
+        assert html_extract.main_text(f'<body><article>{story}<div {name}><a href="x">{cost}</a></div></article></body>').split("\n") == STORY
+    for name in ('class="sidebar"', 'class="widget-area"', 'role="complementary"'):  # teasers in a sidebar make it no wrapper of the article
+        assert html_extract.main_text(f"<body><div {name}><article><h3>Next</h3><p>{cost}</p></article></div><article>{story}</article></body>").split("\n") == STORY
+        assert html_extract.main_text(f"<body><div {name}><article>{story}</article></div></body>").split("\n") == STORY
+    assert html_extract.main_text("<p>&<b>amp;</b> &am<i>p;</i> &amp;amp; x</p>") == "&amp; &amp; &amp; x"
+
+
 def random_page(rng):
     tags = ["div", "p", "section", "article", "ul", "li", "span", "a", "b", "blockquote", "td", "h2"]
     return "".join(rng.choice([f"<{rng.choice(tags)}>", f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "some words, and more ", "x &amp; y ", "<br>"]) for _ in range(rng.randint(0, 60)))
@@ -774,7 +808,7 @@ def test_scores_are_those_of_a_plain_climb():
     for _ in range(300):
         root = html_extract.parse(random_page(rng))
         order = html_extract.elements(root)
-        html_extract.keep_holders(order)
+        html_extract.settle(order)
         html_extract.measure(order)
         score = dict.fromkeys(order, 0.0)
 
