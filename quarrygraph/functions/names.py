@@ -56,10 +56,10 @@ REPOSITORY_PREFIXES = (
 
 
 def repository_operation(method: Column) -> Column:
-    """Letters of what a repository method does, null if its prefix says nothing."""
+    """Letters of what a repository method does, letter case apart; null if its prefix says nothing."""
     out = F.lit(None).cast("string")
     for letters, prefixes in reversed(REPOSITORY_PREFIXES):
-        out = F.when(method.rlike("^(" + "|".join(prefixes) + ")"), F.lit(letters)).otherwise(out)
+        out = F.when(F.lower(method).rlike("^(" + "|".join(prefixes) + ")"), F.lit(letters)).otherwise(out)
     return out
 
 

@@ -13,8 +13,12 @@ from quarrygraph.plans.space import Space, require
 def _relations(space: Space, symbol: str, incoming: bool) -> DataFrame:
     cell = require(space, symbol).cell_id
     here, there = ("to_cell_id", "from_cell_id") if incoming else ("from_cell_id", "to_cell_id")
-    links = space.incidences.where((F.col(here) == cell) & F.col("relation_type").isin(*schema.REFERENCES))
-    ends = space.entities.select(F.col("cell_id").alias(there), "fqn", "label", F.col("file").alias("entity_file"), F.col("start_line").alias("entity_line"))
+    if space.index:
+        there, links = "other", space.index.near([cell], incoming, schema.REFERENCES)
+    else:
+        links = space.incidences.where((F.col(here) == cell) & F.col("relation_type").isin(*schema.REFERENCES))
+    every = space.index.table("cells") if space.index else space.entities
+    ends = every.select(F.col("cell_id").alias(there), "fqn", "label", F.col("file").alias("entity_file"), F.col("start_line").alias("entity_line"))
     return links.join(ends, there).select(
         F.col("fqn").alias("target"), F.col("label").alias("target_label"), "relation_type", F.coalesce("confidence", F.lit(0.5)).alias("confidence"),
         F.coalesce("file", "entity_file").alias("file"), F.coalesce("start_line", "entity_line").alias("line"),
@@ -52,15 +56,25 @@ def explain(space: Space, symbol: str) -> DataFrame:
     return spark.createDataFrame([row], f"symbol string, entity_type string, signature string, intent {field}, behavior {field}, error_behavior {field}, preconditions array<{field}>, postconditions array<{field}>, side_effects array<{field}>, witnesses array<struct<file:string,start_line:int,end_line:int>>, callers array<string>, callees array<string>, obstructions array<string>")
 
 
+def _search(space: Space, cell: str, max_depth: int, relations: tuple[str, ...] = (), reverse: bool = False) -> tuple[DataFrame, bool]:
+    """Bounded search from one cell, by the lookup tables if the space has them."""
+    if space.index:
+        return space.index.search([cell], max_depth, relations, incoming=reverse)
+    return graph.search(space.calls(*relations), space.spark.createDataFrame([(cell,)], "node string"), max_depth, reverse=reverse)
+
+
+def _named(space: Space, found: DataFrame) -> DataFrame:
+    return space.index.entities(found) if space.index else found.join(space.entities, "cell_id")
+
+
 def impact(space: Space, symbol: str, max_depth: int = 3) -> DataFrame:
     """Everything that reaches the symbol along incoming calls, construction, inheritance or type references.
 
     (fqn, label, file, line, depth, scope): shortest depth; scope is direct at depth 1, else transitive.
     """
     cell = require(space, symbol).cell_id
-    start = space.spark.createDataFrame([(cell,)], "node string")
-    found, _ = graph.search(space.calls(*schema.IMPACT), start, max_depth, reverse=True)
-    hit = found.where("depth > 0").withColumnRenamed("node", "cell_id").join(space.entities, "cell_id")
+    found, _ = _search(space, cell, max_depth, schema.IMPACT, reverse=True)
+    hit = _named(space, found.where("depth > 0").withColumnRenamed("node", "cell_id"))
     return hit.select("fqn", "label", "file", F.col("start_line").alias("line"), "depth", F.when(F.col("depth") == 1, "direct").otherwise("transitive").alias("scope")).orderBy("depth", "fqn")
 
 
@@ -76,9 +90,9 @@ def enforces(space: Space, entry: str, relation: str, max_depth: int = 5) -> Dat
     """
     cell = require(space, entry).cell_id
     want = relation if relation.startswith("java.") else f"java.{relation}"
-    start = space.spark.createDataFrame([(cell,)], "node string")
-    found, exhausted = graph.search(space.calls(), start, max_depth)
-    hit = not found.where(F.col("depth") < max_depth).join(space.calls(want).select(F.col("src").alias("node")), "node", "left_semi").isEmpty()
+    found, exhausted = _search(space, cell, max_depth)
+    inner = found.where(F.col("depth") < max_depth).select("node")
+    hit = not (space.index.near(inner, False, (want,)) if space.index else inner.join(space.calls(want).select(F.col("src").alias("node")), "node", "left_semi")).isEmpty()
     status = "satisfied" if hit else "violated" if exhausted else "unknown"
-    visited = [r.fqn for r in found.join(space.entities.select(F.col("cell_id").alias("node"), "fqn"), "node").orderBy("depth", "fqn").select("fqn").limit(20).collect()]
+    visited = [r.fqn for r in _named(space, found.withColumnRenamed("node", "cell_id")).orderBy("depth", "fqn").select("fqn").limit(20).collect()]
     return space.spark.createDataFrame([(entry, want, status, exhausted, visited)], "entry_symbol string, required_relation string, status string, exhaustive boolean, visited array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph import schema
 from quarrygraph.functions.names import class_prefix, package_of_types, package_prefix
-from quarrygraph.plans.space import Space, SymbolNotFound, members
+from quarrygraph.plans.space import Space, SymbolNotFound, containing, members
 
 CONTAINED = "java.contained_in"
 
@@ -34,11 +34,11 @@ def overview_packages(space: Space) -> DataFrame:
 def search(space: Space, query: str, entity_type: str | None = None, limit: int = 30) -> DataFrame:
     """Entities whose full name or label contains query, those that begin with it first; total_matches on each row."""
     low = query.lower()
-    hit = F.lower("fqn").contains(low) | F.lower("label").contains(low)
+    hit = containing(space, low)
     if entity_type:
-        hit = hit & F.col("entity_type").contains(entity_type.lower())
+        hit = hit.where(F.col("entity_type").contains(entity_type.lower()))
     first = F.lower("label").startswith(low) | F.lower("fqn").startswith(low)
-    found = space.entities.where(hit).select("fqn", "entity_type", "label", "file", F.col("start_line").alias("line"), first.alias("_first"))
+    found = hit.select("fqn", "entity_type", "label", "file", F.col("start_line").alias("line"), first.alias("_first"))
     total = found.agg(F.count("*").alias("total_matches"))
     top = found.orderBy(F.col("_first").desc(), "fqn", "entity_type", "line").limit(limit)
     return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total_matches") > limit).drop("_first")
@@ -88,9 +88,7 @@ def class_dependencies(space: Space, name: str, strict: bool = False) -> DataFra
 
 def feature(space: Space, keyword: str) -> dict[str, DataFrame]:
     """The slice of a space around a keyword: classes, entry points, internal calls, external dependencies, data entities."""
-    low = keyword.lower()
-    hit = F.col("entity_type").isin("java.class", "java.interface", "java.enum") & (F.lower("fqn").contains(low) | F.lower("label").contains(low))
-    classes = space.entities.where(hit)
+    classes = containing(space, keyword).where(F.col("entity_type").isin("java.class", "java.interface", "java.enum"))
     if classes.isEmpty():
         raise SymbolNotFound(keyword)
     owners = classes.select(F.col("fqn").alias("owner")).distinct()

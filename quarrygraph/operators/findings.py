@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph import schema
 from quarrygraph.functions import code, names
-from quarrygraph.plans import graph
+from quarrygraph.plans import condense
 from quarrygraph.plans.space import Space, members
 from quarrygraph.session import cut
 
@@ -111,24 +111,39 @@ def crud_matrix(space: Space, mapper: DataFrame | None = None) -> DataFrame:
     for h in hits[1:]:
         every = every.unionByName(h)
     every = cut(every)
-    # from the cells with evidence back to the entry points, not from all entry points to all cells
-    back = space.calls(*schema.CALLS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reach = graph.closure(back, every.select(F.col("cell_id").alias("node"))).withColumnsRenamed({"start": "cell_id", "node": "entry"})
-    out = reach.join(every, "cell_id").join(entries.select(F.col("cell_id").alias("entry"), F.col("fqn").alias("entry_point")), "entry")
-    ops = F.array_join(F.filter(F.array(*map(F.lit, "CRUD")), lambda x: F.contains(F.col("all"), x)), "")
-    return out.groupBy("table_class", "table_name", "entry_point").agg(F.array_join(F.collect_set("operations"), "").alias("all"), F.slice(F.array_sort(F.collect_set("evidence")), 1, 5).alias("evidence")).select("table_class", "table_name", "entry_point", ops.alias("operations"), "evidence").orderBy("table_name", "entry_point")
+    # carried back from the cells with evidence over strong components, not paired with every cell on the way
+    table = F.struct("table_class", "table_name").alias("key")
+    letters = every.select(F.col("cell_id").alias("node"), table, F.explode(F.split("operations", "")).alias("value")).where("value <> ''")
+    graph = condense.Condensed(space.calls(*schema.CALLS))
+    done = graph.carried_back(letters).groupBy("node", "key").agg(F.collect_set("value").alias("all"))
+    shown = graph.carried_back(every.select(F.col("cell_id").alias("node"), table, F.col("evidence").alias("value")), 5)
+    shown = shown.groupBy("node", "key").agg(F.array_sort(F.collect_list("value")).alias("evidence"))
+    at = entries.select(F.col("cell_id").alias("node"), F.col("fqn").alias("entry_point"))
+    out = at.join(done, "node").join(shown, ["node", "key"])
+    ops = F.array_join(F.filter(F.array(*map(F.lit, "CRUD")), lambda x: F.array_contains("all", x)), "")
+    out = out.select("key.table_class", "key.table_name", "entry_point", ops.alias("operations"), "evidence")
+    return _by_name(out).orderBy("table_name", "entry_point")
+
+
+def _by_name(rows: DataFrame) -> DataFrame:
+    """One row for a table and an entry point's name, which several files may declare: their operations and first evidence."""
+    letters = F.array_join(F.filter(F.array(*map(F.lit, "CRUD")), lambda x: F.contains(F.col("all"), x)), "")
+    keys = ["table_class", "table_name", "entry_point"]
+    # few rows a group: as many as files declare the name, each with five pieces of evidence at most
+    out = rows.groupBy(*keys).agg(F.array_join(F.collect_list("operations"), "").alias("all"), F.flatten(F.collect_list("evidence")).alias("evidence"))
+    return out.select(*keys, letters.alias("operations"), F.slice(F.array_sort(F.array_distinct("evidence")), 1, 5).alias("evidence"))
 
 
 def crud_closure(space: Space, targets: DataFrame) -> DataFrame:
     """(entry_point, target): which targets (cell_id, target) each entry point reaches by calls and constructions.
 
-    Targets are carried back along the edges, so rows are bounded by cells times targets instead of pairs of cells.
+    Targets are carried back over strong components, so rows are bounded by components times targets.
     """
     called = space.calls("java.calls").select(F.col("dst").alias("cell_id")).distinct()
     entries = space.entities.where(F.col("entity_type") == "java.method").join(called, "cell_id", "left_anti")
-    back = space.calls(*schema.CALLS).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    reach = graph.closure(back, targets.select(F.col("cell_id").alias("node"), F.col("target").alias("start")))
-    return reach.join(entries.select(F.col("cell_id").alias("node"), F.col("fqn").alias("entry_point")), "node").select("entry_point", F.col("start").alias("target")).distinct()
+    seeds = targets.select(F.col("cell_id").alias("node"), F.lit(0).alias("key"), F.col("target").alias("value"))
+    reach = condense.Condensed(space.calls(*schema.CALLS)).carried_back(seeds)
+    return reach.join(entries.select(F.col("cell_id").alias("node"), F.col("fqn").alias("entry_point")), "node").select("entry_point", F.col("value").alias("target")).distinct()
 
 
 def last_write(log: DataFrame, key: str = "cell_id", order: str = "version") -> DataFrame:

@@ -20,8 +20,10 @@ def grounding(space: Space) -> DataFrame:
 
 def reachability(space: Space, first: str | None = None) -> DataFrame:
     """Cells that no path of any relations, direction ignored, links with the first cell."""
-    nodes = space.cells.select(F.col("cell_id").alias("node"))
-    comp = graph.components(nodes, space.calls())
+    if space.index:
+        comp = space.index.labels().select(F.col("cell_id").alias("node"), F.col("by_all").alias("component"))
+    else:
+        comp = graph.components(space.cells.select(F.col("cell_id").alias("node")), space.calls())
     start = first or space.cells.agg(F.min("cell_id")).first()[0]
     home = comp.where(F.col("node") == start).select("component")
     apart = comp.join(home, "component", "left_anti")

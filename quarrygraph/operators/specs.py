@@ -85,13 +85,15 @@ def enrich_batch(space: Space, scope: str | None = None, limit: int = 10) -> Dat
     if scope and scope != "all":
         todo = todo.where(F.lower("fqn").contains(scope.lower()))
     todo = todo.orderBy("fqn", "start_line").limit(limit)
-    lines = todo.select("fqn", "file", F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))).alias("line_no")).join(space.table("source_lines").withColumnRenamed("path", "file"), ["file", "line_no"])
-    source = lines.groupBy("fqn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("source_code"))
+    # a name may be declared in several files, and twice in one
+    span = ["fqn", "file", "start_line", "end_line"]
+    lines = todo.select(*span, F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))).alias("line_no")).distinct().join(space.table("source_lines").withColumnRenamed("path", "file"), ["file", "line_no"])
+    source = lines.groupBy(*span).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("source_code"))
     names = space.entities.select("cell_id", F.col("fqn").alias("other"))
     ends = space.incidences.where(F.col("relation_type").isin(*schema.CALLS)).select("from_cell_id", "to_cell_id")
     to = ends.join(names, ends["from_cell_id"] == names["cell_id"]).groupBy(F.col("to_cell_id").alias("cell_id")).agg(F.array_sort(F.collect_set("other")).alias("callers"))
     fro = ends.join(names, ends["to_cell_id"] == names["cell_id"]).groupBy(F.col("from_cell_id").alias("cell_id")).agg(F.array_sort(F.collect_set("other")).alias("callees"))
-    return todo.join(source, "fqn").join(to, "cell_id", "left").join(fro, "cell_id", "left").select(F.col("fqn").alias("symbol"), "entity_type", F.col("label").alias("signature"), "source_code", "file", "start_line", "end_line", parent_name(F.col("fqn")).alias("containing_class"), F.lit(INSTRUCTIONS).alias("instructions"), "callers", "callees").orderBy("symbol")
+    return todo.join(source, span).join(to, "cell_id", "left").join(fro, "cell_id", "left").select(F.col("fqn").alias("symbol"), "entity_type", F.col("label").alias("signature"), "source_code", "file", "start_line", "end_line", parent_name(F.col("fqn")).alias("containing_class"), F.lit(INSTRUCTIONS).alias("instructions"), "callers", "callees").orderBy("symbol")
 
 
 def annotate(space: Space, symbol: str, **fields) -> Space:

@@ -98,8 +98,16 @@ def clusters(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) ->
     return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", F.when(top > 0, F.least(F.lit(1.0), F.col("lifetime") / top)).otherwise(1.0)).select("component", "members", "lifetime", "confidence").orderBy(F.col("lifetime").desc(), "members")
 
 
-def domain_clusters(space: Space, min_lifetime: int = 2) -> DataFrame:
-    """(component, members, packages, confidence, lifetime, crosses_boundary) over undirected call hops.
+def _call_components(space: Space) -> DataFrame:
+    """(node, component) by calls, direction ignored: the labels stored with the space, else computed."""
+    nodes = space.cells.where("dimension = 0").select(F.col("cell_id").alias("node")).distinct()
+    if space.index:
+        return nodes.join(space.index.labels().select(F.col("cell_id").alias("node"), F.col("by_calls").alias("component")), "node")
+    return graph.components(nodes, space.calls("java.calls"))
+
+
+def cluster_members(space: Space, min_lifetime: int = 2) -> DataFrame:
+    """(component, fqn, package, lifetime): a row for each named member of a cluster over undirected call hops.
 
     All merges of a hop metric happen at distance one, so clusters are connected components (isolated cells too) unless
     min_lifetime is at most 1 (every cell by itself, if there is a call at all) or above the diameter + 1 (none).
@@ -114,7 +122,19 @@ def domain_clusters(space: Space, min_lifetime: int = 2) -> DataFrame:
     elif min_lifetime <= 1 and have:
         comp = nodes.select("node", F.col("node").alias("component"))
     else:
-        comp = graph.components(nodes, edges)
-    grouped = comp.join(names, "node").groupBy("component").agg(F.array_sort(F.collect_list("fqn")).alias("members"), F.array_sort(F.collect_set(parent_name(F.col("fqn")))).alias("packages"))
+        comp = _call_components(space)
     life = 1 if min_lifetime <= 1 else diameter + 1
-    return grouped.select("component", "members", "packages", F.lit(1.0).alias("confidence"), F.lit(life).alias("lifetime"), (F.size("packages") > 1).alias("crosses_boundary"))
+    return comp.join(names, "node").select("component", "fqn", parent_name(F.col("fqn")).alias("package"), F.lit(life).alias("lifetime"))
+
+
+def cluster_sizes(space: Space, min_lifetime: int = 2) -> DataFrame:
+    """(component, members, packages, crosses_boundary): numbers only, whatever the clusters' sizes."""
+    out = cluster_members(space, min_lifetime).groupBy("component").agg(F.count("*").alias("members"), F.countDistinct("package").alias("packages"))
+    return out.withColumn("crosses_boundary", F.col("packages") > 1)
+
+
+def domain_clusters(space: Space, min_lifetime: int = 2) -> DataFrame:
+    """(component, members, packages, confidence, lifetime, crosses_boundary): clusters with their lists of names, for reading. The
+    rows of very large clusters are those of cluster_members."""
+    grouped = cluster_members(space, min_lifetime).groupBy("component", "lifetime").agg(F.array_sort(F.collect_list("fqn")).alias("members"), F.array_sort(F.collect_set("package")).alias("packages"))
+    return grouped.select("component", "members", "packages", F.lit(1.0).alias("confidence"), "lifetime", (F.size("packages") > 1).alias("crosses_boundary"))

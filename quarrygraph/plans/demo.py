@@ -16,8 +16,9 @@ from quarrygraph.sources import store
 
 from .space import Space
 
-#: Loaded spaces by application and folder.
-_STORED: dict[tuple[str, str], Space] = {}
+#: Loaded spaces by application and the state of the tables below a folder.
+_STORED: dict[tuple[str, ...], Space] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
 def _entity(df: DataFrame, fqn, cell, kind: str, label, owner, line) -> DataFrame:
@@ -28,18 +29,31 @@ def _entity(df: DataFrame, fqn, cell, kind: str, label, owner, line) -> DataFram
     )
 
 
+def files_of(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """Path, length and time of change of every file of the tables."""
+    out = []
+    for name in TABLES:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return tuple(sorted(out))
+
+
 def demo_space(spark: SparkSession, sf_dir: str) -> Space:
-    """The space of the tables below sf_dir, derived once for each application and kept in a store below the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The space of the tables below sf_dir, derived once for each application and state of their files, and kept with its lookup
+    tables in a store below the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, *files_of(spark, sf_dir))
     if key not in _STORED:
         root = f"{shared_dir(spark)}/quarry/demo-{uuid.uuid4().hex}"
-        store.save(derived_space(spark, sf_dir), root)
+        store.save(derived_space(spark, sf_dir), root, indexed=True)
         _STORED[key] = store.load(spark, root, "demo")
     return _STORED[key]
 
 
 def derived_space(spark: SparkSession, sf_dir: str) -> Space:
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TABLES}
     region = t["region"].select("r_regionkey", F.concat(F.lit("geo."), F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))).alias("pkg"))
     nation = t["nation"].join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_regionkey", F.concat("pkg", F.lit(".Nation"), F.col("n_nationkey")).alias("cls"))
     key = F.col

@@ -114,19 +114,33 @@ def hop_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def cycles(edges: DataFrame, most: int | None = 10, longest: int = 20) -> DataFrame:
-    """Simple cycles as ``path`` arrays that begin with their least node, by path; at most ``most`` of length up to ``longest``."""
-    step = cut(edges.select("src", "dst").distinct())
-    paths = step.select(F.array("src").alias("path"), F.col("dst").alias("next")).where(F.col("next") >= F.col("path")[0])
-    found = None
-    for _ in range(longest):
+    """Simple cycles as ``path`` arrays that begin with their least node, shortest first, then by path; at most ``most`` of length
+    up to ``longest``.
+
+    Only edges within strong components are walked. Cycles of a length are closed by a join of the paths' ends with edges to
+    their starts, before paths are made longer; when ``most`` are found no longer ones are looked for.
+    """
+    from .condense import strong_components
+
+    step = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    home = cut(strong_components(step))
+    a, b = home.withColumnsRenamed({"node": "src", "component": "a"}), home.withColumnsRenamed({"node": "dst", "component": "b"})
+    inner = cut(step.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
+    found = inner.where("src = dst").select(F.array("src").alias("path"))
+    loops, inner = found.count(), cut(inner.where("src <> dst"))
+    # paths of different nodes, none less than the first; last: where they end
+    paths, have = inner.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last")), loops
+    for size in range(2, longest + 1):
+        if most is not None and have >= most:
+            break
         paths = cut(paths)
         if paths.isEmpty():
             break
-        closed = paths.where(F.col("next") == F.col("path")[0]).select("path")
-        found = closed if found is None else found.unionAll(closed)
-        grown = paths.where((F.col("next") != F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("src"))
-        paths = grown.join(step, "src").where(F.col("dst") >= F.col("path")[0]).select("path", F.col("dst").alias("next"))
-    if found is None:
-        return step.select(F.array("src").alias("path")).where("false")
+        ends = inner.select(F.col("src").alias("last"), F.col("dst").alias("first"))
+        closed = cut(paths.join(ends, ["last", "first"], "left_semi").select("path"))
+        found, have = found.unionAll(closed), have + closed.count()
+        if size < longest:
+            grown = paths.join(inner.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))
+            paths = grown.select(F.concat("path", F.array("next")).alias("path"), "first", F.col("next").alias("last"))
     out = found.orderBy(F.size("path"), "path")
     return out.limit(most) if most is not None else out

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph import schema
 
+if TYPE_CHECKING:
+    from quarrygraph.sources.index import SpaceIndex
+
 
 class SymbolNotFound(LookupError):
     """No entity has this name."""
@@ -25,6 +29,8 @@ class Space:
     source_files: DataFrame | None = None
     obstructions: DataFrame | None = None
     space_id: str = "space"
+    #: Lookup tables of entities, incidences and cells; None if there are none or these tables were exchanged.
+    index: SpaceIndex | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -36,7 +42,8 @@ class Space:
         return have if have is not None else self.spark.createDataFrame([], getattr(schema, name.upper()))
 
     def with_tables(self, **tables: DataFrame) -> Space:
-        return replace(self, **tables)
+        same = not {"entities", "incidences", "cells"} & set(tables)
+        return replace(self, index=self.index if same else None, **tables)
 
     def calls(self, *relations: str) -> DataFrame:
         """(src, dst) of incidences of these relations, one row an incidence."""
@@ -50,7 +57,8 @@ def resolve(space: Space, symbol: str) -> DataFrame:
     One row, or none.
     """
     exact = F.col("fqn") == symbol
-    return space.entities.where(exact | F.col("fqn").endswith("." + symbol)).orderBy(exact.desc(), F.length("fqn"), "fqn", "cell_id").limit(1)
+    found = space.index.ending(symbol) if space.index else space.entities.where(exact | F.col("fqn").endswith("." + symbol))
+    return found.orderBy(exact.desc(), F.length("fqn"), "fqn", "cell_id").limit(1)
 
 
 def require(space: Space, symbol: str):
@@ -61,6 +69,13 @@ def require(space: Space, symbol: str):
     return row
 
 
+def containing(space: Space, part: str) -> DataFrame:
+    """Entities whose full name or label contains part, letter case apart."""
+    low = part.lower()
+    found = space.index.containing(low) if space.index else None
+    return found if found is not None else space.entities.where(F.lower("fqn").contains(low) | F.lower("label").contains(low))
+
+
 def members(names: DataFrame, of: DataFrame, name: str = "fqn", owner: str = "owner") -> DataFrame:
     """names joined with the owners (column ``owner``) that are a dotted prefix of them, by equality on every ancestor.
 

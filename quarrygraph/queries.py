@@ -230,8 +230,7 @@ label(node, component) USING KEY (node) AS (
 ), comp AS (SELECT node, component FROM label)
 SELECT component, count(*) AS members, count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) AS packages, count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) > 1 AS crosses_boundary FROM comp JOIN entities ON cell_id = node GROUP BY 1""")
 def domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = topology.domain_clusters(demo_space(spark, sf_dir), 2)
-    return out.select("component", F.size("members").cast("long").alias("members"), F.size("packages").cast("long").alias("packages"), "crosses_boundary")
+    return topology.cluster_sizes(demo_space(spark, sf_dir), 2)
 
 
 @query("""

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from quarrygraph import schema
 from quarrygraph.plans.space import Space
 
+from . import index
+
 TABLES = ("cells", "incidences", "entities", "unresolved", "annotations", "source_files", "source_lines", "obstructions")
 POINTER = "current"
 
 
-def save(space: Space, root: str) -> str:
-    """Writes all tables as a new version, then switches the pointer to it; the folder's path.
+def save(space: Space, root: str, indexed: bool = False) -> str:
+    """Writes all tables as a new version, with lookup tables if indexed, then switches the pointer to it; the folder's path.
 
     A crash before the switch leaves the version before as it was. That one stays on disk, since a loaded space may still
     be read from it; older ones go.
@@ -25,6 +27,9 @@ def save(space: Space, root: str) -> str:
     before, version = _current(space.spark, path), f"v-{uuid.uuid4().hex}"
     for name in TABLES:
         space.table(name).write.parquet(f"{path}/{version}/{name}")
+    if indexed:
+        read = lambda name: space.spark.read.schema(getattr(schema, name.upper())).parquet(f"{path}/{version}/{name}")
+        index.build(space.spark, f"{path}/{version}/index", read("entities"), read("incidences"), read("cells"))
     beside = at(f"{path}/{version}/{POINTER}")
     out = fs.create(beside, True)
     out.write(bytearray(version.encode()))
@@ -68,7 +73,9 @@ def load(spark: SparkSession, root: str, space_id: str) -> Space:
     version = _current(spark, path)
     if version is None:
         raise FileNotFoundError(path)
-    return Space(space_id=space_id, **{n: spark.read.schema(getattr(schema, n.upper())).parquet(f"{path}/{version}/{n}") for n in TABLES})
+    at, folder = _fs(spark, path)[1], f"{path}/{version}/index"
+    lookup = index.open_index(spark, folder) if _fs(spark, path)[0].exists(at(f"{folder}/about/_SUCCESS")) else None
+    return Space(space_id=space_id, index=lookup, **{n: spark.read.schema(getattr(schema, n.upper())).parquet(f"{path}/{version}/{n}") for n in TABLES})
 
 
 def list_spaces(spark: SparkSession, root: str) -> DataFrame:
