@@ -8,8 +8,8 @@ Symbols are all lower-case letters that the labelled texts hold, one for each, o
 everything between words. The moves of an automaton lie in one table as long as their number asks, however many letters a
 script has, so many pieces of text advance together, one symbol a step, in numpy. A long text is cut
 into pieces that are parsed side by side; then each piece is parsed again from the state in which the piece before it
-ended, until a phrase begins where one began the first time: from there on both parses are the same. So the count is that
-of one parse of the whole text.
+ended, until a phrase begins where one began the first time or the states are the same: from there on both parses are. So the
+count is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -133,9 +133,10 @@ class Automaton:
         for k, (_, s) in enumerate(pieces):
             grid[: len(s), lane[k]] = s
         active = np.searchsorted(-size[order], -np.arange(len(grid)), "left").tolist()
-        state, begins = np.zeros(len(pieces), np.int64), np.zeros(grid.shape, bool)
+        state, begins, states = np.zeros(len(pieces), np.int64), np.zeros(grid.shape, bool), np.zeros(grid.shape, np.int64)
         for t, n in enumerate(active):
             state[:n], begins[t, :n] = self.move(state[:n], grid[t, :n])
+            states[t, :n] = state[:n]
         count = begins.sum(0)[lane]
         # pieces that go on from another one, from the state in which that ended
         later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
@@ -150,8 +151,8 @@ class Automaton:
                 continue
             now, mine = self.move(now, grid[t, here])
             first = begins[t, here]
-            met = first & mine
-            change[later] += np.where(met, 0, mine.astype(np.int64) - first)
+            met = (first & mine) | (now == states[t, here])
+            change[later] += mine.astype(np.int64) - first
             later, here, now, length = (x[~met] for x in (later, here, now, length))
             t += 1
         out = np.bincount(owner, count + change, len(texts)).astype(np.int64)

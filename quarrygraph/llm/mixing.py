@@ -2,7 +2,8 @@
 
 Every source gets a target in words. Whole copies of all its documents come first; what is left of the target is a budget
 that whole documents are chosen to fill: documents are counted by exact length, the same share of each length is taken of
-all but the last RESERVE words, and a bounded-knapsack program over the lengths still left closes the rest. Which documents
+all but the last RESERVE words, and a bounded-knapsack program over the lengths still left closes the rest; the last
+documents of very great lengths are left to it where shares would leave a gap. Which documents
 of a length are taken follows a seeded hash, so reruns agree: those up to a key that is found for each source and length
 from counts alone, so that texts are neither shuffled nor ranked.
 """
@@ -19,8 +20,10 @@ from .common import WORD, cut, let_go, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Words of a budget that are left to the knapsack program, and the most it can have to fill after shares are rounded.
+#: Words of a budget that are left to the knapsack program, and units that it reckons in at most.
 RESERVE, PROGRAM = 1 << 15, 1 << 16
+#: Documents of more than LONG words are chosen anew, UNDONE of a length at most, where shares leave a gap.
+LONG, UNDONE = 1 << 12, 8
 #: Bits of a document's 63-bit key by which documents of one (source, length) are counted at a time, from the first on.
 KEY_BITS, LEVELS = 8, 2
 
@@ -43,42 +46,26 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = SHARE,
     return capped
 
 
-def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take so that their sum is as near below budget as the method gets, mostly equal.
+def program(lengths: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray:
+    """How many of each length to take so that the sum is as near below rest as a bounded subset sum gets.
 
-    Time and memory are bounded by the number of different lengths and PROGRAM, whatever the counts are.
+    Sums are reckoned in units of so many words that there are PROGRAM of them at most, lengths rounded up to units: a sum is
+    never above rest, and below the best one by less than a unit for each document. With a rest of up to PROGRAM it is exact.
     """
-    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
-    total = int((lengths * counts).sum())
-    if budget >= total:
-        return counts.copy()
-    if budget <= 0:
-        return np.zeros_like(counts)
-    # integer arithmetic in Python: the products may pass 64 bits
-    shared = max(int(budget) - RESERVE, 0)
-    take = np.array([int(c) * shared // total for c in counts], np.int64)
-    left = counts - take
-    rest = int(budget - (take * lengths).sum())
-    # what the rounding of shares left open, by the longest documents that fit
-    for k in np.argsort(-lengths, kind="stable"):
-        if rest <= PROGRAM:
-            break
-        if n := min(int(left[k]), (rest - RESERVE) // int(lengths[k]) if lengths[k] else 0):
-            take[k] += n
-            left[k] -= n
-            rest -= n * int(lengths[k])
-    # bounded subset sum: counts as powers of two; reached[s] is the first item with which s can be reached
-    reached = np.full(rest + 1, -1, np.int64)
-    sums, items, mask = 1, [], (1 << (rest + 1)) - 1
+    take, unit = np.zeros_like(left), max(1, -(-rest // PROGRAM))
+    goal, sizes = rest // unit, -(-lengths // unit)
+    # counts as powers of two; reached[s] is the first item with which s can be reached
+    reached = np.full(goal + 1, -1, np.int64)
+    sums, items, mask = 1, [], (1 << (goal + 1)) - 1
     for k in np.random.default_rng(0).permutation(len(lengths)):
-        size, n, power = int(lengths[k]), int(min(left[k], rest // max(int(lengths[k]), 1))), 1
-        if not 0 < size <= rest:
+        size, n, power = int(sizes[k]), int(min(left[k], goal // max(int(sizes[k]), 1))), 1
+        if not 0 < size <= goal:
             continue
-        while n > 0 and not sums >> rest & 1:
+        while n > 0 and not sums >> goal & 1:
             m = min(power, n)
             new = (sums << (size * m)) & mask & ~sums
             if new:
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(goal // 8 + 1, "little"), np.uint8), bitorder="little"))
                 reached[at] = len(items)
                 items.append((k, m, size * m))
                 sums |= new
@@ -92,6 +79,51 @@ def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     return take
 
 
+def closed(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int) -> np.ndarray:
+    """take with what the program adds to it, in finer and finer units, until nothing fits any more."""
+    take = take.copy()
+    while rest := budget - int((take * lengths).sum()):
+        more = program(lengths, counts - take, rest)
+        if not more.any():
+            break
+        take += more
+    return take
+
+
+def fit_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take so that their sum is near below budget, about the same share of each.
+
+    The same share is taken of every length but for RESERVE words of the budget, which the program closes. Where that leaves a
+    gap, up to UNDONE documents of each length above LONG words are given back and chosen by the program too, and the nearer
+    result counts. Time and memory are bounded by the number of different lengths and PROGRAM, whatever counts and lengths are.
+    """
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    total = int((lengths * counts).sum())
+    if budget >= total:
+        return counts.copy()
+    if budget <= 0:
+        return np.zeros_like(counts)
+    # integer arithmetic in Python: the products may pass 64 bits
+    shared = max(int(budget) - RESERVE, 0)
+    shares = np.array([int(c) * shared // total for c in counts], np.int64)
+    take, rest = shares.copy(), int(budget - (shares * lengths).sum())
+    # what the rounding of shares left open, by the longest documents that fit
+    for k in np.argsort(-lengths, kind="stable"):
+        if rest <= PROGRAM:
+            break
+        if n := min(int(counts[k] - take[k]), (rest - RESERVE) // int(lengths[k]) if lengths[k] else 0):
+            take[k] += n
+            rest -= n * int(lengths[k])
+    best = closed(lengths, counts, take, budget)
+    gap = budget - int((best * lengths).sum())
+    given = np.where(lengths > LONG, np.minimum(shares, UNDONE), 0)
+    if gap and (lengths > LONG).any():
+        other = closed(lengths, counts, shares - given, budget)
+        if budget - int((other * lengths).sum()) < gap:
+            return other
+    return best
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
     """docs with added columns size, source_size, target and taken (words that the mix takes, repeats counted).
 

@@ -136,6 +136,20 @@ def test_fit_subset_is_exact_where_a_subset_exists():
     assert mixing.fit_subset(np.array([0, 5]), np.array([3, 1]), 5).tolist()[1] == 1
 
 
+def test_few_very_long_documents_are_fitted():
+    """Lengths far above what the program reckons with word by word: in units, never above the budget, near the best sum."""
+    lengths, counts = np.array([3_000_000, 3_100_000, 3_300_007, 3_700_001]), np.array([5, 5, 5, 5])
+    for budget in (14_000_000, 9_999_999, 40_000_000, 2_999_999):
+        best = max(x for n in itertools.product(range(6), repeat=4) if (x := int((lengths * n).sum())) <= budget)
+        take = mixing.fit_subset(lengths, counts, budget)
+        got = int((take * lengths).sum())
+        assert (take <= counts).all() and best - 5_000 <= got <= budget
+    assert mixing.fit_subset(np.array([20_000_000]), np.array([3]), 15_000_000).tolist() == [0]
+    lengths, counts = np.append(np.arange(1, 500), 2_000_003), np.append(np.full(499, 1000), 4)
+    take = mixing.fit_subset(lengths, counts, 60_000_000)
+    assert int((take * lengths).sum()) == 60_000_000 and take[:-1].min() > 0
+
+
 def test_mix(spark):
     docs = sf_docs(spark).select("doc_id", "source", "text").withColumns({c: F.lit("clash") for c in ("SIZE", "part", "copies", "full", "extra", "pick", "n")})
     a = {r.doc_id: r for r in mixing.mix(docs).collect()}
@@ -208,6 +222,20 @@ def test_language_predictions_are_those_of_a_plain_parse(spark):
         assert np.allclose(mine, [want[g] for g in model.langs]) and got[r.doc_id] == min(model.langs, key=want.get)
 
 
+def test_a_text_that_repeats_labelled_text_is_parsed_in_pieces(monkeypatch):
+    """No phrase need begin where one began before: the states meet, and no text is parsed symbol by symbol."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefg ") for _ in range(3000))
+    model = langid.Model({"x": [passage], "y": ["".join(rng.choice("gfe dcba") for _ in range(2000))]})
+    texts = [passage * 9, passage[1000:] + passage * 3, "b" + passage[5:2900] * 4]
+    got = model.entropies(texts, model.classes())
+    monkeypatch.setattr(langid.Automaton, "phrases", lambda self, parts: np.array([self.plain(p) for p in parts]))
+    assert np.array_equal(got, model.entropies(texts, model.classes()))
+    monkeypatch.undo()
+    monkeypatch.setattr(langid.Automaton, "plain", lambda self, text: 1 / 0)
+    model.entropies(texts, model.classes())
+
+
 def test_scripts_of_many_letters_keep_all_of_them(spark):
     rng = random.Random(1)
     word = lambda first, n: "".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(1, 3)))
