@@ -28,12 +28,24 @@ def near_pairs(points: DataFrame, most: float) -> DataFrame:
     return a.join(b, "cell").where("i < j").select("i", "j", F.abs(F.col("xi") - F.col("xj")).alias("d")).where(F.col("d") <= most)
 
 
+def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the distinct values with their places from 1 in ascending order.
+
+    The values are dealt by ranges; a value's place is its place in its partition plus the values of the partitions before,
+    so only a row a partition passes through one task.
+    """
+    dealt = values.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
+    dealt = cut(dealt.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    heads = dealt.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(heads, "_part").select(column, (F.col("_at") + F.col("_shift")).alias(name))
+
+
 def rips_stages(distances: DataFrame) -> DataFrame:
-    """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance."""
-    pairs = distances.where("i < j AND d > 0").select("i", "j", "d")
-    levels = pairs.select("d").distinct()
-    levels = levels.withColumn("stage", F.dense_rank().over(W.orderBy("d")))
-    return pairs.join(F.broadcast(levels), "d").select("i", "j", "d", "stage")
+    """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance, zero too."""
+    pairs = distances.where("i < j AND d >= 0 AND d < double('infinity')").select("i", "j", "d")
+    return pairs.join(ranked(pairs, "d", "stage"), "d").select("i", "j", "d", "stage")
 
 
 def spanning_forest(stages: DataFrame) -> DataFrame:
@@ -94,8 +106,8 @@ def clusters(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) ->
     survives = F.row_number().over(W.partitionBy("end").orderBy("component")) == 1
     nexts = [k for k in range(at + 1, last + 1) if counts[k] < counts[k - 1]]
     out = out.withColumn("lifetime", F.when(survives, F.lit(last + 1)).otherwise(F.lit(nexts[0] if nexts else last + 1)))
-    top = F.max("lifetime").over(W.partitionBy())
-    return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", F.when(top > 0, F.least(F.lit(1.0), F.col("lifetime") / top)).otherwise(1.0)).select("component", "members", "lifetime", "confidence").orderBy(F.col("lifetime").desc(), "members")
+    confidence = F.least(F.lit(1.0), F.col("lifetime") / last) if last else F.lit(1.0)
+    return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", confidence).select("component", "members", "lifetime", "confidence").orderBy(F.col("lifetime").desc(), "members")
 
 
 def _call_components(space: Space) -> DataFrame:

@@ -235,12 +235,12 @@ def domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH pts AS (SELECT p_partkey AS k, round(p_retailprice, 2) AS x, floor(round(p_retailprice, 2))::BIGINT AS cell FROM part),
-pairs AS (SELECT a.k AS i, b.k AS j, round(abs(a.x - b.x), 2) AS d FROM pts a, (VALUES (-1), (0), (1)) o(o), pts b WHERE b.cell = a.cell + o AND a.k < b.k AND abs(a.x - b.x) BETWEEN 0.005 AND 1)
+pairs AS (SELECT a.k AS i, b.k AS j, round(abs(a.x - b.x), 2) AS d FROM pts a, (VALUES (-1), (0), (1)) o(o), pts b WHERE b.cell = a.cell + o AND a.k < b.k AND abs(a.x - b.x) <= 1)
 SELECT i, j, d, dense_rank() OVER (ORDER BY d) AS stage FROM pairs""")
 def rips_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose prices are at most 1 apart."""
     points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.round("p_retailprice", 2).alias("x"))
-    near = topology.near_pairs(points, 1.0).where("d >= 0.005").withColumn("d", F.round("d", 2))
+    near = topology.near_pairs(points, 1.0).withColumn("d", F.round("d", 2))
     return topology.rips_stages(near).select("i", "j", "d", F.col("stage").cast("long").alias("stage"))
 
 
