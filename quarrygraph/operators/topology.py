@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.names import parent_name
-from quarrygraph.plans import graph
+from quarrygraph.plans import distance, graph
 from quarrygraph.plans.space import Space
 from quarrygraph.session import cut
 
@@ -68,46 +68,99 @@ def spanning_forest(stages: DataFrame) -> DataFrame:
     return found if found is not None else stages.select("i", "j", "stage").where("false")
 
 
-def merge_stages(points: DataFrame, stages: DataFrame) -> list[int]:
-    """Component counts at stage 0, 1, ...: how many clusters are left after each threshold.
+def last_stage(stages: DataFrame) -> int:
+    """The number of the last stage; 0 if there are the points alone."""
+    return stages.agg(F.max("stage")).first()[0] or 0
 
-    Each edge of a spanning forest joins two clusters at its stage.
-    """
-    joined = {r.stage: r.n for r in spanning_forest(stages).groupBy("stage").agg(F.count("*").alias("n")).collect()}
-    counts = [points.select("node").distinct().count()]
-    for s in range(1, (stages.agg(F.max("stage")).first()[0] or 0) + 1):
-        counts.append(counts[-1] - joined.get(s, 0))
-    return counts
 
+#: Parts into which a range of stages is split at each level of the merge tree.
+FAN = 8
 
-def lifetimes(counts: list[int]) -> list[tuple[int, int]]:
-    """(lifetime, how many) of H0 intervals: all are born at stage 0; those that never merge live last + 1 stages."""
-    out = [(k, counts[k - 1] - counts[k]) for k in range(1, len(counts)) if counts[k - 1] > counts[k]]
-    return out + ([(len(counts), counts[-1])] if counts and counts[-1] else [])
 
+def deaths(forest: DataFrame, last: int) -> DataFrame:
+    """(node, death): the stage at which each node's cluster is taken in by one with a lesser node; nodes that never are have no row.
 
-def cut_stage(counts: list[int], min_lifetime: int) -> int:
-    """The latest stage with as many components as there are intervals that live min_lifetime; else the last."""
-    want = sum(n for life, n in lifetimes(counts) if life >= min_lifetime)
-    return max((k for k, c in enumerate(counts) if c == want), default=len(counts) - 1)
+    forest(i, j, stage) spans the components of every stage; stages go up to ``last``. Ranges of stages are split level by
+    level: within a range, an edge of the p-th part joins what the parts before it have already joined, so its ends become the
+    least nodes there. All ranges and parts of a level are one components plan. In a range of one stage, nodes that are not
+    the least of their component die. Levels grow with the logarithm of the stages, however long the chains of merges are.
+    """
+    width = 1
+    while width < last:
+        width *= FAN
+    edges = cut(forest.select("i", "j", F.col("stage").cast("long").alias("stage")))
+    at = F.col("stage") - 1
+    while width > 1:
+        part, name = width // FAN, F.floor(at / width)
+        digit = F.floor(at / part) % FAN
+        told = edges.where(digit < FAN - 1).select("i", "j", name.alias("r"), F.explode(F.sequence(digit + 1, F.lit(FAN - 1).cast("long"))).alias("p"))
+        own = lambda end: F.struct("r", "p", F.col(end).alias("v"))
+        joined = graph.connected(told.select(own("i").alias("src"), own("j").alias("dst")))
+        label = cut(joined.select("id.r", "id.p", "id.v", F.col("component.v").alias("least")))
+        edges = edges.withColumns({"r": name, "p": digit})
+        for end in ("i", "j"):
+            edges = edges.join(label.withColumnsRenamed({"v": end, "least": "_least"}), ["r", "p", end], "left").withColumn(end, F.coalesce("_least", end)).drop("_least")
+        edges, width = cut(edges.select("i", "j", "stage")), part
+    own = lambda end: F.struct("stage", F.col(end).alias("v"))
+    ends = graph.connected(edges.select(own("i").alias("src"), own("j").alias("dst")))
+    return ends.select(F.col("id.v").alias("node"), F.col("id.stage").alias("death"))
+
+
+def intervals(points: DataFrame, stages: DataFrame) -> DataFrame:
+    """(node, birth, death, lifetime) of the zero-dimensional persistence: all are born at stage 0; of clusters that merge, the
+    one with the least node lives on. Those that never merge have no death and live one stage more than there are after 0."""
+    last = last_stage(stages)
+    died = deaths(spanning_forest(stages), last)
+    out = points.select("node").distinct().join(died, "node", "left")
+    return out.select("node", F.lit(0).cast("long").alias("birth"), "death", F.coalesce("death", F.lit(last + 1)).cast("long").alias("lifetime"))
+
+
+def stage_counts(lives: DataFrame, last: int) -> DataFrame:
+    """(stage, components) of stage 0 and of each stage at which clusters merge; up to the next one the count stays."""
+    n = lives.count()
+    gone = lives.where(F.col("death") <= last).groupBy(F.col("death").alias("stage")).agg(F.count("*").alias("n"))
+    # sums before each range of stages, then within it: no window takes all stages
+    dealt = cut(gone.repartitionByRange("stage").sortWithinPartitions("stage").select("stage", "n", F.spark_partition_id().alias("_part")))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    heads = dealt.groupBy("_part").agg(F.sum("n").alias("_sum")).select("_part", before.alias("_before"))
+    here = F.sum("n").over(W.partitionBy("_part").orderBy("stage"))
+    later = dealt.join(heads, "_part").select("stage", (F.lit(n) - F.col("_before") - here).alias("components"))
+    return lives.sparkSession.createDataFrame([(0, n)], "stage long, components long").unionByName(later)
+
+
+def cut_stage(lives: DataFrame, last: int, min_lifetime: int) -> int:
+    """The latest stage with as many components as there are intervals that live min_lifetime; else the last.
+
+    As many live that long as there are components at stage min_lifetime - 1, and the count stays until the next death.
+    """
+    if min_lifetime > last + 1:
+        return last
+    then = lives.where(F.col("death") >= max(min_lifetime, 1)).agg(F.min("death")).first()[0]
+    return last if then is None else then - 1
 
 
-def clusters(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) -> DataFrame:
-    """(component, members, lifetime, confidence) by a metric; points(node, fqn), distances(i, j, d)."""
+def metric_members(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) -> DataFrame:
+    """(component, node, lifetime, confidence): a row for each point of a cluster by a metric; points(node), distances(i, j, d).
+
+    A cluster is named by its least node and lives as long as that node's interval.
+    """
     stages = cut(rips_stages(distances))
-    counts = merge_stages(points, stages)
-    at, last = cut_stage(counts, min_lifetime), len(counts) - 1
-    edges = stages.where(F.col("stage") <= at).select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    here = graph.components(points, edges)
-    later = graph.components(points, stages.select(F.col("i").alias("src"), F.col("j").alias("dst")))
-    grouped = here.join(points.select("node", "fqn"), "node").join(later.withColumnRenamed("component", "end"), "node")
-    out = grouped.groupBy("component").agg(F.array_sort(F.collect_list("fqn")).alias("members"), F.min("end").alias("end"))
-    # of the clusters that end up together, the one with the least component survives to the end
-    survives = F.row_number().over(W.partitionBy("end").orderBy("component")) == 1
-    nexts = [k for k in range(at + 1, last + 1) if counts[k] < counts[k - 1]]
-    out = out.withColumn("lifetime", F.when(survives, F.lit(last + 1)).otherwise(F.lit(nexts[0] if nexts else last + 1)))
+    last, forest = last_stage(stages), cut(spanning_forest(stages))
+    died = cut(deaths(forest, last))
+    at = cut_stage(died, last, min_lifetime)
+    here = graph.components(points, forest.where(F.col("stage") <= at).select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    life = F.coalesce("death", F.lit(last + 1)).cast("long")
+    out = here.join(died.withColumnRenamed("node", "component"), "component", "left").select("component", "node", life.alias("lifetime"))
     confidence = F.least(F.lit(1.0), F.col("lifetime") / last) if last else F.lit(1.0)
-    return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", confidence).select("component", "members", "lifetime", "confidence").orderBy(F.col("lifetime").desc(), "members")
+    return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", confidence)
+
+
+def clusters(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) -> DataFrame:
+    """(component, members, lifetime, confidence) by a metric, with lists of names for reading; points(node, fqn). The rows of very
+    large clusters are those of metric_members."""
+    named = metric_members(points, distances, min_lifetime).join(points.select("node", "fqn"), "node")
+    out = named.groupBy("component", "lifetime", "confidence").agg(F.array_sort(F.collect_list("fqn")).alias("members"))
+    return out.select("component", "members", "lifetime", "confidence").orderBy(F.col("lifetime").desc(), "members")
 
 
 def _call_components(space: Space) -> DataFrame:
@@ -128,7 +181,7 @@ def cluster_members(space: Space, min_lifetime: int = 2) -> DataFrame:
     edges = space.calls("java.calls")
     names = space.entities.groupBy(F.col("cell_id").alias("node")).agg(F.min("fqn").alias("fqn"))
     have = not edges.where("src <> dst").isEmpty()
-    diameter = (graph.hop_distances(edges, edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()).agg(F.max("d")).first()[0] or 0) if have and min_lifetime > 2 else int(have)
+    diameter = distance.diameter(edges) if have and min_lifetime > 2 else int(have)
     if min_lifetime > diameter + 1 and (min_lifetime > 2 or not have):
         comp = nodes.select("node", F.col("node").alias("component")).where("false")
     elif min_lifetime <= 1 and have:

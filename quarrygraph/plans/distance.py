@@ -1,0 +1,124 @@
+"""Hop distances without all pairs: labels that answer any asked pair, and diameters by bounds.
+
+Direction is ignored throughout.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quarrygraph.plans import graph
+from quarrygraph.session import cut
+
+#: Hubs of the first batch, and how many times more each further batch has.
+FIRST, GROWTH = 16, 4
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(node, next): each link of edges(src, dst) between different nodes in both directions, once."""
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    return links.unionAll(links.select("next", "node")).where("node <> next").distinct()
+
+
+class HubLabels:
+    """Lists of (hub, d) for each node, such that every connected pair has a hub in common that lies on a shortest path.
+
+    Nodes are hubs in the order of their links, most first, in batches that grow. A batch searches breadth-first from all its
+    hubs at once; a search goes no further where the labels of earlier batches already tell a distance as short. So the hubs of
+    few links, which are nearly all, stop next to where they start, and no table of all pairs is made.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        step = cut(both_ways(edges))
+        order = W.partitionBy("_part").orderBy(F.col("n").desc(), "node")
+        # places by ranges of degrees: a row a partition passes through one task
+        dealt = cut(step.groupBy("node").agg(F.count("*").alias("n")).repartitionByRange(F.col("n").desc(), F.col("node")).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.row_number().over(order)))
+        before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        heads = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
+        self.order = cut(dealt.join(heads, "_part").select("node", (F.col("_before") + F.col("_at")).alias("place")))
+        total, done, size = self.order.count(), 0, FIRST
+        self.labels = None
+        while done < total:
+            hubs = self.order.where((F.col("place") > done) & (F.col("place") <= done + size)).select("node")
+            found = self._searched(step, hubs)
+            self.labels = found if self.labels is None else cut(self.labels.unionByName(found))
+            done, size = done + size, size * GROWTH
+        if self.labels is None:
+            self.labels = step.select(F.col("node").alias("hub"), "node", F.lit(0).alias("d"))
+
+    def _searched(self, step: DataFrame, hubs: DataFrame) -> DataFrame:
+        """(hub, node, d) of the searches of a batch, without what the labels so far tell as shortly."""
+        seen = frontier = cut(hubs.select(F.col("node").alias("hub"), "node", F.lit(0).alias("d")))
+        starts = None
+        if self.labels is not None:
+            starts = cut(self.labels.join(hubs, "node").select(F.col("hub").alias("via"), F.col("node").alias("hub"), F.col("d").alias("d1")))
+        d = 0
+        while True:
+            d += 1
+            new = frontier.join(step, "node").select("hub", F.col("next").alias("node")).distinct().join(seen.select("hub", "node"), ["hub", "node"], "left_anti")
+            if starts is not None:
+                ends = self.labels.select(F.col("hub").alias("via"), "node", F.col("d").alias("d2"))
+                told = new.join(starts, "hub").join(ends, ["via", "node"]).where(F.col("d1") + F.col("d2") <= d)
+                new = new.join(told.select("hub", "node"), ["hub", "node"], "left_anti")
+            frontier = cut(new.withColumn("d", F.lit(d)))
+            if frontier.isEmpty():
+                return seen
+            seen = cut(seen.unionByName(frontier))
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """pairs(i, j) with d, the hops between them; pairs that are not connected have no row, a node of links is at 0 from itself."""
+        a = self.labels.select(F.col("hub"), F.col("node").alias("i"), F.col("d").alias("d1"))
+        b = self.labels.select(F.col("hub"), F.col("node").alias("j"), F.col("d").alias("d2"))
+        return pairs.select("i", "j").distinct().join(a, "i").join(b, ["hub", "j"]).groupBy("i", "j").agg(F.min(F.col("d1") + F.col("d2")).alias("d"))
+
+
+def _from_sources(step: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, d): hops from the source of each component; one a component, so a row a node at most."""
+    seen = frontier = cut(sources.select("node", F.lit(0).alias("d")))
+    d = 0
+    while True:
+        d += 1
+        new = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = cut(new.withColumn("d", F.lit(d)))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(frontier))
+
+
+def diameters(edges: DataFrame) -> DataFrame:
+    """(component, nodes, diameter): the longest shortest path of every component of at least one link.
+
+    Each round searches from one node of every component still open and learns that node's eccentricity e, so at distance d
+    eccentricities lie between max(d, e - d) and e + d. Nodes that cannot exceed the longest found so far are settled; a
+    component without others is closed. Sources are in turn those of the greatest upper and of the least lower bound. A few
+    rounds do for most graphs; those in which all nodes look alike, such as rings, need many.
+    """
+    step = cut(both_ways(edges))
+    home = graph.connected(step, "node", "next").withColumnRenamed("id", "node")
+    degree = step.groupBy("node").agg(F.count("*").alias("n"))
+    ends = degree.join(home, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "n")
+    sizes = cut(ends.groupBy("component").agg(F.count("*").alias("nodes")))
+    state = cut(ends.select("node", "component", "n", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high")))
+    best, k = cut(sizes.select("component", F.lit(0).alias("diameter"))), 0
+    while not state.isEmpty():
+        # the first round starts where most links are
+        far = F.struct(F.coalesce("high", F.lit(0)), "n", "node") if k % 2 == 1 else F.struct(-F.col("low"), F.col("n"), F.col("node"))
+        sources = cut(state.groupBy("component").agg(F.max_by("node", far).alias("node")))
+        reached = _from_sources(step, sources)
+        found = reached.join(state.select("node", "component", "low", "high", "n"), "node")
+        # settled nodes are out of the state, yet the farthest node may be one of them
+        ecc = cut(reached.join(ends.select("node", "component"), "node").groupBy("component").agg(F.max("d").alias("e")))
+        best = cut(best.join(ecc, "component", "left").select("component", F.greatest("diameter", F.coalesce("e", F.lit(0))).alias("diameter")))
+        bounds = found.join(ecc, "component").join(best, "component").select(
+            "node", "component", "n", F.greatest("low", "d", F.col("e") - F.col("d")).alias("low"), F.least("high", F.col("e") + F.col("d")).alias("high"), "diameter")
+        spent = sources.select("node")
+        state = cut(bounds.where("high > diameter").join(spent, "node", "left_anti").drop("diameter"))
+        k += 1
+    return sizes.join(best, "component").select("component", "nodes", F.col("diameter"))
+
+
+def diameter(edges: DataFrame) -> int:
+    """The longest shortest path within any component; 0 without links."""
+    return diameters(edges).agg(F.max("diameter")).first()[0] or 0
