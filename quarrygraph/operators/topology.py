@@ -68,11 +68,6 @@ def spanning_forest(stages: DataFrame) -> DataFrame:
     return found if found is not None else stages.select("i", "j", "stage").where("false")
 
 
-def last_stage(stages: DataFrame) -> int:
-    """The number of the last stage; 0 if there are the points alone."""
-    return stages.agg(F.max("stage")).first()[0] or 0
-
-
 #: Parts into which a range of stages is split at each level of the merge tree.
 FAN = 8
 
@@ -106,59 +101,63 @@ def deaths(forest: DataFrame, last: int) -> DataFrame:
     return ends.select(F.col("id.v").alias("node"), F.col("id.stage").alias("death"))
 
 
-def intervals(points: DataFrame, stages: DataFrame) -> DataFrame:
-    """(node, birth, death, lifetime) of the zero-dimensional persistence: all are born at stage 0; of clusters that merge, the
-    one with the least node lives on. Those that never merge have no death and live one stage more than there are after 0."""
-    last = last_stage(stages)
-    died = deaths(spanning_forest(stages), last)
-    out = points.select("node").distinct().join(died, "node", "left")
-    return out.select("node", F.lit(0).cast("long").alias("birth"), "death", F.coalesce("death", F.lit(last + 1)).cast("long").alias("lifetime"))
-
-
-def stage_counts(lives: DataFrame, last: int) -> DataFrame:
-    """(stage, components) of stage 0 and of each stage at which clusters merge; up to the next one the count stays."""
-    n = lives.count()
-    gone = lives.where(F.col("death") <= last).groupBy(F.col("death").alias("stage")).agg(F.count("*").alias("n"))
-    # sums before each range of stages, then within it: no window takes all stages
-    dealt = cut(gone.repartitionByRange("stage").sortWithinPartitions("stage").select("stage", "n", F.spark_partition_id().alias("_part")))
-    before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    heads = dealt.groupBy("_part").agg(F.sum("n").alias("_sum")).select("_part", before.alias("_before"))
-    here = F.sum("n").over(W.partitionBy("_part").orderBy("stage"))
-    later = dealt.join(heads, "_part").select("stage", (F.lit(n) - F.col("_before") - here).alias("components"))
-    return lives.sparkSession.createDataFrame([(0, n)], "stage long, components long").unionByName(later)
-
+class MergeTree:
+    """The zero-dimensional persistence of points(node, ...) under distances(i, j, d), derived once for several questions.
 
-def cut_stage(lives: DataFrame, last: int, min_lifetime: int) -> int:
-    """The latest stage with as many components as there are intervals that live min_lifetime; else the last.
-
-    As many live that long as there are components at stage min_lifetime - 1, and the count stays until the next death.
+    All points are born at stage 0; of clusters that merge, the one with the least node lives on.
     """
-    if min_lifetime > last + 1:
-        return last
-    then = lives.where(F.col("death") >= max(min_lifetime, 1)).agg(F.min("death")).first()[0]
-    return last if then is None else then - 1
-
 
-def metric_members(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) -> DataFrame:
-    """(component, node, lifetime, confidence): a row for each point of a cluster by a metric; points(node), distances(i, j, d).
-
-    A cluster is named by its least node and lives as long as that node's interval.
-    """
-    stages = cut(rips_stages(distances))
-    last, forest = last_stage(stages), cut(spanning_forest(stages))
-    died = cut(deaths(forest, last))
-    at = cut_stage(died, last, min_lifetime)
-    here = graph.components(points, forest.where(F.col("stage") <= at).select(F.col("i").alias("src"), F.col("j").alias("dst")))
-    life = F.coalesce("death", F.lit(last + 1)).cast("long")
-    out = here.join(died.withColumnRenamed("node", "component"), "component", "left").select("component", "node", life.alias("lifetime"))
-    confidence = F.least(F.lit(1.0), F.col("lifetime") / last) if last else F.lit(1.0)
-    return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", confidence)
+    def __init__(self, points: DataFrame, distances: DataFrame) -> None:
+        self.points = points.select("node").distinct()
+        stages = cut(rips_stages(distances))
+        self.last = stages.agg(F.max("stage")).first()[0] or 0
+        self.forest = cut(spanning_forest(stages))
+        self.deaths = cut(deaths(self.forest, self.last))
+
+    def intervals(self) -> DataFrame:
+        """(node, birth, death, lifetime). Those that never merge have no death and live one stage more than there are after 0."""
+        life = F.coalesce("death", F.lit(self.last + 1)).cast("long")
+        return self.points.join(self.deaths, "node", "left").select("node", F.lit(0).cast("long").alias("birth"), "death", life.alias("lifetime"))
+
+    def counts(self) -> DataFrame:
+        """(stage, components) of stage 0 and of each stage at which clusters merge; up to the next one the count stays."""
+        n = self.points.count()
+        # sums before each range of stages, then within it: no window takes all stages
+        dealt = self.deaths.groupBy(F.col("death").alias("stage")).agg(F.count("*").alias("n")).repartitionByRange("stage")
+        dealt = cut(dealt.select("stage", "n", F.spark_partition_id().alias("_part")))
+        before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        heads = dealt.groupBy("_part").agg(F.sum("n").alias("_sum")).select("_part", before.alias("_before"))
+        here = F.sum("n").over(W.partitionBy("_part").orderBy("stage"))
+        later = dealt.join(heads, "_part").select("stage", (F.lit(n) - F.col("_before") - here).alias("components"))
+        return self.points.sparkSession.createDataFrame([(0, n)], "stage long, components long").unionByName(later)
+
+    def cut_stage(self, min_lifetime: int) -> int:
+        """The latest stage with as many components as there are intervals that live min_lifetime; else the last.
+
+        As many live that long as there are components at stage min_lifetime - 1, and the count stays until the next death.
+        """
+        if min_lifetime > self.last + 1:
+            return self.last
+        then = self.deaths.where(F.col("death") >= max(min_lifetime, 1)).agg(F.min("death")).first()[0]
+        return self.last if then is None else then - 1
+
+    def members(self, min_lifetime: int = 2) -> DataFrame:
+        """(component, node, lifetime, confidence): a row for each point of a cluster.
+
+        A cluster is named by its least node and lives as long as that node's interval.
+        """
+        inner = self.forest.where(F.col("stage") <= self.cut_stage(min_lifetime)).select(F.col("i").alias("src"), F.col("j").alias("dst"))
+        here = graph.components(self.points, inner)
+        life = F.coalesce("death", F.lit(self.last + 1)).cast("long")
+        out = here.join(self.deaths.withColumnRenamed("node", "component"), "component", "left").select("component", "node", life.alias("lifetime"))
+        confidence = F.least(F.lit(1.0), F.col("lifetime") / self.last) if self.last else F.lit(1.0)
+        return out.where(F.col("lifetime") >= min_lifetime).withColumn("confidence", confidence)
 
 
 def clusters(points: DataFrame, distances: DataFrame, min_lifetime: int = 2) -> DataFrame:
     """(component, members, lifetime, confidence) by a metric, with lists of names for reading; points(node, fqn). The rows of very
-    large clusters are those of metric_members."""
-    named = metric_members(points, distances, min_lifetime).join(points.select("node", "fqn"), "node")
+    large clusters are those of MergeTree.members."""
+    named = MergeTree(points, distances).members(min_lifetime).join(points.select("node", "fqn"), "node")
     out = named.groupBy("component", "lifetime", "confidence").agg(F.array_sort(F.collect_list("fqn")).alias("members"))
     return out.select("component", "members", "lifetime", "confidence").orderBy(F.col("lifetime").desc(), "members")
 

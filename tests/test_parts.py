@@ -155,10 +155,9 @@ def test_cycles(spark):
 def test_persistence(spark):
     pts = spark.createDataFrame([(k, f"p.C{k}.m") for k in range(4)], "node long, fqn string")
     d = spark.createDataFrame([(0, 1, 1.0), (2, 3, 1.0), (1, 2, 3.0)], "i long, j long, d double")
-    stages = topology.rips_stages(d)
-    lives = topology.intervals(pts, stages).cache()
-    counts = [r.components for r in topology.stage_counts(lives, 2).orderBy("stage").collect()]
-    assert counts == [4, 2, 1] and topology.cut_stage(lives, 2, 2) == 1
+    tree = topology.MergeTree(pts, d)
+    counts = [r.components for r in tree.counts().orderBy("stage").collect()]
+    assert counts == [4, 2, 1] and tree.cut_stage(2) == 1
     got = topology.clusters(pts, d, 2).collect()
     assert [tuple(r.members) for r in got] == [("p.C0.m", "p.C1.m"), ("p.C2.m", "p.C3.m")]
     assert topology.min_combine(d, spark.createDataFrame([(0, 1, 0.5)], "i long, j long, d double")).where("i = 0").first().d == 0.5

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 from collections import deque
 
-import pytest
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import topology
@@ -31,39 +30,31 @@ def plain_persistence(nodes, distances):
     return stages, {n: next((k for k, label in enumerate(stages) if label[n] != n), None) for n in nodes}
 
 
-def chain(n):
-    """Merges one after another: the merge tree is as deep as there are points."""
-    return [(k, k + 1, float(n - k)) for k in range(n - 1)]
-
-
 def scattered(seed, n, links, steps):
     rng = random.Random(seed)
     return [(a, b, rng.randrange(steps) / 4) for a, b in {tuple(sorted(rng.sample(range(n), 2))) for _ in range(links)}]
 
 
-@pytest.mark.parametrize("n,pairs", [(11, chain(11)), (25, scattered(2, 25, 34, 12))])
-def test_intervals_and_clusters(spark, n, pairs):
-    points = spark.createDataFrame([(k, f"p.C{k:02}.m") for k in range(n)], "node long, fqn string")
-    d = spark.createDataFrame(pairs, "i long, j long, d double")
+def test_a_tree_as_deep_as_its_points(spark):
+    """Merges one after another, over two levels of ranges."""
+    pairs = [(k, k + 1, 10 - k) for k in range(10)]
+    forest = spark.createDataFrame(pairs, "i long, j long, stage long")
+    assert {r.node: r.death for r in topology.deaths(forest, 10).collect()} == {k: d for k, d in plain_persistence(range(11), pairs)[1].items() if d}
+
+
+def test_intervals_and_clusters(spark):
+    n, pairs = 25, scattered(2, 25, 34, 8)
+    points, d = spark.createDataFrame([(k, f"p.C{k:02}.m") for k in range(n)], "node long, fqn string"), spark.createDataFrame(pairs, "i long, j long, d double")
     stages, died = plain_persistence(range(n), pairs)
-    last = len(stages) - 1
-    lives = topology.intervals(points, topology.rips_stages(d)).cache()
-    assert {r.node: r.death for r in lives.collect()} == died
-    assert all(r.birth == 0 and r.lifetime == (last + 1 if r.death is None else r.death) for r in lives.collect())
+    last, life = len(stages) - 1, {k: len(stages) if v is None else v for k, v in died.items()}
+    tree = topology.MergeTree(points, d)
+    assert tree.last == last and {tuple(r) for r in tree.intervals().collect()} == {(k, 0, died[k], life[k]) for k in range(n)}
     counts = [len(set(label.values())) for label in stages]
-    steps = {r.stage: r.components for r in topology.stage_counts(lives, last).collect()}
-    assert steps == {k: c for k, c in enumerate(counts) if k == 0 or c != counts[k - 1]}
-    for least in (0, 1, 2, 5, last, last + 1, last + 2):
-        want = sum((last + 1 if v is None else v) >= least for v in died.values())
-        at = max((k for k, c in enumerate(counts) if c == want), default=last)
-        assert topology.cut_stage(lives, last, least) == at, least
-    want = {}
-    for k in range(n):
-        root = stages[max((k for k, c in enumerate(counts) if c == sum((last + 1 if v is None else v) >= 2 for v in died.values())), default=last)][k]
-        want.setdefault(root, []).append(f"p.C{k:02}.m")
-    life = {k: last + 1 if v is None else v for k, v in died.items()}
-    got = {r.component: (list(r.members), r.lifetime, round(r.confidence, 9)) for r in topology.clusters(points, d, 2).collect()}
-    assert got == {k: (m, life[k], round(min(1.0, life[k] / last), 9) if last else 1.0) for k, m in want.items() if life[k] >= 2}
+    assert {r.stage: r.components for r in tree.counts().collect()} == {k: c for k, c in enumerate(counts) if k == 0 or c != counts[k - 1]}
+    cuts = {m: max((k for k, c in enumerate(counts) if c == sum(v >= m for v in life.values())), default=last) for m in (0, 1, 2, 4, last, last + 1, last + 2)}
+    assert {m: tree.cut_stage(m) for m in cuts} == cuts
+    want = {(root, k, life[root], round(min(1.0, life[root] / last), 9)) for k, root in stages[cuts[2]].items() if life[root] >= 2}
+    assert {(r.component, r.node, r.lifetime, round(r.confidence, 9)) for r in tree.members(2).collect()} == want
 
 
 def hops(edges):
