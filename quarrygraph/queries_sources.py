@@ -9,12 +9,10 @@ import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import kernels, names
 from quarrygraph.operators import calls, column_usage, decision_table, evidence, findings, invariants, resolvers, specs, symbolic, topology
-from quarrygraph.plans import distance
 from quarrygraph.plans.demo import demo_space
 from quarrygraph.plans.lift import lift
 from quarrygraph.plans.space import Space
@@ -356,49 +354,6 @@ def nation_metric(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return n.select("node", F.concat(F.lit("r"), "r", F.lit(".N"), F.lpad(F.col("node").cast("string"), 2, "0")).alias("fqn")), near.unionByName(far)
 
 
-def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): customers and suppliers in nations, nations in regions."""
-    link = lambda name, a, k, b, to: table(spark, sf_dir, name).select(F.concat(F.lit(a), k).alias("src"), F.concat(F.lit(b), to).alias("dst"))
-    return link("customer", "c", "c_custkey", "n", "c_nationkey").unionAll(link("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionAll(link("nation", "n", "n_nationkey", "r", "n_regionkey"))
-
-
-@query("""
-SELECT DISTINCT 'c' || o_custkey AS i, 's' || l_suppkey AS j, CASE WHEN c_nationkey = s_nationkey THEN 2 ELSE 4 END::BIGINT AS d
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
-JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey = b.n_regionkey""")
-def asked_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops between customers and the suppliers they bought from, by hub labels of the containment."""
-    bought = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
-    pairs = bought.select(F.concat(F.lit("c"), "o_custkey").alias("i"), F.concat(F.lit("s"), "l_suppkey").alias("j"))
-    return distance.HubLabels(containment(spark, sf_dir)).distances(pairs).select("i", "j", F.col("d").cast("long").alias("d"))
-
-
-@query("""
-WITH leaf AS (SELECT 'c' || c_custkey AS id, c_nationkey AS k FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
-n AS (SELECT n_regionkey, 'n' || n_nationkey AS nation, count(id) AS leaves, min(id) AS first FROM nation LEFT JOIN leaf ON k = n_nationkey GROUP BY 1, 2)
-SELECT least(min(first), min(nation)) AS component, (count(*) + sum(leaves) + 1)::BIGINT AS nodes,
-  CASE count(*) FILTER (leaves > 0) WHEN 0 THEN least(count(*), 2) WHEN 1 THEN least(count(*), 2) + 1 ELSE 4 END::BIGINT AS diameter
-FROM n GROUP BY n_regionkey""")
-def component_diameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and longest shortest path of every region with all it contains."""
-    return distance.diameters(containment(spark, sf_dir)).select("component", "nodes", F.col("diameter").cast("long").alias("diameter"))
-
-
-@query("""
-WITH g AS (SELECT c_custkey AS k, c_nationkey AS n, row_number() OVER w AS p, round(round(c_acctbal, 2) - lag(round(c_acctbal, 2)) OVER w, 2) AS d FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey)),
-st AS (SELECT g.*, r.s FROM g LEFT JOIN (SELECT d, row_number() OVER (ORDER BY d) AS s FROM (SELECT DISTINCT d FROM g WHERE d IS NOT NULL)) r ON r.d = g.d),
-far AS (SELECT v.k AS v, u.k AS u, max(m.s) AS s FROM st v JOIN st u ON u.n = v.n AND u.k < v.k JOIN st m ON m.n = v.n AND m.p > least(u.p, v.p) AND m.p <= greatest(u.p, v.p) GROUP BY 1, 2),
-died AS (SELECT v, min(s) AS death FROM far GROUP BY 1)
-SELECT k AS node, coalesce(death, (SELECT coalesce(max(s), 0) + 1 FROM st)) AS lifetime, death IS NULL AS lives_on FROM g LEFT JOIN died ON v = k""")
-def metric_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifetimes of customers as clusters, by the gaps between the balances that follow each other within a nation."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), "c_nationkey", "c_acctbal")
-    by = W.partitionBy("c_nationkey").orderBy("c_acctbal", "node")
-    gaps = c.select("node", F.lag("node").over(by).alias("i"), F.round(F.round("c_acctbal", 2) - F.lag(F.round("c_acctbal", 2)).over(by), 2).alias("d")).where("i IS NOT NULL")
-    distances = gaps.select(F.least("i", "node").alias("i"), F.greatest("i", "node").alias("j"), "d")
-    return topology.MergeTree(c, distances).intervals().select("node", "lifetime", F.isnull("death").alias("lives_on"))
-
-
 @query("""
 SELECT string_agg('r' || n_regionkey || '.N' || lpad(n_nationkey::VARCHAR, 2, '0'), ',' ORDER BY n_nationkey) AS members FROM nation GROUP BY n_regionkey""")
 def persistent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

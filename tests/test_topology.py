@@ -1,14 +1,10 @@
-"""Persistence of a metric, hop distances by labels and diameters by bounds against plain versions on random graphs."""
+"""Persistence of a metric against plain versions."""
 
 from __future__ import annotations
 
 import random
-from collections import deque
-
-from pyspark.sql import functions as F
 
 from quarrygraph.operators import topology
-from quarrygraph.plans import distance
 
 
 def plain_labels(nodes, links):
@@ -55,53 +51,3 @@ def test_intervals_and_clusters(spark):
     assert {m: tree.cut_stage(m) for m in cuts} == cuts
     want = {(root, k, life[root], round(min(1.0, life[root] / last), 9)) for k, root in stages[cuts[2]].items() if life[root] >= 2}
     assert {(r.component, r.node, r.lifetime, round(r.confidence, 9)) for r in tree.members(2).collect()} == want
-
-
-def hops(edges):
-    near = {}
-    for a, b in edges:
-        if a is not None and b is not None and a != b:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    out = {}
-    for start in near:
-        seen, todo = {start: 0}, deque([start])
-        while todo:
-            x = todo.popleft()
-            for y in near[x] - seen.keys():
-                seen[y] = seen[x] + 1
-                todo.append(y)
-        out[start] = seen
-    return out
-
-
-def parts():
-    """A sparse random graph, a ring, and a star with a tail; a link twice, one to itself, one with an open end."""
-    rng = random.Random(5)
-    sparse = [(f"n{rng.randrange(24):02}", f"n{rng.randrange(24):02}") for _ in range(26)]
-    ring = [(f"r{k}", f"r{(k + 1) % 7}") for k in range(7)]
-    return [*sparse, *sparse[:4], (None, "n01"), ("x", "x"), *ring, *(("hub", f"s{k}") for k in range(9)), ("s0", "t0"), ("t0", "t1")]
-
-
-def test_hub_labels_and_diameters(spark, monkeypatch):
-    monkeypatch.setattr(distance, "FIRST", 6)
-    edges = parts()
-    frame, want = spark.createDataFrame(edges, "src string, dst string"), hops(edges)
-    held = distance.HubLabels(frame)
-    names = sorted({x for e in edges for x in e if x is not None}) + ["nowhere"]
-    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "i string, j string")
-    got = {(r.i, r.j): r.d for r in held.distances(pairs.unionAll(pairs.limit(3))).collect()}
-    assert got == {(a, b): d for a, to in want.items() for b, d in to.items()}
-    label = plain_labels(want, [(a, b) for a in want for b in want[a]])
-    ends = {}
-    for n, c in label.items():
-        size, most = ends.get(c, (0, 0))
-        ends[c] = (size + 1, max(most, *want[n].values()))
-    assert {r.component: (r.nodes, r.diameter) for r in distance.diameters(frame).collect()} == ends
-
-
-def test_labels_of_a_star_are_few(spark):
-    """All shortest paths lead over the middle: two labels a node, not a row a pair; without links there are none."""
-    star = spark.range(1, 200).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
-    assert distance.HubLabels(star).labels.count() < 3 * 200 + 16 * 16
-    assert distance.diameter(star.where("false")) == 0 and distance.HubLabels(star.where("false")).labels.isEmpty()
