@@ -10,7 +10,7 @@ from quarrygraph import schema
 from quarrygraph.functions import code, names
 from quarrygraph.plans import condense
 from quarrygraph.plans.space import Space, members
-from quarrygraph.session import cut
+from quarrygraph.session import keep
 
 
 def unknowns(space: Space, scope: str | None = None) -> DataFrame:
@@ -110,7 +110,7 @@ def crud_matrix(space: Space, mapper: DataFrame | None = None) -> DataFrame:
     every = hits[0]
     for h in hits[1:]:
         every = every.unionByName(h)
-    every = cut(every)
+    every = keep(every)
     # carried back from the cells with evidence over strong components, not paired with every cell on the way
     table = F.struct("table_class", "table_name").alias("key")
     letters = every.select(F.col("cell_id").alias("node"), table, F.explode(F.split("operations", "")).alias("value")).where("value <> ''")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrygraph.session import cut
+from quarrygraph.session import keep
 
 #: Rounds of peeling before colours are spread.
 PEELS = 3
@@ -25,11 +25,11 @@ def peeled(edges: DataFrame) -> DataFrame:
 def _least_reaching(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each, itself included."""
     ends = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst")).distinct()
-    colour = cut(ends.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")))
+    colour = keep(ends.select("node", F.col("node").alias("colour"), F.lit(True).alias("new")))
     while True:
         told = edges.join(colour.where("new").withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
         better = F.coalesce(F.col("told") < F.col("colour"), F.lit(False))
-        colour = cut(colour.drop("new").join(told, "node", "left").select("node", F.when(better, F.col("told")).otherwise(F.col("colour")).alias("colour"), better.alias("new")))
+        colour = keep(colour.drop("new").join(told, "node", "left").select("node", F.when(better, F.col("told")).otherwise(F.col("colour")).alias("colour"), better.alias("new")))
         if colour.where("new").isEmpty():
             return colour.drop("new")
 
@@ -41,24 +41,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
     colour; the nodes that reach their colour's own node within the colour are its component, and go; the rest again.
     """
     known = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
-    known = cut(known)
+    known = keep(known)
     nodes = known.select(F.col("src").alias("node")).unionAll(known.select("dst")).distinct()
     left, found = known.where("src <> dst"), None
     while True:
         for _ in range(PEELS):
             left = peeled(left)
-        left = cut(left)
+        left = keep(left)
         if left.isEmpty():
             break
         colour = _least_reaching(left)
         a, b = colour.withColumnsRenamed({"node": "src", "colour": "a"}), colour.withColumnsRenamed({"node": "dst", "colour": "b"})
-        within = cut(left.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
+        within = keep(left.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
         reached = frontier = colour.where("node = colour")
         while not frontier.isEmpty():
             back = within.join(frontier.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            frontier = cut(back.join(reached.select("node"), "node", "left_anti"))
+            frontier = keep(back.join(reached.select("node"), "node", "left_anti"))
             reached = reached.unionByName(frontier)
-        reached = cut(reached)
+        reached = keep(reached)
         found = reached if found is None else found.unionByName(reached)
         gone = reached.select("node")
         left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
@@ -85,8 +85,8 @@ class Condensed:
     """A graph's strong components and the edges between them, kept for several questions."""
 
     def __init__(self, edges: DataFrame) -> None:
-        self.components = cut(strong_components(edges))
-        self.step = cut(condensed(edges, self.components))
+        self.components = keep(strong_components(edges))
+        self.step = keep(condensed(edges, self.components))
 
     def carried_back(self, seeds: DataFrame, most: int | None = None) -> DataFrame:
         """(node, key, value): the values that seeds(node, key, value) has for any node that each node reaches, itself included;
@@ -96,11 +96,11 @@ class Condensed:
         """
         lone = seeds.select("node").distinct().join(self.components.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
         every = self.components.unionByName(lone)
-        state = cut(_least(seeds.where("value IS NOT NULL").join(every, "node").select("component", "key", "value").distinct(), most))
+        state = keep(_least(seeds.where("value IS NOT NULL").join(every, "node").select("component", "key", "value").distinct(), most))
         delta = state
         while not delta.isEmpty():
             told = self.step.join(delta.withColumnRenamed("component", "dst"), "dst").select(F.col("src").alias("component"), "key", "value")
             new = told.distinct().join(state, ["component", "key", "value"], "left_anti")
-            merged = cut(_least(state.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), most))
+            merged = keep(_least(state.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), most))
             state, delta = merged.drop("_new"), merged.where("_new").drop("_new")
         return every.join(state, "component").select("node", "key", "value")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.session import cut
+from quarrygraph.session import keep
 
 
 def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = False) -> tuple[DataFrame, bool]:
@@ -18,12 +18,12 @@ def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = F
     """
     from_, to = ("dst", "src") if reverse else ("src", "dst")
     step = edges.select(F.col(from_).alias("node"), F.col(to).alias("next")).distinct()
-    step = cut(step) if max_depth > 1 else step  # else each round would derive the edges again
-    seen = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    step = keep(step) if max_depth > 1 else step  # else each round would derive the edges again
+    seen = keep(start.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier, exhausted = seen, False
     for depth in range(1, max_depth + 1):
         new = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = cut(new.withColumn("depth", F.lit(depth)))
+        frontier = keep(new.withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             exhausted = True
             break
@@ -36,19 +36,19 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None)
 
     starts(node), or starts(node, start) where several nodes go by one name.
     """
-    step = cut(edges.select("src", "dst").distinct())
+    step = keep(edges.select("src", "dst").distinct())
     name = F.col("start") if "start" in starts.columns else F.col("node")
-    seen = cut(starts.select(name.alias("start"), "node").distinct())
+    seen = keep(starts.select(name.alias("start"), "node").distinct())
     frontier, k = seen, 0
     while max_rounds is None or k < max_rounds:
         k += 1
         new = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = cut(new.join(seen, ["start", "node"], "left_anti"))
+        frontier = keep(new.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if k % 4 == 0:
-            seen = cut(seen)
+            seen = keep(seen)
     return seen
 
 
@@ -78,18 +78,18 @@ def connected(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     are left out.
     """
     able = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    pairs, before = cut(links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()), None
+    pairs, before = keep(links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()), None
     while True:
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if not now[0] or now == before:
             break
         before = now
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(pairs.select("lo", "hi"))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"))
-        large = cut(join_hot(both.where("v > u"), least, "u", 2 * now[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        down = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("d")))
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"))
+        large = keep(join_hot(both.where("v > u"), least, "u", 2 * now[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        down = keep(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("d")))
         small = join_hot(large, down, "hi", now[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = cut(small.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct())
+        pairs = keep(small.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct())
     return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
@@ -101,16 +101,16 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hop_distances(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(i, j, d) for all connected i <> j, hops ignoring direction."""
-    step = cut(edges.select("src", "dst").unionAll(edges.select("dst", "src")).where("src <> dst").distinct())
-    seen = cut(nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0).alias("d")).distinct())
+    step = keep(edges.select("src", "dst").unionAll(edges.select("dst", "src")).where("src <> dst").distinct())
+    seen = keep(nodes.select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0).alias("d")).distinct())
     frontier, d = seen, 0
     while True:
         d += 1
         new = frontier.join(step, frontier["j"] == step["src"]).select("i", F.col("dst").alias("j")).distinct()
-        frontier = cut(new.join(seen.select("i", "j"), ["i", "j"], "left_anti").withColumn("d", F.lit(d)))
+        frontier = keep(new.join(seen.select("i", "j"), ["i", "j"], "left_anti").withColumn("d", F.lit(d)))
         if frontier.isEmpty():
             return seen.where("d > 0")
-        seen = cut(seen.unionByName(frontier))
+        seen = keep(seen.unionByName(frontier))
 
 
 def cycles(edges: DataFrame, most: int | None = 10, longest: int = 20) -> DataFrame:
@@ -122,22 +122,22 @@ def cycles(edges: DataFrame, most: int | None = 10, longest: int = 20) -> DataFr
     """
     from .condense import strong_components
 
-    step = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    home = cut(strong_components(step))
+    step = keep(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    home = keep(strong_components(step))
     a, b = home.withColumnsRenamed({"node": "src", "component": "a"}), home.withColumnsRenamed({"node": "dst", "component": "b"})
-    inner = cut(step.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
+    inner = keep(step.join(a, "src").join(b, "dst").where("a = b").select("src", "dst"))
     found = inner.where("src = dst").select(F.array("src").alias("path"))
-    loops, inner = found.count(), cut(inner.where("src <> dst"))
+    loops, inner = found.count(), keep(inner.where("src <> dst"))
     # paths of different nodes, none less than the first; last: where they end
     paths, have = inner.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last")), loops
     for size in range(2, longest + 1):
         if most is not None and have >= most:
             break
-        paths = cut(paths)
+        paths = keep(paths)
         if paths.isEmpty():
             break
         ends = inner.select(F.col("src").alias("last"), F.col("dst").alias("first"))
-        closed = cut(paths.join(ends, ["last", "first"], "left_semi").select("path"))
+        closed = keep(paths.join(ends, ["last", "first"], "left_semi").select("path"))
         found, have = found.unionAll(closed), have + closed.count()
         if size < longest:
             grown = paths.join(inner.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where((F.col("next") > F.col("first")) & ~F.array_contains("path", F.col("next")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,29 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and goes on from there: short lineage, nothing recomputed when executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes on disk above which a kept table is never broadcast: in memory it is many times as large.
+SMALL_BYTES = 1 << 20
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it back: a cut whose size the planner knows.
+
+    A checkpoint keeps the estimate of the plan it cut off. Estimates of joins are products, so in a loop their digits double
+    with each round, until the driver has no time or memory for anything else.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quarry/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    out = spark.read.schema(df.schema).parquet(path)
+    return out.hint("merge") if size > SMALL_BYTES else out
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files dealt by path over all cores, for work in Python: rows made from a small table come in very few partitions."""
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return files.repartition(n, "path")

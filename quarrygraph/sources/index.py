@@ -136,12 +136,12 @@ class SpaceIndex:
         return self.spark.createDataFrame(list(seen.items()), "node string, depth int")
 
     def _search_on(self, seen: dict[str, int], few: list[str], depth: int, max_depth: int, relations: tuple[str, ...], incoming: bool) -> tuple[DataFrame, bool]:
-        from quarrygraph.session import cut
+        from quarrygraph.session import keep
 
         found, near = self._found(seen), self.near(few, incoming, relations)
         while True:
             new = near.select(F.col("other").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
-            frontier = cut(new.withColumn("depth", F.lit(depth)))
+            frontier = keep(new.withColumn("depth", F.lit(depth)))
             if frontier.isEmpty():
                 return found, True
             found = found.unionByName(frontier)

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quarrygraph.operators.findings import last_write
 from quarrygraph.plans.lift import lift
 from quarrygraph.plans.space import Space
-from quarrygraph.session import cut
+from quarrygraph.session import keep
 from quarrygraph.sources import store
 from quarrygraph.sources.files import decoded
 
@@ -42,7 +42,7 @@ def relift(files: DataFrame, store_root: str, space_id: str, checkpoint: str, do
             old = store.load(spark, store_root, space_id).source_files
         except FileNotFoundError:
             old = None
-        files = cut(merge_files(old, df.select("path", "text", "encoding", "lossy", "modified")))
+        files = keep(merge_files(old, df.select("path", "text", "encoding", "lossy", "modified")))
         space = lift(files, space_id)
         store.save(space, store_root)
         if done is not None:
