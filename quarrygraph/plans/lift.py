@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.javaparse import Node, parse, walk
-from quarrygraph.session import cut
+from quarrygraph.session import keep, spread
 from quarrygraph.sources.files import source_lines
 
 from .space import Space
@@ -110,7 +110,7 @@ def raw_rows(files: DataFrame) -> DataFrame:
         for pdf in frames:
             yield pd.DataFrame([r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in file_rows(p, t or "")], columns=names)
 
-    return files.where(F.lower("path").endswith(".java")).select("path", "text").mapInPandas(run, RAW)
+    return spread(files.where(F.lower("path").endswith(".java")).select("path", "text")).mapInPandas(run, RAW)
 
 
 def resolved(refs: DataFrame, symbols: DataFrame, cache: DataFrame | None = None) -> DataFrame:
@@ -151,18 +151,18 @@ def lift(files: DataFrame, space_id: str = "space", cache: DataFrame | None = No
     entity; packages repeat for each file. Imports give edges only on demand. References without a target become
     unresolved records if they are calls or constructions.
     """
-    raw = cut(raw_rows(files))
+    raw = keep(raw_rows(files))
     found = raw.where("what = 'entity'")
     # ids must be dense and repeatable: numbers within a file plus the entities of all files before it
     per_file = found.groupBy("file").agg(F.count("*").alias("n"))
     before = per_file.select("file", (F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).alias("before"))
     own = F.row_number().over(W.partitionBy("file").orderBy("start_line", "start_col", "ord"))
-    placed = cut(found.withColumn("k", own).join(before, "file").withColumn("cell_id", F.concat(F.lit("cell:"), F.col("before") + F.col("k"))))
+    placed = keep(found.withColumn("k", own).join(before, "file").withColumn("cell_id", F.concat(F.lit("cell:"), F.col("before") + F.col("k"))))
     last = F.row_number().over(W.partitionBy("fqn").orderBy(F.col("file").desc(), F.col("ord").desc()))
     here = F.row_number().over(W.partitionBy("file", "fqn").orderBy(F.col("ord").desc()))
     # a file's declarations of one name share its last cell; every file that declares a name keeps a row
     entities = placed.withColumn("_h", here).where("_h = 1").select("fqn", "cell_id", F.col("kind").alias("entity_type"), "label", "file", "start_line", "end_line", "start_col", "end_col")
-    symbols = cut(placed.withColumn("_l", last).where("_l = 1").select("fqn", "cell_id", F.col("kind").isin(*KINDS.values()).alias("is_type")))
+    symbols = keep(placed.withColumn("_l", last).where("_l = 1").select("fqn", "cell_id", F.col("kind").isin(*KINDS.values()).alias("is_type")))
     uri = F.concat("file", F.lit("#L"), "start_line", F.lit("-L"), "end_line")
     provenance = F.struct(uri.alias("uri"), F.col("file").alias("title"), F.lit(CONFIDENCE).alias("confidence"), F.lit(DERIVATION).alias("extraction_method"))
     cells = placed.select("cell_id", F.lit(space_id).alias("space_id"), F.lit(0).alias("dimension"), F.col("kind").alias("cell_type"), "label", provenance.alias("provenance"))
@@ -181,7 +181,7 @@ def lift(files: DataFrame, space_id: str = "space", cache: DataFrame | None = No
     incidences = edges.join(mine, ["fqn", "file"]).join(to, "target").select(
         F.concat(F.lit("inc:"), "ref").alias("incidence_id"), "from_cell_id", "to_cell_id", F.col("what").alias("relation_type"), "file", "start_line", "end_line", F.lit(CONFIDENCE).alias("confidence"), F.col("derivation").alias("derivation_source"))
     unresolved = other.where("target IS NULL AND what IN ('java.calls', 'java.constructs')").select(F.col("fqn").alias("from_fqn"), "target_text", F.col("what").alias("relation_type"), "file", F.col("start_line").alias("line"))
-    return Space(entities=cut(entities), incidences=cut(incidences), cells=cut(cells), unresolved=cut(unresolved), source_files=files, source_lines=source_lines(files), space_id=space_id)
+    return Space(entities=keep(entities), incidences=keep(incidences), cells=keep(cells), unresolved=keep(unresolved), source_files=files, source_lines=source_lines(files), space_id=space_id)
 
 
 def diagnostics(files: DataFrame, space: Space) -> DataFrame:
