@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrygraph import schema
 from quarrygraph.functions.names import package_of_types, parent_name, simple_name
 from quarrygraph.plans.space import Space, SymbolNotFound, members, require
-from quarrygraph.session import cut
+from quarrygraph.session import keep
 
 from .calls import callees, callers
 from .evidence import has_content
@@ -84,15 +84,18 @@ def enrich_batch(space: Space, scope: str | None = None, limit: int = 10) -> Dat
     todo = space.entities.where(F.col("entity_type").isin("java.method", "java.constructor", "java.class", "java.interface")).join(noted, "cell_id", "left_anti")
     if scope and scope != "all":
         todo = todo.where(F.lower("fqn").contains(scope.lower()))
-    todo = todo.orderBy("fqn", "start_line").limit(limit)
+    todo = keep(todo.orderBy("fqn", "start_line").limit(limit))
     # a name may be declared in several files, and twice in one
     span = ["fqn", "file", "start_line", "end_line"]
     lines = todo.select(*span, F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))).alias("line_no")).distinct().join(space.table("source_lines").withColumnRenamed("path", "file"), ["file", "line_no"])
     source = lines.groupBy(*span).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("source_code"))
     names = space.entities.select("cell_id", F.col("fqn").alias("other"))
+    # only what touches the few cells asked for is named
     ends = space.incidences.where(F.col("relation_type").isin(*schema.CALLS)).select("from_cell_id", "to_cell_id")
-    to = ends.join(names, ends["from_cell_id"] == names["cell_id"]).groupBy(F.col("to_cell_id").alias("cell_id")).agg(F.array_sort(F.collect_set("other")).alias("callers"))
-    fro = ends.join(names, ends["to_cell_id"] == names["cell_id"]).groupBy(F.col("from_cell_id").alias("cell_id")).agg(F.array_sort(F.collect_set("other")).alias("callees"))
+    mine = F.broadcast(todo.select("cell_id").distinct())
+    calls, called = (ends.join(mine.withColumnRenamed("cell_id", c), c, "left_semi") for c in ("to_cell_id", "from_cell_id"))
+    to = calls.join(names, calls["from_cell_id"] == names["cell_id"]).groupBy(F.col("to_cell_id").alias("cell_id")).agg(F.array_sort(F.collect_set("other")).alias("callers"))
+    fro = called.join(names, called["to_cell_id"] == names["cell_id"]).groupBy(F.col("from_cell_id").alias("cell_id")).agg(F.array_sort(F.collect_set("other")).alias("callees"))
     return todo.join(source, span).join(to, "cell_id", "left").join(fro, "cell_id", "left").select(F.col("fqn").alias("symbol"), "entity_type", F.col("label").alias("signature"), "source_code", "file", "start_line", "end_line", parent_name(F.col("fqn")).alias("containing_class"), F.lit(INSTRUCTIONS).alias("instructions"), "callers", "callees").orderBy("symbol")
 
 
@@ -105,4 +108,4 @@ def annotate(space: Space, symbol: str, **fields) -> Space:
     added = space.spark.createDataFrame([tuple(new[f] for f in schema.ANNOTATION_FIELDS)], schema.ANNOTATIONS)
     log = space.table("annotations").withColumn("version", F.lit(0)).unionByName(added.withColumn("version", F.lit(1)))
     # written out: a service annotates again and again
-    return space.with_tables(annotations=cut(last_write(log).drop("version")))
+    return space.with_tables(annotations=keep(last_write(log).drop("version")))

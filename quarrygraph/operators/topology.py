@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarrygraph.functions.names import parent_name
 from quarrygraph.plans import graph
 from quarrygraph.plans.space import Space
-from quarrygraph.session import cut
+from quarrygraph.session import keep
 
 
 def min_combine(*distances: DataFrame) -> DataFrame:
@@ -28,6 +28,13 @@ def near_pairs(points: DataFrame, most: float) -> DataFrame:
     return a.join(b, "cell").where("i < j").select("i", "j", F.abs(F.col("xi") - F.col("xj")).alias("d")).where(F.col("d") <= most)
 
 
+def near_values(points: DataFrame, most: float) -> DataFrame:
+    """(d): the distances that near_pairs finds, from the different places alone; zero if a place has several points."""
+    places = points.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+    apart = near_pairs(places.select(F.col("x").alias("k"), "x"), most).select("d")
+    return apart.unionAll(places.where("n > 1").select((F.col("x") - F.col("x")).alias("d"))).distinct()
+
+
 def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
     """(column, name): the distinct values with their places from 1 in ascending order.
 
@@ -35,17 +42,20 @@ def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
     so only a row a partition passes through one task.
     """
     dealt = values.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    dealt = cut(dealt.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
+    dealt = keep(dealt.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
     heads = dealt.groupBy("_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     heads = heads.select("_part", (before - F.col("_first") + 1).alias("_shift"))
     return dealt.join(heads, "_part").select(column, (F.col("_at") + F.col("_shift")).alias(name))
 
 
-def rips_stages(distances: DataFrame) -> DataFrame:
-    """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance, zero too."""
+def rips_stages(distances: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance, zero too.
+
+    values(d): exactly the distances that occur, where they are known without going over all pairs.
+    """
     pairs = distances.where("i < j AND d >= 0 AND d < double('infinity')").select("i", "j", "d")
-    return pairs.join(ranked(pairs, "d", "stage"), "d").select("i", "j", "d", "stage")
+    return pairs.join(ranked(pairs if values is None else values, "d", "stage"), "d").select("i", "j", "d", "stage")
 
 
 def spanning_forest(stages: DataFrame) -> DataFrame:
@@ -54,17 +64,17 @@ def spanning_forest(stages: DataFrame) -> DataFrame:
     Every component takes its least edge to another one, again and again: the number of components halves at least each time,
     however many stages there are.
     """
-    edges = cut(stages.select("i", "j", "stage", F.col("i").alias("a"), F.col("j").alias("b")).where("a <> b"))
+    edges = keep(stages.select("i", "j", "stage", F.col("i").alias("a"), F.col("j").alias("b")).where("a <> b"))
     found = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("c"), "i", "j", "stage", "a", "b").unionAll(edges.select(F.col("b").alias("c"), "i", "j", "stage", "a", "b"))
         least = both.groupBy("c").agg(F.min_by(F.struct("i", "j", "stage", "a", "b"), F.struct("stage", "i", "j")).alias("e"))
-        taken = cut(least.select("e.*").distinct())
+        taken = keep(least.select("e.*").distinct())
         found = taken.select("i", "j", "stage") if found is None else found.unionAll(taken.select("i", "j", "stage"))
-        label = cut(graph.connected(taken, "a", "b"))
+        label = keep(graph.connected(taken, "a", "b"))
         near, far = label.withColumnsRenamed({"id": "a", "component": "x"}), label.withColumnsRenamed({"id": "b", "component": "y"})
         edges = edges.join(near, "a", "left").join(far, "b", "left").select("i", "j", "stage", F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b")
-        edges = cut(edges)
+        edges = keep(edges)
     return found if found is not None else stages.select("i", "j", "stage").where("false")
 
 
@@ -83,7 +93,7 @@ def deaths(forest: DataFrame, last: int) -> DataFrame:
     width = 1
     while width < last:
         width *= FAN
-    edges = cut(forest.select("i", "j", F.col("stage").cast("long").alias("stage")))
+    edges = keep(forest.select("i", "j", F.col("stage").cast("long").alias("stage")))
     at = F.col("stage") - 1
     while width > 1:
         part, name = width // FAN, F.floor(at / width)
@@ -91,11 +101,11 @@ def deaths(forest: DataFrame, last: int) -> DataFrame:
         told = edges.where(digit < FAN - 1).select("i", "j", name.alias("r"), F.explode(F.sequence(digit + 1, F.lit(FAN - 1).cast("long"))).alias("p"))
         own = lambda end: F.struct("r", "p", F.col(end).alias("v"))
         joined = graph.connected(told.select(own("i").alias("src"), own("j").alias("dst")))
-        label = cut(joined.select("id.r", "id.p", "id.v", F.col("component.v").alias("least")))
+        label = keep(joined.select("id.r", "id.p", "id.v", F.col("component.v").alias("least")))
         edges = edges.withColumns({"r": name, "p": digit})
         for end in ("i", "j"):
             edges = edges.join(label.withColumnsRenamed({"v": end, "least": "_least"}), ["r", "p", end], "left").withColumn(end, F.coalesce("_least", end)).drop("_least")
-        edges, width = cut(edges.select("i", "j", "stage")), part
+        edges, width = keep(edges.select("i", "j", "stage")), part
     own = lambda end: F.struct("stage", F.col(end).alias("v"))
     ends = graph.connected(edges.select(own("i").alias("src"), own("j").alias("dst")))
     return ends.select(F.col("id.v").alias("node"), F.col("id.stage").alias("death"))
@@ -109,10 +119,10 @@ class MergeTree:
 
     def __init__(self, points: DataFrame, distances: DataFrame) -> None:
         self.points = points.select("node").distinct()
-        stages = cut(rips_stages(distances))
+        stages = keep(rips_stages(distances))
         self.last = stages.agg(F.max("stage")).first()[0] or 0
-        self.forest = cut(spanning_forest(stages))
-        self.deaths = cut(deaths(self.forest, self.last))
+        self.forest = keep(spanning_forest(stages))
+        self.deaths = keep(deaths(self.forest, self.last))
 
     def intervals(self) -> DataFrame:
         """(node, birth, death, lifetime). Those that never merge have no death and live one stage more than there are after 0."""
@@ -124,7 +134,7 @@ class MergeTree:
         n = self.points.count()
         # sums before each range of stages, then within it: no window takes all stages
         dealt = self.deaths.groupBy(F.col("death").alias("stage")).agg(F.count("*").alias("n")).repartitionByRange("stage")
-        dealt = cut(dealt.select("stage", "n", F.spark_partition_id().alias("_part")))
+        dealt = keep(dealt.select("stage", "n", F.spark_partition_id().alias("_part")))
         before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         heads = dealt.groupBy("_part").agg(F.sum("n").alias("_sum")).select("_part", before.alias("_before"))
         here = F.sum("n").over(W.partitionBy("_part").orderBy("stage"))

@@ -64,7 +64,7 @@ UNION ALL SELECT 'total', 'entities', count(*) FROM entities
 UNION ALL SELECT 'total', 'relations', count(*) FROM incidences
 UNION ALL SELECT 'total', 'files', count(DISTINCT file) FROM file_of""")
 def overview_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.overview_counts(demo_space(spark, sf_dir))
+    return catalogue.overview_counts(demo_space(spark, sf_dir, again=True))
 
 
 @query(GRAPH + f"""
@@ -126,21 +126,21 @@ ins AS (SELECT t AS cell_id, count(*) AS n FROM calls WHERE f IS NULL AND t IS N
 SELECT fqn, label, file, start_line AS line, coalesce(ins.n, 0) AS caller_count, coalesce(outs.n, 0) AS callee_count FROM inside LEFT JOIN ins USING (cell_id) LEFT JOIN outs USING (cell_id)
 WHERE entity_type IN ('java.method', 'java.constructor') AND coalesce(ins.n, 0) + coalesce(outs.n, 0) > 0""")
 def feature_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.feature(demo_space(spark, sf_dir), "asia")["entry_points"]
+    return catalogue.feature(demo_space(spark, sf_dir, again=True), "asia")["entry_points"]
 
 
 @query(_FEATURE + f"""
 SELECT DISTINCT {CLASS.format('e.fqn')} AS fqn FROM incidences i JOIN inside a ON from_cell_id = a.cell_id LEFT JOIN inside b ON to_cell_id = b.cell_id JOIN entities e ON to_cell_id = e.cell_id
 WHERE relation_type <> 'java.contained_in' AND b.cell_id IS NULL""")
 def feature_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue.feature(demo_space(spark, sf_dir), "asia")["external_dependencies"]
+    return catalogue.feature(demo_space(spark, sf_dir, again=True), "asia")["external_dependencies"]
 
 
 @query(GRAPH + """
 SELECT e.fqn AS target, e.label AS target_label, relation_type, 0.9 + CASE WHEN relation_type = 'java.calls' THEN 0 ELSE 0.05 END AS confidence, e.file, e.start_line AS line
 FROM incidences JOIN file_of e ON e.cell_id = from_cell_id WHERE to_cell_id = (SELECT cell_id FROM hub) AND relation_type IN ('java.calls', 'java.constructs', 'java.field_access')""")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
+    space = demo_space(spark, sf_dir, again=True)
     return calls.callers(space, hub(space)).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -148,7 +148,7 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT e.fqn AS target, e.label AS target_label, relation_type, e.file, e.start_line AS line
 FROM incidences JOIN file_of e ON e.cell_id = to_cell_id WHERE from_cell_id = (SELECT cell_id FROM hub) AND relation_type IN ('java.calls', 'java.constructs', 'java.field_access')""")
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
+    space = demo_space(spark, sf_dir, again=True)
     return calls.callees(space, hub(space)).drop("confidence")
 
 
@@ -157,7 +157,7 @@ SELECT h.fqn AS symbol, h.entity_type, h.label AS signature, 'caller' AS side, e
 UNION ALL
 SELECT h.fqn, h.entity_type, h.label, 'callee', e.fqn FROM hub JOIN entities h USING (cell_id), incidences JOIN entities e ON e.cell_id = to_cell_id WHERE from_cell_id = (SELECT cell_id FROM hub) AND relation_type IN ('java.calls', 'java.constructs')""")
 def explain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
+    space = demo_space(spark, sf_dir, again=True)
     one = calls.explain(space, hub(space))
     side = lambda c, s: one.select("symbol", "entity_type", "signature", F.lit(s).alias("side"), F.explode(c).alias("other"))
     return side("callers", "caller").unionAll(side("callees", "callee"))
@@ -172,14 +172,14 @@ _REACH = """
 @query(GRAPH + _REACH + """
 SELECT fqn, label, file, start_line AS line, d AS depth, CASE WHEN d = 1 THEN 'direct' ELSE 'transitive' END AS scope FROM (SELECT node, min(depth) AS d FROM walk GROUP BY 1) JOIN file_of ON cell_id = node WHERE d > 0""")
 def impact_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
+    space = demo_space(spark, sf_dir, again=True)
     return calls.impact(space, hub(space), 3)
 
 
 @query(GRAPH + _REACH + """
 SELECT DISTINCT file FROM (SELECT node, min(depth) AS d FROM walk GROUP BY 1) JOIN file_of ON cell_id = node WHERE d > 0""")
 def impact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
+    space = demo_space(spark, sf_dir, again=True)
     return calls.affected_files(calls.impact(space, hub(space), 3))
 
 
@@ -190,7 +190,7 @@ seen AS (SELECT node, min(depth) AS depth FROM walk GROUP BY 1)
 SELECT r AS required_relation, CASE WHEN EXISTS (SELECT 1 FROM seen JOIN incidences ON from_cell_id = node WHERE depth < 3 AND relation_type = r) THEN 'satisfied'
   WHEN (SELECT max(depth) FROM seen) < 3 THEN 'violated' ELSE 'unknown' END AS status FROM (VALUES ('java.constructs'), ('java.throws')) t(r)""")
 def enforces_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    space = demo_space(spark, sf_dir)
+    space = demo_space(spark, sf_dir, again=True)
     start = entry_point(space)
     return calls.enforces(space, start, "constructs", 3).unionAll(calls.enforces(space, start, "throws", 3)).select("required_relation", "status")
 
@@ -210,7 +210,7 @@ FROM file_of WHERE entity_type = 'java.method' AND cell_id NOT IN (FROM used)
 UNION ALL
 SELECT fqn, entity_type, file, start_line, 'medium', 'unreferenced' FROM file_of f WHERE entity_type = 'java.class' AND cell_id NOT IN (FROM used) AND NOT EXISTS (SELECT 1 FROM alive a WHERE starts_with(a.fqn, f.fqn || '.'))""")
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.dead_code(demo_space(spark, sf_dir))
+    return findings.dead_code(demo_space(spark, sf_dir, again=True))
 
 
 @query(GRAPH + """
@@ -219,7 +219,7 @@ reach AS (SELECT 'p' || p_partkey AS node, p_brand AS target FROM part UNION SEL
 SELECT DISTINCT fqn AS entry_point, target FROM reach JOIN entities ON cell_id = node WHERE entity_type = 'java.method' AND cell_id NOT IN (SELECT to_cell_id FROM incidences WHERE relation_type = 'java.calls')""")
 def crud_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p"), "p_partkey").alias("cell_id"), F.col("p_brand").alias("target"))
-    return findings.crud_closure(demo_space(spark, sf_dir), parts)
+    return findings.crud_closure(demo_space(spark, sf_dir, again=True), parts)
 
 
 @query(GRAPH + """
@@ -230,7 +230,7 @@ label(node, component) USING KEY (node) AS (
 ), comp AS (SELECT node, component FROM label)
 SELECT component, count(*) AS members, count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) AS packages, count(DISTINCT regexp_replace(fqn, '\\.[^.]*$', '')) > 1 AS crosses_boundary FROM comp JOIN entities ON cell_id = node GROUP BY 1""")
 def domain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.cluster_sizes(demo_space(spark, sf_dir), 2)
+    return topology.cluster_sizes(demo_space(spark, sf_dir, again=True), 2)
 
 
 @query("""
@@ -240,8 +240,8 @@ SELECT i, j, d, dense_rank() OVER (ORDER BY d) AS stage FROM pairs""")
 def rips_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose prices are at most 1 apart."""
     points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.round("p_retailprice", 2).alias("x"))
-    near = topology.near_pairs(points, 1.0).withColumn("d", F.round("d", 2))
-    return topology.rips_stages(near).select("i", "j", "d", F.col("stage").cast("long").alias("stage"))
+    near, values = (f(points, 1.0).withColumn("d", F.round("d", 2)) for f in (topology.near_pairs, topology.near_values))
+    return topology.rips_stages(near, values.distinct()).select("i", "j", "d", F.col("stage").cast("long").alias("stage"))
 
 
 @query(GRAPH + """
@@ -249,7 +249,7 @@ def rips_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 seen AS (SELECT min(cell_id) AS node FROM entities UNION SELECT b FROM seen JOIN e ON a = node)
 SELECT 'reachability' AS invariant_name, cell_id, 'not reachable from the first cell' AS message, 'warning' AS severity FROM entities WHERE cell_id NOT IN (SELECT node FROM seen)""")
 def invariants_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invariants.reachability(demo_space(spark, sf_dir))
+    return invariants.reachability(demo_space(spark, sf_dir, again=True))
 
 
 @query("""
