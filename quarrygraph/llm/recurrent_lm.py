@@ -7,8 +7,8 @@ Output biases start at the logarithms of the counts, so training starts from a u
 
 Training runs where the data is: in each round every task walks over its documents of that round with truncated
 backpropagation (windows of WINDOW tokens, the state carried from window to window, cleared where a document begins), and the
-weights of all tasks are averaged by tokens. A fixed share of the training documents, ROUNDS in GROUPS by a hash of doc_id,
-takes part, so this work grows with the input; of a small corpus all of them do, and more than once.
+weights of all tasks are averaged by tokens. Every training document takes part once, in the round that a hash of its doc_id
+says, whatever the size of the corpus.
 
 A score is the log-likelihood of a whole document: its state goes on from window to window to its end.
 """
@@ -16,6 +16,7 @@ A score is the log-likelihood of a whole document: its state goes on from window
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,8 @@ END_KEY = int(END.view(np.int64))
 FREQUENT = 1 << 20
 #: Words of the network, most of a class, and the sizes of inputs and state.
 VOCABULARY, CLASS_MOST, INPUTS, STATE = 2048, 64, 16, 24
-#: Training: documents of the first ROUNDS groups, one a round. There are GROUPS groups, or fewer if less than about
-#: LEAST_TOKENS would take part, but not fewer than rounds; a group is walked over up to PASSES times to reach that number.
-ROUNDS, GROUPS, LEAST_TOKENS, PASSES = 4, 24, 1_500_000, 3
-WINDOW, LANES, STREAM = 32, 128, 2_000_000
+#: Training: rounds, tokens of a window, most lanes side by side (a stream is at least 64 windows long), tokens of a stream.
+ROUNDS, WINDOW, LANES, STREAM = 4, 32, 512, 2_000_000
 RATE = (0.012, 0.008, 0.005, 0.003)
 #: Bytes of text and tokens of the output layer that are worked on together when scoring.
 SLICE, ROWS = 12_000_000, 32_768
@@ -320,30 +319,30 @@ def numbers(shape: Shape, h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray
 
 
 def trained(docs: DataFrame, shape: Shape, tokens: int) -> np.ndarray:
-    """Weights after ROUNDS rounds. Task weights meet in a tree: 64 sums, then one; a sum holds one set of weights."""
+    """Weights after ROUNDS rounds over all training documents, each in one of them. How many tokens there are decides nothing
+    but whether there is anything to learn. Task weights meet in a tree: 64 sums, then one; a sum holds one set of weights."""
     spark = docs.sparkSession
     flat = shape.start()
     if not tokens or not shape.size:
         return flat
     shared = spark.sparkContext.broadcast(shape)
-    groups = max(ROUNDS, min(GROUPS, tokens * ROUNDS // LEAST_TOKENS))
-    passes = min(PASSES, max(1, math.ceil(LEAST_TOKENS * groups / (ROUNDS * tokens))))
+    name = f"lm-shape {uuid.uuid4().hex}"  # workers outlive a corpus, so what they keep goes by its own name
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = worker_cache("lm-shape", lambda: shared.value)
+        shape = worker_cache(name, lambda: shared.value)
         for batch in sliced(batches, 1):
             place, begins, _ = numbers(shape, *hash_words(text_bytes(batch.column(1))))
             number = shape.number[place]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([number[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])], pa.binary())], names=["round", "ids"])
 
-    group = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(groups)).cast("int")
-    share = docs.where(remainder(F.col("doc_id")) != HELD_OUT).select(group.alias("round"), "text").where(F.col("round") < ROUNDS)
-    share = written(share.mapInArrow(ids, "round int, ids binary"), "lm-ids")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)).cast("int")
+    every = docs.where(remainder(F.col("doc_id")) != HELD_OUT).select(turn.alias("round"), "text")
+    every = written(every.mapInArrow(ids, "round int, ids binary"), "lm-ids")
     for k in range(ROUNDS):
         now, rate = spark.sparkContext.broadcast(flat), RATE[k]
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shape = worker_cache("lm-shape", lambda: shared.value)
+            shape = worker_cache(name, lambda: shared.value)
 
             def streams() -> Iterator[np.ndarray]:
                 parts, have = [], 0
@@ -352,15 +351,11 @@ def trained(docs: DataFrame, shape: Shape, tokens: int) -> np.ndarray:
                         parts.append(np.frombuffer(x, np.uint16))
                         have += len(parts[-1])
                         if have >= STREAM:
-                            stream = np.concatenate(parts)
+                            yield np.concatenate(parts)
                             parts.clear()
                             have = 0
-                            for _ in range(passes):
-                                yield stream
                 if have:
-                    stream = np.concatenate(parts)
-                    for _ in range(passes):
-                        yield stream
+                    yield np.concatenate(parts)
 
             weights, seen = walk(shape, now.value, streams(), rate)
             if seen:
@@ -378,7 +373,7 @@ def trained(docs: DataFrame, shape: Shape, tokens: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen]), pa.array([total.tobytes()], pa.binary())], names=["salt", "seen", "sum"])
 
         schema = "salt int, seen double, sum binary"
-        rows = share.where(F.col("round") == k).select("ids").mapInArrow(learn, schema).repartition("salt").mapInArrow(fold, schema).repartition(1).mapInArrow(fold, schema).collect()
+        rows = every.where(F.col("round") == k).select("ids").mapInArrow(learn, schema).repartition("salt").mapInArrow(fold, schema).repartition(1).mapInArrow(fold, schema).collect()
         if rows:
             flat = (np.frombuffer(rows[0]["sum"], np.float64) / rows[0]["seen"]).astype(np.float32)
     return flat
@@ -400,10 +395,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shape = Shape(hashes, frequency, total, types)
     weights = trained(docs, shape, total)
     model = spark.sparkContext.broadcast((shape, weights))
+    name = f"lm-model {uuid.uuid4().hex}"
     log_others = math.log10(shape.others)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, weights = worker_cache("lm-model", lambda: model.value)
+        shape, weights = worker_cache(name, lambda: model.value)
         p = shape.split(weights)
         log_count = np.append(np.log10(shape.counts + 1.0), 0.0)
         for batch in sliced(batches, 3, SLICE):

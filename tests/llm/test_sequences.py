@@ -291,6 +291,18 @@ def test_gradient_by_differences():
         assert abs((loss(flat + e) - loss(flat - e)) / 2e-5 - g[k]) < 1e-3 * abs(g[k]) + 1e-6
 
 
+def test_training_is_the_same_whatever_the_size(spark, monkeypatch):
+    """All training documents take part, each once, in a corpus that counts as small and in one that counts as huge."""
+    kept, own = [], recurrent_lm.written
+    monkeypatch.setattr(recurrent_lm, "written", lambda df, name: kept.append(own(df, name)) or kept[-1])
+    shape, _ = network()
+    docs = spark.createDataFrame([(k, "a few words of document %d" % k) for k in range(300)], "doc_id long, text string").coalesce(1)
+    small, huge = recurrent_lm.trained(docs, shape, 5_000), recurrent_lm.trained(docs, shape, 10**10)
+    want = sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(300))
+    assert [df.count() for df in kept] == [want, want]
+    assert np.allclose(small, huge, atol=1e-6)
+
+
 def test_held_out_texts_are_likelier_than_by_counts(spark):
     rows = queries()["op13_lm_scoring"](spark, SF).collect()
     held = [r for r in rows if r.held_out]
