@@ -60,7 +60,7 @@ def _search(space: Space, cell: str, max_depth: int, relations: tuple[str, ...]
     """Bounded search from one cell, by the lookup tables if the space has them."""
     if space.index:
         return space.index.search([cell], max_depth, relations, incoming=reverse)
-    return graph.search(space.calls(*relations), space.spark.createDataFrame([(cell,)], "node string"), max_depth, reverse=reverse)
+    return graph.search(space.calls(*relations), space.spark.createDataFrame([(cell,)], "node string"), max_depth, reverse=reverse, stored=space.stored)
 
 
 def _named(space: Space, found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def reachability(space: Space, first: str | None = None) -> DataFrame:
     if space.index:
         comp = space.index.labels().select(F.col("cell_id").alias("node"), F.col("by_all").alias("component"))
     else:
-        comp = graph.components(space.cells.select(F.col("cell_id").alias("node")), space.calls())
+        comp = graph.components(space.cells.select(F.col("cell_id").alias("node")), space.calls(), space.stored)
     start = first or space.cells.agg(F.min("cell_id")).first()[0]
     home = comp.where(F.col("node") == start).select("component")
     apart = comp.join(home, "component", "left_anti")

@@ -177,7 +177,7 @@ def _call_components(space: Space) -> DataFrame:
     nodes = space.cells.where("dimension = 0").select(F.col("cell_id").alias("node")).distinct()
     if space.index:
         return nodes.join(space.index.labels().select(F.col("cell_id").alias("node"), F.col("by_calls").alias("component")), "node")
-    return graph.components(nodes, space.calls("java.calls"))
+    return graph.components(nodes, space.calls("java.calls"), space.stored)
 
 
 def cluster_members(space: Space, min_lifetime: int = 2) -> DataFrame:

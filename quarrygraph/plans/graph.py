@@ -11,20 +11,30 @@ from pyspark.sql import functions as F
 from quarrygraph.session import keep
 
 
-def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = False) -> tuple[DataFrame, bool]:
+#: Rows up to which a counted frontier is broadcast, so that edges meet it where they are read; up to LISTED they are first
+#: filtered by a list of its nodes, which files can skip by.
+FEW, LISTED = 100_000, 2_000
+
+
+def search(edges: DataFrame, start: DataFrame, max_depth: int, reverse: bool = False, stored: bool = False) -> tuple[DataFrame, bool]:
     """Breadth-first search. (node, depth) with the shortest depth, the start at 0; whether it ended before max_depth.
 
-    edges(src, dst); start(node).
+    edges(src, dst); start(node). stored: the edges lie in files, so rounds read those and no copy is made.
     """
     from_, to = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(from_).alias("node"), F.col(to).alias("next")).distinct()
-    step = keep(step) if max_depth > 1 else step  # else each round would derive the edges again
+    step = edges.select(F.col(from_).alias("node"), F.col(to).alias("next"))
+    if not stored:
+        step = keep(step.distinct()) if max_depth > 1 else step.distinct()  # else each round would derive the edges again
     seen = keep(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, exhausted = seen, False
+    frontier, rows, exhausted = seen, seen.count(), False
     for depth in range(1, max_depth + 1):
-        new = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        near, ways = F.broadcast(frontier) if rows <= FEW else frontier, step
+        if rows <= LISTED:
+            ways = step.where(F.col("node").isin([r.node for r in frontier.select("node").collect()]))
+        new = near.join(ways, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         frontier = keep(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             exhausted = True
             break
         seen = seen.unionByName(frontier)
@@ -70,15 +80,16 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame
     return big.join(held, key).unionByName(big.join(held.select(key), key, "left_anti").join(small, key))
 
 
-def connected(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+def connected(links: DataFrame, a: str = "src", b: str = "dst", stored: bool = False) -> DataFrame:
     """(id, component) for each id that reaches a lesser one; the component is the least id reachable.
 
     Alternates large-star and small-star steps: two aggregations with map-side combining and two joins in which ids with very
     many links are handled apart. Rounds: about the logarithm of the longest chain. Null ends and links of an id with itself
-    are left out.
+    are left out. stored: the links lie in files, so the first round reads those; each pair need not be told apart before it.
     """
     able = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
-    pairs, before = keep(links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()), None
+    pairs, before = links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")), None
+    pairs = pairs if stored else keep(pairs.distinct())
     while True:
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if not now[0] or now == before:
@@ -86,16 +97,17 @@ def connected(links: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
         before = now
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(pairs.select("lo", "hi"))
         least = keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d"))
-        large = keep(join_hot(both.where("v > u"), least, "u", 2 * now[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        above = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))  # of both, those with v > u
+        large = keep(join_hot(above, least, "u", 2 * now[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         down = keep(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("d")))
         small = join_hot(large, down, "hi", now[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         pairs = keep(small.unionAll(down.select("hi", F.col("m").alias("lo"))).distinct())
     return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component) of all nodes, isolated ones too, ignoring direction."""
-    linked = connected(edges).withColumnRenamed("id", "node")
+def components(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
+    """(node, component) of all nodes, isolated ones too, ignoring direction. stored: the edges lie in files."""
+    linked = connected(edges, stored=stored).withColumnRenamed("id", "node")
     return nodes.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -181,7 +181,7 @@ def lift(files: DataFrame, space_id: str = "space", cache: DataFrame | None = No
     incidences = edges.join(mine, ["fqn", "file"]).join(to, "target").select(
         F.concat(F.lit("inc:"), "ref").alias("incidence_id"), "from_cell_id", "to_cell_id", F.col("what").alias("relation_type"), "file", "start_line", "end_line", F.lit(CONFIDENCE).alias("confidence"), F.col("derivation").alias("derivation_source"))
     unresolved = other.where("target IS NULL AND what IN ('java.calls', 'java.constructs')").select(F.col("fqn").alias("from_fqn"), "target_text", F.col("what").alias("relation_type"), "file", F.col("start_line").alias("line"))
-    return Space(entities=keep(entities), incidences=keep(incidences), cells=keep(cells), unresolved=keep(unresolved), source_files=files, source_lines=source_lines(files), space_id=space_id)
+    return Space(entities=keep(entities), incidences=keep(incidences), cells=keep(cells), unresolved=keep(unresolved), source_files=files, source_lines=source_lines(files), space_id=space_id, stored=True)
 
 
 def diagnostics(files: DataFrame, space: Space) -> DataFrame:

@@ -31,6 +31,8 @@ class Space:
     space_id: str = "space"
     #: Lookup tables of entities, incidences and cells; None if there are none or these tables were exchanged.
     index: SpaceIndex | None = None
+    #: Whether the incidences lie in files, so that it costs no more to read them again than a copy of them.
+    stored: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -43,7 +45,7 @@ class Space:
 
     def with_tables(self, **tables: DataFrame) -> Space:
         same = not {"entities", "incidences", "cells"} & set(tables)
-        return replace(self, index=self.index if same else None, **tables)
+        return replace(self, index=self.index if same else None, stored=self.stored and "incidences" not in tables, **tables)
 
     def calls(self, *relations: str) -> DataFrame:
         """(src, dst) of incidences of these relations, one row an incidence."""

@@ -75,7 +75,7 @@ def load(spark: SparkSession, root: str, space_id: str) -> Space:
         raise FileNotFoundError(path)
     at, folder = _fs(spark, path)[1], f"{path}/{version}/index"
     lookup = index.open_index(spark, folder) if _fs(spark, path)[0].exists(at(f"{folder}/about/_SUCCESS")) else None
-    return Space(space_id=space_id, index=lookup, **{n: spark.read.schema(getattr(schema, n.upper())).parquet(f"{path}/{version}/{n}") for n in TABLES})
+    return Space(space_id=space_id, index=lookup, stored=True, **{n: spark.read.schema(getattr(schema, n.upper())).parquet(f"{path}/{version}/{n}") for n in TABLES})
 
 
 def list_spaces(spark: SparkSession, root: str) -> DataFrame:

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrygraph import session
-from quarrygraph.operators import symbolic, topology
-from quarrygraph.plans import demo
+from quarrygraph.operators import calls, invariants, symbolic, topology
+from quarrygraph.plans import demo, graph
 
 BIG = "/root/testdata/sf0.001"
 
@@ -52,3 +52,43 @@ def test_values_of_near_points_are_those_of_all_pairs(spark):
     points = spark.createDataFrame([(1, 900.0), (2, 900.0), (3, 900.4), (4, 901.3), (5, 950.0), (6, None)], "k long, x double")
     want = {r.d for r in topology.near_pairs(points, 1.0).select(F.round("d", 2).alias("d")).collect()}
     assert {r.d for r in topology.near_values(points, 1.0).select(F.round("d", 2).alias("d")).collect()} == want == {0.0, 0.4, 0.9}
+
+
+def kept_rows(monkeypatch) -> list[int]:
+    """Filled with the rows of each table that graph plans write out."""
+    rows = []
+    monkeypatch.setattr(graph, "keep", lambda df: (out := session.keep(df), rows.append(out.count()))[0])
+    return rows
+
+
+def test_a_search_makes_no_copy_of_stored_links(spark, monkeypatch):
+    space = demo.demo_space(spark, BIG, again=True)
+    top = space.incidences.where("relation_type = 'java.calls'").groupBy("to_cell_id").count().orderBy("count", "to_cell_id").first().to_cell_id
+    name = space.entities.where(F.col("cell_id") == top).first().fqn
+    links, rows = space.calls(*calls.schema.IMPACT).count(), kept_rows(monkeypatch)
+    got = calls.impact(space, name, 2)
+    assert rows and max(rows) < links
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, calls.impact(demo.demo_space(spark, BIG), name, 2).collect()))
+
+
+def test_a_search_is_the_same_listed_broadcast_or_joined(spark, monkeypatch):
+    edges = spark.createDataFrame([(k % 97, (k * k + 3) % 97) for k in range(300)] + [(1, None), (5, 5)], "src long, dst long")
+    start = spark.createDataFrame([(1,)], "node long")
+    want = sorted(map(tuple, graph.search(edges.where("dst IS NOT NULL"), start, 5)[0].collect()))
+    for few, listed in ((100, 0), (0, 0), (100, 3)):
+        monkeypatch.setattr(graph, "FEW", few)
+        monkeypatch.setattr(graph, "LISTED", listed)
+        for stored in (True, False):
+            assert sorted(map(tuple, graph.search(edges.where("dst IS NOT NULL"), start, 5, stored=stored)[0].collect())) == want
+
+
+def test_components_make_no_copy_of_stored_links(spark, monkeypatch):
+    space = demo.demo_space(spark, BIG, again=True)
+    links, rows = space.incidences.count(), kept_rows(monkeypatch)
+    assert invariants.reachability(space).count() == 0 and len(rows) > 2 and links not in rows
+
+
+def test_stored_links_may_hold_a_pair_twice(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3), (7, 9), (9, 7), (4, 4), (None, 5), (5, None)], "src long, dst long")
+    got = lambda stored: sorted(map(tuple, graph.connected(links, stored=stored).collect()))
+    assert got(True) == got(False) == [(2, 1), (3, 1), (9, 7)]
