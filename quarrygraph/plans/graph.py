@@ -5,8 +5,9 @@ Every round is one join of a frontier with the edges and one anti join against w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrygraph.session import keep
 
@@ -88,10 +89,15 @@ def connected(links: DataFrame, a: str = "src", b: str = "dst", stored: bool = F
     are left out. stored: the links lie in files, so the first round reads those; each pair need not be told apart before it.
     """
     able = F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
+    if isinstance(links.schema[a].dataType, StringType):
+        return _connected_texts(links.where(able).select(F.col(a).alias("src"), F.col(b).alias("dst")), stored)
     pairs, before = links.where(able).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")), None
     pairs = pairs if stored else keep(pairs.distinct())
     while True:
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        if before is None and stored:
+            now = (pairs.count(),)
+        else:
+            now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if not now[0] or now == before:
             break
         before = now
@@ -105,6 +111,51 @@ def connected(links: DataFrame, a: str = "src", b: str = "dst", stored: bool = F
     return pairs.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
 
 
+def _connected_texts(links: DataFrame, stored: bool) -> DataFrame:
+    """connected for texts: by numbers that stand for them, since for the least of texts all links would be sorted each time.
+
+    The numbers are hashes; all ids are counted against them, and another seed is taken until none share one.
+    """
+    links = links if stored else keep(links.distinct())
+    ids = keep(links.select(F.col("src").alias("id")).distinct().unionAll(links.select("dst").distinct()).distinct())
+    rows, seed = ids.count(), 0
+    while ids.select(_number("id", seed).alias("n")).distinct().count() < rows:
+        seed += 1
+    found = _by_forest(links.select(_number("src", seed).alias("src"), _number("dst", seed).alias("dst")))
+    home = ids.select("id", _number("id", seed).alias("n")).join(found.withColumnRenamed("id", "n"), "n", "left")
+    home = keep(home.select("id", F.coalesce("component", "n").alias("of")))
+    least = keep(home.groupBy("of").agg(F.min("id").alias("component"), F.count("*").alias("d")))
+    return join_hot(home, least, "of", rows).where("id <> component").select("id", "component")
+
+
+def _by_forest(links: DataFrame) -> DataFrame:
+    """(id, component) of all ends; a component has one name, not its least. links(src, dst) lie in files.
+
+    First each id with its least and greatest neighbour alone: two rows an id, however many links. Then only links with an end
+    outside the largest of the components so found can join others.
+    """
+    both = links.select(F.col("src").alias("id"), F.col("dst").alias("v")).unionAll(links.select("dst", "src"))
+    ends = keep(both.groupBy("id").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
+    first = connected(ends.select(F.col("id").alias("src"), F.explode(F.array("lo", "hi")).alias("dst")))
+    home = keep(ends.select("id").join(first, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    largest = home.groupBy("component").count().orderBy(F.col("count").desc(), "component").first()
+    apart = keep(home.where(F.col("component") != (largest.component if largest else None)))
+    rows = apart.count()
+    if not rows:
+        return home
+    near = F.broadcast(apart) if rows <= FEW else apart
+    marked = links.join(near.select(F.col("id").alias("src"), F.col("component").alias("a")), "src", "left").join(near.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    rest = marked.where("a IS NOT NULL OR b IS NOT NULL").select(F.coalesce("a", F.lit(largest.component)).alias("src"), F.coalesce("b", F.lit(largest.component)).alias("dst"))
+    more = connected(rest).select(F.col("id").alias("component"), F.col("component").alias("into"))
+    moved = more.where(F.col("component") == largest.component).first()
+    inner = home.where(F.col("component") == largest.component).select("id", F.lit(moved.into if moved else largest.component).alias("component"))
+    return inner.unionByName(apart.join(more, "component", "left").select("id", F.coalesce("into", "component").alias("component")))
+
+
+def _number(column: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), column)
+
+
 def components(nodes: DataFrame, edges: DataFrame, stored: bool = False) -> DataFrame:
     """(node, component) of all nodes, isolated ones too, ignoring direction. stored: the edges lie in files."""
     linked = connected(edges, stored=stored).withColumnRenamed("id", "node")

@@ -92,3 +92,39 @@ def test_stored_links_may_hold_a_pair_twice(spark):
     links = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3), (7, 9), (9, 7), (4, 4), (None, 5), (5, None)], "src long, dst long")
     got = lambda stored: sorted(map(tuple, graph.connected(links, stored=stored).collect()))
     assert got(True) == got(False) == [(2, 1), (3, 1), (9, 7)]
+
+
+def test_components_of_texts_sort_no_links(spark, monkeypatch):
+    """The least of texts has no hash aggregation, so each round would sort all links."""
+    plans = []
+    monkeypatch.setattr(graph, "keep", lambda df: plans.append((df._jdf.queryExecution().executedPlan().toString(), df.columns)) or session.keep(df))
+    links = spark.createDataFrame([(f"n{k}", f"n{(k * 7) % 50}") for k in range(50)] + [("x", "y"), ("z", "z")], "src string, dst string")
+    got = {r.id: r.component for r in graph.connected(links).collect()}
+    number = {r.id: r.component for r in graph.connected(links.select(*(F.when(F.col(c).startswith("n"), F.substring(c, 2, 9).cast("long")).otherwise(F.ascii(c) + 1000).alias(c) for c in ("src", "dst")))).collect()}
+    groups = lambda of, nodes: {frozenset(n for n in nodes if of.get(n, n) == c) for c in {of.get(n, n) for n in nodes}}
+    name = lambda k: f"n{k}" if k < 1000 else chr(k - 1000)
+    assert groups(got, [f"n{k}" for k in range(50)] + ["x", "y"]) == {frozenset(map(name, g)) for g in groups(number, [*range(50), ord("x") + 1000, ord("y") + 1000])}
+    assert all(c == min(k for k in [*got, *got.values()] if got.get(k, k) == c) for c in got.values())
+    assert not [p for p, columns in plans if "SortAggregate" in p and "component" not in columns]
+
+
+def test_texts_that_share_a_number_get_others(spark, monkeypatch):
+    own = graph._number
+    monkeypatch.setattr(graph, "_number", lambda column, seed: F.lit(7).cast("long") if seed < 2 else own(column, seed))
+    links = spark.createDataFrame([("b", "a"), ("c", "b"), ("e", "d")], "src string, dst string")
+    assert {r.id: r.component for r in graph.connected(links).collect()} == {"b": "a", "c": "a", "e": "d"}
+
+
+def test_components_beyond_least_and_greatest_neighbours(spark, monkeypatch):
+    """Many small groups, joined by links that are no node's least or greatest, in either way of joining them."""
+    groups = [[f"g{g}n{k}" for k in range(6)] for g in range(8)]
+    links = [(a, b) for g in groups for a in g for b in g if a < b] + [(groups[g][2], groups[g + 1][3]) for g in (0, 1, 4, 6)]
+    label = {n: n for g in groups for n in g}
+    for _ in range(20):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    for few in (100, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        got = {r.id: r.component for r in graph.connected(spark.createDataFrame(links, "src string, dst string"), stored=True).collect()}
+        assert got == {n: c for n, c in label.items() if n != c}
+    assert graph.connected(spark.createDataFrame([("a", "a")], "src string, dst string")).count() == 0
