@@ -55,6 +55,35 @@ def dac_encode(ids: np.ndarray, chunk_bits: int = CHUNK_BITS) -> tuple[list[byte
     return chunks, bitmaps, ranks
 
 
+def dac_columns(ids: np.ndarray, begins: np.ndarray, chunk_bits: int = CHUNK_BITS) -> list[pa.Array]:
+    """What dac_encode gives for each document ids[begins[k]:begins[k+1]], as three columns of lists of bytes, levels of all
+    documents at once."""
+    kind, docs = {8: np.uint8, 16: np.uint16}[chunk_bits], len(begins) - 1
+    rest, n, levels, owners = np.asarray(ids, np.uint32), np.diff(begins), ([], [], []), []
+    from_lengths = lambda x: np.concatenate([np.zeros(1, np.int64), np.cumsum(x, dtype=np.int64)])
+    binary = lambda data, at: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+    while len(rest):
+        have = np.flatnonzero(n)
+        n, at = n[have], from_lengths(n[have])
+        owners.append(have if not owners else owners[-1][have])
+        higher = rest >> np.uint32(chunk_bits)
+        more = higher > 0
+        wide, blocks = -(-n // 8), -(-n // RANK_BLOCK)
+        byte, block = from_lengths(wide), from_lengths(blocks)
+        padded = np.zeros(8 * byte[-1], bool)
+        padded[np.arange(len(more)) + np.repeat(8 * byte[:-1] - at[:-1], n)] = more
+        sums = np.add.reduceat(more.astype(np.uint32), np.repeat(at[:-1] - RANK_BLOCK * block[:-1], blocks) + RANK_BLOCK * np.arange(block[-1]))
+        before = np.cumsum(sums, dtype=np.uint32) - sums
+        for column, data, place in zip(levels, (
+            rest.astype(kind).astype(f"<u{chunk_bits // 8}"), np.packbits(padded, bitorder="little"), (before - np.repeat(before[block[:-1]], blocks)).astype("<u4"),
+        ), (at * (chunk_bits // 8), byte, 4 * block), strict=True):
+            column.append(binary(data, place))
+        n, rest = np.add.reduceat(more, at[:-1], dtype=np.int64), higher[more]
+    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    offsets, order = from_lengths(np.bincount(owner, minlength=docs)).astype(np.int32), np.argsort(owner, kind="stable")
+    return [pa.ListArray.from_arrays(offsets, (pa.concat_arrays(c) if c else pa.array([], pa.large_binary())).take(pa.array(order)).cast(pa.binary())) for c in levels]
+
+
 def dac_decode(n: int, chunks: list[bytes], bitmaps: list[bytes], chunk_bits: int = CHUNK_BITS) -> np.ndarray:
     """All ids, level by level."""
     out, at = np.zeros(n, np.uint32), np.arange(n)
@@ -123,6 +152,12 @@ class PieceEncoder:
         )
         self.mark = next((a["content"] for a in added if a["special"] and not a["normalized"]), None)
         self.by_piece = self.by_piece and self.mark is not None
+        #: bytes of each id's text: a character of a byte-level token stands for one byte
+        self.bytes = np.zeros(max(self.lib.get_vocab(with_added_tokens=True).values(), default=-1) + 1, np.int64)
+        for token, k in self.lib.get_vocab(with_added_tokens=False).items():
+            self.bytes[k] = len(token)
+        for a in added:
+            self.bytes[a["id"]] = len(a["content"].encode())
         self.mark_id = self.lib.token_to_id(self.mark) if self.mark else -1
         self.cache, self.group = cache, group
         self.clear()
@@ -144,47 +179,70 @@ class PieceEncoder:
         self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces in joined runs; the end-of-text string between two pieces is one known id that parts them."""
-        runs = ([p for p in pieces if self.mark not in p], [p for p in pieces if self.mark in p])
-        joined = [self.mark.join(runs[0][k : k + RUN]) for k in range(0, len(runs[0]), RUN)]
-        flat, begin, size = [self.flat], [self.begin], len(self.flat)
+        """Encodes pieces in joined runs. Those that a space leads and that end in no white space are cut from their neighbours
+        by the pre-tokenizer; their ids are told apart by the bytes that ids stand for. Between others the end-of-text string,
+        one known id, is put; pieces that hold it are runs of their own."""
+        led, apart, alone = [], [], []
+        for p in pieces:
+            (alone if self.mark in p else led if p[:1] == " " and not (p[1:2] or " ").isspace() and not p[-1].isspace() else apart).append(p)
+        names, flat, begin, size = [], [self.flat], [self.begin], len(self.flat)
         # a bounded number at a time: the library's results are many times as large as their ids
-        for todo, alone in [(joined[k : k + CALL], False) for k in range(0, len(joined), CALL)] + [(runs[1][k : k + CALL], True) for k in range(0, len(runs[1]), CALL)]:
-            parts = [e.ids for e in self.lib.encode_batch_fast(todo, add_special_tokens=False)]
-            ids = np.fromiter(chain.from_iterable(parts), np.uint32)
-            ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
-            if not alone and len(ids):
-                cut = ids == self.mark_id
-                inner = np.flatnonzero(cut)
-                ends = np.sort(np.concatenate([inner, ends]))
-                ends -= np.searchsorted(inner, ends)
-                ids = ids[~cut]
-            begin.append((size + ends).astype(PLACE))
-            flat.append(ids)
-            size += len(ids)
+        for group, between, most in ((led, "", RUN * CALL), (apart, self.mark, RUN * CALL), (alone, None, CALL)):
+            for k in range(0, len(group), most):
+                some = group[k : k + most]
+                ids, ends = self._run(some, between)
+                if ids is None:  # bytes that no id stands for
+                    apart += some
+                    continue
+                names.append(some)
+                begin.append((size + ends).astype(PLACE))
+                flat.append(ids)
+                size += len(ids)
         self.flat, self.begin = np.concatenate(flat), np.concatenate(begin)
         self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int32)])
-        self.known.update(zip(chain(*runs), range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.known.update(zip(chain(*names), range(len(self.known), len(self.known) + len(pieces)), strict=True))
+
+    def _run(self, pieces: list[str], between: str | None) -> tuple[np.ndarray | None, np.ndarray]:
+        """Ids of the pieces, encoded in runs with ``between`` between them (None: each by itself), and where each one's end."""
+        joined = pieces if between is None else [between.join(pieces[k : k + RUN]) for k in range(0, len(pieces), RUN)]
+        parts = [e.ids for e in self.lib.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(parts), np.uint32, sum(map(len, parts)))
+        if between == "":
+            after = np.cumsum(self.bytes[ids])
+            stop = np.cumsum(pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy(zero_copy_only=False))
+            ends = np.searchsorted(after, stop)
+            fits = len(after) and after[-1] == stop[-1] and bool((after[ends] == stop).all())
+            return (ids if fits else None), ends + 1
+        ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
+        if between is not None and len(ids):
+            cut = ids == self.mark_id
+            inner = np.flatnonzero(cut)
+            ends = np.sort(np.concatenate([inner, ends]))
+            ends -= np.searchsorted(inner, ends)
+            ids = ids[~cut]
+        return ids, ends
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, null as empty."""
-        return [x for _, group in self.groups(texts) for x in group]
+        return [ids[a:b] for _, ids, at in self.groups(texts) for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def groups(self, texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
-        """(first text, ids of it and those after it) for groups of texts of about ``group`` bytes."""
+    def groups(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, ids of it and those after it, where each text's ids begin, with one more entry) for groups of texts of
+        about ``group`` bytes."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         sizes, first = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + self.group, "right")))
-            yield first, self._group(texts.slice(first, last - first))
+            yield first, *self._group(texts.slice(first, last - first))
             first = last
 
-    def _group(self, texts: pa.Array) -> list[np.ndarray]:
+    def _group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_piece or pc.any(pc.match_substring(texts, "\0")).as_py():
-            return self.whole(texts.to_pylist())
+            parts = self.whole(texts.to_pylist())
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)], dtype=np.int64)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         cut = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         if odd.any():
@@ -194,7 +252,7 @@ class PieceEncoder:
             cut = pa.array(cut, pa.large_string())
         parts = pc.split_pattern(cut, "\0")
         coded = parts.values.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         place = np.fromiter(map(self.known.get, pieces, repeat(-1)), PLACE, len(pieces))
         new = np.flatnonzero(place < 0)
         if len(self.known) + len(new) > self.cache:
@@ -213,8 +271,7 @@ class PieceEncoder:
         first = self.begin[k]
         n = self.begin[k + 1] - first
         ids = self.flat[runs_of(first, n)]
-        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])[offsets]
-        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(n, dtype=np.int64)])[offsets]
 
 
 def encoder(path: str, cache: int = CACHE, group: int = GROUP) -> PieceEncoder:
@@ -247,13 +304,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
 
         part, seq, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer, cache, group)
         for batch in batches:
-            for first, found in enc.groups(batch.column(1)):
-                ids = [np.append(x, np.uint32(end_id)) for x in found]
-                coded = [dac_encode(x) for x in ids]
-                m = len(ids)
+            for first, found, at in enc.groups(batch.column(1)):
+                m = len(at) - 1
+                ids, at = np.insert(found, at[1:], np.uint32(end_id)), at + np.arange(m + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, m), pa.array([part] * m, pa.int32()), pa.array(range(seq, seq + m), pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-                     *(pa.array([c[k] for c in coded], pa.list_(pa.binary())) for k in range(3))],
+                    [batch.column(0).slice(first, m), pa.array([part] * m, pa.int32()), pa.array(range(seq, seq + m), pa.int64()), pa.array(np.diff(at)), *dac_columns(ids, at)],
                     names=CODED.names,
                 )
                 seq += m

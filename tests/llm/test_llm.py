@@ -74,6 +74,33 @@ def test_pieces_give_the_ids_of_whole_texts():
         assert np.array_equal(a, b) and np.array_equal(a, c)
 
 
+def test_columns_are_those_of_each_document():
+    rng = np.random.default_rng(3)
+    for bits, top in ((8, 200), (8, 60_000), (8, 1 << 24), (16, 1 << 24)):
+        docs = [rng.integers(0, top, n).astype(np.uint32) for n in (0, 1, 8, 9, 511, 512, 513, 0, 2000, 0)]
+        columns = token_output.dac_columns(np.concatenate(docs), np.cumsum([0, *map(len, docs)]), bits)
+        assert list(zip(*(c.to_pylist() for c in columns))) == [token_output.dac_encode(d, bits) for d in docs]
+    assert [c.to_pylist() for c in token_output.dac_columns(np.zeros(0, np.uint32), np.zeros(2, np.int64))] == [[[]]] * 3
+
+
+def test_pieces_led_by_a_space_are_joined_without_a_mark():
+    """The mark between two pieces cost the library as much as the pieces themselves."""
+    import pyarrow as pa
+
+    e, seen = token_output.PieceEncoder(tokenizer_file("byte_bpe_50k.json")), []
+    own = e._run
+    e._run = lambda pieces, between: seen.append((pieces, between)) or own(pieces, between)
+    texts = ["Ein Wort, ein 'll Wort's 12 ab12!? \u00e9t\u00e9 \U0001f600", "a  b\n c\u00a0 d \n", "x <|endoftext|> y", "", " ", "\u3000z\t q"]
+    for a, b in zip(e.encode(pa.array(texts)), e.whole(texts), strict=True):
+        assert np.array_equal(a, b)
+    assert {" Wort,", " 'll", " \U0001f600"} <= {p for pieces, between in seen if between == "" for p in pieces}
+    assert [p for pieces, between in seen if between is None for p in pieces] == [" <|endoftext|>"]
+    e.clear()
+    e.bytes[:] = 1  # ids that do not add up to the texts' bytes: the mark parts them
+    for a, b in zip(e.encode(pa.array(texts)), e.whole(texts), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_token_output(spark, tmp_path):
     from tokenizers import Tokenizer
 
