@@ -39,7 +39,7 @@ VOCABULARY, CLASS_MOST, INPUTS, STATE = 2048, 64, 16, 24
 ROUNDS, WINDOW, LANES, STREAM = 4, 32, 512, 2_000_000
 RATE = (0.012, 0.008, 0.005, 0.003)
 #: Bytes of text and tokens of the output layer that are worked on together when scoring.
-SLICE, ROWS = 12_000_000, 32_768
+SLICE, ROWS = 12_000_000, 16_384
 
 
 def remainder(doc_id: Column) -> Column:
@@ -143,105 +143,138 @@ class Shape:
         return place
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; x is clipped so that exp stays finite."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def halved(x: np.ndarray) -> np.ndarray:
+    """A copy of x(3 * STATE, ...) with its gates z and r halved, since the sigmoid of x is half of 1 + tanh(x / 2)."""
+    x = np.array(x, order="C")
+    x[: 2 * STATE] *= 0.5
+    return x
+
+
+def move(gates: np.ndarray, h: np.ndarray, Ut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the unit, a column a lane, from the inputs' gates: new state, gates zr, candidate n, and what the state adds to
+    it. gates and Ut are halved()."""
+    a = Ut @ h
+    zr = gates[: 2 * STATE] + a[: 2 * STATE]
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    an = a[2 * STATE :]
+    n = zr[STATE:] * an
+    n += gates[2 * STATE :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= zr[:STATE]
+    new += n
+    return new, zr, n, an
 
 
 def step(gates: np.ndarray, h: np.ndarray, U: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the unit from the inputs' gates: new state, gates zr, candidate n, and what the state adds to it."""
-    a = h @ U
-    zr = sigmoid(gates[:, : 2 * STATE] + a[:, : 2 * STATE])
-    an = a[:, 2 * STATE :]
-    n = np.tanh(gates[:, 2 * STATE :] + zr[:, STATE:] * an)
-    return n + zr[:, :STATE] * (h - n), zr, n, an
+    """move() with a row a lane and weights as they are."""
+    return tuple(x.T for x in move(halved(gates.T), h.T, halved(U.T)))
 
 
-def normalised(logits: np.ndarray) -> np.ndarray:
-    """exp of logits, in place, and the rows' sums. Logits are kept between -60 and 60 by bounded()."""
-    np.exp(logits, out=logits)
-    return logits.sum(1, keepdims=True)
+def shares(weights: np.ndarray, bias: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """exp of the logits, a column a state. They are kept between -60 and 60 where weights are large enough to go beyond 40 for
+    states between -1 and 1."""
+    logits = weights @ states
+    logits += bias[:, None]
+    if len(bias) and (np.abs(weights).sum(1) + np.abs(bias)).max() > 40:
+        np.clip(logits, -60, 60, out=logits)
+    return np.exp(logits, out=logits)
 
 
-def bounded(logits: np.ndarray) -> np.ndarray:
-    return np.clip(logits, -60, 60, out=logits)
+def by_class(shape: Shape, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of the targets by class, and (class, first, last) of those in it; the last class has no words of its own."""
+    klass = shape.klass[target].astype(np.int16)
+    order = np.argsort(klass, kind="stable")
+    edge = np.searchsorted(klass[order], np.arange(shape.classes + 2)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])) if b > a]
 
 
 def likelihood(p: dict, shape: Shape, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P of each target word's class and of the word in it; for words outside the vocabulary of their class alone."""
-    klass = shape.klass[target]
-    logits = bounded(states @ p["C"] + p["cb"])
-    picked = logits[np.arange(len(target)), klass]
-    out = picked - np.log(normalised(logits)[:, 0])
-    order = np.argsort(klass, kind="stable")
-    edge = np.searchsorted(klass[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        rows = order[edge[k] : edge[k + 1]]
-        if len(rows):
-            a, b = shape.first[k], shape.first[k + 1]
-            logits = bounded(states[rows] @ p["O"][a:b].T + p["ob"][a:b])
-            picked = logits[np.arange(len(rows)), target[rows] - a]
-            out[rows] += picked - np.log(normalised(logits)[:, 0])
+    return likelihoods(p, shape, states.T, target)
+
+
+def likelihoods(p: dict, shape: Shape, states: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """likelihood() with a column a state."""
+    order, parts = by_class(shape, target)
+    states, word = states.take(order, axis=1), target[order]
+    q = shares(p["C"].T, p["cb"], states)
+    of, within = q.sum(0), np.ones(len(word), q.dtype)
+    picked = np.empty_like(within)
+    for k, a, b in parts:
+        picked[a:b] = q[k, a:b]
+        if k < shape.classes:
+            first, last = shape.first[k], shape.first[k + 1]
+            own = shares(p["O"][first:last], p["ob"][first:last], states[:, a:b])
+            within[a:b] = own[word[a:b] - first, np.arange(b - a)] / own.sum(0)
+    out = np.empty_like(within)
+    out[order] = np.log(picked) - np.log(of) + np.log(within)
     return out
 
 
 def gradient(p: dict, shape: Shape, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradient of the mean negative log-likelihood of a window (time x lanes), and the state after it."""
+    """Gradient of the mean negative log-likelihood of a window (time x lanes), and the state after it.
+
+    Arrays hold a row a feature, so that what is done for all lanes goes along memory."""
     steps, lanes = inputs.shape
-    table = p["E"] @ p["W"] + p["b"]
-    kept = []
-    states = np.empty((steps, lanes, STATE), np.float32)
+    word, target, real = inputs.ravel(), targets.ravel(), p["U"].dtype
+    size, live, U, Ut = len(target), (~fresh).astype(real), p["U"], halved(p["U"].T)
+    x = np.ascontiguousarray(p["E"].T).take(word, axis=1)
+    gates = p["W"].T @ x
+    gates += p["b"][:, None]
+    gates[: 2 * STATE] *= 0.5
+    gates = gates.reshape(3 * STATE, steps, lanes)
+    before, states, n, an = (np.empty((STATE, steps, lanes), real) for _ in range(4))
+    zr = np.empty((2 * STATE, steps, lanes), real)
+    h = np.ascontiguousarray(h.T)
     for t in range(steps):
-        h = h * (~fresh[t])[:, None]
-        new, zr, n, an = step(table[inputs[t]], h, p["U"])
-        kept.append((h, zr, n, an))
-        states[t] = h = new
-    flat, target = states.reshape(-1, STATE), targets.ravel()
-    rows, g = np.arange(len(target)), {}
-    klass = shape.klass[target]
-    logits = bounded(flat @ p["C"] + p["cb"])
-    logits /= normalised(logits)
-    logits[rows, klass] -= 1
-    g["C"], g["cb"] = flat.T @ logits, logits.sum(0)
-    d = logits @ p["C"].T
-    g["O"], g["ob"] = np.zeros_like(p["O"]), np.zeros_like(p["ob"])
-    order = np.argsort(klass, kind="stable")
-    edge = np.searchsorted(klass[order], np.arange(shape.classes + 1))
-    for k in range(shape.classes):
-        at = order[edge[k] : edge[k + 1]]
-        if len(at):
-            a, b = shape.first[k], shape.first[k + 1]
-            own = flat[at]
-            q = bounded(own @ p["O"][a:b].T + p["ob"][a:b])
-            q /= normalised(q)
-            q[np.arange(len(at)), target[at] - a] -= 1
-            g["O"][a:b], g["ob"][a:b] = q.T @ own, q.sum(0)
-            d[at] += q @ p["O"][a:b]
-    d = d.reshape(steps, lanes, STATE)
-    into, held = np.empty((steps, lanes, 3 * STATE), np.float32), np.empty((steps, lanes, 3 * STATE), np.float32)
-    dh, Ut = np.zeros((lanes, STATE), np.float32), np.ascontiguousarray(p["U"].T)
+        h = h * live[t]
+        before[:, t] = h
+        h, zr[:, t], n[:, t], an[:, t] = move(gates[:, t], h, Ut)
+        states[:, t] = h
+    g = {"O": np.zeros_like(p["O"]), "ob": np.zeros_like(p["ob"])}
+    order, parts = by_class(shape, target)
+    flat, told = states.reshape(STATE, size).take(order, axis=1), target[order]
+    q = shares(p["C"].T, p["cb"], flat)
+    q /= q.sum(0)
+    for k, a, b in parts:
+        q[k, a:b] -= 1
+    g["C"], g["cb"] = flat @ q.T, q.sum(1)
+    d = p["C"] @ q
+    for k, a, b in parts:
+        if k < shape.classes:
+            first, last = shape.first[k], shape.first[k + 1]
+            own = flat[:, a:b]
+            q = shares(p["O"][first:last], p["ob"][first:last], own)
+            q /= q.sum(0)
+            q[told[a:b] - first, np.arange(b - a)] -= 1
+            g["O"][first:last], g["ob"][first:last] = q @ own.T, q.sum(1)
+            d[:, a:b] += p["O"][first:last].T @ q
+    place = np.empty_like(order)
+    place[order] = np.arange(size)
+    d = d.take(place, axis=1).reshape(STATE, steps, lanes)
+    # what a state's gradient is multiplied by on its way into z, r and what the state adds to the candidate
+    z, r, ways = zr[:STATE], zr[STATE:], np.empty((3, STATE, steps, lanes), real)
+    candidate = (1 - z) * (1 - n * n)
+    ways[0] = (before - n) * z * (1 - z)
+    ways[2] = candidate * r
+    ways[1] = ways[2] * an * (1 - r)
+    dh = np.zeros((STATE, lanes), real)
     for t in range(steps - 1, -1, -1):
-        before, zr, n, an = kept[t]
-        z, r = zr[:, :STATE], zr[:, STATE:]
-        dh = dh + d[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        into[t, :, :STATE] = dh * (before - n) * z * (1 - z)
-        into[t, :, STATE : 2 * STATE] = dn * an * r * (1 - r)
-        into[t, :, 2 * STATE :] = dn
-        held[t] = into[t]
-        held[t, :, 2 * STATE :] *= r
-        dh = (dh * z + held[t] @ Ut) * (~fresh[t])[:, None]
-    g["U"] = np.concatenate([k[0] for k in kept]).T @ held.reshape(-1, 3 * STATE)
-    flat_into, word = into.reshape(-1, 3 * STATE), inputs.ravel()
-    g["b"] = flat_into.sum(0)
-    g["W"] = p["E"][word].T @ flat_into
-    back = flat_into @ p["W"].T
-    g["E"] = np.stack([np.bincount(word, back[:, k], shape.size + 1) for k in range(INPUTS)], 1)
-    return {k: g[k].astype(np.float32) / len(target) for k in shape.parts}, h
+        now = d[:, t]
+        now += dh
+        dh = U @ (ways[:, :, t] * now).reshape(3 * STATE, lanes)
+        dh += now * z[:, t]
+        dh *= live[t]
+    ways *= d
+    into = ways.reshape(3 * STATE, size)
+    g["U"] = before.reshape(STATE, size) @ into.T
+    into[2 * STATE :] = (candidate * d).reshape(STATE, size)
+    g["b"], g["W"] = into.sum(1), x @ into.T
+    g["E"] = np.stack([np.bincount(word, back, shape.size + 1) for back in p["W"] @ into], 1)
+    return {k: g[k].astype(np.float32) / size for k in shape.parts}, h.T
 
 
 def walk(shape: Shape, flat: np.ndarray, streams: Iterator[np.ndarray], rate: float) -> tuple[np.ndarray, int]:
@@ -275,28 +308,27 @@ def document_likelihoods(p: dict, shape: Shape, ids: np.ndarray, begins: np.ndar
     size = np.diff(begins)
     order = np.argsort(-size, kind="stable")
     at, length = begins[:-1][order], size[order]
-    out, h = np.zeros(len(size)), np.zeros((len(size), STATE), np.float32)
-    table = p["E"] @ p["W"] + p["b"]
+    out, h = np.zeros(len(size)), np.zeros((STATE, len(size)), np.float32)
+    table, Ut = halved((p["E"] @ p["W"] + p["b"]).T), halved(p["U"].T)
     active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left").tolist()
     before = np.full(len(size), shape.end, np.int64)
     states, targets, owners, ready = [], [], [], 0
 
     def settle() -> None:
-        state, target, owner = np.concatenate(states), np.concatenate(targets), np.concatenate(owners)
+        state, target, owner = np.concatenate(states, axis=1), np.concatenate(targets).astype(np.int64), np.concatenate(owners)
         for a in range(0, len(target), ROWS):
             part = slice(a, a + ROWS)
-            np.add(out, np.bincount(owner[part], likelihood(p, shape, state[part], target[part]), len(out)), out=out)
+            np.add(out, np.bincount(owner[part], likelihoods(p, shape, state[:, part], target[part]), len(out)), out=out)
         for x in (states, targets, owners):
             x.clear()
 
     lane = np.arange(len(size))
     for t, n in enumerate(active):
-        h = step(table[before[:n]], h[:n], p["U"])[0]
-        now = ids[at[:n] + t].astype(np.int64)
+        h = move(table.take(before[:n], axis=1), h[:, :n], Ut)[0]
+        before = ids[at[:n] + t]
         states.append(h)
-        targets.append(now)
+        targets.append(before)
         owners.append(lane[:n])
-        before = now
         ready += n
         if ready >= 4 * ROWS:
             settle()

@@ -16,6 +16,8 @@ BLOCK = 1 << 20
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
+#: Random value of each byte, A-Z lower-cased.
+_LOWER_BYTE = _BYTE[_ASCII_LOWER]
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: All ASCII that is no letter; bytes of other characters count as letters.
@@ -55,7 +57,7 @@ def _hash_block(data: np.ndarray, separator: np.ndarray, most: int | None) -> tu
     starts, ends = edge[0::2], edge[1::2]
     if most:
         ends = np.minimum(ends, starts + most)
-    total = np.cumsum(_BYTE[_ASCII_LOWER[data]] * _power(_BASE, len(data)), dtype=np.uint64)
+    total = np.cumsum(_LOWER_BYTE[data] * _power(_BASE, len(data)), dtype=np.uint64)
     before = np.where(starts > 0, total[starts - 1], np.uint64(0))
     return mix((total[ends - 1] - before) * _power(_INVERSE, len(data))[starts]), starts
 

@@ -291,6 +291,22 @@ def test_gradient_by_differences():
         assert abs((loss(flat + e) - loss(flat - e)) / 2e-5 - g[k]) < 1e-3 * abs(g[k]) + 1e-6
 
 
+def test_a_column_a_lane_gives_what_a_row_a_lane_gives():
+    """States, gates and logits lie a row a feature, so that work for all lanes goes along memory."""
+    shape, flat = network()
+    p, rng = shape.split(flat.astype(np.float64)), np.random.default_rng(5)
+    h, gates = rng.uniform(-1, 1, (6, recurrent_lm.STATE)), rng.normal(0, 3, (6, 3 * recurrent_lm.STATE))
+    new, zr, n, an = recurrent_lm.move(recurrent_lm.halved(gates.T), h.T, recurrent_lm.halved(p["U"].T))
+    a, s = h @ p["U"], recurrent_lm.STATE
+    z, r = (1 / (1 + np.exp(-(gates + a)[:, k * s : k * s + s])) for k in (0, 1))
+    want = np.tanh(gates[:, 2 * s :] + r * a[:, 2 * s :])
+    assert np.allclose(new.T, want + z * (h - want)) and np.allclose(zr.T, np.hstack([z, r])) and np.allclose(n.T, want) and np.allclose(an.T, a[:, 2 * s :])
+    target = np.array([0, shape.size, 3, shape.size - 1, 3, 7])
+    assert np.allclose(recurrent_lm.likelihoods(p, shape, h.T, target), recurrent_lm.likelihood(p, shape, h, target))
+    huge = recurrent_lm.shares(np.full((2, s), 50.0, np.float32), np.zeros(2, np.float32), np.ones((s, 1), np.float32))
+    assert np.isfinite(huge).all()
+
+
 def test_training_is_the_same_whatever_the_size(spark, monkeypatch):
     """All training documents take part, each once, in a corpus that counts as small and in one that counts as huge."""
     kept, own = [], recurrent_lm.written
