@@ -86,6 +86,26 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 # --- the network -----------------------------------------------------------------------------------------------------
 
 
+class Places:
+    """Places of hashes among sorted ones, by a table of where the hashes with each beginning are."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        bits = max(1, (2 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.hashes = np.append(hashes, np.uint64(2**64 - 1))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash; their number for those that are not there."""
+        place = self.starts.take((h >> self.shift).astype(np.int64))
+        late = np.flatnonzero(self.hashes.take(place) < h)
+        while len(late):
+            place[late] += 1
+            late = late[self.hashes[place[late]] < h[late]]
+        place[self.hashes.take(place) != h] = len(self.hashes) - 1
+        return place
+
+
 class Shape:
     """The vocabulary: per frequent word its network number (VOCABULARY's end for all others), classes and start biases."""
 
@@ -134,13 +154,15 @@ class Shape:
             at += n
         return out
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Places of hashes among the frequent words; len(hashes) for others."""
-        place = np.searchsorted(self.hashes, h)
-        place[place == len(self.hashes)] = 0
-        if len(self.hashes):
-            place[self.hashes[place] != h] = len(self.hashes)
-        return place
+    def index(self) -> Shape:
+        """With what a worker looks words up by: all frequent ones, and those of the network alone."""
+        own = np.flatnonzero(self.number[:-1] < self.size)
+        self.every, self.own, self.own_number = Places(self.hashes), Places(self.hashes[own]), np.append(self.number[own], self.number[-1])
+        return self
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Network numbers of hashes."""
+        return self.own_number.take(self.own.find(h))
 
 
 def halved(x: np.ndarray) -> np.ndarray:
@@ -343,11 +365,23 @@ def document_likelihoods(p: dict, shape: Shape, ids: np.ndarray, begins: np.ndar
 # --- on Spark --------------------------------------------------------------------------------------------------------
 
 
-def numbers(shape: Shape, h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places among the frequent words with an end after each document, the documents' begins, the hashes likewise."""
-    docs = np.arange(1, len(begins))
-    every = np.insert(h, begins[1:], END)
-    return shape.lookup(every), begins + np.concatenate([[0], docs]), every
+def with_ends(h: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes with an end after each document, and the documents' begins."""
+    return np.insert(h, begins[1:], END), begins + np.arange(len(begins))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold size bytes of the text column, since a pass takes as many steps as the longest text of
+    its batch has words."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.column(column).nbytes
+        if have >= size:
+            yield pa.concat_batches(held)
+            held, have = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def trained(docs: DataFrame, shape: Shape, tokens: int) -> np.ndarray:
@@ -361,10 +395,10 @@ def trained(docs: DataFrame, shape: Shape, tokens: int) -> np.ndarray:
     name = f"lm-shape {uuid.uuid4().hex}"  # workers outlive a corpus, so what they keep goes by its own name
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = worker_cache(name, lambda: shared.value)
+        shape = worker_cache(name, lambda: shared.value.index())
         for batch in sliced(batches, 1):
-            place, begins, _ = numbers(shape, *hash_words(text_bytes(batch.column(1))))
-            number = shape.number[place]
+            every, begins = with_ends(*hash_words(text_bytes(batch.column(1))))
+            number = shape.numbers(every)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([number[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])], pa.binary())], names=["round", "ids"])
 
     turn = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)).cast("int")
@@ -374,7 +408,7 @@ def trained(docs: DataFrame, shape: Shape, tokens: int) -> np.ndarray:
         now, rate = spark.sparkContext.broadcast(flat), RATE[k]
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shape = worker_cache(name, lambda: shared.value)
+            shape = worker_cache(name, lambda: shared.value.index())
 
             def streams() -> Iterator[np.ndarray]:
                 parts, have = [], 0
@@ -431,11 +465,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     log_others = math.log10(shape.others)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, weights = worker_cache(name, lambda: model.value)
+        shape, weights = worker_cache(name, lambda: (model.value[0].index(), model.value[1]))
         p = shape.split(weights)
         log_count = np.append(np.log10(shape.counts + 1.0), 0.0)
-        for batch in sliced(batches, 3, SLICE):
-            place, begins, every = numbers(shape, *hash_words(text_bytes(batch.column(3))))
+        for batch in sliced(gathered(batches, 3), 3, 2 * SLICE):
+            every, begins = with_ends(*hash_words(text_bytes(batch.column(3))))
+            place = shape.every.find(every)
             number = shape.number[place]
             owner = np.repeat(np.arange(batch.num_rows), np.diff(begins))
             frequent = place < len(shape.hashes)

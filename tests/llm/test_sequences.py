@@ -307,6 +307,27 @@ def test_a_column_a_lane_gives_what_a_row_a_lane_gives():
     assert np.isfinite(huge).all()
 
 
+def test_places_of_hashes():
+    rng, top = np.random.default_rng(6), 2**64 - 1
+    for words in (0, 1, 300, 5000):
+        h = np.unique(np.append(rng.integers(0, 2**60 if words == 300 else top, words, dtype=np.uint64), np.array([0, top], np.uint64)[: words // 300]))
+        asked = np.concatenate([h, rng.integers(0, top, 500, dtype=np.uint64), np.array([0, 1, top - 1, top], np.uint64)])
+        at = {int(x): k for k, x in enumerate(h)}
+        assert recurrent_lm.Places(h).find(asked).tolist() == [at.get(int(x), len(h)) for x in asked]
+    shape = recurrent_lm.Shape(np.sort(rng.integers(0, top, 3000, dtype=np.uint64)), rng.integers(1, 500, 3000), 2_000_000, 5000).index()
+    asked = np.append(shape.hashes, np.uint64(5))
+    assert shape.numbers(asked).tolist() == [*shape.number[:-1].tolist(), shape.size]
+
+
+def test_small_batches_are_put_together():
+    """Each of them would take as many steps as its longest text has words."""
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array(["x" * 40])], names=["k", "text"]) for k in range(7)]
+    got = list(recurrent_lm.gathered(iter(batches), 1, 100))
+    assert [k for b in got for k in b.column(0).to_pylist()] == list(range(7)) and [b.num_rows for b in got] == [3, 3, 1]
+
+
 def test_training_is_the_same_whatever_the_size(spark, monkeypatch):
     """All training documents take part, each once, in a corpus that counts as small and in one that counts as huge."""
     kept, own = [], recurrent_lm.written
