@@ -360,6 +360,32 @@ def test_clustered_vectors_visit_few_cells():
         assert len(a) > 800 and all((v, home[u]) in seen and (u, home[v]) in seen for u, v in zip(a.tolist(), b.tolist()))
 
 
+def test_vectors_are_dealt_by_blocks_however_many_cells_they_visit(spark, monkeypatch):
+    """Spread vectors visit most cells; each visit was once a row that held the whole vector."""
+    rng, rows = np.random.default_rng(5), []
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(1500, 32)))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embed_dedup, "cut", lambda df, own=embed_dedup.cut: (out := own(df), rows.append(out.count()))[0])
+    assert embed_dedup.embedding_links(df, 0.95, cell=15).count() == 1500
+    assert max(rows) <= 1500
+    classes = spark.createDataFrame([(k, f"{k * 7919 % 1500:08}".encode(), rng.normal(size=32).astype("<f8").tobytes(), 32, k, 1) for k in range(1500)], "no long, key binary, packed binary, dim int, rep long, copies long")
+    dealt, held = embed_dedup.dealt(classes, 0.95, 15, 1.0)
+    assert len(held.value[32].centre) == 100 and dealt.count() <= 1500 * embed_dedup.BLOCKS
+
+
+@pytest.mark.parametrize("block", [64, 300])
+def test_links_between_and_within_blocks(spark, monkeypatch, block):
+    """One cell of near copies lies in several blocks; others share one; components of eight bytes beside those of four."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "TILE", 37)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base[0] + rng.normal(size=(250, 16)) * 0.2, base[rng.integers(0, 60, 350)] + rng.normal(size=(350, 16)) * rng.choice([0.05, 0.2, 0.5], size=(350, 1))])
+    x[::2] = x[::2].astype(np.float32)
+    vectors = [(int(k), v.tolist()) for k, v in zip(rng.permutation(600), x)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert linked_rows(df, cell=25) == brute_links(vectors, 0.95)
+
+
 def test_embedding_query_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
