@@ -28,11 +28,20 @@ def near_pairs(points: DataFrame, most: float) -> DataFrame:
     return a.join(b, "cell").where("i < j").select("i", "j", F.abs(F.col("xi") - F.col("xj")).alias("d")).where(F.col("d") <= most)
 
 
+#: Null, undefined and infinite places are near none.
+FINITE = "abs(x) < double('infinity')"
+
+
+def near_places(points: DataFrame, most: float) -> DataFrame:
+    """(x, y, d) for x <= y: different places of points(k, x) that are at most so far apart; a place with itself if it has several points."""
+    places = points.where(FINITE).groupBy("x").agg(F.count("*").alias("n"))
+    apart = near_pairs(places.select(F.col("x").alias("k"), "x"), most).select(F.col("i").alias("x"), F.col("j").alias("y"), "d")
+    return apart.unionAll(places.where("n > 1").select("x", F.col("x").alias("y"), (F.col("x") - F.col("x")).alias("d")))
+
+
 def near_values(points: DataFrame, most: float) -> DataFrame:
     """(d): the distances that near_pairs finds, from the different places alone; zero if a place has several points."""
-    places = points.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
-    apart = near_pairs(places.select(F.col("x").alias("k"), "x"), most).select("d")
-    return apart.unionAll(places.where("n > 1").select((F.col("x") - F.col("x")).alias("d"))).distinct()
+    return near_places(points, most).select("d").distinct()
 
 
 def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
@@ -49,13 +58,44 @@ def ranked(values: DataFrame, column: str, name: str) -> DataFrame:
     return dealt.join(heads, "_part").select(column, (F.col("_at") + F.col("_shift")).alias(name))
 
 
-def rips_stages(distances: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance, zero too.
+def staged(pairs: DataFrame) -> DataFrame:
+    """pairs(..., d) with the place of each distance among the different ones as its stage."""
+    stages = keep(ranked(pairs, "d", "stage"))
+    # few distances: each has a large share of the pairs, which must not meet in its task
+    return pairs.join(F.broadcast(stages) if stages.count() <= graph.FEW else stages, "d")
 
-    values(d): exactly the distances that occur, where they are known without going over all pairs.
-    """
+
+def rips_stages(distances: DataFrame) -> DataFrame:
+    """(i, j, d, stage) for i < j: stage 0 has the points, then one for each distinct finite distance, zero too."""
     pairs = distances.where("i < j AND d >= 0 AND d < double('infinity')").select("i", "j", "d")
-    return pairs.join(ranked(pairs if values is None else values, "d", "stage"), "d").select("i", "j", "d", "stage")
+    return staged(pairs).select("i", "j", "d", "stage")
+
+
+#: Points of a place that are paired with others at once. Spark holds what becomes of one row of two exploded lists, so the
+#: square of this counts.
+CHUNK = 64
+
+
+def near_stages(points: DataFrame, most: float, digits: int) -> DataFrame:
+    """rips_stages of near_pairs of points(k, x), distances rounded.
+
+    Distances and stages are those of places. The points of a place lie in chunks, and pairs of chunks are dealt over all
+    cores, so that pairs of points are made where they are returned: none is shuffled, looked up or made in vain.
+    """
+    spark = points.sparkSession
+    near = staged(keep(near_places(points, most).withColumn("d", F.round("d", digits))))
+    numbered = points.where(FINITE).select("k", "x", F.monotonically_increasing_id().alias("_n"))
+    parts = keep(numbered.groupBy("x").agg(F.ceil(F.count("*") / CHUNK).alias("parts"), F.count("*").alias("d")))
+    rows = parts.agg(F.sum("d")).first()[0] or 0
+    chunks = graph.join_hot(numbered, parts, "x", rows).groupBy("x", F.pmod("_n", "parts").alias("c")).agg(F.collect_list("k").alias("ks"))
+    chunks = keep(chunks)
+    a, b = chunks.withColumnsRenamed({"c": "a", "ks": "is"}), chunks.withColumnsRenamed({"x": "y", "c": "b", "ks": "js"})
+    both = near.join(a, "x").join(b, "y").where("x < y OR a <= b")
+    # a number of partitions is given, as the rows are few and what they become is not
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    dealt = both.repartition(n, "x", "a", "y", "b").select("is", "js", "d", "stage", ((F.col("x") == F.col("y")) & (F.col("a") == F.col("b"))).alias("same"))
+    every = dealt.select(F.explode("is").alias("i"), "js", "d", "stage", "same").select("i", F.explode("js").alias("j"), "d", "stage", "same")
+    return every.where("i < j OR i > j AND NOT same").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d", "stage")
 
 
 def spanning_forest(stages: DataFrame) -> DataFrame:

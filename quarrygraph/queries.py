@@ -240,8 +240,7 @@ SELECT i, j, d, dense_rank() OVER (ORDER BY d) AS stage FROM pairs""")
 def rips_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose prices are at most 1 apart."""
     points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.round("p_retailprice", 2).alias("x"))
-    near, values = (f(points, 1.0).withColumn("d", F.round("d", 2)) for f in (topology.near_pairs, topology.near_values))
-    return topology.rips_stages(near, values.distinct()).select("i", "j", "d", F.col("stage").cast("long").alias("stage"))
+    return topology.near_stages(points, 1.0, 2).select("i", "j", "d", F.col("stage").cast("long").alias("stage"))
 
 
 @query(GRAPH + """

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pandas as pd
+from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from quarrygraph import session
@@ -54,6 +58,26 @@ def test_values_of_near_points_are_those_of_all_pairs(spark):
     assert {r.d for r in topology.near_values(points, 1.0).select(F.round("d", 2).alias("d")).collect()} == want == {0.0, 0.4, 0.9}
 
 
+def test_pairs_are_made_where_they_are_returned(spark):
+    """Every pair was once looked up in a table of stages by a join, after three times as many had been made in vain."""
+    plan = queries()["rips_stages"](spark, BIG)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")] and "Repartition" in plan[plan.index("Generate") : plan.index("Join")]
+
+
+def test_near_stages_are_those_of_all_pairs(spark, monkeypatch):
+    """Places of several chunks, one with most of the points, keys that occur twice; null, infinite and undefined places are near none."""
+    monkeypatch.setattr(topology, "CHUNK", 7)
+    monkeypatch.setattr(graph, "HOT_LEAST", 20)
+    rng = random.Random(3)
+    points = [(k, rng.choice([900.0, 900.0, 900.0, 900.1, 900.4, 901.0, 901.35, 902.0, -0.0, 0.0])) for k in range(160)] + [(3, 900.0), (4, 901.0), (200, 950.0)]
+    points += [(201, None), (202, None), (203, math.nan), (204, math.nan), (205, math.inf), (206, math.inf)]
+    near = [(a, b, round(abs(x - y), 2)) for a, x in points for b, y in points if a < b and x is not None and y is not None and abs(x - y) <= 1]
+    stage = {d: k for k, d in enumerate(sorted({d for *_, d in near}), 1)}
+    got = topology.near_stages(spark.createDataFrame(points, "k long, x double"), 1.0, 2)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, d, stage[d]) for a, b, d in near)
+    assert topology.near_stages(spark.createDataFrame([], "k long, x double"), 1.0, 2).count() == 0
+
+
 def kept_rows(monkeypatch) -> list[int]:
     """Filled with the rows of each table that graph plans write out."""
     rows = []
