@@ -137,13 +137,12 @@ def _by_name(rows: DataFrame) -> DataFrame:
 def crud_closure(space: Space, targets: DataFrame) -> DataFrame:
     """(entry_point, target): which targets (cell_id, target) each entry point reaches by calls and constructions.
 
-    Targets are carried back over strong components, so rows are bounded by components times targets.
+    Targets are bits of a set that is carried back along links, so a link carries them all at once.
     """
-    called = space.calls("java.calls").select(F.col("dst").alias("cell_id")).distinct()
-    entries = space.entities.where(F.col("entity_type") == "java.method").join(called, "cell_id", "left_anti")
-    seeds = targets.select(F.col("cell_id").alias("node"), F.lit(0).alias("key"), F.col("target").alias("value"))
-    reach = condense.Condensed(space.calls(*schema.CALLS)).carried_back(seeds)
-    return reach.join(entries.select(F.col("cell_id").alias("node"), F.col("fqn").alias("entry_point")), "node").select("entry_point", F.col("value").alias("target")).distinct()
+    reach = condense.ReachedSets(space.calls(*schema.CALLS), targets.select(F.col("cell_id").alias("node"), F.col("target").alias("value")))
+    entries = space.entities.where(F.col("entity_type") == "java.method").select(F.col("cell_id").alias("node"), F.col("fqn").alias("name"))
+    called = space.calls("java.calls").select(F.col("dst").alias("node"))
+    return reach.of(entries.join(called, "node", "left_anti")).select(F.col("name").alias("entry_point"), F.col("value").alias("target"))
 
 
 def last_write(log: DataFrame, key: str = "cell_id", order: str = "version") -> DataFrame:

@@ -6,10 +6,13 @@ component: at most a row for each component, key and value kept, however many pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrygraph.plans.graph import FEW
 from quarrygraph.session import keep
 
 #: Rounds of peeling before colours are spread.
@@ -104,3 +107,87 @@ class Condensed:
             merged = keep(_least(state.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True))), most))
             state, delta = merged.drop("_new"), merged.where("_new").drop("_new")
         return every.join(state, "component").select("node", "key", "value")
+
+
+def _plain(column: str) -> tuple[Column, Column]:
+    """Whether an id is a letter and a number of up to 15 digits, and a number that only this id has among such."""
+    letter, digits = F.substring(column, 1, 1), F.substring(column, 2, 15).try_cast("long")
+    same = letter.between("A", "z") & (digits >= 0) & (F.concat(letter, digits.cast("string")) == F.col(column))
+    return F.coalesce(same, F.lit(False)), F.ascii(letter).cast("long") * 10**15 + digits
+
+
+def numbering(ids: DataFrame) -> Callable[[str], Column]:
+    """A number for each text of ids(id), by the column's name: made of the text where all are a letter and digits; else a hash,
+    with all ids counted against it and another seed taken until none share one."""
+    if ids.where(~_plain("id")[0]).isEmpty():
+        return lambda column: _plain(column)[1]
+    ids, seed = keep(ids.distinct()), 0
+    rows = ids.count()
+    while ids.select(F.xxhash64(F.lit(seed), "id")).distinct().count() < rows:
+        seed += 1
+    return lambda column: F.xxhash64(F.lit(seed), column)
+
+
+#: Links a source, on average, that sets are first carried over; sources with more to say of which a list is broadcast.
+FIRST, NUMBERS = 8, 1_000_000
+
+
+class ReachedSets:
+    """Which values the nodes reach, for seeds(node, value) and edges(src, dst) that lie in files; nodes are texts.
+
+    Values are bits, 64 of them a row, so a link carries words and not values. Sets first go over a share of the links, chosen by
+    hash; a node that has every value then needs no more of its links. Only the links of the others are read in full.
+    """
+
+    def __init__(self, edges: DataFrame, seeds: DataFrame) -> None:
+        edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+        seeds = seeds.where("node IS NOT NULL AND value IS NOT NULL")
+        self.number = numbering(edges.select(F.col("src").alias("id")).unionAll(edges.select("dst")).unionAll(seeds.select("node")))
+        links = edges.select(self.number("src").alias("src"), self.number("dst").alias("dst"))
+        values = keep(seeds.select("value").distinct())
+        n = values.count()
+        # ids of a partition follow one another from a multiple of 64
+        at = keep(values.repartition(max(1, -(-n // 4096))).select("value", F.monotonically_increasing_id().alias("at")))
+        at = at.select("value", F.floor(F.col("at") / 64).alias("word"), (F.col("at") % 64).cast("int").alias("bit"))
+        self.values = F.broadcast(at) if n <= FEW else at
+        marked = seeds.join(self.values, "value").select(self.number("node").alias("n"), "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+        self.state = keep(marked.groupBy("n", "word").agg(F.bit_or("bits").alias("bits")))
+        self._carry(links)
+
+    def _carry(self, links: DataFrame) -> None:
+        every = keep(self.state.groupBy("word").agg(F.bit_or("bits").alias("every")))
+        words = every.count()
+        sources = keep(links.select(F.col("src").alias("n")).distinct())
+        rate = max(1, links.count() // max(1, FIRST * sources.count()))
+        chosen = keep(links.where(F.pmod(F.xxhash64("src", "dst"), F.lit(rate)) == 0))
+        self._spread(chosen, self.state)
+        if rate == 1:
+            return
+        whole = self.state.join(F.broadcast(every) if words <= FEW else every, "word").where("bits = every")
+        whole = whole.select("n") if words == 1 else whole.groupBy("n").count().where(F.col("count") == words).select("n")
+        left = keep(sources.join(whole, "n", "left_anti").withColumnRenamed("n", "src"))
+        rows = left.count()
+        if not rows:
+            return
+        rest = keep(links.join(F.broadcast(left) if rows <= NUMBERS else left, "src", "left_semi"))
+        delta = self._told(rest, self.state)
+        self._spread(chosen.unionByName(rest), delta)
+
+    def _told(self, links: DataFrame, news: DataFrame) -> DataFrame:
+        """Adds to the state what news has for the ends of links; the rows that changed."""
+        near = news.withColumnRenamed("n", "dst")
+        told = links.join(F.broadcast(near) if news.count() <= FEW else near, "dst").groupBy(F.col("src").alias("n"), "word").agg(F.bit_or("bits").alias("told"))
+        both = F.coalesce("bits", F.lit(0)).bitwiseOR(F.coalesce("told", F.lit(0)))
+        merged = keep(self.state.join(told, ["n", "word"], "full_outer").select("n", "word", both.alias("bits"), F.coalesce(both != F.col("bits"), F.lit(True)).alias("new")))
+        self.state = merged.drop("new")
+        return merged.where("new").drop("new")
+
+    def _spread(self, links: DataFrame, news: DataFrame) -> None:
+        while not news.isEmpty():
+            news = self._told(links, news)
+
+    def of(self, named: DataFrame) -> DataFrame:
+        """(name, value): the values that named(node, name) reach, itself included; once for a name that several nodes have."""
+        sets = named.select(self.number("node").alias("n"), "name").where("n IS NOT NULL").join(self.state, "n").groupBy("name", "word").agg(F.bit_or("bits").alias("bits"))
+        bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)
+        return sets.select("name", "word", F.explode(bits).alias("bit")).join(self.values, ["word", "bit"]).select("name", "value")

@@ -6,12 +6,14 @@ import math
 import random
 
 import pandas as pd
+import pytest
 from __spark_entry__ import queries
 from pyspark.sql import functions as F
 
 from quarrygraph import session
-from quarrygraph.operators import calls, invariants, symbolic, topology
-from quarrygraph.plans import demo, graph
+from quarrygraph.operators import calls, findings, invariants, symbolic, topology
+from quarrygraph.plans import condense, demo, graph
+from quarrygraph.plans.space import Space
 
 BIG = "/root/testdata/sf0.001"
 
@@ -152,3 +154,63 @@ def test_components_beyond_least_and_greatest_neighbours(spark, monkeypatch):
         got = {r.id: r.component for r in graph.connected(spark.createDataFrame(links, "src string, dst string"), stored=True).collect()}
         assert got == {n: c for n, c in label.items() if n != c}
     assert graph.connected(spark.createDataFrame([("a", "a")], "src string, dst string")).count() == 0
+
+
+def called_space(spark, links, names):
+    """A space of calls whose methods are names (cell, fqn)."""
+    entities = spark.createDataFrame([(c, n, "java.method") for c, n in names], "cell_id string, fqn string, entity_type string")
+    incidences = spark.createDataFrame([(a, b, "java.calls") for a, b in links], "from_cell_id string, to_cell_id string, relation_type string")
+    return Space(entities=entities, incidences=incidences, cells=entities)
+
+
+def reached(links, targets, names):
+    out = {}
+    for a, b in links:
+        out.setdefault(a, set()).add(b)
+    called, found = {b for _, b in links}, set()
+    for cell, name in names:
+        seen, todo = {cell}, [cell]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        if cell not in called:
+            found |= {(name, t) for c, t in targets if c in seen}
+    return sorted(found)
+
+
+def test_targets_are_carried_as_sets(spark, monkeypatch):
+    """Each target once went back along each link as a row of its own."""
+    links = [(f"e{k}", f"m{k % 4}") for k in range(50)] + [("m0", "p0"), ("m1", "p0"), ("m2", "m3"), ("m3", "p1")]
+    targets = [(f"p{k % 2}", f"T{k}") for k in range(100)]
+    names, rows = [(f"e{k}", f"E{k // 2}") for k in range(50)], []
+    for module in (graph, condense):
+        monkeypatch.setattr(module, "keep", lambda df: (out := session.keep(df), rows.append(out.count()))[0])
+    got = findings.crud_closure(called_space(spark, links, names), spark.createDataFrame(targets, "cell_id string, target string"))
+    assert sorted(map(tuple, got.collect())) == reached(links, targets, names) and max(rows) <= 2 * (len(links) + len(targets))
+
+
+@pytest.mark.parametrize("form", ["n{}", "p.N{}", "n0{}"])
+@pytest.mark.parametrize("first", [1, 2, 1000])
+def test_sets_over_a_share_of_the_links_are_those_over_all(spark, monkeypatch, form, first):
+    """Cycles, chains, links that occur twice, ends and targets without entities, more than 64 targets, nodes that reach few of them."""
+    monkeypatch.setattr(condense, "FIRST", first)
+    rng, cell = random.Random(first), form.format
+    links = [(cell(rng.randrange(20, 60)), cell(rng.randrange(20, 60))) for _ in range(240)]
+    links += [(cell(k), cell(rng.randrange(20, 60))) for k in range(12) for _ in range(5)] + [(cell(k), cell(k + 1)) for k in range(60, 72)] + [(cell(12), cell(70)), (cell(13), cell(64))]
+    links += links[:9] + [(cell(21), cell(21))]
+    targets = [(cell(rng.randrange(20, 50)), f"T{k % 70}") for k in range(90)] + [(cell(72), "T3"), (cell(66), "end"), (cell(14), "own"), (cell(900), "T1")]
+    names = [(cell(k), f"E{k // 2}") for k in range(16)] + [(cell(k), f"F{k}") for k in range(60, 73)]
+    able = spark.createDataFrame([*targets, (None, "x"), (cell(20), None)], "cell_id string, target string")
+    space = called_space(spark, [*links, (None, cell(20)), (cell(2), None)], names)
+    assert sorted(map(tuple, findings.crud_closure(space, able).collect())) == reached(links, targets, names)
+
+
+def test_numbers_tell_ids_apart(spark, monkeypatch):
+    ids = ["a1", "b1", "a01", "a", "", "a-5", "a+1", "a 1", "1a", "a999999999999999", "a1000000000000000", "b0", "é5", "a1.0", "aa1"]
+    plain = spark.createDataFrame([(x,) for x in ids], "id string")
+    taken = [r.id for r in plain.where(condense._plain("id")[0]).collect()]
+    assert taken == ["a1", "b1", "a999999999999999", "b0"]
+    for some in (taken, ids):
+        df = spark.createDataFrame([(x,) for x in some], "id string")
+        assert df.select(condense.numbering(df)("id").alias("n")).distinct().count() == len(some)
