@@ -139,7 +139,8 @@ def crud_closure(space: Space, targets: DataFrame) -> DataFrame:
 
     Targets are bits of a set that is carried back along links, so a link carries them all at once.
     """
-    reach = condense.ReachedSets(space.calls(*schema.CALLS), targets.select(F.col("cell_id").alias("node"), F.col("target").alias("value")))
+    links = space.calls(*schema.CALLS)
+    reach = condense.ReachedSets(links if space.stored else keep(links), targets.select(F.col("cell_id").alias("node"), F.col("target").alias("value")))
     entries = space.entities.where(F.col("entity_type") == "java.method").select(F.col("cell_id").alias("node"), F.col("fqn").alias("name"))
     called = space.calls("java.calls").select(F.col("dst").alias("node"))
     return reach.of(entries.join(called, "node", "left_anti")).select(F.col("name").alias("entry_point"), F.col("value").alias("target"))
